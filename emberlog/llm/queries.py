@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +34,22 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = suffix_dedup(table(spark, sf_dir, "documents"), length=200)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_index import substring_dedup
+
+    done = substring_dedup(table(spark, sf_dir, "documents"), length=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_substring_index"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT rid, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+win AS (SELECT rid, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM starts JOIN d USING (rid)),
+bad AS (SELECT rid, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT rid, list(DISTINCT p) AS g FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM bad) GROUP BY rid),
+kept AS (SELECT doc_id, w, coalesce(g, []) AS g, array_to_string([w[p] FOR p IN range(1, len(w) + 1) IF NOT list_contains(coalesce(g, []), p)], ' ') AS k FROM d LEFT JOIN gone USING (rid))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(g) AS BIGINT) AS n_removed, sha256(k) AS kept_sha256 FROM kept
+"""

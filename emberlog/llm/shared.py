@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_emberlog_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="emberlog-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._emberlog_shipped = True
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there, and a lost executor costs
     only the tasks that were running."""
