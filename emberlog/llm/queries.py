@@ -53,3 +53,23 @@ gone AS (SELECT rid, list(DISTINCT p) AS g FROM (SELECT rid, unnest(range(i, i +
 kept AS (SELECT doc_id, w, coalesce(g, []) AS g, array_to_string([w[p] FOR p IN range(1, len(w) + 1) IF NOT list_contains(coalesce(g, []), p)], ' ') AS k FROM d LEFT JOIN gone USING (rid))
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(g) AS BIGINT) AS n_removed, sha256(k) AS kept_sha256 FROM kept
 """
+
+
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+ORACLES["op8_ngram_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS g FROM d),
+e AS (SELECT doc_id, unnest(g) AS t FROM s),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM e x JOIN e y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * k >= 90 * (u.n + v.n - k)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id)) AS component_id FROM n
+"""
