@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .textvec import LOWER, chunks, mix, words
 
@@ -163,4 +164,4 @@ def with_score(docs: DataFrame, model: QualityModel, text_col: str = "text", sco
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(batch.column(at))))], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, docs.schema.add(score_col, "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
