@@ -143,3 +143,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents"), entropy=0.98, most_epochs=None)
+
+
+@query
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), top=5, every=50)
