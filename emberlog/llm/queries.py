@@ -150,3 +150,18 @@ def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .multi_index import nearest_neighbours
 
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), top=5, every=50)
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
