@@ -126,7 +126,8 @@ def _verified(rows: DataFrame, members: DataFrame, sets_of: Callable[[pa.Chunked
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
 
-    return rows.join(members, "did").select("grp", "did", "text").repartition(partitions, "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
+    # a merge join whatever the size of members, so that a plan that is cheap on little data is not another one on much
+    return rows.hint("merge").join(members, "did").select("grp", "did", "text").repartition(partitions, "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
 def group_links(rows: DataFrame, members: DataFrame, sets_of: Callable[[pa.ChunkedArray], list[np.ndarray]], percent: int, partitions: int) -> DataFrame:
