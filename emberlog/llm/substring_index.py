@@ -156,14 +156,14 @@ def substring_dedup(docs: DataFrame, length: int = 35, gram: int = 8, batches: i
 
     reach = length - gram
 
-    def cut(text: bytes, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    def cut(text: bytes, at: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         data = np.frombuffer(text, np.uint8)
         w = words(Chunk(0, data, np.array([0]), np.array([len(data)])))
         low = np.maximum(at - reach, 0)
-        high = np.minimum(at + length, len(w.start)) - 1
-        return [text[a:b] for a, b in zip(w.start[low].tolist(), w.end[high].tolist(), strict=True)], at - low
+        high = np.minimum(at + length, len(w.start))
+        return [text[a:b] for a, b in zip(w.start[low].tolist(), w.end[high - 1].tolist(), strict=True)], at - low, high - at
 
-    spans = windows.spans(windows.context_rows(rows, found, cut), lambda t: repeated_word_windows(t, length, gram), shuffle_partitions(spark))
+    spans = windows.spans(windows.context_rows(rows, found, cut), length, lambda t: repeated_word_windows(t, length, gram), shuffle_partitions(spark))
     whole = windows.with_spans(rows, spans, windows.copies(rows))
     cover, runs_of = windows.cover, windows.runs_of
 

@@ -190,13 +190,13 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 32, id_col: str
             doc = np.searchsorted(c.end, place, side="right")
             yield entries(grams[place], did[c.first + doc], sig[c.first + doc], place - c.start[doc])
 
-    def cut(text: bytes, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        low = np.maximum(at - reach, 0)
-        return [text[a:b] for a, b in zip(low.tolist(), (at + length).tolist(), strict=True)], at - low
+    def cut(text: bytes, at: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        low, high = np.maximum(at - reach, 0), np.minimum(at + length, len(text))
+        return [text[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], at - low, high - at
 
     rows = windows.keyed(docs, id_col, text_col)
     found = materialize(repeated(rows.select("did", "sig", "text"), anchors, n), "anchors")
-    spans = windows.spans(windows.context_rows(rows, found, cut), lambda t: repeated_windows(t, length, gram), n)
+    spans = windows.spans(windows.context_rows(rows, found, cut), length, lambda t: repeated_windows(t, length, gram), n)
     whole = windows.with_spans(rows, spans, windows.copies(rows))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

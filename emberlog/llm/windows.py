@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .shared import packed_groups
 
-CONTEXT = "key long, did long, sig long, at long, left int, context binary"
+CONTEXT = "key long, did long, sig long, at long, left int, right int, twin boolean, context binary"
 SPANS = "did long, sig long, first long, stop long"
 
 
@@ -34,17 +34,32 @@ def copies(keyed_docs: DataFrame) -> DataFrame:
     return digests.join(several, "digest").select("did", "sig").distinct().withColumn("copied", F.lit(True))
 
 
-def context_rows(keyed_docs: DataFrame, anchors: DataFrame, cut: Callable[[bytes, np.ndarray], tuple[list[bytes], np.ndarray]]) -> DataFrame:
-    """The surroundings of each anchor (key, id, sig, at). ``cut(text, places)`` gives them, and how much of each lies
-    before the anchor."""
+def context_rows(keyed_docs: DataFrame, anchors: DataFrame, cut: Callable[[bytes, np.ndarray], tuple[list[bytes], np.ndarray, np.ndarray]]) -> DataFrame:
+    """The surroundings of each anchor (key, id, sig, at). ``cut(text, places)`` gives them, and how many symbols lie
+    before the anchor and from it on.
+
+    Of surroundings that a task holds more than once (texts of one repeating pattern, near copies), one travels on; the
+    others are known to be repeated (``twin``) and go without their text, under a key of their own.
+    """
     wanted = anchors.groupBy(F.col("id").alias("did"), "sig").agg(F.collect_list(F.struct("at", "key")).alias("anchors"))
     both = keyed_docs.join(wanted, ["did", "sig"], "left").select("did", "sig", "text", "anchors")
 
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        seen: dict[tuple[int, bytes, int], int] = {}
+        key, at, left, context = list(rows[0]), rows[3], rows[4], list(rows[6])
+        twin = [False] * len(key)
+        for i, same in enumerate(zip(rows[0], rows[6], left, strict=True)):
+            first = seen.setdefault(same, i)
+            if first != i:
+                twin[first] = twin[i] = True
+                key[i], context[i] = (rows[1][i] * 31 + at[i]) * 0x9E3779B97F4A7C15 % (1 << 63), None
+        columns = (key, rows[1], rows[2], at, left, rows[5], twin, context)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = [[], [], [], [], [], [], []]
         for batch in batches:
             did, sig, text, lists = (batch.column(i) for i in range(4))
-            rows: list[list] = [[], [], [], [], [], []]
-            held = 0
             for i in range(batch.num_rows):
                 if not lists[i].is_valid:
                     continue
@@ -53,32 +68,39 @@ def context_rows(keyed_docs: DataFrame, anchors: DataFrame, cut: Callable[[bytes
                 key = inner.field(1).to_numpy(zero_copy_only=False)
                 _, once = np.unique(at, return_index=True)  # repeated rows bring their anchors again
                 at, key = at[once], key[once]
-                pieces, left = cut(text[i].as_buffer().to_pybytes(), at)
+                pieces, left, right = cut(text[i].as_buffer().to_pybytes(), at)
                 n = len(at)
-                for column, value in zip(rows, (key, [did[i].as_py()] * n, [sig[i].as_py()] * n, at, left, pieces), strict=True):
+                for column, value in zip(rows, (key.tolist(), [did[i].as_py()] * n, [sig[i].as_py()] * n, at.tolist(), left.tolist(), right.tolist(), pieces), strict=True):
                     column.extend(value)
-                held += n
-                if held > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _TYPES, strict=True)], _NAMES)
-                    rows, held = [[], [], [], [], [], []], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _TYPES, strict=True)], _NAMES)
+                if len(rows[0]) > 40_000:
+                    yield batch_of(rows)
+                    rows = [[], [], [], [], [], [], []]
+        if rows[0]:
+            yield batch_of(rows)
 
     return both.mapInArrow(run, CONTEXT)
 
 
-_NAMES = ["key", "did", "sig", "at", "left", "context"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_NAMES = ["key", "did", "sig", "at", "left", "right", "twin", "context"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
 
-def spans(contexts: DataFrame, resolve: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], partitions: int) -> DataFrame:
+def spans(contexts: DataFrame, length: int, resolve: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], partitions: int) -> DataFrame:
     """Repeated stretches (did, sig, first, stop). ``resolve`` gets whole anchor groups and gives (row, first, stop)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(table: pa.Table, row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+            did, sig = table["did"].to_numpy()[row], table["sig"].to_numpy()[row]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (did, sig, first, stop)], ["did", "sig", "first", "stop"])
+
         for table in packed_groups(batches, "key"):
-            did, sig = table["did"].to_numpy(), table["sig"].to_numpy()
-            for row, first, stop in resolve(table):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[row], sig[row], first, stop)], ["did", "sig", "first", "stop"])
+            at, left, right = (table[c].to_numpy().astype(np.int64) for c in ("at", "left", "right"))
+            known = np.flatnonzero(table["twin"].to_numpy() & (left + right >= length))
+            yield out(table, known, at[known] - left[known], at[known] + right[known])
+            table = table.filter(table["context"].is_valid())
+            if table.num_rows > 1:
+                for row, first, stop in resolve(table):
+                    yield out(table, row, first, stop)
 
     return contexts.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, SPANS)
 
