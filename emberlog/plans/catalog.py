@@ -325,3 +325,97 @@ def shell_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     seq = logs.shell_history(c.select(F.col("role").alias("host"), (F.col("conv_id") % 5).cast("string").alias("user"), F.lit("bash").alias("shell"), F.col("conv_id").alias("file_rank"), F.col("turn").alias("line_no"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("t"), F.col("turn").cast("string")).alias("line")))
     return seq.select(F.regexp_extract("command", r"c(\d+)t", 1).cast("long").alias("conv_id"), F.regexp_extract("command", r"t(\d+)$", 1).cast("long").alias("turn"), "seq")
+
+
+@query(f"""WITH r AS (SELECT {derive.IP} AS ip, {derive.STATUS} AS status, ts FROM events), w AS (SELECT date_trunc('hour', ts) AS s, ip, count(*) AS requests, count(*) FILTER (status IN ('401', '403')) AS failed, count(*) FILTER (status = '404') AS missing FROM r GROUP BY ALL)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, ip, requests, failed, missing FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_web_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import streams
+
+    e = streams.table_stream(spark, sf_dir, "events").select(F.expr(derive.IP).alias("ip"), F.expr(derive.STATUS).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.drain(streams.web_windows(e)).select(F.date_format("start", TIME).alias("start"), "ip", "requests", "failed", "missing")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import streams
+
+    e = streams.table_stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return streams.drain(streams.dedupe(e, ["user_id", "event_type"], within="60 days")).select("user_id", "event_type")
+
+
+@query("""WITH a AS (SELECT 'x' || CAST(event_id % 25 AS VARCHAR) AS x, user_id % 20 AS b, user_id AS "user", ts FROM events WHERE event_type = 'view'), d AS (SELECT user_id % 20 AS b, 'x' || CAST(event_id % 6 AS VARCHAR) AS y, user_id AS "user", ts FROM events WHERE event_type = 'purchase')
+SELECT a."user", a.x, a.b, d.y, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS t_in, strftime(d.ts, '%Y-%m-%d %H:%M:%S') AS t_out FROM a JOIN d ON a.b = d.b AND a."user" = d."user" AND a.x <> d.y AND d.ts >= a.ts AND d.ts <= a.ts + INTERVAL 12 HOUR""")
+def stream_pivot_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import streams
+
+    e = lambda kind: streams.table_stream(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    name = lambda k: F.concat(F.lit("x"), (F.col("event_id") % k).cast("string"))
+    a = e("view").select(name(25).alias("x"), (F.col("user_id") % 20).alias("b"), F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("t_in"))
+    d = e("purchase").select((F.col("user_id") % 20).alias("b"), name(6).alias("y"), F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("t_out"))
+    got = streams.drain(streams.pivot_alerts(a, d))
+    return got.select("user", "x", "b", "y", F.date_format("t_in", TIME).alias("t_in"), F.date_format("t_out", TIME).alias("t_out"))
+
+
+@query("""WITH x AS (SELECT 's' || CAST(event_id % 3 AS VARCHAR) AS src, 'd' || CAST(user_id % 4 AS VARCHAR) AS dst, 'u' || CAST(user_id % 5 AS VARCHAR) AS "user", ts, event_type = 'click' AS ok FROM events WHERE event_type IN ('click', 'error')),
+f AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY src, dst, "user" ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS failures FROM x) SELECT src, dst, "user", count(*) AS n, CAST(max(failures) AS BIGINT) AS failures FROM f WHERE ok AND failures >= 5 GROUP BY ALL""")
+def stream_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import streams
+
+    name = lambda p, c, k: F.concat(F.lit(p), (F.col(c) % k).cast("string"))
+    e = streams.table_stream(spark, sf_dir, "events").where("event_type in ('click', 'error')").select(name("s", "event_id", 3).alias("src"), name("d", "user_id", 4).alias("dst"), name("u", "user_id", 5).alias("user"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "click").alias("ok"))
+    got = streams.drain(streams.brute_force_alerts(e, forget="60 days"))
+    return got.groupBy("src", "dst", "user").agg(F.count("*").alias("n"), F.max("failures").alias("failures"))
+
+
+def _processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process snapshots: a process for each event, its parent the event of half its number."""
+    e = table(spark, sf_dir, "events")
+    names = ("winword.exe", "cmd.exe", "svchost.exe", "tool.exe", "powershell.exe", "notepad.exe", "chrome.exe")
+    exe = F.expr(r"CASE WHEN event_id % 5 = 0 THEN 'C:\\Users\\Public\\a.exe' WHEN event_id % 5 = 1 THEN 'C:\\Windows\\System32\\b.exe' ELSE 'C:\\Tools\\c.exe' END")
+    return e.select(F.lit("pc").alias("host"), F.col("event_id").alias("Pid"), F.expr("event_id div 2").alias("Ppid"), derive.pick(names, "event_id % 7").alias("Name"), exe.alias("Exe"), F.when(F.col("event_id") % 11 == 0, "powershell -enc AAAA").otherwise("run").alias("CommandLine"))
+
+
+_NAMES = "(['winword.exe', 'cmd.exe', 'svchost.exe', 'tool.exe', 'powershell.exe', 'notepad.exe', 'chrome.exe'])"
+
+
+@query("""SELECT event_id AS "Pid", concat_ws('+', CASE WHEN event_id % 5 = 0 THEN 'exec_from_staging' END, CASE WHEN event_id % 11 = 0 THEN 'lolbin' END, CASE WHEN event_id % 7 = 2 AND event_id % 5 <> 1 THEN 'masquerade' END) AS flags FROM events""")
+def process_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import live
+
+    return live.annotate("Windows.System.Pslist", _processes(spark, sf_dir)).select("Pid", F.array_join("flags", "+").alias("flags"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT event_id AS pid, event_id // 2 AS up, {_NAMES}[CAST(event_id % 7 AS BIGINT) + 1] || '(' || CAST(event_id AS VARCHAR) || ')' AS l FROM events),
+a AS (SELECT pid, up, l AS path, 1 AS d, [pid] AS seen FROM p UNION ALL SELECT a.pid, p.up, p.l || '>' || a.path, d + 1, list_append(seen, p.pid) FROM a JOIN p ON p.pid = a.up WHERE d < 8 AND NOT list_contains(seen, p.pid))
+SELECT pid AS "Pid", arg_max(path, d) AS ancestry FROM a GROUP BY pid""")
+def process_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import live
+
+    return live.ancestry(_processes(spark, sf_dir)).select("Pid", F.array_join("ancestry", ">").alias("ancestry"))
+
+
+@query(f"""WITH p AS (SELECT event_id AS pid, event_id // 2 AS up, {_NAMES}[CAST(event_id % 7 AS BIGINT) + 1] AS name, event_id % 5 = 0 AS staged, event_id % 11 = 0 AS lol FROM events),
+x AS (SELECT c.pid, c.staged, c.lol, c.name = 'svchost.exe' AND c.pid % 5 <> 1 AS masq, coalesce(u.name IN ('winword.exe', 'chrome.exe') AND c.name IN ('cmd.exe', 'powershell.exe'), false) AS kin, c.pid % 3 = 0 AS beacons, c.pid % 4 = 0 AS listens FROM p c LEFT JOIN p u ON u.pid = c.up)
+SELECT pid AS "Pid", concat_ws('+', CASE WHEN staged THEN 'exec_from_staging' END, CASE WHEN lol THEN 'lolbin' END, CASE WHEN masq THEN 'masquerade' END, CASE WHEN (staged OR lol) AND beacons THEN 'staged_beacon' END, CASE WHEN staged AND listens THEN 'staged_listener' END, CASE WHEN kin THEN 'suspicious_ancestry' END) AS flags
+FROM x WHERE staged OR lol OR masq OR kin""")
+def process_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import live
+
+    p = live.annotate("Windows.System.Pslist", _processes(spark, sf_dir))
+    none = F.array().cast("array<string>")
+    net_ = p.where("Pid % 3 = 0").select("host", "Pid", "Name", F.lit("ESTAB").alias("Status"), F.lit("93.184.216.34").alias("Raddr.IP"), F.lit(443).alias("Raddr.Port"), none.alias("flags"))
+    ears = p.where("Pid % 4 = 0").select("host", "Pid", "Name", F.lit(80).alias("Port"), none.alias("flags"))
+    services = p.where("Pid % 50 = 0").select("host", "Pid", "Name", F.col("Name").alias("DisplayName"), F.lit(None).cast("string").alias("AbsoluteExePath"), F.lit("").alias("PathName"))
+    tasks = p.where("Pid % 60 = 0").select("host", F.col("Exe").alias("Command"), F.col("Name").alias("TaskName"), "Name")
+    return live.correlate(p, net_, ears, services, tasks).select("Pid", F.array_join("flags", "+").alias("flags"))
+
+
+@query("""SELECT p_partkey, 'd' || CAST(p_partkey % 3 AS VARCHAR) AS driver FROM part WHERE p_partkey % 50 = 0""")
+def driver_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import live
+
+    p = table(spark, sf_dir, "part")
+    files = p.select("p_partkey", F.concat(F.lit("0000"), F.sha1(F.col("p_partkey").cast("string"))).alias("SHA1"))
+    known = p.where("p_partkey % 50 = 0").select(F.upper(F.sha1(F.col("p_partkey").cast("string"))).alias("sha1"), F.concat(F.lit("d"), (F.col("p_partkey") % 3).cast("string")).alias("driver"))
+    return live.vulnerable_drivers(files, known).select("p_partkey", "driver")
