@@ -207,7 +207,7 @@ def package_history(lines: DataFrame) -> DataFrame:
     new = F.get(words, F.lit(5))
     version = F.when(new.isNotNull() & ~new.isin("", "<none>"), new).otherwise(F.get(words, F.lit(4)))
     dpkg = dpkg.select(out(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))), F.get(words, F.lit(2)), F.substring_index(F.get(words, F.lit(3)), ":", 1), F.when(version == "<none>", "").otherwise(version), none, "dpkg"))
-    cell = F.transform(F.split(line, r"\|"), F.trim)
+    cell = F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
     zypp = lines.where(name.startswith("history") & F.col("path").contains("zypp") & (F.size(cell) >= 4) & F.get(cell, F.lit(1)).isin("install", "remove"))
     zypp = zypp.select(out(*(F.get(cell, F.lit(i)) for i in range(4)), F.coalesce(F.get(cell, F.lit(5)), none), "zypp"))
     rx = r"^(\S+)\s+SUBDEBUG\s+(\w+):\s+(.+)$"

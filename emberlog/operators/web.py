@@ -34,7 +34,7 @@ def parse_access(lines: DataFrame, line_col: str = "line", longest: int = 65536)
     got = got.withColumn("__uri", F.when(head.contains(" "), F.regexp_extract(head, r"(?s)^[^ ]* (.*)$", 1)).otherwise(head))
     uri, tail = F.col("__uri"), part(7)
     hops = F.split(F.regexp_extract(tail, r'(?i)x-forwarded-for\s*[=:]\s*"?\s*([0-9a-fA-F.:, ]+)', 1), ",")
-    got = got.withColumn("__client", F.try_element_at(F.filter(F.transform(hops, F.trim), is_ip), F.lit(1)))
+    got = got.withColumn("__client", F.try_element_at(F.filter(F.transform(hops, lambda x: F.trim(x)), is_ip), F.lit(1)))
     client = F.col("__client")
     return got.withColumns(
         {
