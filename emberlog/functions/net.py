@@ -93,21 +93,29 @@ def _remote(token: Column) -> Column:
 
 def extract_src(remote: Column) -> Column:
     """Address or workstation of ``ws (ip)`` or ``ip:port``; null when local."""
-    raw = F.trim(F.coalesce(remote, F.lit("")))
     pattern = r"^(.*?)\s*\((.*)\)\s*$"
-    both = raw.rlike(pattern)
-    inner = F.coalesce(_remote(norm_ip(F.regexp_extract(raw, pattern, 2))), _remote(F.trim(F.regexp_extract(raw, pattern, 1))))
-    return F.when((raw == "") | (raw == "-:-"), None).when(both, inner).otherwise(_remote(norm_ip(raw)))
+
+    def read(raw: Column) -> Column:
+        inner = F.coalesce(let(norm_ip(F.regexp_extract(raw, pattern, 2)), _remote), let(F.trim(F.regexp_extract(raw, pattern, 1)), _remote))
+        return F.when((raw == "") | (raw == "-:-"), None).when(raw.rlike(pattern), inner).otherwise(let(norm_ip(raw), _remote))
+
+    return let(F.trim(F.coalesce(remote, F.lit(""))), read)
 
 
 def clean_user(user: Column) -> Column:
     """``DOMAIN\\user``: domain cut to its first label and upper-cased, name lower-cased; ``-`` is no domain."""
-    u = F.regexp_replace(F.trim(F.coalesce(user, F.lit(""))), r"^\\+", "")
-    has = u.contains("\\")
-    dom = F.upper(F.trim(F.substring_index(F.substring_index(u, "\\", 1), ".", 1)))
-    name = F.lower(F.regexp_replace(F.trim(F.regexp_extract(u, r"^[^\\]*\\(.*)$", 1)), r"^\\+|\\+$", ""))
-    full = F.when(name.isin("", "-"), "").when(dom.isin("", "-"), name).otherwise(F.concat(dom, F.lit("\\"), name))
-    return F.when(u.isin("-", "-\\-", ""), "").when(has, full).otherwise(F.lower(u))
+
+    def full(parts: Column) -> Column:
+        dom, name = parts["dom"], parts["name"]
+        return F.when(name.isin("", "-"), "").when(dom.isin("", "-"), name).otherwise(F.concat(dom, F.lit("\\"), name))
+
+    def clean(u: Column) -> Column:
+        dom = F.upper(F.trim(F.substring_index(F.substring_index(u, "\\", 1), ".", 1)))
+        name = F.lower(F.regexp_replace(F.trim(F.regexp_extract(u, r"^[^\\]*\\(.*)$", 1)), r"^\\+|\\+$", ""))
+        parts = F.struct(dom.alias("dom"), name.alias("name"))
+        return F.when(u.isin("-", "-\\-", ""), "").when(u.contains("\\"), let(parts, full)).otherwise(F.lower(u))
+
+    return let(F.regexp_replace(F.trim(F.coalesce(user, F.lit(""))), r"^\\+", ""), clean)
 
 
 def short_user(user: Column) -> Column:
@@ -125,8 +133,7 @@ def spn_host(spn: Column) -> Column:
 
 def remote_src(token: Column) -> Column:
     """A remote address or host; empty for local tokens and X displays."""
-    t = norm_ip(F.coalesce(token, F.lit("")))
-    return F.when(t.isin(*LOCAL) | t.startswith(":"), "").otherwise(t)
+    return let(norm_ip(F.coalesce(token, F.lit(""))), lambda t: F.when(t.isin(*LOCAL) | t.startswith(":"), "").otherwise(t))
 
 
 def kh_target(raw: Column) -> Column:

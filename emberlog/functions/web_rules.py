@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plan import computed_once
 from .strings import web_decode
 
 #: What a raw, lower-cased path and query must hold to be looked at.
@@ -59,10 +60,10 @@ def with_attack_families(requests: DataFrame, out: str = "families", keep_plain:
     decode to. The decoded text is a column of its own on the way, so that it is made once and not once per family."""
     raw = F.lower(F.concat_ws(" ", F.coalesce("path", F.lit("")), F.coalesce("query", F.lit(""))))
     plain = F.concat_ws(" ", web_decode(F.col("path")), web_decode(F.col("query")))
-    got = requests.withColumn("__likely", raw.rlike(PREFILTER))
-    got = got.withColumn("__plain", plain if keep_plain else F.when(F.col("__likely"), plain))
+    got = computed_once(requests, {"__likely": raw.rlike(PREFILTER)})
+    got = computed_once(got, {"__plain": plain if keep_plain else F.when(F.col("__likely"), plain)})
     hits = F.array_compact(F.array(*(F.when(F.col("__plain").rlike(rx), F.lit(name)) for name, rx in FAMILIES.items())))
-    got = got.withColumn(out, F.when(F.col("__likely"), hits).otherwise(F.array().cast("array<string>"))).drop("__likely")
+    got = computed_once(got, {out: F.when(F.col("__likely"), hits).otherwise(F.array().cast("array<string>"))}).drop("__likely")
     return got if keep_plain else got.drop("__plain")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.net import IPV4, LOCAL, clean_user, extract_src, is_public_ip, kh_target, norm_ip, rdp_session_src, remote_src, short_user, spn_host
+from ..functions.plan import computed_once
 
 #: Events that show a session on a host, and events that show one leaving it.
 CHAIN_IN = ("4624", "LSM-21", "LSM-25", "RCM-1149", "ssh", "wtmp")
@@ -42,7 +43,8 @@ def _reasons(*tests: tuple[Column, str]) -> Column:
 
 
 def _raw(df: DataFrame, src: Column, dst: Column, user: Column, logon_type: Column, event_id: Column, status: Column, ts: Column, reasons: Column) -> DataFrame:
-    out = df.select(src.alias("src"), dst.alias("dst"), user.alias("user"), logon_type.cast("int").alias("logon_type"), event_id.alias("event_id"), status.alias("status"), ts.alias("ts"), reasons.alias("reasons"))
+    columns = (src, dst, user, logon_type.cast("int"), event_id, status, ts, reasons)
+    out = computed_once(df, dict(zip(RAW, columns, strict=True))).select(*RAW)
     return out.where((F.coalesce("src", F.lit("")) != "") & (F.coalesce("dst", F.lit("")) != ""))
 
 
@@ -141,7 +143,7 @@ def resolve(rows: DataFrame, index: DataFrame, column: str) -> DataFrame:
     got = rows.withColumns({"__key": key, "__short": short}).join(full, F.col("__key") == F.col("__k1"), "left").join(label, F.col("__short") == F.col("__k2"), "left")
     name = F.coalesce("__n1", "__n2")
     other = F.when(token.contains(":") | token.rlike(IPV4), token).otherwise(F.col("__short"))
-    return got.withColumns({f"{column}_case": name.isNotNull(), column: F.coalesce(name, other)}).drop("__key", "__short", "__k1", "__n1", "__k2", "__n2")
+    return computed_once(got, {f"{column}_case": name.isNotNull(), column: F.coalesce(name, other)}).drop("__key", "__short", "__k1", "__n1", "__k2", "__n2")
 
 
 def edges(raw: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -161,7 +163,7 @@ def edges(raw: DataFrame, hosts: DataFrame) -> DataFrame:
     public = rdp & is_public_ip(F.col("src"))
     both = F.when(arriving & ~service, F.col("src_case")).otherwise(F.col("dst_case"))
     reasons = F.array_union("reasons", _reasons((public & ok, "rdp_public"), (both, "case_to_case")))
-    named = named.withColumn("reasons", reasons)
+    named = computed_once(named, {"reasons": reasons})
     out = named.groupBy(*keys).agg(
         F.max("status").alias("status"), F.sum("count").alias("count"), F.array_sort(F.flatten(F.collect_list("ts"))).alias("ts"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"), F.max("src_case").alias("src_case"), F.max("dst_case").alias("dst_case"),
@@ -241,7 +243,8 @@ def curate(edge_rows: DataFrame, hosts: DataFrame, most_external: int = 40, most
     """(nodes with roles, kept links, counts of what is hidden): edges with a reason, hosts of ours, and other hosts that
     succeeded with a strong reason, weigh most, or only ever failed and are few or loudest. Ties go by name."""
     ours = hosts.select(F.col("host").alias("n")).distinct()
-    signal = edge_rows.where(F.size("reasons") > 0).drop("ts").persist()  # read five times; edges are counts, not events
+    edge_rows = edge_rows.drop("ts").persist()  # read several times; edges are counts, not events
+    signal = edge_rows.where(F.size("reasons") > 0)
     hot = F.arrays_overlap("reasons", F.array(*(F.lit(x) for x in HIGH_SIGNAL)))
     ends = signal.select(F.col("src").alias("n"), F.col("src_case").alias("case"), "count", "status", hot.alias("hot")).union(signal.select("dst", "dst_case", "count", "status", hot))
     other = ends.where("not `case`").join(ours, "n", "left_anti").groupBy("n").agg(F.sum("count").alias("weight"), F.max(F.col("status") != "failed").alias("ok"), F.max(F.col("hot") & (F.col("status") != "failed")).alias("must"))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.strings import MONTHS, epoch_time, hex_or_same
+from ..functions.plan import computed_once
+from ..functions.strings import MONTHS, epoch_time, hex_or_same, let
 
 SYSLOG = r"^(\d{4}-\d\d-\d\dT[\d:.+\-]+|[A-Z][a-z]{2}\s+\d+\s+\d\d:\d\d:\d\d)\s+(\S+)\s+([\w\-/.]+?)(?:\[(\d+)\])?:\s+(.*)$"
 STAGING = ("/tmp/", "/var/tmp/", "/dev/shm/")
@@ -93,7 +94,8 @@ def first_family(lines: DataFrame, families: tuple[str, ...] = ("auth.log", "sec
 def auth_events(lines: DataFrame) -> DataFrame:
     """Logons, sudo, su and new accounts: timestamp, host, event, user, source, detail. Repeats that overlapping rotations
     leave are dropped, exactly and however far apart."""
-    p = lines.where(F.col("line").rlike(SYSLOG)).select(_part(SYSLOG, 1).alias("timestamp"), _part(SYSLOG, 2).alias("host"), _part(SYSLOG, 3).alias("proc"), _part(SYSLOG, 5).alias("msg"))
+    fields = {n: _part(SYSLOG, i) for n, i in (("timestamp", 1), ("host", 2), ("proc", 3), ("msg", 5))}
+    p = computed_once(lines.where(F.col("line").rlike(SYSLOG)).select("line"), fields)
     ok = r"Accepted (\S+) for (?:invalid user )?(\S+) from (\S+) port (\d+)"
     bad = r"Failed (?:password|publickey) for (?:invalid user )?(\S+) from (\S+) port (\d+)"
     invalid, sudo = r"Invalid user (\S+) from (\S+)", r"^(\S+)\s+:.*COMMAND=(.*)$"
@@ -111,16 +113,15 @@ def auth_events(lines: DataFrame) -> DataFrame:
         F.when((F.col("proc") == "useradd") & m.rlike(useradd), row("user_add", g(useradd, 1), none, none)),
         F.when((F.col("proc") == "groupadd") & m.rlike(groupadd), row("group_add", g(groupadd, 1), none, none)),
     )
-    return p.withColumn("f", found).where("f is not null").select("timestamp", "host", "f.*").dropDuplicates()
+    return computed_once(p, {"f": found}).where("f is not null").select("timestamp", "host", "f.*").dropDuplicates()
 
 
 def _pairs(text: Column, pattern: str) -> Column:
     """Map of ``key=value`` pairs, the last of equal keys winning; quotes are taken off."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     entry = lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(F.regexp_replace(x, r"(?s)^\w+=", ""), r"(?s)^([\"'])(.*)\1$", "$2").alias("v"))
-    entries = F.transform(found, entry)
-    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    entries = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), entry)
+    last = lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(let(entries, last))
 
 
 def auditd(lines: DataFrame) -> DataFrame:
@@ -128,7 +129,8 @@ def auditd(lines: DataFrame) -> DataFrame:
     CurrentDirectory, User. Other fields are in the map ``kv``; system call numbers are names there, under SYSCALL."""
     pattern = r"^type=(\S+)\s+msg=audit\(([\d.]+):(\d+)\):\s*(.*)$"
     kv = _pairs(_part(pattern, 4), r"""\w+=(?:"[^"]*"|'[^']*'|\S+)""")
-    rec = lines.where(F.col("line").rlike(pattern)).select(*_keep(lines), F.col("line").alias("message"), _part(pattern, 1).alias("type"), _part(pattern, 2).alias("timestamp"), _part(pattern, 3).alias("serial"), kv.alias("kv"))
+    rec = lines.where(F.col("line").rlike(pattern)).select(*_keep(lines), "line")
+    rec = computed_once(rec, {"type": _part(pattern, 1), "timestamp": _part(pattern, 2), "serial": _part(pattern, 3), "kv": kv}).withColumnRenamed("line", "message")
     get = lambda k: F.try_element_at("kv", F.lit(k))
     argc = F.coalesce(get("argc").try_cast("int"), F.lit(0))
     args = F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(argc, F.lit(1)) - 1), lambda i: F.try_element_at("kv", F.concat(F.lit("a"), i.cast("string")))))

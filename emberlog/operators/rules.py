@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import computed_once
+
 LEVELS = ("critical", "high", "medium", "low", "informational")
 AUDIT_CATEGORIES = ("process_creation", "network_connection", "file_event", "file_change", "file_access", "file_delete", "create_remote_thread")
 _SERVICE = re.compile(r"^[a-z0-9_.\-]{1,64}$")
@@ -194,7 +196,7 @@ def scan(rows: DataFrame, rules: list[Rule], fields: Fields | None = None) -> Da
     if not chunks:
         return rows.limit(0).select("*", *(F.lit("").alias(c) for c in ("rule_id", "rule", "level", "mitre")))
     named = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule"), F.lit(r.level).alias("level"), F.lit(" ".join(t for t in r.tags if t.startswith("attack."))).alias("mitre")) for r in rules))
-    hit = rows.withColumn("__hits", F.concat(*chunks)).where(F.size("__hits") > 0)
+    hit = computed_once(rows, {"__hits": F.concat(*chunks)}).where(F.size("__hits") > 0)
     return hit.withColumn("__i", F.explode("__hits")).withColumn("__r", F.get(named, F.col("__i"))).select(*rows.columns, "__r.*")
 
 

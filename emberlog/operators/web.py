@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.net import ipv4_long, is_hosting, is_ip, is_private_ip
+from ..functions.plan import computed_once
 from ..functions.strings import clf_instant, clf_time
 from ..functions.web_rules import is_sensitive, with_attack_families
 
@@ -26,7 +27,8 @@ def parse_access(lines: DataFrame, line_col: str = "line", longest: int = 65536)
     raw = F.translate(F.substring(F.col(line_col), 1, longest), _SEP, "")
     line = F.when(raw.startswith('"'), F.regexp_replace(F.substring(raw, 2, longest), '"$', "")).otherwise(raw)
     # one match gives all fields and what follows them
-    got = lines.withColumn("__m", F.split(F.regexp_replace(line, ACCESS_LINE, _SEP.join(f"${i}" for i in (1, 3, 4, 5, 6, 7, 8)) + _SEP), _SEP)).where(F.size("__m") == 8)
+    fields = F.split(F.regexp_replace(line, ACCESS_LINE, _SEP.join(f"${i}" for i in (1, 3, 4, 5, 6, 7, 8)) + _SEP), _SEP)
+    got = computed_once(lines, {"__m": fields}).where(F.size("__m") == 8)
     part = lambda i: F.get("__m", F.lit(i))
     request = part(2)
     got = got.withColumn("__head", F.when(request.contains(" "), F.regexp_extract(request, r"(?s)^(.*) [^ ]*$", 1)).otherwise(request))
@@ -36,7 +38,8 @@ def parse_access(lines: DataFrame, line_col: str = "line", longest: int = 65536)
     hops = F.split(F.regexp_extract(tail, r'(?i)x-forwarded-for\s*[=:]\s*"?\s*([0-9a-fA-F.:, ]+)', 1), ",")
     got = got.withColumn("__client", F.try_element_at(F.filter(F.transform(hops, lambda x: F.trim(x)), is_ip), F.lit(1)))
     client = F.col("__client")
-    return got.withColumns(
+    return computed_once(
+        got,
         {
             "ip": F.coalesce(client, part(0)),
             "edge_ip": F.when(client.isNotNull(), part(0)).otherwise(""),
@@ -49,7 +52,7 @@ def parse_access(lines: DataFrame, line_col: str = "line", longest: int = 65536)
             "size": part(4),
             "referer": part(5),
             "ua": part(6),
-        }
+        },
     ).drop("__m", "__head", "__uri", "__client")
 
 
