@@ -162,6 +162,8 @@ def parse(source: str) -> Node:
             raise TemplateError(f"{kind!r} is closed but not open")
         return stack[-1][1]
 
+    if re.search(r"\{\{|\{%", _TAG.sub("", source)):
+        raise TemplateError("a tag isn't closed")
     for m in _TAG.finditer(source):
         top = stack[-1][1]
         if m.start() > at:

@@ -30,13 +30,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     that grows with the logarithm of their length; star-shaped input takes one.
     """
     now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    seen = None
     for _ in range(most_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b").bitwiseXOR(F.col("a")).cast("decimal(38,0)"))).first()
-        star = now.select("b").groupBy("b").count().where("count > 1").limit(1).count() + now.join(now.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
-        if tuple(mark) == seen or not star:
+        # settled when no node has two roots and no root has one itself
+        roles = now.select(F.col("a").alias("n"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).union(now.select("b", F.lit(0), F.lit(1)))
+        if not roles.groupBy("n").agg(F.sum("root").alias("root"), F.sum("leaf").alias("leaf")).where("leaf > 1 or (leaf > 0 and root > 0)").limit(1).count():
             break
-        seen = tuple(mark)
         now = materialize(_toward_least(_toward_least(now, True), False), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
