@@ -187,3 +187,75 @@ def indicator_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, _ = rules.load_indicators("license = licen[sc]e\nrude = disgusting|trash  # words")
     d = computed_once(table(spark, sf_dir, "documents").select("doc_id", "text"), {"labels": match_indicators(F.col("text"), known)})
     return d.where(F.size("labels") > 0).select("doc_id", F.array_join("labels", "+").alias("labels"))
+
+
+@query(f"""SELECT event_id, {sql_pick(('hidden_file', 'hidden_dir', 'file_capability', 'world_writable_file', 'world_writable_dir'), 'event_id % 5')} AS indicator, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE true END AS suspicious FROM events WHERE NOT (event_id % 5 = 3 AND event_id % 2 = 0) AND NOT (event_id % 5 = 4 AND event_id % 2 = 0)""")
+def file_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import artifacts
+
+    e = table(spark, sf_dir, "events")
+    paths = ("hidden_files.txt", "hidden_directories.txt", "getcap_-r.txt", "world_writable_files.txt", "world_writable_directories.txt")
+    said = F.when(F.col("event_id") % 5 == 0, "/tmp/.x").when(F.col("event_id") % 5 == 1, "/home/.y").when(F.col("event_id") % 5 == 2, "/usr/bin/p cap_x=ep").when(F.col("event_id") % 2 == 0, F.when(F.col("event_id") % 5 == 3, "/srv/a.jpg").otherwise("/home/z")).otherwise(F.when(F.col("event_id") % 5 == 3, "/srv/a.sh").otherwise("/etc/z"))
+    df = e.select(s("event_id").alias("host"), pick(paths, "event_id % 5").alias("path"), F.lit(1).alias("line_no"), said.alias("line"))
+    return artifacts.file_anomalies(df).select(F.col("host").cast("long").alias("event_id"), "indicator", "suspicious")
+
+
+@query("""SELECT DISTINCT 'd' || CAST(o_custkey AS VARCHAR) AS folder, strftime(o_orderdate - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS last_used_utc FROM orders""")
+def recently_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import artifacts
+
+    o = table(spark, sf_dir, "orders").select(F.lit("h").alias("host"), F.concat(F.lit("d"), s("o_custkey")).alias("folder_path"), F.lit("x.exe").alias("explorer_file_name"), F.concat(F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit(".000000+060")).alias("last_used_time"))
+    return artifacts.recently_used(o).select("folder", F.date_format("last_used_utc", TIME).alias("last_used_utc"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'input_to_exec' WHEN 1 THEN 'htaccess_handler' ELSE 'jsp_exec,wscript_shell' END AS indicators FROM part""")
+def webshell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import artifacts
+
+    p = table(spark, sf_dir, "part")
+    content = pick(("<?php eval($_GET[1]); ?>", "AddType application/x-httpd-php .jpg", "Runtime.getRuntime().exec(x) WScript.Shell"), "p_partkey % 3")
+    name = pick(("a.php", ".htaccess", "b.jsp"), "p_partkey % 3")
+    df = p.select(s("p_partkey").alias("host"), F.concat(F.lit("/var/www/"), name).alias("path"), content.alias("content"))
+    return artifacts.webshells(df).select(F.col("host").cast("long").alias("p_partkey"), "indicators")
+
+
+@query("""SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_id % 4 AS g FROM events) GROUP BY user_id""")
+def policy_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mirrored trees of four policies by user: each item counts once."""
+    from ..operators import artifacts
+
+    e = table(spark, sf_dir, "events")
+    guid = F.concat(F.lit("{6D809377-6AF0-444B-8957-A3773F02200"), s("event_id", 4), F.lit("}"))
+    path = F.concat(F.lit("/sysvol/"), s("event_id", 7), F.lit("/"), guid, F.lit("/User/Preferences/Drives/Drives.xml"))
+    df = e.select(s("user_id").alias("host"), path.alias("path"), F.lit("n").alias("name"), F.when(F.col("event_id") % 7 < 3, "U").otherwise("2").alias("action"), F.lit("").alias("run_as"), F.lit("").alias("command"), F.lit("x").alias("cpassword"))
+    return artifacts.policy_items(df).groupBy(F.col("host").cast("long").alias("user_id")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'ok' END AS result, 'u' || CAST(user_id AS VARCHAR) AS "user", '10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS source FROM events""")
+def login_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    line = F.concat(F.lit("u"), s("user_id"), F.lit(" pts/0   10.0.0."), s("user_id", 250), F.lit("  "), F.date_format("ts", "EEE MMM d HH:mm"), F.lit(" - 11:00  (01:00)"))
+    df = e.select(s("event_id").alias("host"), F.when(F.col("event_type") == "error", "lastb.txt").otherwise("last.txt").alias("path"), F.lit(1).alias("line_no"), line.alias("line"))
+    return host_state.logins(df).select(F.col("host").cast("long").alias("event_id"), "result", "user", "source")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN 'hosts' WHEN event_id % 4 = 2 THEN 'hosts.allow' ELSE 'resolv.conf' END AS file, event_id % 4 IN (0, 2) AS suspicious FROM events""")
+def network_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    df = e.select(s("event_id").alias("host"), pick(("/etc/hosts", "/etc/hosts", "/etc/hosts.allow", "/etc/resolv.conf"), "event_id % 4").alias("path"), F.lit(1).alias("line_no"), pick(("127.0.0.1 update.vendor.example", "10.0.0.1 box.example", "ALL: ALL", "nameserver 1.1.1.1"), "event_id % 4").alias("line"))
+    return host_state.network_config(df).select(F.col("host").cast("long").alias("event_id"), "file", "suspicious")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'truncated' WHEN 1 THEN 'empty' WHEN 2 THEN 'present' ELSE 'missing' END AS status, p_partkey % 4 < 2 AS suspicious FROM part""")
+def log_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(s("p_partkey").alias("host"), (F.col("p_partkey") % 4).alias("k"))
+    sizes = p.where("k < 3").select("host", F.lit("wtmp").alias("name"), F.expr("CASE k WHEN 0 THEN 385 WHEN 1 THEN 0 ELSE 768 END").cast("long").alias("size"))
+    return host_state.log_integrity(sizes, p).where("name = 'wtmp'").select(F.col("host").cast("long").alias("p_partkey"), "status", "suspicious")
+
+
+@query("""SELECT p_partkey, p_partkey % 2 AS watches, CASE WHEN p_partkey % 3 = 0 THEN '0' ELSE '1' END AS enabled, p_partkey % 3 = 0 AS disabled FROM part""")
+def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    body = F.array(F.when(F.col("p_partkey") % 2 == 1, "-w /etc/passwd -p wa").otherwise("# none"), F.lit("-e 1"), F.when(F.col("p_partkey") % 3 == 0, "-e 0").otherwise("-e 1"))
+    df = p.select(s("p_partkey").alias("host"), F.lit("audit.rules").alias("path"), F.posexplode(body).alias("line_no", "line"))
+    return host_state.audit_coverage(df).select(F.col("host").cast("long").alias("p_partkey"), "watches", "enabled", "disabled")
