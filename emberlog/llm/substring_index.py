@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows
-from .shared import materialize, shared_dir, shuffle_partitions
+from .shared import shared_dir, shuffle_partitions
 from .textvec import SPACE, Chunk, chunks, gram_hash, mix, prefix_hash, stretch_hash, winnow, words
 
 _ENTRY = "key long, id long, sig long, at long"
@@ -35,8 +35,7 @@ class FingerprintIndex:
 
     def _write(self, entries: DataFrame, level: int) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        rows = entries.repartition(self.buckets, "key")
-        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/{name}").saveAsTable(name)
+        entries.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/{name}").saveAsTable(name)
         self.runs.append((level, name))
         return name
 
@@ -53,23 +52,23 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Take in a batch of entries (key, id, sig, at). Returns the entries, new and old, that it shows to be repeated."""
         old = [name for _, name in self.runs]
-        new = self._write(batch, 0)
+        new = self._write(batch.repartition(self.buckets, "key"), 0)
         found = [self._also_in(new, new)]
         for run in old:
             found += [self._also_in(new, run), self._also_in(run, new)]
-        hits = materialize(reduce(DataFrame.union, found), "hits")
         self.compact()
-        return hits
+        return reduce(DataFrame.union, found)
 
     def compact(self) -> None:
-        """Merge the runs of each level that holds ``fan`` of them into one run of the next level."""
+        """Merge the runs of each level that holds ``fan`` of them into one run of the next level. Runs share their
+        buckets, so bucket meets bucket and nothing is shuffled."""
         level = 0
         while True:
             same = [name for at, name in self.runs if at == level]
             if len(same) >= self.fan:
                 self._write(reduce(DataFrame.union, [self.spark.table(x) for x in same]), level + 1)
                 for x in same:
-                    self.spark.sql(f"DROP TABLE {x}")  # the files stay, for queries that still read them
+                    self.spark.sql(f"DROP TABLE {x}")  # the files stay: hits of earlier batches still read them
                 self.runs = [x for x in self.runs if x[1] not in same]
             if level >= max(at for at, _ in self.runs):
                 return
@@ -152,18 +151,19 @@ def substring_dedup(docs: DataFrame, length: int = 35, gram: int = 8, batches: i
     for k in range(batches):
         batch = rows.where(F.pmod(F.xxhash64("did"), F.lit(batches)) == k)
         hits.append(index.add(fingerprints(batch.select("did", "sig", "text"), length, gram)))
-    found = reduce(DataFrame.union, hits).distinct()
+    found = reduce(DataFrame.union, hits)  # an entry may be found again with a later batch; ``context_rows`` minds that
 
     reach = length - gram
 
-    def cut(text: bytes, at: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def cut(text: bytes, at: np.ndarray) -> tuple:
         data = np.frombuffer(text, np.uint8)
         w = words(Chunk(0, data, np.array([0]), np.array([len(data)])))
         low = np.maximum(at - reach, 0)
         high = np.minimum(at + length, len(w.start))
-        return [text[a:b] for a, b in zip(w.start[low].tolist(), w.end[high - 1].tolist(), strict=True)], at - low, high - at
+        key = mix(gram_hash(prefix_hash(w.hash), gram)[at]).view(np.int64)
+        return [text[a:b] for a, b in zip(w.start[low].tolist(), w.end[high - 1].tolist(), strict=True)], at - low, high - at, key
 
-    spans = windows.spans(windows.context_rows(rows, found, cut), length, lambda t: repeated_word_windows(t, length, gram), shuffle_partitions(spark))
+    spans = windows.spans(windows.context_rows(rows, found.drop("key"), cut), length, lambda t: repeated_word_windows(t, length, gram), shuffle_partitions(spark))
     whole = windows.with_spans(rows, spans, windows.copies(rows))
     cover, runs_of = windows.cover, windows.runs_of
 

@@ -34,14 +34,16 @@ def copies(keyed_docs: DataFrame) -> DataFrame:
     return digests.join(several, "digest").select("did", "sig").distinct().withColumn("copied", F.lit(True))
 
 
-def context_rows(keyed_docs: DataFrame, anchors: DataFrame, cut: Callable[[bytes, np.ndarray], tuple[list[bytes], np.ndarray, np.ndarray]]) -> DataFrame:
+def context_rows(keyed_docs: DataFrame, anchors: DataFrame, cut: Callable[[bytes, np.ndarray], tuple]) -> DataFrame:
     """The surroundings of each anchor (key, id, sig, at). ``cut(text, places)`` gives them, and how many symbols lie
-    before the anchor and from it on.
+    before the anchor and from it on; where ``anchors`` carry no key, it gives the keys too.
 
     Of surroundings that a task holds more than once (texts of one repeating pattern, near copies), one travels on; the
     others are known to be repeated (``twin``) and go without their text, under a key of their own.
     """
-    wanted = anchors.groupBy(F.col("id").alias("did"), "sig").agg(F.collect_list(F.struct("at", "key")).alias("anchors"))
+    keyed = "key" in anchors.columns
+    place = F.struct(F.col("at").cast("int").alias("at"), *(["key"] if keyed else []))
+    wanted = anchors.groupBy(F.col("id").alias("did"), "sig").agg(F.collect_list(place).alias("anchors"))
     both = keyed_docs.join(wanted, ["did", "sig"], "left").select("did", "sig", "text", "anchors")
 
     def batch_of(rows: list[list]) -> pa.RecordBatch:
@@ -64,11 +66,10 @@ def context_rows(keyed_docs: DataFrame, anchors: DataFrame, cut: Callable[[bytes
                 if not lists[i].is_valid:
                     continue
                 inner = lists[i].values
-                at = inner.field(0).to_numpy(zero_copy_only=False)
-                key = inner.field(1).to_numpy(zero_copy_only=False)
-                _, once = np.unique(at, return_index=True)  # repeated rows bring their anchors again
-                at, key = at[once], key[once]
-                pieces, left, right = cut(text[i].as_buffer().to_pybytes(), at)
+                at = inner.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                at, once = np.unique(at, return_index=True)  # repeated rows bring their anchors again
+                pieces, left, right, *given = cut(text[i].as_buffer().to_pybytes(), at)
+                key = inner.field(1).to_numpy(zero_copy_only=False)[once] if keyed else given[0]
                 n = len(at)
                 for column, value in zip(rows, (key.tolist(), [did[i].as_py()] * n, [sig[i].as_py()] * n, at.tolist(), left.tolist(), right.tolist(), pieces), strict=True):
                     column.extend(value)
