@@ -17,7 +17,7 @@ from .components import connected_components
 from .linking import group_links
 from .repeats import entries, stars
 from .shared import materialize, shuffle_partitions
-from .textvec import LOWER, SPACE, Chunk, Words, byte_prefix, chunks, gram_hash, mix, ranges, stretch_hash, words
+from .textvec import LOWER, SPACE, Chunk, Words, byte_prefix, chunks, gram_hash, mix, ranges, stretch_hash
 from .windows import keyed
 
 BANDS, ROWS = 10, 5
@@ -30,11 +30,17 @@ _BLOOM_BITS = 1 << 22
 
 def lines_of(chunk: Chunk) -> Words:
     """Lines that hold more than white space; ``hash`` tells different lines apart."""
-    w = words(chunk, None, _BREAK)
-    solid = np.append(0, np.cumsum(~SPACE[chunk.data]))
-    keep = solid[w.end] > solid[w.start]
-    doc = w.doc[keep]
-    return Words(w.start[keep], w.end[keep], doc, w.hash[keep], np.searchsorted(doc, np.arange(len(chunk.end) + 1)))
+    breaks = np.flatnonzero(chunk.data == 10)
+    cuts = np.unique(np.concatenate([chunk.start, chunk.end, breaks, breaks + 1]))
+    start, end = cuts[:-1], cuts[1:]
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return Words(none, none, none, none.astype(np.uint64), np.zeros(len(chunk.end) + 1, np.int64))
+    solid = np.logical_or.reduceat(~SPACE[chunk.data], start)  # a break alone is white space
+    start, end = start[solid], end[solid]
+    doc = np.searchsorted(chunk.end, start, side="right")
+    value = mix(stretch_hash(byte_prefix(chunk.data), start, end))
+    return Words(start, end, doc, value, np.searchsorted(doc, np.arange(len(chunk.end) + 1)))
 
 
 def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +72,7 @@ def band_keys(value: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray,
             least = np.full(m * _BINS, np.iinfo(np.uint64).max, np.uint64)
             for p in range(1 << min(int(c), 6)):
                 h = mix(v + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64)))
-                np.minimum.at(least, at * _BINS + (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % _BINS, h >> np.uint64(8))
+                np.minimum.at(least, at * _BINS + ((h & np.uint64(0xFFFFFFFF)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64), h >> np.uint64(8))
             least = least.reshape(m, _BINS)
             empty = least == np.iinfo(np.uint64).max
             for _ in range(_BINS):  # an empty bin borrows from the next
