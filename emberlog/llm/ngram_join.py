@@ -1,7 +1,8 @@
 """Jaccard self-join over word-shingle sets with signature trees, down to connected components.
 
-Pairs meet by the pigeonhole principle: sets that are similar enough agree wholly in at least one of ``k + 1`` hashed
-parts, k being the most shingles in which they can differ. Sets that share a part form candidate groups. In each group
+Pairs meet by the pigeonhole principle: sets that are similar enough agree wholly in some of ``k + 1`` or more hashed
+parts, k being the most shingles in which they can differ. Sets that share a part form candidate groups; parts that very
+many sets share (a common passage) count only for sets that might agree in no others. In each group
 a signature tree (nodes with OR-combined bitmaps and size ranges) is traversed against itself, node pairs that cannot
 reach the needed overlap are pruned, and what is left is compared exactly.
 """
@@ -19,7 +20,7 @@ from .components import connected_components
 from .linking import group_links
 from .repeats import entries, stars
 from .shared import materialize, shuffle_partitions
-from .textvec import LOWER, Chunk, chunks, gram_hash, mix, prefix_hash, stretch_hash, words
+from .textvec import LOWER, Chunk, byte_prefix, chunks, gram_hash, mix, prefix_hash, stretch_hash, words
 
 def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a chunk's documents, sorted within each, and the bounds of each document's set."""
@@ -48,29 +49,40 @@ def size_classes(percent: int, top: int) -> np.ndarray:
     return np.array([*bounds, bounds[-1] * 2], np.int64)
 
 
-def part_keys(value: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of all hashed parts of all sets: each set counts in its own size class and the one below."""
+def part_keys(value: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, spare) of the hashed parts of all sets: each set counts in its own size class and the one below.
+
+    There are a quarter more parts than similar sets can differ in, so these agree in several. Empty parts are left out,
+    unless so many are empty that no other need agree. ``spare`` is twice the number of parts that a set shares with any
+    similar one at least, plus one in the class below.
+    """
     size = np.diff(first)
     doc_of = np.repeat(np.arange(len(size)), size)
     bounds = size_classes(percent, int(size.max(initial=1)))
     level = np.searchsorted(bounds, size, side="right") - 1
-    out_doc, out_key = [], []
+    out_doc, out_key, out_spare = [], [], []
     for down in (0, 1):
         at = level - down
         ok = (size > 0) & (at >= 0)
         at = np.maximum(at, 0)
-        parts = np.where(ok, (bounds[at + 1] - 1) * (100 - percent) // percent + 1, 0)
+        most = (bounds[at + 1] - 1) * (100 - percent) // percent
+        parts = np.where(ok, -(-(most + 1) * 5 // 4), 0)
         base = np.append(0, np.cumsum(parts))
         n = parts[doc_of]
         keep = n > 0
         part = ((value[keep] >> np.uint64(32)) * n[keep].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, base[doc_of[keep]] + part, mix(value[keep] + np.uint64(0x8EBC6AF09C88C6E3)))
+        total, full = np.zeros(base[-1], np.uint64), np.zeros(base[-1], bool)
+        place = base[doc_of[keep]] + part
+        np.add.at(total, place, mix(value[keep] + np.uint64(0x8EBC6AF09C88C6E3)))
+        full[place] = True
         doc = np.repeat(np.arange(len(size)), parts)
+        spare = np.bincount(doc[full], minlength=len(size)) - most
         which = np.arange(base[-1]) - base[doc] + at[doc] * (1 << 32)
-        out_doc.append(doc)
-        out_key.append(mix(total + mix(which.astype(np.uint64) + np.uint64(1))))
-    return np.concatenate(out_doc), np.concatenate(out_key)
+        sent = full | (spare[doc] <= 0)
+        out_doc.append(doc[sent])
+        out_key.append(mix(total + mix(which.astype(np.uint64) + np.uint64(1)))[sent])
+        out_spare.append(np.maximum(spare, 0)[doc[sent]] * 2 + down)
+    return np.concatenate(out_doc), np.concatenate(out_key), np.concatenate(out_spare)
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,8 +103,14 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         did = batch.column(0).to_numpy(zero_copy_only=False)
         for c in chunks(batch.column(1)):
             value, first = shingle_sets(c, n)
-            doc, key = part_keys(value, first, percent)
-            yield entries(key, did[c.first + doc])
+            doc, key, spare = part_keys(value, first, percent)
+            # of copies of a text that lie together the least id sends its parts; ``copies`` links them
+            same = stretch_hash(byte_prefix(c.data), c.start, c.end)
+            order = np.lexsort((did[c.first : c.first + len(same)], same))
+            once = np.zeros(len(same), bool)
+            once[order[np.append(True, same[order][1:] != same[order][:-1])]] = True
+            sent = once[doc]
+            yield entries(key[sent], did[c.first + doc[sent]], 0, spare[sent])
 
     def sets_of(texts: pa.ChunkedArray) -> list[np.ndarray]:
         out = []

@@ -11,11 +11,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import materialize
 
 #: A key at place ``at`` of the document (``id``, ``sig``); ``sig`` is a hash of the whole text.
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("sig", "<i8"), ("at", "<i8")])
+#: A key or node, an id and what ``stars`` needs to know of it.
+PAIR = np.dtype([("key", "<u8"), ("id", "<i8"), ("spare", "<i4")])
 _BLOCK = "part int, block binary"
-_FLUSH = 2_000_000
+_FLUSH = 500_000  # entries that a task holds before it sends them on; bounds its memory
 _OVER = 4  # blocks per partition, so that hashing them gives even partitions
 
 
@@ -25,14 +30,20 @@ def entries(key: np.ndarray, ident: np.ndarray, sig: np.ndarray | int = 0, at: n
     return out
 
 
-def _blocks(rows: np.ndarray, mark: bytes, parts: int) -> tuple[list[int], list[bytes]]:
-    part = (rows["key"] % np.uint64(parts)).astype(np.int64)
+def _blocks(rows: np.ndarray, mark: bytes, parts: int, by: str = "key") -> tuple[list[int], list[bytes]]:
+    part = (rows[by].astype(np.uint64) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     rows, cuts = rows[order], np.searchsorted(part[order], np.arange(parts + 1))
     full = np.flatnonzero(np.diff(cuts))
     return full.tolist(), [mark + rows[cuts[p] : cuts[p + 1]].tobytes() for p in full]
 
 
+def _pairs(key: np.ndarray, ident: np.ndarray, spare: np.ndarray | int = 0) -> np.ndarray:
+    out = np.empty(len(key), PAIR)
+    out["key"], out["id"], out["spare"] = key, ident, spare
+    return out
+
+
 def _changes(*columns: np.ndarray) -> np.ndarray:
     new = np.ones(len(columns[0]), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
@@ -43,7 +54,7 @@ def _batch(parts: list[int], blocks: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
 
-def _exchange(df: DataFrame, entries_of: Callable, local: Callable, meet: Callable, partitions: int, schema: str) -> DataFrame:
+def _exchange(df: DataFrame, entries_of: Callable, local: Callable, meet: Callable, partitions: int, schema: str, kind: np.dtype = ENTRY) -> DataFrame:
     parts = partitions * _OVER
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,21 +62,24 @@ def _exchange(df: DataFrame, entries_of: Callable, local: Callable, meet: Callab
         n = 0
         for batch in batches:
             for got in entries_of(batch):
-                held.append(got)
+                held.append(got if kind == ENTRY else _pairs(got["key"], got["id"], got["at"]))
                 n += len(got)
                 if n > _FLUSH:
-                    yield from local(np.concatenate(held), parts)
-                    held, n = [], 0
+                    every, held, n = np.concatenate(held), [], 0
+                    yield from local(every, parts)
         if n:
             yield from local(np.concatenate(held), parts)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[np.ndarray]] = {}
+        got: dict[int, dict[int, list[np.ndarray]]] = {}
         for batch in batches:
-            for block in batch.column(1):
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = block.as_buffer()
-                got.setdefault(raw[0] if isinstance(raw[0], int) else raw[0][0], []).append(np.frombuffer(raw.to_pybytes(), ENTRY, offset=1))
-        yield from meet({mark: np.concatenate(x) for mark, x in got.items()})
+                mark = np.frombuffer(raw, np.uint8, 1)[0]
+                got.setdefault(part, {}).setdefault(int(mark), []).append(np.frombuffer(raw, kind, offset=1))
+        for part in list(got):  # one part after the other, to bound what is sorted at once
+            blocks = got.pop(part)
+            yield from meet({mark: np.concatenate(blocks.pop(mark)) for mark in list(blocks)})
 
     return df.mapInArrow(send, _BLOCK).repartition(partitions, "part").mapInArrow(receive, schema)
 
@@ -109,32 +123,84 @@ def repeated(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[np.n
     return _exchange(df, entries_of, local, meet, partitions, "key long, id long, sig long, at long")
 
 
-def stars(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], partitions: int) -> DataFrame:
+def stars(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], partitions: int, often: int = 20) -> DataFrame:
     """Rows (a, b), a < b, that link every id to the least id that shares a key with it: ids with a common key are
-    connected, through one edge per id, key and level instead of all pairs."""
+    connected, through one edge per id and key instead of all pairs.
+
+    The ``at`` of an entry tells twice how many keys its id shares with any partner that matters, plus a class (0 or 1)
+    within which that holds. With 0 all keys count, and each links its ids to the least of them. Else pairs are counted:
+    keys of more than ``often`` ids are frequent; a pair makes an edge if the other keys that it shares and the frequent
+    ones that it may share are as many as it has to. Pairs that share frequent keys alone are those of ids that both have
+    as many frequent keys as they share, and these are linked to the least id of each.
+    """
 
-    def edges(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(edges to the least id of each key, one row of each key)"""
+    def ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct rows in order of key and id, where keys begin, and the number of ids of each row's key."""
         rows = rows[np.lexsort((rows["id"], rows["key"]))]
+        rows = rows[_changes(rows["key"], rows["id"], rows["spare"])]
         new = _changes(rows["key"])
         at = np.flatnonzero(new)
-        hub = rows["id"][at][np.cumsum(new) - 1]
-        far = hub < rows["id"]
-        pair = np.unique(np.stack([hub[far], rows["id"][far]], 1), axis=0)
-        return entries(mix_pair(pair), pair[:, 0], 0, pair[:, 1]), rows[new]
-
-    def mix_pair(pair: np.ndarray) -> np.ndarray:
-        return (pair[:, 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+        return rows, new, np.diff(np.append(at, len(rows)))[np.cumsum(new) - 1]
 
     def local(rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-        pairs, on = edges(rows)
-        a, b = _blocks(pairs, b"\x01", parts)
-        c, d = _blocks(on, b"\x00", parts)
-        yield _batch(a + c, b + d)
+        rows, new, count = ordered(rows)
+        frequent = count > often
+        a, b = _blocks(rows[frequent], b"\x01", parts, "id")  # known to be frequent: dealt by id
+        c, d = _blocks(rows[frequent & new], b"\x02", parts)  # tells the others
+        e, f = _blocks(rows[~frequent], b"\x00", parts)
+        yield _batch(a + c + e, b + d + f)
 
-    def meet(got: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(got.get(1, np.zeros(0, ENTRY)), ("id", "at"), ("a", "b"))
-        if 0 in got:
-            yield from _rows(edges(got[0])[0], ("id", "at"), ("a", "b"))
+    def out(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(key), np.int64) if n is None else n
+        for at in range(0, len(key), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), *(pa.array(x[part].astype(np.int64)) for x in (key, a, b, n))], ["kind", "key", "a", "b", "n"])
+
+    def pairs_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs within each key of at most ``often`` ids, counted: what they must share at least, and their classes."""
+        found = []
+        for d in range(1, often):
+            i = np.flatnonzero(rows["key"][d:] == rows["key"][:-d])
+            if not len(i):
+                break
+            one, two = rows[i], rows[i + d]
+            need = np.maximum(one["spare"] >> 1, two["spare"] >> 1).astype(np.int64)
+            found.append(np.stack([one["id"], two["id"], need * 4 + (one["spare"] & 1) * 2 + (two["spare"] & 1)], 1))
+        if found:
+            pair = np.concatenate(found)
+            pair = pair[np.lexsort((pair[:, 2], pair[:, 1], pair[:, 0]))]
+            at = np.flatnonzero(_changes(pair[:, 0], pair[:, 1], pair[:, 2]))
+            far = pair[at, 0] < pair[at, 1]
+            yield from out(2, pair[at, 2][far], pair[at, 0][far], pair[at, 1][far], np.diff(np.append(at, len(pair)))[far])
 
-    return _exchange(df, entries_of, local, meet, partitions, "a long, b long").distinct()
+    def meet(got: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, PAIR)
+        known = got.pop(1, none)
+        yield from out(1, known["key"], known["id"], known["spare"])
+        rows, new, count = ordered(got.pop(0, none))
+        frequent = (count > often) | np.isin(rows["key"], got.pop(2, none)["key"])
+        hot = rows[frequent]
+        yield from out(1, hot["key"], hot["id"], hot["spare"])
+        group = np.cumsum(new) - 1
+        need = rows["spare"] >> 1
+        loose = np.minimum.reduceat(need, np.flatnonzero(new))[group] == 0 if len(rows) else np.zeros(0, bool)
+        yield from pairs_of(rows[~frequent & ~loose & (count > 1)])
+        hub = rows["id"][new][group]
+        far = ~frequent & loose & (hub < rows["id"])
+        hub, other = hub[far], rows["id"][far]
+        order = np.lexsort((other, hub))
+        hub, other = hub[order], other[order]
+        once = _changes(hub, other)
+        yield from out(0, hub[once], hub[once], other[once])
+
+    met = materialize(_exchange(df, entries_of, local, meet, partitions, "kind int, key long, a long, b long, n long", PAIR), "keys")
+    frequent = met.where("kind = 1").select("key", "a", "b").distinct().withColumn("class", F.col("b") % 2)
+    held = frequent.groupBy("a", "class").agg(F.count("*").alias("n"), F.max(F.floor(F.col("b") / 2)).alias("shared"))
+    needy = held.where("n >= shared").select("a", "class")
+    kept = frequent.join(needy, ["a", "class"], "left_semi").select("key", "a").distinct()
+    least = kept.groupBy("key").agg(F.min("a").alias("hub"))
+    pairs = met.where("kind = 2").groupBy("a", "b", "key").agg(F.sum("n").alias("n")).select("a", "b", "n", F.floor(F.col("key") / 4).alias("need"), (F.floor(F.col("key") / 2) % 2).alias("ca"), (F.col("key") % 2).alias("cb"))
+    more = lambda end, c: held.select(F.col("a").alias(end), F.col("class").alias(c), F.col("n").alias(f"hot_{end}"))
+    pairs = pairs.join(more("a", "ca"), ["a", "ca"], "left").join(more("b", "cb"), ["b", "cb"], "left")
+    near = pairs.where(F.col("n") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))) >= F.col("need")).select("a", "b")
+    return met.where("kind = 0").select("a", "b").union(near).union(kept.join(least, "key").where("a > hub").select(F.col("hub").alias("a"), F.col("a").alias("b"))).distinct()
