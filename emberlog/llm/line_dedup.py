@@ -26,6 +26,7 @@ _FILL = 4 * _BINS  # shingle hashes that a line should have at least
 _BREAK = np.zeros(256, bool)
 _BREAK[10] = True
 _BLOOM_BITS = 1 << 22
+_LINE_BITS = 24  # of a sorted pair's 64 bits, those of the line
 
 
 def lines_of(chunk: Chunk) -> Words:
@@ -54,8 +55,25 @@ def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int)
     return mix(value), line
 
 
+def distinct_shingles(value: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle of a line once, known by the upper 40 bits of its hash, in order of lines; one sort of plain integers."""
+    low = value >> np.uint64(_LINE_BITS)
+    most = int(line.max(initial=0))
+    out_value, out_line = [low[:0]], [line[:0]]
+    for a in range(0, most + 1, 1 << _LINE_BITS):
+        mine = slice(None) if most < 1 << _LINE_BITS else (line >= a) & (line < a + (1 << _LINE_BITS))
+        pair = np.sort((line[mine] - a).astype(np.uint64) << np.uint64(64 - _LINE_BITS) | low[mine])
+        new = np.ones(len(pair), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        pair = pair[new]
+        out_value.append(pair & np.uint64((1 << 64 - _LINE_BITS) - 1))
+        out_line.append((pair >> np.uint64(64 - _LINE_BITS)).astype(np.int64) + a)
+    return np.concatenate(out_value), np.concatenate(out_line)
+
+
 def band_keys(value: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of all bands of all lines."""
+    """(line, key) of all bands of all lines. Sizes are those of the sets that are compared later: repeats don't count."""
+    value, line = distinct_shingles(value, line)
     size = np.maximum(np.bincount(line, minlength=n), 1)
     own = np.maximum(np.ceil(np.log2(_FILL / size)), 0).astype(np.int64)  # hash 2**class times
     other = np.maximum(np.ceil(np.log2(_FILL / (size * 0.75))), 0).astype(np.int64)
