@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from .textvec import Chunk, Words, chunks, mix, words
 
 MASKS = ("11111", "1110101", "1011011", "11011001")
+#: Also for stretches of fewer than _SHORT tokens, so that no permitted substitution there hides them.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+_SHORT = 12
 _APART = np.ones(256, bool)  # separators: ASCII but letters and digits
 _APART[128:] = False
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -52,21 +55,23 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
+    masks: tuple[str, ...]
 
 
-def items_of(rows: list[tuple[object, str | None]]) -> Items:
+def items_of(rows: list[tuple[object, str | None]], window: int = 12) -> Items:
     ids = [r[0] for r in rows]
     token: list[np.ndarray] = []
     for c in chunks(pa.array([r[1] or "" for r in rows], pa.string())):
         w = tokens(c)
         token += [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-    parts = [(h, i, p) for i, t in enumerate(token) for m in MASKS for p, h in enumerate(seed_hashes(t, m).tolist())]
+    short = [4 < len(t) and min(window, len(t)) < _SHORT for t in token]
+    parts = [(h, i, p) for i, t in enumerate(token) if len(t) > 4 for m in MASKS + SHORT_MASKS * short[i] for p, h in enumerate(seed_hashes(t, m).tolist())]
     value = np.array([p[0] for p in parts], np.uint64)
     order = np.argsort(value, kind="stable")
     value = value[order]
     table = np.zeros(1 << _TABLE, bool)
     table[(value >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
-    return Items(ids, token, value, np.array([p[1] for p in parts], np.int64)[order], np.array([p[2] for p in parts], np.int64)[order], table)
+    return Items(ids, token, value, np.array([p[1] for p in parts], np.int64)[order], np.array([p[2] for p in parts], np.int64)[order], table, MASKS + SHORT_MASKS * any(short))
 
 
 def overlaps_in(text: pa.Array, items: Items, window: int, percent: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -74,7 +79,7 @@ def overlaps_in(text: pa.Array, items: Items, window: int, percent: int) -> Iter
     for c in chunks(text):
         w = tokens(c)
         seen: set[tuple[int, int, int]] = set()
-        for m in MASKS:
+        for m in items.masks:
             value = seed_hashes(w.hash, m)
             at = np.flatnonzero(items.table[(value >> np.uint64(64 - _TABLE)).astype(np.int64)])
             at = at[w.doc[at] == w.doc[at + len(m) - 1]]
@@ -96,18 +101,18 @@ def overlaps_in(text: pa.Array, items: Items, window: int, percent: int) -> Iter
                 yield c.first + doc, item, first + a - int(w.first[doc]), first + b - int(w.first[doc]), int(total[b] - total[a])
 
 
-def _blocks(benchmark: DataFrame, most_chars: int) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, most_chars: int, window: int) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, so that what is sent to the executors at once has a bound."""
     held: list[tuple[object, str | None]] = []
     size = 0
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         if held and size + len(r.text) > most_chars:
-            yield items_of(held)
+            yield items_of(held, window)
             held, size = [], 0
         held.append((r.item_id, r.text))
         size += len(r.text)
     if held:
-        yield items_of(held)
+        yield items_of(held, window)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 12, percent: int = 80, most_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +128,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 12, percent: i
     base = docs.select(F.col(id_col).cast("long").alias("did"), F.col(text_col).alias("text"))
     schema = "did long, item_id long, first long, stop long, n_equal long"
     out = spark.createDataFrame([], schema)
-    for items in _blocks(benchmark, most_chars):
+    for items in _blocks(benchmark, most_chars, window):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -142,7 +147,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 12, p
     """The rows of ``docs`` without an overlap (see ``overlaps``), with all their columns."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for items in _blocks(benchmark, most_chars):
+    for items in _blocks(benchmark, most_chars, window):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -221,6 +221,20 @@ def test_decontamination(docs, spark):
     assert decontaminate.overlaps(docs(texts), bench, most_chars=5).count() == 3
 
 
+def test_short_items_are_found_with_every_permitted_substitution():
+    import itertools
+
+    import pyarrow as pa
+
+    for n in range(5, 13):
+        item = [f"t{i}" for i in range(n)]
+        items = decontaminate.items_of([(1, " ".join(item))])
+        changes = list(itertools.combinations(range(n), n - -(-n * 80 // 100)))
+        texts = [" ".join(["x", *(f"zz{i}" if i in c else w for i, w in enumerate(item)), "y"]) for c in changes]
+        found = {row for row, *_ in decontaminate.overlaps_in(pa.array(texts), items, 12, 80)}
+        assert found == set(range(len(texts))), (n, [c for i, c in enumerate(changes) if i not in found])
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)).astype(np.float32).tolist()
