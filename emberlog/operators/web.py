@@ -12,20 +12,20 @@ from ..functions.strings import clf_instant, clf_time
 from ..functions.web_rules import is_sensitive, with_attack_families
 
 _QUOTED = r'((?:[^"\\]++|\\.)*+)'  # possessive: a hostile line can't exhaust the stack
-ACCESS_LINE = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"' + _QUOTED + r'"\s+(\d{3}|-)\s+(\S+)(?:\s+[^"\r\n]*?"' + _QUOTED + r'"\s+"' + _QUOTED + r'")?'
+ACCESS_LINE = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"' + _QUOTED + r'"\s+(\d{3}|-)\s+(\S+)(?:\s++[^"\r\n]*+"' + _QUOTED + r'"\s+"' + _QUOTED + r'")?'
 _SEP = "\u0001"
 NORMAL_METHODS = ("GET", "HEAD", "POST", "OPTIONS", "", "?")
 
 
-def parse_access(lines: DataFrame, line_col: str = "line", longest: int = 65536) -> DataFrame:
+def parse_access(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Rows of access logs in Common or Combined Log Format; other lines are left out.
 
     Adds ip, edge_ip, time, ts, method, path, query, status, size, referer, ua. Lines quoted as a whole are unwrapped.
     The client is the leftmost valid address of an X-Forwarded-For field behind the matched ones, the connecting host then
-    being ``edge_ip``. Only the first ``longest`` characters of a line are matched.
+    being ``edge_ip``. Lines are matched as a whole, however long; the patterns take no stack and no square of the length.
     """
-    raw = F.translate(F.substring(F.col(line_col), 1, longest), _SEP, "")
-    line = F.when(raw.startswith('"'), F.regexp_replace(F.substring(raw, 2, longest), '"$', "")).otherwise(raw)
+    raw = F.translate(F.col(line_col), _SEP, "")
+    line = F.when(raw.startswith('"'), F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw)), '"$', "")).otherwise(raw)
     # one match gives all fields and what follows them
     fields = F.split(F.regexp_replace(line, ACCESS_LINE, _SEP.join(f"${i}" for i in (1, 3, 4, 5, 6, 7, 8)) + _SEP), _SEP)
     got = computed_once(lines, {"__m": fields}).where(F.size("__m") == 8)
@@ -35,7 +35,7 @@ def parse_access(lines: DataFrame, line_col: str = "line", longest: int = 65536)
     head = F.col("__head")
     got = got.withColumn("__uri", F.when(head.contains(" "), F.regexp_extract(head, r"(?s)^[^ ]* (.*)$", 1)).otherwise(head))
     uri, tail = F.col("__uri"), part(7)
-    hops = F.split(F.regexp_extract(tail, r'(?i)x-forwarded-for\s*[=:]\s*"?\s*([0-9a-fA-F.:, ]+)', 1), ",")
+    hops = F.split(F.regexp_extract(tail, r'(?i)x-forwarded-for\s*+[=:]\s*+(?:"\s*+)?+([0-9a-fA-F.:, ]+)', 1), ",")
     got = got.withColumn("__client", F.try_element_at(F.filter(F.transform(hops, lambda x: F.trim(x)), is_ip), F.lit(1)))
     client = F.col("__client")
     return computed_once(

@@ -28,6 +28,21 @@ def test_hostile_access_line_does_no_harm(lines):
     assert web.parse_access(lines(("a", hostile))).count() == 1
 
 
+def test_access_lines_are_matched_whole(lines):
+    start, end = '10.0.0.1 - - [10/Oct/2023:13:55:36 +0000] "GET /', '" 200 5 "http://r/" "agent"'
+    rows = [
+        start + "a" * 70_000 + " HTTP/1.1" + end + " x-forwarded-for: 8.8.8.8",
+        start + '\\"' * 200_000 + " HTTP/1.1" + end,
+        start + "b HTTP/1.1" + end + " " * 70_000 + 'x-forwarded-for: "9.9.9.9"',
+        start + "c HTTP/1.1" + '" 200 5' + " " * 200_000 + "x",
+        start + "d HTTP/1.1" + end + " x-forwarded-for:" + "\t" * 200_000 + "z",
+    ]
+    got = {r.line_no: r for r in web.parse_access(lines(*(("a", x) for x in rows))).collect()}
+    assert [got[i].ip for i in range(1, 6)] == ["8.8.8.8", "10.0.0.1", "9.9.9.9", "10.0.0.1", "10.0.0.1"]
+    assert [(got[i].status, got[i].ua) for i in range(1, 6)] == [("200", "agent")] * 3 + [("200", ""), ("200", "agent")]
+    assert len(got[1].path) == 70_001 and len(got[2].path) == 400_001
+
+
 def test_auth_dispatch_by_program(lines):
     got = logs.auth_events(
         lines(
