@@ -78,21 +78,22 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     """(id, host, path, rule, verdict, block_score) for every row.
 
     The trees learn from urls that a rule decides, at most ``most_training_rows`` of them, chosen by a hash of the url;
-    they judge the others, which are blocked at a score of 0.5 or more. Where rules label no url, or all alike, the score
+    suffix statistics count all rows, and their labels all rows that a rule decides. The trees judge the others, which are blocked at a score of 0.5 or more. Where rules label no url, or all alike, the score
     is that label's smoothed share. Null urls and urls without ``://`` have an empty host and path and no rule; repeated
     rows each get their row; an empty table gives an empty one; other columns are ignored.
     """
     base = pages.select(F.col(id_col), F.col(url_col).alias("__url")).withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
     rule, ruled = matched_rule(F.col("host"), F.col("path"), rules)
     base = lexical_features(base.withColumns({"rule": rule, "ruled": ruled}), "__url")
-    sample = base.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double")).orderBy(F.xxhash64("__url", F.lit(seed))).limit(most_training_rows).drop(id_col, "host", "path", "rule").cache()
-    counts = sample.agg(F.count("*").alias("n"), F.sum("label").alias("block")).first()
-    n, block = counts["n"], counts["block"] or 0.0
-    prior = (block + 1) / (n + 2)
-    # suffix statistics come from the bounded sample, so this table has no more rows than it
-    suffixes = sample.groupBy("suffix").agg(((F.sum("label") + 20 * prior) / (F.count("*") + 20)).alias("suffix_rate"), F.log1p(F.count("*")).alias("suffix_log_count"))
-    known = lambda x: x.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_rate": prior, "suffix_log_count": 0.0})
-    if not 0 < block < n:
+    base = base.withColumn("label", (F.col("ruled") == "block").cast("double"))
+    sample = base.where("ruled is not null").orderBy(F.xxhash64("__url", F.lit(seed))).limit(most_training_rows).drop(id_col, "host", "path", "rule").cache()
+    counted = base.groupBy("suffix").agg(F.count("*").alias("rows"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("block")).cache()
+    counts = counted.agg(F.sum("n").alias("n"), F.sum("block").alias("block")).first()
+    prior = ((counts["block"] or 0.0) + 1) / ((counts["n"] or 0) + 2)
+    suffixes = counted.select("suffix", ((F.col("block") + 20 * prior) / (F.col("n") + 20)).alias("suffix_rate"), F.log1p("rows").alias("suffix_log_count"))
+    known = lambda x: x.join(suffixes, "suffix", "left").fillna({"suffix_rate": prior, "suffix_log_count": 0.0})
+    learnt = sample.agg(F.count("*").alias("n"), F.sum("label").alias("block")).first()
+    if not 0 < (learnt["block"] or 0.0) < learnt["n"]:
         scored = known(base).withColumn("block_score", F.lit(prior))
     else:
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")

@@ -290,6 +290,20 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_suffix_statistics_count_all_urls(spark, monkeypatch):
+    seen, transform = [], url_filter.VectorAssembler.transform
+    monkeypatch.setattr(url_filter.VectorAssembler, "transform", lambda self, df: (seen.append(df), transform(self, df))[1])
+    rules = [url_filter.Rule("com", "/", "allow"), url_filter.Rule("net", "/", "block")]
+    urls = [f"http://h{i}.com/{i}" for i in range(40)] + [f"http://h{i}.net/{i}" for i in range(30)] + [f"http://h{i}.org/{i}" for i in range(25)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert url_filter.judge_urls(df, rules, most_training_rows=20, rounds=2).count() == 95
+    prior = 31 / 72
+    want = {"com": (40, 20 * prior / 60), "net": (30, (30 + 20 * prior) / 50), "org": (25, prior)}
+    got = {r.suffix: (round(np.expm1(r.suffix_log_count)), r.suffix_rate) for r in seen[-1].collect()}
+    assert {k: (n, pytest.approx(x)) for k, (n, x) in want.items()} == got
+    assert seen[0].count() == 20
+
+
 def test_mixing_budget_and_entropy(docs, spark):
     texts = [f"w{i} " * (i % 7 + 1) for i in range(300)] + [None, ""]
     df = docs(texts).withColumn("source", F.when(F.col("doc_id") < 200, "big").when(F.col("doc_id") < 260, None).otherwise("small"))
