@@ -33,9 +33,15 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that five-word shingles link at a Jaccard similarity of 0.8 or more, the least doc_id."""
-    spare = ngram_components(docs, n=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents that five-word shingles link at a Jaccard similarity of 0.8 or more, the least doc_id;
+    one row, whether ids repeat or are null, which count as the greatest."""
+    # rows have keys of their own, which hold once they are written
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    linked = ngram_components(rows, n=5, percent=80, id_col="__row").select("__row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
+    ranked = linked.join(rows.select("__row", order.alias("order")), "__row")
+    first = ranked.groupBy("component_id").agg(F.min("order")["__row"].alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(docs.columns)
 
 
 def no_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -388,5 +388,18 @@ def test_pipeline_keeps_columns_and_drops_what_it_should(spark):
     assert out.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
 
 
+def test_pipeline_keeps_one_row_of_a_group_whatever_the_ids(docs, spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    one, near, null, null_near = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(f"n{w}" for w in words), " ".join([f"n{w}" for w in words[:-1]] + ["x"])
+    texts, ids = [one, one, near, null, null_near, one, "", "", None, "alone here"], [7, 7, 7, None, None, None, 3, 3, 4, None]
+    got = corpus_pipeline.one_of_each_group(spark, docs(texts, ids), "").collect()
+    kept = sorted((str(r.doc_id), r.text or "") for r in got)
+    assert len(got) == 6 and [t for i, t in kept if i in ("3", "4")] == [""] * 3
+    assert sum(r.doc_id == 7 for r in got) == 1 and sum(r.doc_id is None for r in got) == 2
+    assert {r.text for r in got if r.doc_id is None} in ({null, "alone here"}, {null_near, "alone here"})
+
+
 def test_hashes_of_kept_text_follow_the_contract(spark):
     assert spark.range(1).select(F.sha2(F.lit("a b"), 256).alias("h")).first().h == hashlib.sha256(b"a b").hexdigest()
