@@ -17,16 +17,16 @@ from .components import connected_components
 from .linking import group_links
 from .repeats import entries, stars
 from .shared import materialize, shuffle_partitions
-from .textvec import LOWER, SPACE, Chunk, Words, byte_prefix, chunks, gram_hash, mix, ranges, stretch_hash
+from .textvec import LOWER, SPACE, Chunk, Words, byte_prefix, chunks, distinct_sets, gram_hash, joined_sets, mix, ranges, stretch_hash
 from .windows import keyed
 
 BANDS, ROWS = 10, 5
 _BINS = BANDS * ROWS
-_FILL = 4 * _BINS  # shingle hashes that a line should have at least
+_FILL = 2 * _BINS  # shingle hashes that a line should have at least
+_MARKS = 256
+_NONE = np.iinfo(np.uint32).max
 _BREAK = np.zeros(256, bool)
 _BREAK[10] = True
-_BLOOM_BITS = 1 << 22
-_LINE_BITS = 24  # of a sorted pair's 64 bits, those of the line
 
 
 def lines_of(chunk: Chunk) -> Words:
@@ -55,80 +55,76 @@ def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int)
     return mix(value), line
 
 
-def distinct_shingles(value: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each shingle of a line once, known by the upper 40 bits of its hash, in order of lines; one sort of plain integers."""
-    low = value >> np.uint64(_LINE_BITS)
-    most = int(line.max(initial=0))
-    out_value, out_line = [low[:0]], [line[:0]]
-    for a in range(0, most + 1, 1 << _LINE_BITS):
-        mine = slice(None) if most < 1 << _LINE_BITS else (line >= a) & (line < a + (1 << _LINE_BITS))
-        pair = np.sort((line[mine] - a).astype(np.uint64) << np.uint64(64 - _LINE_BITS) | low[mine])
-        new = np.ones(len(pair), bool)
-        new[1:] = pair[1:] != pair[:-1]
-        pair = pair[new]
-        out_value.append(pair & np.uint64((1 << 64 - _LINE_BITS) - 1))
-        out_line.append((pair >> np.uint64(64 - _LINE_BITS)).astype(np.int64) + a)
-    return np.concatenate(out_value), np.concatenate(out_line)
-
-
 def band_keys(value: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of all bands of all lines. Sizes are those of the sets that are compared later: repeats don't count."""
-    value, line = distinct_shingles(value, line)
-    size = np.maximum(np.bincount(line, minlength=n), 1)
-    own = np.maximum(np.ceil(np.log2(_FILL / size)), 0).astype(np.int64)  # hash 2**class times
-    other = np.maximum(np.ceil(np.log2(_FILL / (size * 0.75))), 0).astype(np.int64)
-    out_line, out_key = [], []
-    for extra, cls in ((False, own), (True, other)):
-        for c in np.unique(cls):
-            chosen = (cls == c) & ((other != own) if extra else True)
-            if not chosen.any():
-                continue
-            local = np.cumsum(chosen) - 1
-            mine = chosen[line]
-            v, at = value[mine], local[line[mine]]
-            m = int(chosen.sum())
-            least = np.full(m * _BINS, np.iinfo(np.uint64).max, np.uint64)
-            for p in range(1 << min(int(c), 6)):
-                h = mix(v + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64)))
-                np.minimum.at(least, at * _BINS + ((h & np.uint64(0xFFFFFFFF)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64), h >> np.uint64(8))
-            least = least.reshape(m, _BINS)
-            empty = least == np.iinfo(np.uint64).max
-            for _ in range(_BINS):  # an empty bin borrows from the next
-                if not empty.any():
-                    break
-                after = np.roll(least, -1, axis=1) + np.uint64(1)
-                filled = empty & ~np.roll(empty, -1, axis=1)
-                least[filled] = after[filled]
-                empty &= ~filled
-            bands = least.reshape(m, BANDS, ROWS)
-            key = np.full((m, BANDS), c, np.uint64) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
-            for r in range(ROWS):
-                key = mix(key * np.uint64(0xA0761D6478BD642F) + bands[:, :, r])
-            out_line.append(np.repeat(np.flatnonzero(chosen), BANDS))
-            out_key.append(key.ravel())
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_line]), np.concatenate([none.astype(np.uint64), *out_key])
-
-
-def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of all bands of all lines. A class tells how often a line's shingles are hashed; it comes from the number
+    of marks that they leave among 256, which repeated shingles don't change, as they don't change the least hashes. One
+    more round of hashing serves the next class as well, so a line that carries the bands of two classes costs one."""
+    marked = np.zeros(n * _MARKS, bool)
+    marked[line * _MARKS + (value >> np.uint64(56)).astype(np.int64)] = True
+    size = -_MARKS * np.log1p(-np.minimum(marked.reshape(n, _MARKS).sum(axis=1), _MARKS - 0.5) / _MARKS)
+    own, other = (np.clip(np.ceil(np.log2(_FILL / np.maximum(size * x, 1))), 0, 6).astype(np.int64) for x in (1, 0.75))
+    least = np.full(n * _BINS, _NONE, np.uint32)
+    at, tried = line * _BINS, 0
+    out_line, out_key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for c in range(int(other.max(initial=-1)) + 1):
+        if c:
+            more = (other >= c)[line]
+            value, line, at = value[more], line[more], at[more]
+        for _ in range(tried, 1 << c):
+            h = value * np.uint64((0x9E3779B97F4A7C15 + tried * 0xA3B2A465A7E65E26) % (1 << 64) | 1)
+            h ^= h >> np.uint64(32)
+            bin_ = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
+            bin_ += at
+            np.minimum.at(least, bin_, (h * np.uint64(0xA0761D6478BD642F) >> np.uint64(32)).astype(np.uint32))
+            tried += 1
+        chosen = np.flatnonzero((own == c) | (other == c))
+        if not len(chosen):
+            continue
+        bins = least.reshape(n, _BINS)[chosen].astype(np.uint64)
+        empty = bins == np.uint64(_NONE)
+        rows = np.flatnonzero(empty.any(axis=1))
+        if len(rows):  # an empty bin borrows from the next one that isn't, and tells how far that is
+            place = np.where(empty[rows], 4 * _BINS, np.arange(_BINS))
+            place = np.minimum.accumulate(np.concatenate([place, place + _BINS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
+            place = np.minimum(place, 2 * _BINS - 1)
+            bins[rows] = np.take_along_axis(bins[rows], place % _BINS, 1) + ((place - np.arange(_BINS)).astype(np.uint64) << np.uint64(32))
+        bands = bins.reshape(len(chosen), BANDS, ROWS)
+        key = np.full((len(chosen), BANDS), c, np.uint64) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
+        for r in range(ROWS):
+            key = mix(key * np.uint64(0xA0761D6478BD642F) + bands[:, :, r])
+        out_line.append(np.repeat(chosen, BANDS))
+        out_key.append(key.ravel())
+    return np.concatenate(out_line), np.concatenate(out_key)
+
+
+def _bits(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(ids.astype(np.uint64))
-    return (h % np.uint64(_BLOOM_BITS)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64) % _BLOOM_BITS
+    return (h % np.uint64(size)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64) % size
+
+
+def _known(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ids), bool)
+    for at in _bits(ids, len(bits) * 8):
+        out &= bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+    return out
 
 
 def _bloom(members: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (512 kB) that holds all members; from at most 64 tasks. A full one only filters less."""
+    """A bitmap that holds all members: sixteen bits for each, at least 8 kB and at most 8 MB, which is what the executors
+    get; a full one only filters less. From at most sixteen tasks, one after the other."""
+    size = int(np.clip(1 << (16 * members.count()).bit_length(), 1 << 16, 1 << 26))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(_BLOOM_BITS, bool)
+        held = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
-                held[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], ["bits"])
+            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False), size):
+                np.bitwise_or.at(held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["bits"])
 
-    total = np.zeros(_BLOOM_BITS // 8, np.uint8)
-    for row in members.select("did").coalesce(64).mapInArrow(run, "bits binary").toLocalIterator():
+    total = np.zeros(size // 8, np.uint8)
+    for row in members.select("did").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
         total |= np.frombuffer(row.bits, np.uint8)
-    return np.unpackbits(total).astype(bool)
+    return total
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,19 +150,13 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col
             for c in chunks(batch.column(2)):
                 w = lines_of(c)
                 lid, first = np.unique(w.hash.view(np.int64), return_index=True)
-                one, two = _bits(lid)
-                likely = sieve.value[one] & sieve.value[two]
+                likely = _known(lid, sieve.value)
                 lid, first = lid[likely], first[likely]
                 data = c.data.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(lid), pa.array([data[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)], pa.binary())], ["did", "text"])
 
-    def sets_of(texts: pa.ChunkedArray) -> list[np.ndarray]:
-        out = []
-        for c in chunks(texts):
-            value, line = shingle_hashes(c.data, c.start, c.end, shingle)
-            order = np.argsort(line, kind="stable")
-            out += [np.unique(x) for x in np.split(value[order], np.cumsum(np.bincount(line, minlength=len(c.end)))[:-1])]
-        return out
+    def sets_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        return joined_sets(distinct_sets(*shingle_hashes(c.data, c.start, c.end, shingle), len(c.end)) for c in chunks(texts))
 
     likely = rows.mapInArrow(texts, "did long, text binary").dropDuplicates(["did"])
     links = group_links(likely, members, sets_of, percent, partitions)
@@ -181,10 +171,13 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col
                 number = breaks[w.start] - breaks[c.start[w.doc]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.hash.view(np.int64), did[c.first + w.doc], sig[c.first + w.doc], number)], ["lid", "did", "sig", "number"])
 
+    # both joins are of plain exchanges, so that adaptive execution splits a line that very many documents share
     lines = rows.mapInArrow(places, "lid long, did long, sig long, number long")
-    grouped = lines.join(found.withColumnRenamed("node", "lid"), "lid", "left").select(F.coalesce("root", "lid").alias("line"), "did", "sig", "number")
+    roots = materialize(found.withColumnRenamed("node", "lid"), "roots")
+    grouped = lines.join(roots, "lid", "left").select(F.coalesce("root", "lid").alias("line"), "did", "sig", "number")
     grouped = materialize(grouped, "lines")
-    kept = grouped.groupBy("line").agg(F.min(F.struct("did", "sig", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
+    first = F.min(F.struct("did", "sig", "number")).alias("first")
+    kept = materialize(grouped.groupBy("line").agg(first, F.count("*").alias("n")).where("n > 1").select("line", "first"), "kept")
     gone = grouped.join(kept, "line").where(F.struct("did", "sig", "number") != F.col("first"))
     return gone.groupBy("did", "sig").agg(F.collect_set("number").alias("gone"))
 
@@ -201,10 +194,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col: st
     docs = docs.drop("n_lines", "n_removed")
     gone = duplicate_lines(docs, percent, shingle, id_col, text_col)
     keys = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"))
-    joined = keys.join(gone, ["did", "sig"], "left").select("row.*", "gone")
-    parts = F.split(F.col(text_col), "\n", -1)
+    joined = keys.join(gone, ["did", "sig"], "left")
+    text, cut = F.col("row")[text_col], F.col("gone")
+    parts = F.split(text, "\n", -1)
     solid = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    kept = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i.cast("long"))), "\n"))
-    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    out = joined.select("*", F.coalesce(F.size(F.filter(parts, solid)), F.lit(0)).cast("long").alias("n_lines"), removed.alias("n_removed"), kept.alias("__kept"))
-    return out.withColumn(text_col, F.col("__kept")).drop("gone", "__kept")
+    kept = F.when(cut.isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(cut, i.cast("long"))), "\n"))
+    columns = [kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return joined.select(*columns, F.coalesce(F.size(F.filter(parts, solid)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))

@@ -20,7 +20,7 @@ from .components import connected_components
 from .linking import group_links
 from .repeats import entries, stars
 from .shared import materialize, shuffle_partitions
-from .textvec import LOWER, Chunk, byte_prefix, chunks, gram_hash, mix, prefix_hash, stretch_hash, words
+from .textvec import LOWER, Chunk, byte_prefix, chunks, distinct_sets, gram_hash, joined_sets, mix, prefix_hash, stretch_hash, words
 
 def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a chunk's documents, sorted within each, and the bounds of each document's set."""
@@ -34,11 +34,7 @@ def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     whole = stretch_hash(prefix, w.first[short], w.first[short + 1]) + count[short].astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     doc = np.concatenate([w.doc[place], short])
     value = mix(np.concatenate([grams[place], whole]))
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    keep = np.ones(len(doc), bool)
-    keep[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    return value[keep], np.searchsorted(doc[keep], np.arange(docs + 1))
+    return distinct_sets(value, doc, docs)
 
 
 def size_classes(percent: int, top: int) -> np.ndarray:
@@ -85,7 +81,7 @@ def part_keys(value: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate(out_doc), np.concatenate(out_key), np.concatenate(out_spare)
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", shortcut: bool = True) -> DataFrame:
     """(id, n_shingles, component_id) for every row: two documents link when their sets of distinct ``n``-word shingles
     have a Jaccard similarity of ``percent`` or more; component_id is the least id that links reach.
 
@@ -112,12 +108,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             sent = once[doc]
             yield entries(key[sent], did[c.first + doc[sent]], 0, spare[sent])
 
-    def sets_of(texts: pa.ChunkedArray) -> list[np.ndarray]:
-        out = []
-        for c in chunks(texts):
-            value, first = shingle_sets(c, n)
-            out += [value[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        return out
+    def sets_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        return joined_sets(shingle_sets(c, n) for c in chunks(texts))
 
     digests = rows.where("length(text) > 0").select("did", F.unhex(F.md5("text")).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("did").alias("a"), F.count("*").alias("n")).where("n > 1")
@@ -126,7 +118,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     copies = materialize(digests.join(least, "digest").select("a", F.col("did").alias("b")).where("a <> b").join(blank.select(F.col("did").alias("b")), "b", "left_anti").distinct(), "copies")
     candidates = connected_components(stars(rows, keys, partitions))
     members = materialize(candidates.withColumnRenamed("node", "did").join(copies.select(F.col("b").alias("did")), "did", "left_anti"), "members")
-    links = group_links(rows, members, sets_of, percent, partitions)
+    links = group_links(rows, members, sets_of, percent, partitions, shortcut)
     found = connected_components(links.union(copies))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,9 +9,13 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -24,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that it need not be installed there."""
+    """Give the executors this package, once per application, so that it need not be installed there, and have Arrow batches
+    of at most 2000 rows, unless the session names another number than Spark's default."""
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default: of long texts a few thousand fill tens of MB at either end
+        spark.conf.set(_BATCH, "2000")
     context = spark.sparkContext
     if getattr(context, "_emberlog_shipped", False):
         return
@@ -69,16 +76,17 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def packed_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[pa.Table]:
-    """Like ``sorted_groups``, but whole groups are packed into tables of about ``rows`` rows, so that vectorised code
-    has long arrays to work on."""
+def packed_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 4096, size: int = 1 << 62, sized: str = "") -> Iterator[pa.Table]:
+    """Like ``sorted_groups``, but whole groups are packed into tables of about ``rows`` rows, or ``size`` bytes of column
+    ``sized``, so that vectorised code has long arrays to work on."""
     held: list[pa.Table] = []
-    n = 0
+    n = weight = 0
     for group in sorted_groups(batches, key):
-        held.append(group)
-        n += group.num_rows
-        if n >= rows:
+        more = sum(pc.sum(pc.binary_length(c)).as_py() or 0 for c in group[sized].chunks) if sized else 0
+        if held and (n + group.num_rows > rows or weight + more > size):
             yield pa.concat_tables(held)
-            held, n = [], 0
+            held, n, weight = [], 0, 0
+        held.append(group)
+        n, weight = n + group.num_rows, weight + more
     if held:
         yield pa.concat_tables(held)

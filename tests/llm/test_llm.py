@@ -137,7 +137,7 @@ def test_ngram_components(docs, n, percent):
 
 
 def test_groups_dealt_to_several_tasks(docs, monkeypatch):
-    monkeypatch.setattr(linking, "_GROUP", 3)
+    monkeypatch.setattr(linking, "_PART_ROWS", 3)
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(0, 60, 5)]
     whole = ngram_join.ngram_components(docs(texts), 2, 85).collect()
@@ -403,3 +403,59 @@ def test_pipeline_keeps_one_row_of_a_group_whatever_the_ids(docs, spark):
 
 def test_hashes_of_kept_text_follow_the_contract(spark):
     assert spark.range(1).select(F.sha2(F.lit("a b"), 256).alias("h")).first().h == hashlib.sha256(b"a b").hexdigest()
+
+
+def _sets(rng, n, size):
+    """Random sets, each third one a near copy of the one before, as values and bounds."""
+    made: list[np.ndarray] = []
+    for i in range(n):
+        if i % 3 == 2:
+            made.append(np.unique(np.append(made[-1][1:], rng.integers(1 << 50, dtype=np.uint64) << np.uint64(14))))
+        else:
+            made.append(np.unique(rng.integers(1 << 50, size=rng.integers(*size), dtype=np.uint64) << np.uint64(14)))
+    return made, textvec.joined_sets((x, np.array([0, len(x)])) for x in made)
+
+
+@pytest.mark.parametrize("shortcut", [True, False])
+def test_trees_link_what_all_pairs_link(shortcut):
+    rng = np.random.default_rng(3)
+    made, (value, first) = _sets(rng, 180, (0, 60))
+    group = np.arange(180) // 60
+    side = rng.integers(2, size=180)
+    for sides in (None, side):
+        want = set()
+        for i in range(180):
+            for j in range(i):
+                shared = len(np.intersect1d(made[i], made[j]))
+                if group[i] == group[j] and shared and shared * 100 >= 80 * (len(made[i]) + len(made[j]) - shared) and (sides is None or sides[i] != sides[j] or shortcut):
+                    want.add((i, j))
+        got, right = linking._Union(180), linking._Union(180)
+        found = linking.tree_links(value, first, group, 80, sides, shortcut)
+        assert all((max(p), min(p)) in want for p in found)
+        for p in found:
+            got.join(*p)
+        for p in want:
+            if sides is None or sides[p[0]] != sides[p[1]]:
+                right.join(*p)
+        assert {(got.find(i), i) for i in range(180)} >= {(right.find(i), i) for i in range(180)} if sides is None else all(got.find(i) == got.find(j) for i, j in want if sides[i] != sides[j])
+
+
+def test_trees_alone_link_near_documents(docs):
+    texts = corpus(2)
+    one, two = (sorted(map(tuple, ngram_join.ngram_components(docs(texts), 3, 90, shortcut=s).collect())) for s in (True, False))
+    assert one == two and len({c for *_, c in one}) < len(texts)
+
+
+def test_large_loose_group_meets_part_by_part(spark, monkeypatch):
+    """A candidate group far larger than a part, of pairs that have nothing in common with others."""
+    monkeypatch.setattr(linking, "_PART_ROWS", 1500)
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("did"), F.expr("concat_ws(' ', transform(sequence(1, 12), i -> concat('w', id div 2, '_', i)), if(id % 2 = 0, 'x', 'y'))").alias("text"))
+    members = rows.select("did", F.lit(0).cast("long").alias("root"))
+
+    def sets_of(column):
+        return textvec.joined_sets(ngram_join.shingle_sets(c, 1) for c in textvec.chunks(column))
+
+    links = linking.group_links(rows, members, sets_of, 80, 4)
+    got = {r.node: r.root for r in components.connected_components(links).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
