@@ -1,9 +1,11 @@
 """Nearest neighbours through an inverted multi-index.
 
-The two halves of each vector are quantised apart, so k centroids a half make k * k cells. A query visits cells in order
-of the summed distance of their two centroids, taken from a heap, until the cells it has seen hold enough entries. The
-entries of these cells are reranked by their exact cosine. How many entries are enough is measured, not guessed: a
-bounded set of queries is searched by brute force, and their true neighbours tell how far the traversal must go.
+The two halves of each vector are quantised apart, so k centroids a half make k * k cells, each with a list of entries.
+Lists lie in blocks of bounded size by their first centroid; a cell with more entries is split over several. A query visits
+cells in order of the summed distance of their two centroids, taken from a heap, until the cells it has seen hold enough
+entries. It goes to the blocks that hold some of its cells and no others, looks these cells' lists up there, and reranks
+their entries by exact cosine. How many entries are enough is measured, not guessed: a bounded set of queries is searched
+by brute force, and their true neighbours tell how far the traversal must go.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import materialize, shuffle_partitions
+from .textvec import ranges
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -74,6 +77,27 @@ def traverse(d1: np.ndarray, d2: np.ndarray) -> Iterator[tuple[float, int, int]]
             heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
 
 
+class Blocks:
+    """Where the lists of the cells lie: of each first centroid its first block, in how many its entries are split by a
+    hash, and which centroids share it. Two small arrays, whatever the number of entries."""
+
+    def __init__(self, held: np.ndarray, rows: int) -> None:
+        total = held.sum(axis=1)
+        self.split = np.maximum(-(-total // rows), 1)
+        self.first = np.zeros(len(total), np.int64)
+        self.low: list[int] = []  # per block, its first centroid
+        room = 0
+        for c, (n, parts) in enumerate(zip(total.tolist(), self.split.tolist(), strict=True)):
+            if parts > 1 or n > room:
+                self.low += [c] * parts
+                room = rows if parts == 1 else 0
+            self.first[c] = len(self.low) - parts
+            room -= n
+
+    def of(self, c1: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.first[c1] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % self.split[c1]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part: not null, not zero, of finite components, of the commonest length."""
     v = F.col(vector_col).cast("array<double>")
@@ -83,7 +107,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (common[0]["n"] if common else 0))
 
 
-def nearest_neighbours(vectors: DataFrame, top: int = 5, every: int = 50, recall: float = 0.95, sample_rows: int = 20_000, probe_rows: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, top: int = 5, every: int = 50, recall: float = 0.95, sample_rows: int = 20_000, probe_rows: int = 100, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its ``top`` nearest other rows by
     cosine in double precision, nearest first, ties to the smaller id; all candidates if there are fewer.
 
@@ -94,7 +118,6 @@ def nearest_neighbours(vectors: DataFrame, top: int = 5, every: int = 50, recall
     gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    blocks = shuffle_partitions(spark)
     good = usable(vectors, id_col, vector_col)
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = materialize(good.withColumn("r", rank).where(F.col("r") <= top + 1).drop("r"), "vectors")
@@ -103,7 +126,7 @@ def nearest_neighbours(vectors: DataFrame, top: int = 5, every: int = 50, recall
     n = entries.count()
     if not n:
         return spark.createDataFrame([], schema)
-    k = int(np.clip(round((n / 8) ** 0.5), 2, 512))
+    k = int(np.clip(round((n / 4) ** 0.5), 2, 512))
     by_hash = lambda x, m: [(r.vec_id, np.array(r.v)) for r in x.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(m).collect()]
     centroids = fit_halves(np.array([v for _, v in by_hash(entries, sample_rows)]), k)
     k = min(len(c) for c in centroids)
@@ -149,55 +172,75 @@ def nearest_neighbours(vectors: DataFrame, top: int = 5, every: int = 50, recall
                 break
     enough = max(int(np.quantile(depths, recall, method="higher")) if depths else n, 4 * top)
 
+    layout = Blocks(held, block_rows)
+
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The summed distance of the last cell that each query visits."""
+        """The cells that each query visits, a row for each block that holds some of them: numbers c1 * k + c2."""
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for i, q in enumerate(_matrix(batch.column(1))):
+                seen, visited = 0, []
+                for _, a, b in traverse(*half_distances(q, centroids)):
+                    if held[a, b]:
+                        seen += int(held[a, b])
+                        visited.append(a * k + b)
+                        if seen >= enough:
+                            break
+                cells = np.sort(np.array(visited, np.int64))
+                block = layout.first[cells // k]
+                cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cells)], strict=True):
+                    for part in range(int(layout.split[cells[a] // k])):
+                        for column, value in zip(out, (int(block[a]) + part, batch.column(0)[i].as_py(), i, cells[a:b].astype(np.int32).tobytes()), strict=True):
+                            column.append(value)
+            columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), batch.column(1).take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "vec_id", "v", "cells"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = []
-            for q in _matrix(batch.column(1)):
-                seen = 0
-                for d, a, b in traverse(*half_distances(q, centroids)):
-                    seen += int(held[a, b])
-                    if seen >= enough:
-                        break
-                last.append(d)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(last, pa.float64())], ["vec_id", "v", "last"])
-
-    planned = queries.mapInArrow(plan, "vec_id long, v array<double>, last double")
-    one = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "v", "c1", "c2", F.lit(None).cast("double").alias("last"))
-    none = F.lit(None).cast("int")
-    two = planned.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "v", none.alias("c1"), none.alias("c2"), "last")
+            ids, c1, c2 = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(layout.of(c1, ids)), batch.column(0), batch.column(1), pa.array((c1 * k + c2).astype(np.int32))], ["block", "vec_id", "v", "cell"])
+
+    lists = index.mapInArrow(place, "block long, vec_id long, v array<double>, cell int")
+    visits = queries.mapInArrow(plan, "block long, vec_id long, v array<double>, cells binary")
+    one = lists.select("block", "cell", "vec_id", "v", F.lit(None).cast("binary").alias("cells"))
+    two = visits.select("block", F.lit((1 << 31) - 1).alias("cell"), "vec_id", "v", "cells")  # queries come after the lists
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_block: list[pa.RecordBatch] = []
-        block, ready = None, False
+        block, held_block, ready = None, [], False
         for batch in batches:
-            blocks_, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(1 + np.flatnonzero((blocks_[1:] != blocks_[:-1]) | (kinds[1:] != kinds[:-1]))).tolist(), len(kinds)]
+            at_block, is_query = batch.column(0).to_numpy(), batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(1 + np.flatnonzero((at_block[1:] != at_block[:-1]) | (is_query[1:] != is_query[:-1]))).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if blocks_[a] != block:
-                    block, held_block, ready = blocks_[a], [], False
+                if at_block[a] != block:
+                    block, held_block, ready = at_block[a], [], False
                 part = batch.slice(a, b - a)
-                if kinds[a] == 0:
+                if not is_query[a]:
                     held_block.append(part)
                     continue
                 if not held_block:
                     continue
                 if not ready:
                     own = pa.Table.from_batches(held_block)
-                    ids, x = own["vec_id"].to_numpy(), _matrix(own["v"].combine_chunks())
-                    c1, c2, ready = own["c1"].to_numpy(), own["c2"].to_numpy(), True
-                rows = []
-                for query, q, last in zip(part.column(2).to_numpy(), _matrix(part.column(3)), part.column(6).to_numpy(), strict=True):
-                    d1, d2 = half_distances(q, centroids)
-                    at = np.flatnonzero(d1[c1] + d2[c2] <= last)  # the cells visited
+                    ids, cell, x, ready = own["vec_id"].to_numpy(), own["cell"].to_numpy(), _matrix(own["v"].combine_chunks()), True
+                    unit = _unit(x)
+                out: list[list] = [[], [], []]
+                for query, q, cells in zip(part.column(2).to_numpy().tolist(), _matrix(part.column(3)), part.column(4), strict=True):
+                    wanted = np.frombuffer(cells.as_buffer(), np.int32)
+                    low, high = np.searchsorted(cell, wanted), np.searchsorted(cell, wanted, side="right")
+                    at = ranges(low, high - low)
+                    if len(at) > 8 * top:  # of those far from the best in plain arithmetic no exact cosine is needed
+                        near = unit[at] @ (q / np.sqrt((q * q).sum()))
+                        at = at[near >= np.partition(near, len(at) - top - 1)[len(at) - top - 1] - 1e-9]
                     got, score = best(x[at], ids[at], q, query)
-                    rows.append((query, [{"s": -s, "i": int(i)} for s, i in zip(score.tolist(), ids[at][got].tolist(), strict=True)]))
-                kind = pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind)], ["query_id", "found"])
-
-    found = one.union(two).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(search, "query_id long, found array<struct<s:double,i:long>>")
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, top).alias("found"))
-    out = merged.select("query_id", F.posexplode("found").alias("p", "x"))
-    return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+                    out[0] += [query] * len(got)
+                    out[1] += ids[at][got].tolist()
+                    out[2] += score.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    blocks = max(len(layout.low), shuffle_partitions(spark))
+    found = one.union(two).repartition(min(blocks, 100_000), "block").sortWithinPartitions("block", "cell").mapInArrow(search, "query_id long, vec_id long, score double")
+    nearest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", nearest.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
