@@ -51,8 +51,8 @@ def no_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often, in which epoch and block, each document is taken, so that source weights reach 98 % of the greatest
-    entropy."""
-    return mix(docs, entropy=0.98, most_epochs=None)
+    entropy and nothing is taken over a hundred times."""
+    return mix(docs, entropy=0.98, most_epochs=100.0)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
