@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .textvec import LOWER, chunks, mix, words
 
@@ -104,25 +104,34 @@ class QualityModel:
         return 1 / (1 + np.exp(np.clip((logs[0] - logs[1]) * self.temper, -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, shrink: float = 0.3, ridge: float = 0.005, temper: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fit on all rows of ``docs`` that ``labels`` (doc_id, quality) names and whose crc32 of the id modulo 4 isn't 2.
-
-    Only sums go to the driver: two classes times the squared number of statistics. ``shrink`` moves each covariance
-    towards the pooled one, ``ridge`` adds to its diagonal a part of the pooled variances; ``temper`` flattens the
-    log-density difference, as the statistics aren't normal in fact. Without labels of both classes the score is the
-    smoothed share of class 1.
-    """
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x) with the statistics of every row's whole text."""
     d = len(STATISTICS)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float64()))], ["did", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float64()))], [id_col, "x"])
+
+    rows = docs.select(id_col, text_col)
+    return rows.mapInArrow(stats, StructType([rows.schema[0], StructField("x", ArrayType(DoubleType()))]))
+
 
+def fit(docs: DataFrame, labels: DataFrame, shrink: float = 0.3, ridge: float = 0.005, temper: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+    """Fit on all rows of ``docs`` that ``labels`` (doc_id, quality) names and whose crc32 of the id modulo 4 isn't 2.
+
+    ``docs`` may be what ``measured`` has made of them. Only sums go to the driver: two classes times the squared number
+    of statistics. ``shrink`` moves each covariance towards the pooled one, ``ridge`` adds to its diagonal a part of the
+    pooled variances; ``temper`` flattens the log-density difference, as the statistics aren't normal in fact. Null ids
+    have no label; rows that repeat an id count each; of several labels of an id the greatest counts. Without labels of
+    both classes, or without rows, the score is the smoothed share of class 1.
+    """
+    d = len(STATISTICS)
     wanted = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("did")).agg(F.max("quality").alias("y"))
     held = F.crc32(F.col(id_col).cast("string")) % 4 == 2
-    known = docs.where(F.col(id_col).isNotNull() & ~held).select(F.col(id_col).cast("long").alias("did"), text_col)
-    joined = known.mapInArrow(stats, "did long, x array<double>").join(wanted, "did").select("y", "x")
+    known = docs.where(F.col(id_col).isNotNull() & ~held)
+    known = known if text_col not in docs.columns else measured(known, id_col, text_col)
+    joined = known.select(F.col(id_col).cast("long").alias("did"), "x").join(wanted, "did").select("y", "x")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + d + d * d))
@@ -155,13 +164,16 @@ def fit(docs: DataFrame, labels: DataFrame, shrink: float = 0.3, ridge: float =
 
 
 def with_score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """All rows and columns of ``docs`` and the score of each whole text, 0 to 1. Null and empty texts get one too. A
-    column named like the score is replaced."""
+    """All rows and columns of ``docs`` and the score of each whole text, 0 to 1; ``docs`` may be what ``measured`` has made
+    of them. Null and empty texts get one too, repeated rows the same one; an empty table gives an empty one. A column
+    named like the score is replaced."""
     docs = docs.drop(score_col)
-    at = docs.columns.index(text_col)
+    given = text_col not in docs.columns  # rows that are measured already
+    at = docs.columns.index("x" if given else text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(batch.column(at))))], [*batch.schema.names, score_col])
+            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)) if given else statistics(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))

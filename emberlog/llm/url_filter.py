@@ -13,6 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
+_FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "value_length", "hyphens", "fragment", "secure", "suffix_rate", "suffix_log_count"]
 
@@ -74,31 +77,38 @@ def lexical_features(urls: DataFrame, url_col: str = "url") -> DataFrame:
     )
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", most_training_rows: int = 20_000, rounds: int = 10, depth: int = 4, seed: int = 17) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", most_training_rows: int = 20_000, rounds: int = 10, depth: int = 4, seed: int = 17, learn: Column | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, block_score) for every row.
 
-    The trees learn from urls that a rule decides, at most ``most_training_rows`` of them, chosen by a hash of the url;
-    suffix statistics count all rows, and their labels all rows that a rule decides. The trees judge the others, which are blocked at a score of 0.5 or more. Where rules label no url, or all alike, the score
-    is that label's smoothed share. Null urls and urls without ``://`` have an empty host and path and no rule; repeated
-    rows each get their row; an empty table gives an empty one; other columns are ignored.
+    The trees learn from urls that a rule decides, at most ``most_training_rows`` of them, chosen by a hash of the url, and
+    judge the others, which are blocked at a score of 0.5 or more. Suffix statistics count all rows, and their labels all
+    rows that a rule decides; for a url to learn from, they leave out the fifth of the urls that it belongs to, so that no
+    row meets its own label. ``learn`` narrows the rows whose labels are used, to hold some out. Where rules label no url,
+    or all alike, the score is that label's smoothed share. Null urls and urls without ``://`` have an empty host and path
+    and no rule; repeated rows each get their row; an empty table gives an empty one; other columns are ignored.
     """
-    base = pages.select(F.col(id_col), F.col(url_col).alias("__url")).withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
+    base = pages.select(F.col(id_col), F.col(url_col).alias("__url"), (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))).alias("__learn"))
+    base = base.withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
     rule, ruled = matched_rule(F.col("host"), F.col("path"), rules)
     base = lexical_features(base.withColumns({"rule": rule, "ruled": ruled}), "__url")
-    base = base.withColumn("label", (F.col("ruled") == "block").cast("double"))
-    sample = base.where("ruled is not null").orderBy(F.xxhash64("__url", F.lit(seed))).limit(most_training_rows).drop(id_col, "host", "path", "rule").cache()
-    counted = base.groupBy("suffix").agg(F.count("*").alias("rows"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("block")).cache()
+    base = base.withColumns({"label": F.when(F.col("__learn"), (F.col("ruled") == "block").cast("double")), "fold": F.pmod(F.xxhash64("__url", F.lit(seed + 1)), F.lit(_FOLDS))})
+    sample = materialize(base.where("label is not null").orderBy(F.xxhash64("__url", F.lit(seed))).limit(most_training_rows).drop(id_col, "host", "path", "rule", "ruled"), "urls")
+    folds = materialize(base.groupBy("suffix", "fold").agg(F.count("*").alias("rows"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("block")), "suffixes")
+    counted = folds.groupBy("suffix").agg(*(F.sum(c).alias(c) for c in ("rows", "n", "block")))
     counts = counted.agg(F.sum("n").alias("n"), F.sum("block").alias("block")).first()
     prior = ((counts["block"] or 0.0) + 1) / ((counts["n"] or 0) + 2)
-    suffixes = counted.select("suffix", ((F.col("block") + 20 * prior) / (F.col("n") + 20)).alias("suffix_rate"), F.log1p("rows").alias("suffix_log_count"))
-    known = lambda x: x.join(suffixes, "suffix", "left").fillna({"suffix_rate": prior, "suffix_log_count": 0.0})
+    rate = lambda block, n: (block + 20 * prior) / (n + 20)
+    others = counted.select("suffix", F.col("n").alias("all_n"), F.col("block").alias("all_block"), F.log1p("rows").alias("suffix_log_count")).join(folds.select("suffix", "fold", "n", "block"), "suffix")
+    others = others.select("suffix", "fold", rate(F.col("all_block") - F.col("block"), F.col("all_n") - F.col("n")).alias("suffix_rate"), "suffix_log_count")
+    suffixes = counted.select("suffix", rate(F.col("block"), F.col("n")).alias("suffix_rate"), F.log1p("rows").alias("suffix_log_count"))
+    known = base.join(suffixes, "suffix", "left")
     learnt = sample.agg(F.count("*").alias("n"), F.sum("label").alias("block")).first()
     if not 0 < (learnt["block"] or 0.0) < learnt["n"]:
-        scored = known(base).withColumn("block_score", F.lit(prior))
+        scored = known.withColumn("block_score", F.lit(prior))
     else:
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
         trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=seed, checkpointInterval=-1)
-        model = trees.fit(assembler.transform(known(sample)).select("features", "label"))
-        scored = model.transform(assembler.transform(known(base))).withColumn("block_score", vector_to_array("probability")[1])
+        model = trees.fit(assembler.transform(sample.join(others, ["suffix", "fold"])).select("features", "label"))
+        scored = model.transform(assembler.transform(known)).withColumn("block_score", vector_to_array("probability")[1])
     verdict = F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return scored.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "block_score")
