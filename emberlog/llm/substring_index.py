@@ -18,14 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows
-from .shared import shared_dir, shuffle_partitions
+from .shared import materialize, remove, shared_dir, shuffle_partitions
 from .textvec import SPACE, Chunk, chunks, gram_hash, mix, prefix_hash, stretch_hash, winnow, words
 
 _ENTRY = "key long, id long, sig long, at long"
+_HELD = 400_000  # fingerprints that a task looks at together
 
 
 class FingerprintIndex:
-    """Runs of sorted fingerprints; ``add`` joins a batch with the history and takes it in, ``compact`` merges runs."""
+    """Runs of sorted fingerprints; ``add`` joins a batch with the history and takes it in, ``compact`` merges runs.
+
+    A run is a bucketed table in the shared folder. Its rows are entries (key, id, sig, at) with ``kind``: 0, or 1 for a
+    key that is known to be repeated, or 2 for another entry of such a key. Those of kind 2 need no meeting; they lie under
+    a number of their own (``spot``), so that a key of very many entries doesn't fill a bucket.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan: int = 2) -> None:
         self.spark, self.fan = spark, fan
@@ -35,45 +41,89 @@ class FingerprintIndex:
 
     def _write(self, entries: DataFrame, level: int) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        entries.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/{name}").saveAsTable(name)
+        entries.write.bucketBy(self.buckets, "spot").sortBy("spot").option("path", f"{self.path}/{name}").saveAsTable(name)
         self.runs.append((level, name))
         return name
 
-    def _places(self, run: str) -> DataFrame:
-        """Of each fingerprint of a run, two places that differ if any do."""
-        place = F.struct("sig", "at")
-        return self.spark.table(run).groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, f"{self.path}/{name}")
 
     def _also_in(self, run: str, other: str) -> DataFrame:
         """Entries of ``run`` whose fingerprint ``other`` has at another place; copies of one text don't count."""
         place = F.struct("sig", "at")
-        return self.spark.table(run).join(self._places(other), "key").where((place != F.col("low")) | (place != F.col("high"))).select("key", "id", "sig", "at")
+        places = self.spark.table(other).where("kind < 2").groupBy("spot").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("kind").alias("known"))
+        mine = self.spark.table(run).where("kind < 2")
+        return mine.join(places, "spot").where((F.col("known") > 0) | (place != F.col("low")) | (place != F.col("high"))).select("id", "sig", "at")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take in a batch of entries (key, id, sig, at). Returns the entries, new and old, that it shows to be repeated."""
+        """Take in a batch of entries (key, id, sig, at). Returns the places (id, sig, at) of entries, new and old, that it
+        shows to be repeated; some may have been told of with earlier batches."""
         old = [name for _, name in self.runs]
-        new = self._write(batch.repartition(self.buckets, "key"), 0)
-        found = [self._also_in(new, new)]
+        new = self._write(settled(batch).repartition(self.buckets, "spot"), 0)
+        found = [self._also_in(new, new), self.spark.table(new).where("kind > 0").select("id", "sig", "at")]
         for run in old:
             found += [self._also_in(new, run), self._also_in(run, new)]
+        hits = materialize(reduce(DataFrame.union, found), "hits")  # so nothing reads runs that are merged away
         self.compact()
-        return reduce(DataFrame.union, found)
+        return hits
 
     def compact(self) -> None:
-        """Merge the runs of each level that holds ``fan`` of them into one run of the next level. Runs share their
-        buckets, so bucket meets bucket and nothing is shuffled."""
+        """Merge the runs of each level that holds ``fan`` of them into one run of the next level, and delete them. Runs
+        share their buckets, so bucket meets bucket and nothing is shuffled."""
         level = 0
         while True:
             same = [name for at, name in self.runs if at == level]
             if len(same) >= self.fan:
                 self._write(reduce(DataFrame.union, [self.spark.table(x) for x in same]), level + 1)
                 for x in same:
-                    self.spark.sql(f"DROP TABLE {x}")  # the files stay: hits of earlier batches still read them
+                    self._drop(x)
                 self.runs = [x for x in self.runs if x[1] not in same]
             if level >= max(at for at, _ in self.runs):
                 return
             level += 1
 
+    def close(self) -> None:
+        """Drop all runs. An index that is to serve later batches stays open."""
+        for _, name in self.runs:
+            self._drop(name)
+        self.runs = []
+        remove(self.spark, self.path)
+
+
+def settled(entries: DataFrame) -> DataFrame:
+    """Entries with ``spot`` and ``kind``: of a key that a task holds at several places, one entry goes on to meet others,
+    known to be repeated, and the rest need not. Of copies of a text, the one of the least id stands for all."""
+
+    def mark(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        key, ident, sig, at = (table.column(i).to_numpy() for i in range(4))
+        order = np.lexsort((ident, at, sig, key))
+        key, ident, sig, at = (x[order] for x in (key, ident, sig, at))
+        once = np.append(True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (at[1:] != at[:-1]))
+        key, ident, sig, at = (x[once] for x in (key, ident, sig, at))
+        new = np.append(True, key[1:] != key[:-1])
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(key)) - 1
+        group = np.cumsum(new) - 1
+        several = ((sig[begin] != sig[end]) | (at[begin] != at[end]))[group]
+        kind = np.where(several, np.where(new, 1, 2), 0).astype(np.int32)
+        spot = np.where(kind == 2, mix(ident.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64), key)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (spot, ident, sig, at, kind)], ["spot", "id", "sig", "at", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= _HELD:
+                yield mark(held)
+                held, n = [], 0
+        if n:
+            yield mark(held)
+
+    return entries.mapInArrow(run, "spot long, id long, sig long, at long, kind int")
+
 
 def fingerprints(keyed_docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Winnowed fingerprints of all windows of ``length`` words: (key, id, sig, at), ``at`` counting words."""
@@ -151,6 +201,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, gram: int = 8, batches: i
     for k in range(batches):
         batch = rows.where(F.pmod(F.xxhash64("did"), F.lit(batches)) == k)
         hits.append(index.add(fingerprints(batch.select("did", "sig", "text"), length, gram)))
+    index.close()
     found = reduce(DataFrame.union, hits)  # an entry may be found again with a later batch; ``context_rows`` minds that
 
     reach = length - gram
@@ -163,7 +214,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, gram: int = 8, batches: i
         key = mix(gram_hash(prefix_hash(w.hash), gram)[at]).view(np.int64)
         return [text[a:b] for a, b in zip(w.start[low].tolist(), w.end[high - 1].tolist(), strict=True)], at - low, high - at, key
 
-    spans = windows.spans(windows.context_rows(rows, found.drop("key"), cut), length, lambda t: repeated_word_windows(t, length, gram), shuffle_partitions(spark))
+    spans = windows.spans(windows.context_rows(rows, found, cut), length, lambda t: repeated_word_windows(t, length, gram), shuffle_partitions(spark))
     whole = windows.with_spans(rows, spans, windows.copies(rows))
     cover, runs_of = windows.cover, windows.runs_of
 

@@ -44,7 +44,8 @@ def context_rows(keyed_docs: DataFrame, anchors: DataFrame, cut: Callable[[bytes
     keyed = "key" in anchors.columns
     place = F.struct(F.col("at").cast("int").alias("at"), *(["key"] if keyed else []))
     wanted = anchors.groupBy(F.col("id").alias("did"), "sig").agg(F.collect_list(place).alias("anchors"))
-    both = keyed_docs.join(wanted, ["did", "sig"], "left").select("did", "sig", "text", "anchors")
+    # all columns go along, so that ``with_spans`` can reuse this shuffle of the texts
+    both = keyed_docs.join(wanted, ["did", "sig"], "left").select("did", "sig", "text", "anchors", "no_id")
 
     def batch_of(rows: list[list]) -> pa.RecordBatch:
         seen: dict[tuple[int, bytes, int], int] = {}
