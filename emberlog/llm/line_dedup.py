@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .linking import group_links
-from .repeats import entries, stars
+from .repeats import entries, plain_stars
 from .shared import materialize, shuffle_partitions
 from .textvec import LOWER, SPACE, Chunk, Words, byte_prefix, chunks, distinct_sets, gram_hash, joined_sets, mix, ranges, stretch_hash
 from .windows import keyed
@@ -141,7 +141,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col
             at, key = band_keys(value, line, len(lid))
             yield entries(key, lid[at])
 
-    candidates = connected_components(stars(rows, keys, partitions))
+    candidates = connected_components(plain_stars(rows, keys, partitions))
     members = materialize(candidates.withColumnRenamed("node", "did"), "members")
     sieve = spark.sparkContext.broadcast(_bloom(members))
 

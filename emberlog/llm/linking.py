@@ -271,6 +271,8 @@ def group_links(rows: DataFrame, members: DataFrame, sets_of: Sets, percent: int
     roots = connected_components(links).select("node", F.col("root").alias("now"))
     now = held.join(large.select("root"), "root", "left_semi").join(roots, F.col("did") == F.col("node"), "left").select("root", "did", "text", F.coalesce("now", "did").alias("now"))
     now = materialize(now, "now")
-    split = now.groupBy("root").agg(F.min("now").alias("a"), F.max("now").alias("b")).where("a < b").select("root")
+    split = materialize(now.groupBy("root").agg(F.min("now").alias("a"), F.max("now").alias("b")).where("a < b").select("root"), "split")
+    if not split.limit(1).count():
+        return links
     loose = now.join(split, "root", "left_semi")
     return links.union(materialize(_links(_part_pairs(loose, sets_of, percent), sets_of, percent, partitions, shortcut), "links"))

@@ -123,12 +123,41 @@ def repeated(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[np.n
     return _exchange(df, entries_of, local, meet, partitions, "key long, id long, sig long, at long")
 
 
+def plain_stars(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], partitions: int) -> DataFrame:
+    """Rows (a, b), a < b, that connect all ids that share a key. A task links the ids of a key to the least of them, and
+    only that one travels on to meet those of other tasks."""
+
+    def linked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least row of each key, and the links to it."""
+        rows = rows[np.lexsort((rows["id"], rows["key"]))]
+        new = _changes(rows["key"])
+        hub = rows["id"][new][np.cumsum(new) - 1]
+        far = hub < rows["id"]
+        links = np.unique(np.stack([hub[far], rows["id"][far]], axis=1), axis=0)
+        return rows[new], links
+
+    def local(rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+        least, links = linked(rows)
+        a, b = _blocks(least, b"\x00", parts)
+        c, d = _blocks(_pairs(links[:, 0].astype(np.uint64), links[:, 1]), b"\x01", parts, "id")
+        yield _batch(a + c, b + d)
+
+    def meet(got: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, PAIR)
+        settled, (_, links) = got.get(1, none), linked(got.get(0, none))
+        every = np.concatenate([links, np.stack([settled["key"].view(np.int64), settled["id"]], axis=1)])
+        for a in range(0, len(every), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(every[a : a + 50_000, i]) for i in (0, 1)], ["a", "b"])
+
+    return _exchange(df, entries_of, local, meet, partitions, "a long, b long", PAIR)
+
+
 def stars(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], partitions: int, often: int = 20) -> DataFrame:
     """Rows (a, b), a < b, that link every id to the least id that shares a key with it: ids with a common key are
     connected, through one edge per id and key instead of all pairs.
 
     The ``at`` of an entry tells twice how many keys its id shares with any partner that matters, plus a class (0 or 1)
-    within which that holds. With 0 all keys count, and each links its ids to the least of them. Else pairs are counted:
+    within which that holds. With 0 all keys of the id count, and each links its ids to the least of them. Else pairs are counted:
     keys of more than ``often`` ids are frequent; a pair makes an edge if the other keys that it shares and the frequent
     ones that it may share are as many as it has to. Pairs that share frequent keys alone are those of ids that both have
     as many frequent keys as they share, and these are linked to the least id of each.
