@@ -141,7 +141,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col
             at, key = band_keys(value, line, len(lid))
             yield entries(key, lid[at])
 
-    candidates = connected_components(plain_stars(rows, keys, partitions))
+    # written first: two Python steps in one stage would take two workers a core
+    candidates = connected_components(materialize(plain_stars(rows, keys, partitions), "stars"))
     members = materialize(candidates.withColumnRenamed("node", "did"), "members")
     sieve = spark.sparkContext.broadcast(_bloom(members))
 

@@ -21,7 +21,7 @@ from . import windows
 from .shared import materialize, remove, shared_dir, shuffle_partitions
 from .textvec import SPACE, Chunk, chunks, gram_hash, mix, prefix_hash, stretch_hash, winnow, words
 
-_ENTRY = "key long, id long, sig long, at long"
+_RUN = "spot long, id long, sig long, at long, kind int"
 _HELD = 400_000  # fingerprints that a task looks at together
 
 
@@ -57,10 +57,11 @@ class FingerprintIndex:
         return mine.join(places, "spot").where((F.col("known") > 0) | (place != F.col("low")) | (place != F.col("high"))).select("id", "sig", "at")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take in a batch of entries (key, id, sig, at). Returns the places (id, sig, at) of entries, new and old, that it
+        """Take in a batch of entries (key, id, sig, at), or of what ``fingerprints`` has made of them. Returns the places (id, sig, at) of entries, new and old, that it
         shows to be repeated; some may have been told of with earlier batches."""
         old = [name for _, name in self.runs]
-        new = self._write(settled(batch).repartition(self.buckets, "spot"), 0)
+        settled = batch if "kind" in batch.columns else batch.mapInArrow(_settle, _RUN)
+        new = self._write(settled.repartition(self.buckets, "spot"), 0)
         found = [self._also_in(new, new), self.spark.table(new).where("kind > 0").select("id", "sig", "at")]
         for run in old:
             found += [self._also_in(new, run), self._also_in(run, new)]
@@ -91,45 +92,42 @@ class FingerprintIndex:
         remove(self.spark, self.path)
 
 
-def settled(entries: DataFrame) -> DataFrame:
-    """Entries with ``spot`` and ``kind``: of a key that a task holds at several places, one entry goes on to meet others,
-    known to be repeated, and the rest need not. Of copies of a text, the one of the least id stands for all."""
-
-    def mark(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        key, ident, sig, at = (table.column(i).to_numpy() for i in range(4))
-        order = np.lexsort((ident, at, sig, key))
-        key, ident, sig, at = (x[order] for x in (key, ident, sig, at))
-        once = np.append(True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (at[1:] != at[:-1]))
-        key, ident, sig, at = (x[once] for x in (key, ident, sig, at))
-        new = np.append(True, key[1:] != key[:-1])
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(key)) - 1
-        group = np.cumsum(new) - 1
-        several = ((sig[begin] != sig[end]) | (at[begin] != at[end]))[group]
-        kind = np.where(several, np.where(new, 1, 2), 0).astype(np.int32)
-        spot = np.where(kind == 2, mix(ident.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64), key)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (spot, ident, sig, at, kind)], ["spot", "id", "sig", "at", "kind"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= _HELD:
-                yield mark(held)
-                held, n = [], 0
-        if n:
-            yield mark(held)
-
-    return entries.mapInArrow(run, "spot long, id long, sig long, at long, kind int")
+def _mark(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Entries with ``spot`` and ``kind``: of a key at several places, one entry goes on to meet others, known to be
+    repeated, and the rest need not. Of copies of a text, the one of the least id stands for all."""
+    table = pa.Table.from_batches(batches)
+    key, ident, sig, at = (table.column(i).to_numpy() for i in range(4))
+    order = np.lexsort((ident, at, sig, key))
+    key, ident, sig, at = (x[order] for x in (key, ident, sig, at))
+    once = np.append(True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (at[1:] != at[:-1]))[: len(key)]
+    key, ident, sig, at = (x[once] for x in (key, ident, sig, at))
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(key)) - 1
+    several = ((sig[begin] != sig[end]) | (at[begin] != at[end]))[np.cumsum(new) - 1]
+    kind = np.where(several, np.where(new, 1, 2), 0).astype(np.int32)
+    spot = np.where(kind == 2, mix(ident.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64), key)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (spot, ident, sig, at, kind)], ["spot", "id", "sig", "at", "kind"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _HELD:
+            yield _mark(held)
+            held, n = [], 0
+    if n:
+        yield _mark(held)
 
 
 def fingerprints(keyed_docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Winnowed fingerprints of all windows of ``length`` words: (key, id, sig, at), ``at`` counting words."""
+    """Winnowed fingerprints of all windows of ``length`` words as the index keeps them (see ``_mark``); ``at`` counts
+    words."""
     width = length - gram + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, sig = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(2)):
@@ -139,7 +137,7 @@ def fingerprints(keyed_docs: DataFrame, length: int, gram: int) -> DataFrame:
                 doc = w.doc[place]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(grams[place]).view(np.int64), did[c.first + doc], sig[c.first + doc], place - w.first[doc])], ["key", "id", "sig", "at"])
 
-    return keyed_docs.mapInArrow(run, _ENTRY)
+    return keyed_docs.mapInArrow(lambda batches: _settle(found(batches)), _RUN)
 
 
 def _whole(column: pa.Array) -> Chunk:
