@@ -29,24 +29,25 @@ _BREAK = np.zeros(256, bool)
 _BREAK[10] = True
 
 
-def lines_of(chunk: Chunk) -> Words:
-    """Lines that hold more than white space; ``hash`` tells different lines apart."""
+def lines_of(chunk: Chunk) -> tuple[Words, np.ndarray]:
+    """Lines that hold more than white space, and the prefix hashes of the chunk's bytes with A-Z lower-cased. ``hash`` tells
+    different lines apart; lines that differ in the case of A-Z alone have the same shingles and count as one."""
+    prefix = byte_prefix(LOWER[chunk.data])
     breaks = np.flatnonzero(chunk.data == 10)
     cuts = np.unique(np.concatenate([chunk.start, chunk.end, breaks, breaks + 1]))
     start, end = cuts[:-1], cuts[1:]
     if not len(start):
         none = np.zeros(0, np.int64)
-        return Words(none, none, none, none.astype(np.uint64), np.zeros(len(chunk.end) + 1, np.int64))
+        return Words(none, none, none, none.astype(np.uint64), np.zeros(len(chunk.end) + 1, np.int64)), prefix
     solid = np.logical_or.reduceat(~SPACE[chunk.data], start)  # a break alone is white space
     start, end = start[solid], end[solid]
     doc = np.searchsorted(chunk.end, start, side="right")
-    value = mix(stretch_hash(byte_prefix(chunk.data), start, end))
-    return Words(start, end, doc, value, np.searchsorted(doc, np.arange(len(chunk.end) + 1)))
+    return Words(start, end, doc, mix(stretch_hash(prefix, start, end)), np.searchsorted(doc, np.arange(len(chunk.end) + 1))), prefix
 
 
-def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-byte shingles of stretches of lower-cased data, and the stretch of each; shorter ones are one."""
-    prefix = byte_prefix(LOWER[data])
+def shingle_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-byte shingles of stretches, and the stretch of each; shorter ones are one. ``prefix``: prefix hashes
+    of the bytes."""
     grams = gram_hash(prefix, k)
     count = np.maximum(end - start - k + 1, 0)
     short = np.flatnonzero(count == 0)
@@ -135,9 +136,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for c in chunks(batch.column(2)):
-            w = lines_of(c)
+            w, prefix = lines_of(c)
             lid, first = np.unique(w.hash.view(np.int64), return_index=True)
-            value, line = shingle_hashes(c.data, w.start[first], w.end[first], shingle)
+            value, line = shingle_hashes(prefix, w.start[first], w.end[first], shingle)
             at, key = band_keys(value, line, len(lid))
             yield entries(key, lid[at])
 
@@ -149,7 +150,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(2)):
-                w = lines_of(c)
+                w, _ = lines_of(c)
                 lid, first = np.unique(w.hash.view(np.int64), return_index=True)
                 likely = _known(lid, sieve.value)
                 lid, first = lid[likely], first[likely]
@@ -157,7 +158,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col
                 yield pa.RecordBatch.from_arrays([pa.array(lid), pa.array([data[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)], pa.binary())], ["did", "text"])
 
     def sets_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        return joined_sets(distinct_sets(*shingle_hashes(c.data, c.start, c.end, shingle), len(c.end)) for c in chunks(texts))
+        return joined_sets(distinct_sets(*shingle_hashes(byte_prefix(LOWER[c.data]), c.start, c.end, shingle), len(c.end)) for c in chunks(texts))
 
     likely = rows.mapInArrow(texts, "did long, text binary").dropDuplicates(["did"])
     links = group_links(likely, members, sets_of, percent, partitions)
@@ -167,7 +168,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col
         for batch in batches:
             did, sig = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(2)):
-                w = lines_of(c)
+                w, _ = lines_of(c)
                 breaks = np.append(0, np.cumsum(_BREAK[c.data]))
                 number = breaks[w.start] - breaks[c.start[w.doc]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.hash.view(np.int64), did[c.first + w.doc], sig[c.first + w.doc], number)], ["lid", "did", "sig", "number"])
@@ -198,7 +199,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, shingle: int = 8, id_col: st
     joined = keys.join(gone, ["did", "sig"], "left")
     text, cut = F.col("row")[text_col], F.col("gone")
     parts = F.split(text, "\n", -1)
-    solid = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    solid = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""
     kept = F.when(cut.isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(cut, i.cast("long"))), "\n"))
     columns = [kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return joined.select(*columns, F.coalesce(F.size(F.filter(parts, solid)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))

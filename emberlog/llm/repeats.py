@@ -129,12 +129,18 @@ def plain_stars(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[n
 
     def linked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least row of each key, and the links to it."""
-        rows = rows[np.lexsort((rows["id"], rows["key"]))]
-        new = _changes(rows["key"])
-        hub = rows["id"][new][np.cumsum(new) - 1]
-        far = hub < rows["id"]
-        links = np.unique(np.stack([hub[far], rows["id"][far]], axis=1), axis=0)
-        return rows[new], links
+        key = np.ascontiguousarray(rows["key"])
+        order = np.argsort(key)
+        key, ident = key[order], rows["id"][order]
+        begin = np.flatnonzero(_changes(key))
+        least = np.minimum.reduceat(ident, begin) if len(begin) else ident
+        hub = np.repeat(least, np.diff(np.append(begin, len(key))))
+        far = hub < ident
+        hub, ident = hub[far], ident[far]
+        order = np.lexsort((ident, hub))
+        hub, ident = hub[order], ident[order]
+        once = _changes(hub, ident) if len(hub) else np.zeros(0, bool)
+        return _pairs(key[begin], least), np.stack([hub[once], ident[once]], axis=1)
 
     def local(rows: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
         least, links = linked(rows)

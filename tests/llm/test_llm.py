@@ -196,7 +196,7 @@ def test_line_bands_recall():
             continue
         pairs += 1
         data = np.frombuffer((a + b).encode(), np.uint8)
-        value, line = line_dedup.shingle_hashes(data, np.array([0, len(a)]), np.array([len(a), len(a) + len(b)]), 8)
+        value, line = line_dedup.shingle_hashes(textvec.byte_prefix(textvec.LOWER[data]), np.array([0, len(a)]), np.array([len(a), len(a) + len(b)]), 8)
         at, key = line_dedup.band_keys(value, line, 2)
         hit += bool(set(key[at == 0].tolist()) & set(key[at == 1].tolist()))
     assert pairs > 80 and hit / pairs > 0.95
@@ -206,7 +206,7 @@ def test_lines_that_repeat_a_pattern_meet_whatever_their_length(docs):
     pairs = [("-" * 40, "-" * 80), ("=" * 80, "=" * 160), ("| --- " * 3 + "|", "| --- " * 6 + "|"), ("buy cheap watches now " * 3, "buy cheap watches now " * 8), ("*" * 9, "*" * 5000)]
     for a, b in pairs:
         data = np.frombuffer((a + b).encode(), np.uint8)
-        value, line = line_dedup.shingle_hashes(data, np.array([0, len(a)]), np.array([len(a), len(a) + len(b)]), 8)
+        value, line = line_dedup.shingle_hashes(textvec.byte_prefix(textvec.LOWER[data]), np.array([0, len(a)]), np.array([len(a), len(a) + len(b)]), 8)
         at, key = line_dedup.band_keys(value, line, 2)
         assert set(key[at == 0].tolist()) & set(key[at == 1].tolist()), (a, b)
     texts = ["\n".join(x[i] for x in pairs) + f"\nonly in text number {'one' if i else 'nil'}{i * 7919}" for i in range(2)]
