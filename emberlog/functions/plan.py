@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,3 +18,21 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     out = df.select("*", made)
     kept = [F.col(f"`__once_{c}`").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns]
     return out.select(*kept, *(F.col(f"`__once_{n}`").alias(n) for n in columns if n not in df.columns))
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` worked out once for what reads it several times: a checkpoint in the shared folder that the session names
+    (``spark.checkpoint.dir``), where it names one; else ``df`` itself."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder for intermediate files that ``spark.checkpoint.dir`` names; on local masters a temporary one if it is
+    unset. On a cluster it has to be set: machines don't see each other's folders."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not str(spark.sparkContext.master).startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="emberlog-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
+def _month_numbers() -> Column:
+    return F.create_map(*(x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(f"{i + 1:02d}"))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value worked out once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -28,12 +32,9 @@ def web_decode(text: Column) -> Column:
 
 
 def clf_time(raw: Column) -> Column:
-    """``19/May/2026:09:11:17 +0000`` as ``2026-05-19 09:11:17 +0000``; other text as it is."""
-    pattern = r"^(\d{2})/(\w{3})/(\d{4}):(\d{2}:\d{2}:\d{2})\s*([+-]\d{4})?"
-    part = lambda i: F.regexp_extract(raw, pattern, i)
-    month = F.coalesce(F.element_at(F.create_map(*(x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(f"{i + 1:02d}")))), part(2)), F.lit("00"))
-    iso = F.rtrim(F.concat(part(3), F.lit("-"), month, F.lit("-"), part(1), F.lit(" "), part(4), F.lit(" "), part(5)))
-    return F.when(part(1) != "", iso).otherwise(raw)
+    """``19/May/2026:09:11:17 +0000`` as ``2026-05-19 09:11:17 +0000``; other text as it is. One match; the rest is cut."""
+    turned = F.regexp_replace(raw, r"(?s)^(\d{2})/(\w{3})/(\d{4}):(\d{2}:\d{2}:\d{2})\s*([+-]\d{4})?.*$", "$3-$2-$1 $4 $5")
+    return let(turned, lambda t: F.when(t.substr(5, 1) == "-", F.rtrim(F.concat(t.substr(1, 5), F.coalesce(F.try_element_at(_month_numbers(), t.substr(6, 3)), F.lit("00")), t.substr(F.lit(9), F.length(t))))).otherwise(raw))
 
 
 def clf_instant(raw: Column) -> Column:
@@ -60,6 +61,16 @@ def epoch_time(digits: Column) -> Column:
     return F.timestamp_micros(F.floor(micros).cast("long"))
 
 
+def as_utc(text: Column) -> Column:
+    """A log's time stamp as an instant: an offset is applied, a bare date and time counts as UTC, and what has no year, or
+    is no time, is null."""
+    t = F.trim(text)
+    at = lambda i: F.regexp_extract(t, r"^(\d{4}-\d\d-\d\d)[ T](\d\d:\d\d:\d\d)(?:\.\d+)?\s*(?:([+-])(\d\d):?(\d\d)|Z)?", i)
+    local = F.try_to_timestamp(F.concat_ws(" ", at(1), at(2)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    away = (F.coalesce(at(4).try_cast("int"), F.lit(0)) * 60 + F.coalesce(at(5).try_cast("int"), F.lit(0))) * F.when(at(3) == "-", -1).otherwise(1)
+    return F.timestamp_micros(F.unix_micros(local) - away.cast("long") * 60000000)
+
+
 def filetime(value: Column) -> Column:
     """Timestamp of 100 ns steps since 1601."""
     return F.timestamp_micros(F.floor(value.cast("long") / 10).cast("long") - F.lit(11644473600000000))

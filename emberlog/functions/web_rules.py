@@ -55,16 +55,20 @@ SENSITIVE = (
 )
 
 
-def with_attack_families(requests: DataFrame, out: str = "families", keep_plain: bool = False) -> DataFrame:
+def families_of(plain: Column) -> Column:
+    """The families that a decoded text matches, by rank."""
+    return F.array_compact(F.array(*(F.when(plain.rlike(rx), F.lit(name)) for name, rx in FAMILIES.items())))
+
+
+def with_attack_families(requests: DataFrame, out: str = "families") -> DataFrame:
     """``requests`` and the families that each matches, by rank. Requests that fail the prefilter have none, whatever they
-    decode to. The decoded text is a column of its own on the way, so that it is made once and not once per family."""
+    decode to. The decoded text is a column of its own on the way, so that it is made once and not once per family; the
+    others' isn't made at all."""
     raw = F.lower(F.concat_ws(" ", F.coalesce("path", F.lit("")), F.coalesce("query", F.lit(""))))
     plain = F.concat_ws(" ", web_decode(F.col("path")), web_decode(F.col("query")))
     got = computed_once(requests, {"__likely": raw.rlike(PREFILTER)})
-    got = computed_once(got, {"__plain": plain if keep_plain else F.when(F.col("__likely"), plain)})
-    hits = F.array_compact(F.array(*(F.when(F.col("__plain").rlike(rx), F.lit(name)) for name, rx in FAMILIES.items())))
-    got = computed_once(got, {out: F.when(F.col("__likely"), hits).otherwise(F.array().cast("array<string>"))}).drop("__likely")
-    return got if keep_plain else got.drop("__plain")
+    got = computed_once(got, {"__plain": F.when(F.col("__likely"), plain)})
+    return computed_once(got, {out: F.when(F.col("__likely"), families_of(F.col("__plain"))).otherwise(F.array().cast("array<string>"))}).drop("__likely", "__plain")
 
 
 def is_sensitive(path: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.net import ipv4_long, is_hosting, is_ip, is_private_ip
 from ..functions.plan import computed_once
-from ..functions.strings import clf_instant, clf_time
-from ..functions.web_rules import is_sensitive, with_attack_families
+from ..functions.strings import clf_instant, clf_time, web_decode
+from ..functions.web_rules import PREFILTER, families_of, is_sensitive, with_attack_families
 
 _QUOTED = r'((?:[^"\\]++|\\.)*+)'  # possessive: a hostile line can't exhaust the stack
 ACCESS_LINE = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"' + _QUOTED + r'"\s+(\d{3}|-)\s+(\S+)(?:\s++[^"\r\n]*+"' + _QUOTED + r'"\s+"' + _QUOTED + r'")?'
@@ -18,11 +18,13 @@ NORMAL_METHODS = ("GET", "HEAD", "POST", "OPTIONS", "", "?")
 
 
 def parse_access(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Rows of access logs in Common or Combined Log Format; other lines are left out.
+    """Rows of access logs in Common or Combined Log Format; other lines are left out, null ones too. Equal lines give equal
+    rows; an empty table gives an empty one; columns named like those added are replaced.
 
     Adds ip, edge_ip, time, ts, method, path, query, status, size, referer, ua. Lines quoted as a whole are unwrapped.
     The client is the leftmost valid address of an X-Forwarded-For field behind the matched ones, the connecting host then
-    being ``edge_ip``. Lines are matched as a whole, however long; the patterns take no stack and no square of the length.
+    being ``edge_ip``. Lines are matched as a whole, however long, by one match that takes no stack and no square of the
+    length; the fields of the request are cut, not matched again.
     """
     raw = F.translate(F.col(line_col), _SEP, "")
     line = F.when(raw.startswith('"'), F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw)), '"$', "")).otherwise(raw)
@@ -30,24 +32,25 @@ def parse_access(lines: DataFrame, line_col: str = "line") -> DataFrame:
     fields = F.split(F.regexp_replace(line, ACCESS_LINE, _SEP.join(f"${i}" for i in (1, 3, 4, 5, 6, 7, 8)) + _SEP), _SEP)
     got = computed_once(lines, {"__m": fields}).where(F.size("__m") == 8)
     part = lambda i: F.get("__m", F.lit(i))
+    rest = lambda x, n: x.substr(n, F.length(x))
     request = part(2)
-    got = got.withColumn("__head", F.when(request.contains(" "), F.regexp_extract(request, r"(?s)^(.*) [^ ]*$", 1)).otherwise(request))
-    head = F.col("__head")
-    got = got.withColumn("__uri", F.when(head.contains(" "), F.regexp_extract(head, r"(?s)^[^ ]* (.*)$", 1)).otherwise(head))
-    uri, tail = F.col("__uri"), part(7)
-    hops = F.split(F.regexp_extract(tail, r'(?i)x-forwarded-for\s*+[=:]\s*+(?:"\s*+)?+([0-9a-fA-F.:, ]+)', 1), ",")
-    got = got.withColumn("__client", F.try_element_at(F.filter(F.transform(hops, lambda x: F.trim(x)), is_ip), F.lit(1)))
-    client = F.col("__client")
+    spaces = request.contains(" ")
+    head = F.when(spaces, request.substr(F.lit(1), F.length(request) - F.length(F.substring_index(request, " ", -1)) - 1)).otherwise(request)
+    hops = F.split(F.regexp_extract(part(7), r'(?i)x-forwarded-for\s*+[=:]\s*+(?:"\s*+)?+([0-9a-fA-F.:, ]+)', 1), ",")
+    client = F.when(F.length(part(7)) > 16, F.try_element_at(F.filter(F.transform(hops, lambda x: F.trim(x)), is_ip), F.lit(1)))
+    got = computed_once(got, {"__head": head, "__client": client})
+    head, client = F.col("__head"), F.col("__client")
+    uri = F.when(head.contains(" "), rest(head, F.instr(head, " ") + 1)).otherwise(head)
     return computed_once(
-        got,
+        got.withColumn("__uri", uri),
         {
             "ip": F.coalesce(client, part(0)),
             "edge_ip": F.when(client.isNotNull(), part(0)).otherwise(""),
             "time": clf_time(part(1)),
             "ts": clf_instant(part(1)),
             "method": F.when(head.contains(" "), F.substring_index(head, " ", 1)).otherwise(""),
-            "path": F.substring_index(uri, "?", 1),
-            "query": F.when(uri.contains("?"), F.regexp_extract(uri, r"(?s)^[^?]*\?(.*)$", 1)).otherwise(""),
+            "path": F.substring_index("__uri", "?", 1),
+            "query": F.when(F.contains("__uri", F.lit("?")), rest(F.col("__uri"), F.instr("__uri", "?") + 1)).otherwise(""),
             "status": part(3),
             "size": part(4),
             "referer": part(5),
@@ -57,8 +60,10 @@ def parse_access(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def is_access_log(lines: DataFrame, first: int = 20) -> DataFrame:
-    """Paths of which one of the first lines reads as an access-log line; needs (path, line_no, line)."""
-    return lines.where((F.col("line_no") <= first) & F.col("line").rlike(ACCESS_LINE)).select("path").distinct()
+    """Paths of which one of the first lines reads as an access-log line, and none holds a NUL, as binary files do; needs
+    (path, line_no, line)."""
+    head = lines.where(F.col("line_no") <= first).groupBy("path").agg(F.max(F.col("line").rlike(ACCESS_LINE)).alias("log"), F.max(F.contains("line", F.lit("\u0000"))).alias("binary"))
+    return head.where("log and not binary").select("path")
 
 
 def discover_access(lines: DataFrame) -> DataFrame:
@@ -76,11 +81,12 @@ def _count_if(condition: Column) -> Column:
 def ip_stats(requests: DataFrame, fail_least: int = 20, fail_share: float = 0.10, missing_least: int = 50, missing_share: float = 0.25) -> DataFrame:
     """A row per source: requests by status, bytes, paths, odd methods, attack hits, first and last time, and flags.
 
-    One shuffle by (ip, method) carries partial sums, so a source with most of the requests costs no more than others.
+    Requests are read once. The shuffle carries partial sums by (ip, method, path), so a source with most of the requests
+    costs no more than others. Null sources are a row of their own; an empty table gives an empty one.
     """
     s = F.col("status")
-    method = F.when(F.upper("method") == "", "?").otherwise(F.upper("method"))
-    parts = with_attack_families(requests.withColumn("m", method)).withColumn("hit", F.size("families") > 0).groupBy("ip", "m", "method").agg(
+    # one pass: requests are summed by source, method and path, these by source and method, these by source
+    by_path = with_attack_families(requests).withColumn("hit", F.size("families") > 0).groupBy("ip", "method", "path").agg(
         F.count("*").alias("n"),
         _count_if(s.startswith("2")).alias("s2xx"),
         _count_if(s.startswith("3")).alias("s3xx"),
@@ -94,13 +100,15 @@ def ip_stats(requests: DataFrame, fail_least: int = 20, fail_share: float = 0.10
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
-    paths = requests.select("ip", "path").distinct().groupBy("ip").agg(F.count("*").alias("paths"))
-    odd = F.when(~F.col("m").isin(*NORMAL_METHODS), F.struct((-F.col("n")).alias("k"), "method", "n"))
     sums = ["s2xx", "s3xx", "s401", "s403", "s404", "s4xx", "s5xx", "attack_hits"]
+    ends = [f(c).alias(c) for f, c in ((F.min, "first_seen"), (F.max, "last_seen"), (F.min, "first_ts"), (F.max, "last_ts"))]
+    # a path counts for its source once, under the least of its methods
+    owner = F.min("method").over(Window.partitionBy("ip", "path"))
+    parts = by_path.withColumn("own", F.col("method").eqNullSafe(owner).cast("long")).groupBy("ip", "method").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums), F.sum("bytes").alias("bytes"), F.sum("own").alias("paths"), *ends)
+    odd = F.when(~F.upper("method").isin(*NORMAL_METHODS), F.struct((-F.col("n")).alias("k"), "method", "n"))
     whole = parts.groupBy("ip").agg(
         F.sum("n").alias("requests"), *(F.sum(c).alias(c) for c in sums), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-        F.array_sort(F.collect_list(odd)).alias("odd"),
+        F.sum("paths").alias("paths"), *ends, F.array_sort(F.collect_list(odd)).alias("odd"),
     )
     fails = F.col("s401") + F.col("s403")
     scan = ((F.col("s404") >= missing_least) & (F.col("s404") >= F.col("requests") * missing_share)) | ((F.col("requests") >= 30) & (F.col("s404") > F.col("requests") * 0.5))
@@ -112,7 +120,7 @@ def ip_stats(requests: DataFrame, fail_least: int = 20, fail_share: float = 0.10
             F.when(F.size("odd") > 0, "odd-method"),
         )
     )
-    return whole.join(paths, "ip").withColumns(
+    return whole.withColumns(
         {
             "odd_methods": F.array_join(F.transform("odd", lambda x: F.concat(x["method"], F.lit(":"), x["n"])), " "),
             "mb_sent": F.round(F.col("bytes") / 1048576.0, 2),
@@ -177,21 +185,37 @@ def geo_origin(ips: DataFrame, countries: DataFrame, networks: DataFrame, tor: D
     return got.select(ip_col, F.when(private, "LAN").otherwise(F.coalesce("country", F.lit("?"))).alias("country"), asn.alias("asn"), origin.alias("origin"))
 
 
-def match_indicators(text: Column, indicators: list[tuple[str, str]]) -> Column:
-    """Labels of the indicators (label, regular expression) that match, in their order; one alternation is tried first."""
+def match_indicators(text: Column, indicators: list[tuple[str, str]], raw: Column | None = None) -> Column:
+    """Labels of the indicators (label, regular expression) that match, in their order; one alternation is tried first, on
+    ``raw`` if it is given. Null text matches nothing."""
+    none = F.array().cast("array<string>")
     if not indicators:
-        return F.array().cast("array<string>")
+        return none
     each = F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(f"(?i){rx}"), F.lit(label)) for label, rx in indicators))))
-    some = text.rlike("(?i)" + "|".join(f"(?:{rx})" for _, rx in indicators))
-    return F.when(F.coalesce(some, F.lit(False)), each).otherwise(F.array().cast("array<string>"))
+    some = (text if raw is None else raw).rlike("(?i)" + "|".join(f"(?:{rx})" for _, rx in indicators))
+    return F.when(F.coalesce(some, F.lit(False)), each).otherwise(none)
 
 
 def hunt(requests: DataFrame, indicators: list[tuple[str, str]] | None = None) -> DataFrame:
     """Requests that attack: built-in families where the server answered 200, analyst indicators whatever it answered.
 
-    Indicators see decoded path, query and user agent, if the raw text passes them all as one alternation.
+    Indicators see decoded path, query and user agent, if the raw text of these passes them all as one alternation; what
+    hides an indicator by encoding it is not found, as with the families. Only requests that pass one of the two are
+    decoded. Null fields count as empty; repeated requests each get their row.
     """
-    got = with_attack_families(requests, keep_plain=True).withColumn("__plain", F.concat_ws(" ", "__plain", F.lower("ua")))
-    served = F.when(F.col("status") == "200", F.col("families")).otherwise(F.array().cast("array<string>"))
-    got = got.withColumns({"families": served, "indicators": match_indicators(F.col("__plain"), indicators or [])}).drop("__plain").where((F.size("families") > 0) | (F.size("indicators") > 0))
+    raw = F.concat_ws(" ", F.coalesce("path", F.lit("")), F.coalesce("query", F.lit("")))
+    some = F.lit(False)
+    if indicators:
+        some = F.concat_ws(" ", raw, F.coalesce("ua", F.lit(""))).rlike("(?i)" + "|".join(f"(?:{rx})" for _, rx in indicators))
+    got = computed_once(requests, {"__builtin": (F.col("status") == "200") & F.lower(raw).rlike(PREFILTER), "__some": some}).where("__builtin or __some")
+    got = computed_once(got, {"__plain": F.concat_ws(" ", web_decode(F.col("path")), web_decode(F.col("query")))})
+    none = F.array().cast("array<string>")
+    labels = match_indicators(F.concat_ws(" ", "__plain", F.lower("ua")), indicators or [], F.lit("") if not indicators else None)
+    got = computed_once(got, {"families": F.when(F.col("__builtin"), families_of(F.col("__plain"))).otherwise(none), "indicators": F.when(F.col("__some"), labels).otherwise(none)})
+    got = got.drop("__plain", "__builtin", "__some").where((F.size("families") > 0) | (F.size("indicators") > 0))
     return got.withColumns({"flag": F.coalesce(F.try_element_at("families", F.lit(1)), F.try_element_at("indicators", F.lit(1))), "all_flags": F.array_join(F.array_union("families", "indicators"), "+")})
+
+
+def newest_first(found: DataFrame) -> DataFrame:
+    """The hunt view's order: by time as text, newest first; ties by source, path and query."""
+    return found.orderBy(F.desc("time"), "ip", "path", "query")
