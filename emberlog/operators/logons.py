@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.net import IPV4, LOCAL, clean_user, extract_src, is_public_ip, kh_target, norm_ip, rdp_session_src, remote_src, short_user, spn_host
-from ..functions.plan import computed_once
+from ..functions.plan import computed_once, held
 
 #: Events that show a session on a host, and events that show one leaving it.
 CHAIN_IN = ("4624", "LSM-21", "LSM-25", "RCM-1149", "ssh", "wtmp")
@@ -146,29 +146,47 @@ def resolve(rows: DataFrame, index: DataFrame, column: str) -> DataFrame:
     return computed_once(got, {f"{column}_case": name.isNotNull(), column: F.coalesce(name, other)}).drop("__key", "__short", "__k1", "__n1", "__k2", "__n2")
 
 
+_KEYS = ["src", "dst", "user", "logon_type", "event_id"]
+
+
+def _resolved(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Raw rows with both names resolved, without those from a host to itself."""
+    index = host_index(hosts)
+    named = resolve(resolve(rows, index, "src"), index, "dst").where("src <> dst")
+    # a ticket tells of a step on only from hosts of ours
+    return named.where(~F.array_contains("reasons", "kerberos_service") | F.col("src_case"))
+
+
 def edges(raw: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Edges by (src, dst, user, logon_type, event_id): count, first and last time, all times sorted, reasons.
+    """Edges by (src, dst, user, logon_type, event_id): count, first and last time, reasons; the times are ``edge_times``.
 
-    Raw rows are counted by their key before names are resolved, so joins see one row per pair of names and not per event.
-    Reasons are the union over a key's rows.
+    Raw rows are counted by their key before names are resolved, so joins see one row per pair of names and not per event,
+    and no row holds more than a few numbers. Reasons are the union over a key's rows. Null times and types are kept.
     """
-    index = host_index(hosts)
-    keys = ["src", "dst", "user", "logon_type", "event_id"]
-    first = raw.groupBy(*keys, "status").agg(F.count("*").alias("count"), F.collect_list("ts").alias("ts"), F.array_distinct(F.flatten(F.collect_set("reasons"))).alias("reasons"))
-    named = resolve(resolve(first, index, "src"), index, "dst").where("src <> dst")
+    first = raw.groupBy(*_KEYS, "status").agg(F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.array_distinct(F.flatten(F.collect_set("reasons"))).alias("reasons"))
+    named = _resolved(first, hosts)
     service = F.array_contains("reasons", "kerberos_service")
-    named = named.where(~service | F.col("src_case"))  # a ticket tells of a step on only from hosts of ours
     ok, rdp = F.col("status") == "ok", (F.col("logon_type") == 10) & (F.col("event_id") == "4624") | F.col("event_id").rlike("^(LSM|RCM)-")
     arriving = F.col("event_id").isin("4624", "4625", "4768", "4769", "wtmp", "btmp", "ssh", "ssh_fail", "ssh_invalid") | F.col("event_id").rlike("^(LSM|RCM)-")
     public = rdp & is_public_ip(F.col("src"))
     both = F.when(arriving & ~service, F.col("src_case")).otherwise(F.col("dst_case"))
     reasons = F.array_union("reasons", _reasons((public & ok, "rdp_public"), (both, "case_to_case")))
     named = computed_once(named, {"reasons": reasons})
-    out = named.groupBy(*keys).agg(
-        F.max("status").alias("status"), F.sum("count").alias("count"), F.array_sort(F.flatten(F.collect_list("ts"))).alias("ts"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"), F.max("src_case").alias("src_case"), F.max("dst_case").alias("dst_case"),
+    return named.groupBy(*_KEYS).agg(
+        F.max("status").alias("status"), F.sum("count").alias("count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"),
+        F.max("src_case").alias("src_case"), F.max("dst_case").alias("dst_case"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
-    return out.withColumns({"first_seen": F.array_min("ts"), "last_seen": F.array_max("ts")})
+
+
+def edge_times(raw: DataFrame, hosts: DataFrame) -> DataFrame:
+    """A row for each time of each edge, with resolved names: (src, dst, user, logon_type, event_id, status, ts, src_case,
+    dst_case). Raw rows without a time are left out."""
+    return _resolved(raw.where("ts is not null"), hosts).drop("reasons")
+
+
+def by_reasons(edge_rows: DataFrame) -> DataFrame:
+    """Edges in order: most reasons first, then by name."""
+    return edge_rows.orderBy(F.desc(F.size("reasons")), "src", "dst", "user", "event_id", "logon_type")
 
 
 def add_verdicts(edge_rows: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -187,34 +205,68 @@ def mark_brute_success(edge_rows: DataFrame, least: int = 5) -> DataFrame:
     return rows.join(fails, key, "left").withColumn("reasons", F.when(hit, F.array_union("reasons", F.array(F.lit("brute_success")))).otherwise(F.col("reasons"))).drop("__u", "__fails")
 
 
-def latest_before(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, carry: list[str]) -> DataFrame:
-    """Of each ``right`` row the latest ``left`` row of the same ``by`` that isn't later: its time and ``carry`` columns.
+def latest_before(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, carry: list[str], stretch_s: int = 86400) -> DataFrame:
+    """Of each ``right`` row the latest ``left`` row of the same ``by`` that isn't later: its time and ``carry`` columns; rows
+    without one are left out, as are those with a null in ``by`` or the time. Of equal times the greatest ``carry`` counts.
 
-    One union and one window instead of a join of all pairs: the cost is a sort, whatever the number of matches.
+    Time is cut into stretches. Within one, a union and a window find the row; where there is none, the last row of an
+    earlier stretch is carried over from a table of one row per key and stretch. So a task sorts one stretch of one key
+    and not a whole history, and no pairs are made.
     """
-    keys = [F.col(c) for c in by]
-    a = left.select(*keys, F.col(left_time).alias("__t"), F.lit(0).alias("__k"), F.struct(F.col(left_time).alias("__lt"), *carry).alias("__l"), F.lit(None).alias("__r"))
-    b = right.select(*keys, F.col(right_time).alias("__t"), F.lit(1).alias("__k"), F.lit(None).alias("__l"), F.struct("*").alias("__r"))
-    last = F.last("__l", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, 0))
-    both = a.select(*by, "__t", "__k", "__l", F.lit(None).cast(b.schema["__r"].dataType).alias("__r")).union(b.select(*by, "__t", "__k", F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), "__r"))
-    return both.withColumn("__l", last).where("__k = 1 and __l is not null").select("__r.*", F.col("__l.__lt").alias(f"{left_time}_before"), *(F.col(f"__l.{c}").alias(f"before_{c}") for c in carry))
-
-
-def pivot_chains(edge_rows: DataFrame, window_s: int = 12 * 3600, loose_window_s: int = 3600) -> DataFrame:
+    at = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / stretch_s)
+    known = lambda df, t: reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*by, t]])
+    left, right = left.where(known(left, left_time)), right.where(known(right, right_time))
+    mine = F.struct(F.col(left_time).alias("__lt"), *carry)
+    a = left.select(*by, at(left_time).alias("__s"), F.col(left_time).alias("__t"), F.lit(0).alias("__k"), mine.alias("__l"))
+    b = right.select(*by, at(right_time).alias("__s"), F.col(right_time).alias("__t"), F.lit(1).alias("__k"), F.struct("*").alias("__r"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    upto = Window.partitionBy(*by, "__s").orderBy("__t", "__k", "__l").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("__l", F.last("__l", ignorenulls=True).over(upto)).where("__k = 1")
+    ends = both.groupBy(*by, "__s").agg(F.max("__l").alias("__m"))
+    carried = ends.withColumn("__m", F.last("__m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)))
+    got = near.join(carried, [*by, "__s"]).withColumn("__l", F.coalesce("__l", "__m")).where("__l is not null")
+    return got.select("__r.*", F.col("__l.__lt").alias(f"{left_time}_before"), *(F.col(f"__l.{c}").alias(f"before_{c}") for c in carry))
+
+
+def _legs(came: DataFrame, left: DataFrame, on: list[str], window_s: int) -> DataFrame:
+    """Of each (u, x, b, y) the earliest departure with an arrival in the window before it, and the latest such arrival.
+
+    Time is cut into buckets of the window's length. Whether a departure follows an arrival of x closely enough is told by
+    the first arrival of its own bucket and the last of the one before, so arrivals meet departures as two rows a bucket
+    and not each with each; the arrival itself is then looked up for the one departure that counts.
+    """
+    second = lambda c: F.unix_seconds(F.col(c))
+    ends = came.groupBy("u", "x", "b", F.floor(second("t_in") / window_s).alias("k")).agg(F.min(second("t_in")).alias("low"), F.max(second("t_in")).alias("high"))
+    near = ends.select("u", "x", "b", "k", "low", F.lit(None).cast("long").alias("high")).unionByName(ends.select("u", "x", "b", (F.col("k") + 1).alias("k"), F.lit(None).cast("long").alias("low"), "high"))
+    gone = left.groupBy(*on, "y", F.floor(second("t_out") / window_s).alias("k"), second("t_out").alias("s")).agg(F.min(F.struct("t_out", "out_event")).alias("o"))
+    meets = (F.col("s") >= F.col("low")) | (F.col("s") - F.col("high") <= window_s)
+    first = near.join(gone, [*on, "k"]).where((F.col("x") != F.col("y")) & meets).groupBy("u", "x", "b", "y").agg(F.min("o").alias("o")).select("u", "x", "b", "y", "o.*")
+    # arrivals in the same second count as earlier
+    order = Window.partitionBy("u", "x", "b").orderBy("s", "kind", "t_in", F.desc("in_event")).rowsBetween(Window.unboundedPreceding, 0)
+    arrivals = came.join(first.select("u", "x", "b").distinct(), ["u", "x", "b"], "left_semi").select("u", "x", "b", second("t_in").alias("s"), F.lit(0).alias("kind"), "t_in", "in_event")
+    both = arrivals.unionByName(first.select("u", "x", "b", second("t_out").alias("s"), F.lit(1).alias("kind"), "y", "t_out", "out_event"), allowMissingColumns=True)
+    seen = F.last(F.when(F.col("kind") == 0, F.struct("t_in", "in_event")), ignorenulls=True).over(order)
+    return both.withColumn("i", seen).where("kind = 1").select("u", "x", "b", "y", "i.t_in", "t_out", "i.in_event", "out_event")
+
+
+def pivot_chains(times: DataFrame, window_s: int = 12 * 3600, loose_window_s: int = 3600) -> DataFrame:
     """X -> B -> Y: a session onto a host of ours, then something leaving it for elsewhere within the window, by the same
-    account, or without an account within the shorter one. The earliest pair of each (user, X, B, Y), with the latest
-    arrival before it. Machine accounts are left out; all times of an edge count.
+    account, or without an account within the shorter one; of ``edge_times``. The earliest departure of each (user, X, B,
+    Y), with the latest arrival before it. Machine accounts are left out; all times of an edge count.
     """
     u = short_user(F.col("user"))
-    rows = edge_rows.where("status = 'ok'").withColumn("u", u).where(~F.col("u").endswith("$"))
-    came = rows.where(F.col("event_id").isin(*CHAIN_IN) & F.col("dst_case") & (F.col("u") != "")).select(F.col("src").alias("x"), F.col("dst").alias("b"), "u", F.col("event_id").alias("in_event"), F.explode("ts").alias("t_in"))
-    left = rows.where(F.col("event_id").isin(*CHAIN_OUT) & F.col("src_case")).select(F.col("src").alias("b"), F.col("dst").alias("y"), "u", F.col("event_id").alias("out_event"), F.explode("ts").alias("t_out"))
-    came, left = came.where("t_in is not null"), left.where("t_out is not null")
-    gap = F.unix_seconds("t_out") - F.unix_seconds("t_in")
-    named = came.join(left.where("u <> ''"), ["b", "u"]).where(gap.between(0, window_s))
-    loose = came.join(left.where("u = ''").drop("u"), "b").where(gap.between(0, loose_window_s))
-    pairs = named.unionByName(loose).where("x <> y")
-    return pairs.groupBy("u", "x", "b", "y").agg(F.min(F.struct("t_out", (-F.unix_micros("t_in")).alias("k"), "t_in", "in_event", "out_event")).alias("p")).select("u", "x", "b", "y", "p.t_in", "p.t_out", "p.in_event", "p.out_event")
+    rows = times.where("status = 'ok' and ts is not null").withColumn("u", u).where(~F.col("u").endswith("$"))
+    came = rows.where(F.col("event_id").isin(*CHAIN_IN) & F.col("dst_case") & (F.col("u") != "")).select(F.col("src").alias("x"), F.col("dst").alias("b"), "u", F.col("event_id").alias("in_event"), F.col("ts").alias("t_in"))
+    left = rows.where(F.col("event_id").isin(*CHAIN_OUT) & F.col("src_case")).select(F.col("src").alias("b"), F.col("dst").alias("y"), "u", F.col("event_id").alias("out_event"), F.col("ts").alias("t_out"))
+    named = _legs(came, left.where("u <> ''"), ["b", "u"], window_s)
+    loose = _legs(came, left.where("u = ''").drop("u"), ["b"], loose_window_s)
+    best = F.min(F.struct("t_out", (-F.unix_micros("t_in")).alias("k"), "t_in", "in_event", "out_event")).alias("p")
+    return named.unionByName(loose).groupBy("u", "x", "b", "y").agg(best).select("u", "x", "b", "y", "p.t_in", "p.t_out", "p.in_event", "p.out_event")
+
+
+def earliest_chains(chains: DataFrame, most: int = 200) -> DataFrame:
+    """The first chains by the time of their arrival; ties by name."""
+    return chains.orderBy("t_in", "t_out", "u", "x", "b", "y").limit(most)
 
 
 def mark_chains(edge_rows: DataFrame, chains: DataFrame) -> DataFrame:
@@ -243,7 +295,7 @@ def curate(edge_rows: DataFrame, hosts: DataFrame, most_external: int = 40, most
     """(nodes with roles, kept links, counts of what is hidden): edges with a reason, hosts of ours, and other hosts that
     succeeded with a strong reason, weigh most, or only ever failed and are few or loudest. Ties go by name."""
     ours = hosts.select(F.col("host").alias("n")).distinct()
-    edge_rows = edge_rows.drop("ts").persist()  # read several times; edges are counts, not events
+    edge_rows = held(edge_rows)  # read several times; edges are counts, not events
     signal = edge_rows.where(F.size("reasons") > 0)
     hot = F.arrays_overlap("reasons", F.array(*(F.lit(x) for x in HIGH_SIGNAL)))
     ends = signal.select(F.col("src").alias("n"), F.col("src_case").alias("case"), "count", "status", hot.alias("hot")).union(signal.select("dst", "dst_case", "count", "status", hot))
