@@ -26,6 +26,7 @@ WEBSHELLS = (
     ("long_base64_blob", r"['\"][A-Za-z0-9+/]{256,}={0,2}['\"]"),
 )
 HANDLERS = r"(?i)auto_(?:pre|ap)pend_file|SetHandler[^\n]*php|AddType[^\n]*php|AddHandler[^\n]*php|php_value\s+auto_"
+#: Names of scripts, and folders that web servers serve.
 SCRIPTS = r"\.(php|php3|php4|php5|php7|phtml|phar|inc|jsp|jspx|jspf|asp|aspx|ashx|asmx|cfm|pl|cgi)$"
 WEB_ROOTS = r"(^|/)(var/www|srv/www|usr/share/nginx|srv/http|usr/local/apache2/htdocs|opt/lampp/htdocs|home/[^/]+/public_html|root/public_html)/"
 #: Endings of files that aren't run.
@@ -136,15 +137,17 @@ def file_anomalies(lines: DataFrame) -> DataFrame:
     return got.where(writable | system | other).select("host", "indicator", "file", "detail", (writable | system | odd).alias("suspicious"))
 
 
-def webshells(files: DataFrame, longest: int = 3_000_000) -> DataFrame:
+def webshells(files: DataFrame, snippet: int | None = None) -> DataFrame:
     """Scripts in web folders (host, path, content) that read like web shells: labels in order, and the first line that a
-    pattern hits; of .htaccess files, each directive that hands requests to scripts."""
+    pattern hits; of .htaccess files, each directive that hands requests to scripts. Scripts count whatever their length;
+    ``snippet`` shortens what is shown of the line. Null contents match nothing; repeated files each get their row."""
+    shown = lambda c: F.trim(c) if snippet is None else F.left(F.trim(c), F.lit(snippet))
     labels = F.array_compact(F.array(*(F.when(F.col("content").rlike(rx), F.lit(n)) for n, rx in WEBSHELLS)))
     web = files.where(F.col("path").rlike(WEB_ROOTS))
-    scripts = computed_once(web.where(F.lower("path").rlike(SCRIPTS) & (F.length("content") <= longest)), {"labels": labels}).where(F.size("labels") > 0)
+    scripts = computed_once(web.where(F.lower("path").rlike(SCRIPTS)), {"labels": labels}).where(F.size("labels") > 0)
     first = F.coalesce(*(F.when(F.array_contains("labels", n), F.regexp_extract("content", rf"(?m)^.*?(?:{rx}).*$", 0)) for n, rx in WEBSHELLS))
-    one = scripts.select("host", "path", F.array_join("labels", ",").alias("indicators"), F.left(F.trim(first), F.lit(160)).alias("snippet"))
+    one = scripts.select("host", "path", F.array_join("labels", ",").alias("indicators"), shown(first).alias("snippet"))
     directive = web.where(F.col("path").endswith("/.htaccess")).select("host", "path", F.explode(F.split("content", "\n")).alias("l")).where(~F.trim("l").startswith("#") & F.col("l").rlike(HANDLERS))
-    return one.unionByName(directive.select("host", "path", F.lit("htaccess_handler").alias("indicators"), F.left(F.trim("l"), F.lit(160)).alias("snippet")))
+    return one.unionByName(directive.select("host", "path", F.lit("htaccess_handler").alias("indicators"), shown(F.col("l")).alias("snippet")))
 
 

@@ -16,6 +16,9 @@ LOLBIN = (
     "-enc", "-encodedcommand", "frombase64string", "downloadstring", "downloadfile", "-w hidden", "-windowstyle hidden", "iex(", "iex ", "invoke-expression", "mshta http", "mshta vbscript",
     "mshta javascript", "regsvr32 /i:http", "scrobj.dll", "certutil -urlcache", "certutil -decode", "bitsadmin /transfer", "/transfer ", "-nop -", "-noprofile -enc",
 )
+#: Ports of back doors, drivers that let others in, services that name or reveal a host, the folders of
+#: system processes, networks that ask nothing, shares that Windows makes itself, flags that weigh most, and which
+#: programs shouldn't start which.
 BACKDOOR_PORTS = (1337, 4444, 4445, 5554, 5555, 6666, 9001, 12345, 31337)
 VULNERABLE_DRIVERS = (
     "rtcore64", "rtkio64", "gdrv", "dbutil_2_3", "dbutil_2_5", "dbutildrv2", "capcom", "winring0", "winring0x64", "msio64", "ene", "eneio64", "wineio64", "atillk64", "gpcidrv64", "asrdrv",
@@ -137,12 +140,14 @@ def ancestry(processes: DataFrame, depth: int = 8) -> DataFrame:
     return now.select("host", "Pid", "ancestry")
 
 
-def launchers(processes: DataFrame, services: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(host, Pid, launched_by): the services of the process, else a service, else a task with its program."""
+def launchers(processes: DataFrame, services: DataFrame, tasks: DataFrame, most: int | None = None) -> DataFrame:
+    """(host, Pid, launched_by): the services of the process, else a service, else a task with its program. ``most`` limits
+    how many services are named; the others are then counted."""
+    keep = (1 << 31) - 1 if most is None else most
     name = F.coalesce("Name", "DisplayName", F.lit("?"))
     by_pid = services.where("Pid > 0").groupBy("host", "Pid").agg(F.array_sort(F.collect_set(name)).alias("s"))
-    more = F.when(F.size("s") > 12, F.concat(F.lit(" (+"), (F.size("s") - 12).cast("string"), F.lit(")"))).otherwise("")
-    by_pid = by_pid.select("host", "Pid", F.concat(F.lit("service: "), F.array_join(F.slice("s", 1, 12), ", "), more).alias("l1"))
+    more = F.when(F.size("s") > keep, F.concat(F.lit(" (+"), (F.size("s") - keep).cast("string"), F.lit(")"))).otherwise("")
+    by_pid = by_pid.select("host", "Pid", F.concat(F.lit("service: "), F.array_join(F.slice("s", 1, keep), ", "), more).alias("l1"))
     path = norm_path(F.coalesce("AbsoluteExePath", "PathName"))
     by_path = services.withColumn("exe", path).where("exe <> ''").groupBy("host", "exe").agg(F.concat(F.lit("service: "), F.min(name)).alias("l2"))
     task = tasks.withColumn("exe", norm_path(F.col("Command"))).where("exe <> ''").groupBy("host", "exe").agg(F.concat(F.lit("task: "), F.min(F.coalesce("TaskName", "Name"))).alias("l3"))
@@ -150,17 +155,20 @@ def launchers(processes: DataFrame, services: DataFrame, tasks: DataFrame) -> Da
     return p.join(by_pid, ["host", "Pid"], "left").join(by_path, ["host", "exe"], "left").join(task, ["host", "exe"], "left").select("host", "Pid", F.coalesce("l1", "l2", "l3").alias("launched_by")).where("launched_by is not null")
 
 
-def correlate(processes: DataFrame, connections: DataFrame, listeners: DataFrame, services: DataFrame, tasks: DataFrame) -> DataFrame:
+def correlate(processes: DataFrame, connections: DataFrame, listeners: DataFrame, services: DataFrame, tasks: DataFrame, most: int | None = None, cmdline: int | None = None) -> DataFrame:
     """An entity for each suspicious process of a host: its own flags, what it shows with its parent, connections and
-    listeners, and ancestry, children, peers, ports and launcher. Inputs are annotated (``flags``)."""
+    listeners, and ancestry, children, peers, ports and launcher. Inputs are annotated (``flags``). ``most`` limits each of
+    these lists and ``cmdline`` the characters of the command line; they are whole by default. Rows without a Pid are left
+    out of the lists; an empty table of any kind adds nothing."""
+    keep = lambda c: F.array_sort(c) if most is None else F.slice(F.array_sort(c), 1, most)
     p = processes.withColumns({"staged": in_staging(F.col("Exe")), "lol": is_lolbin(F.col("CommandLine"))})
     parent = processes.groupBy("host", F.col("Pid").alias("Ppid")).agg(F.max(F.lower(F.trim("Name"))).alias("parent"))
     public = (F.col("Status") == "ESTAB") & (ip_scope(F.col("`Raddr.IP`")) == "public")
     peer = F.struct(F.col("`Raddr.IP`").alias("ip"), F.col("`Raddr.Port`").alias("port"), F.array_join("flags", "+").alias("flag"))
-    net = connections.where("Pid is not null").groupBy("host", "Pid").agg(F.max(public).alias("beacons"), F.max(F.size("flags") > 0).alias("net_flagged"), F.slice(F.array_sort(F.collect_set(F.when(public | (F.size("flags") > 0), peer))), 1, 20).alias("connections"))
-    ears = listeners.where("Pid is not null").groupBy("host", "Pid").agg(F.lit(True).alias("listens"), F.max(F.size("flags") > 0).alias("ear_flagged"), F.slice(F.array_sort(F.collect_set("Port")), 1, 20).alias("listening"))
+    net = connections.where("Pid is not null").groupBy("host", "Pid").agg(F.max(public).alias("beacons"), F.max(F.size("flags") > 0).alias("net_flagged"), keep(F.collect_set(F.when(public | (F.size("flags") > 0), peer))).alias("connections"))
+    ears = listeners.where("Pid is not null").groupBy("host", "Pid").agg(F.lit(True).alias("listens"), F.max(F.size("flags") > 0).alias("ear_flagged"), keep(F.collect_set("Port")).alias("listening"))
     label = F.concat(F.coalesce("Name", F.lit("?")), F.lit("("), F.col("Pid").cast("string"), F.lit(")"))
-    kids = processes.groupBy("host", F.col("Ppid").alias("Pid")).agg(F.slice(F.array_sort(F.collect_set(label)), 1, 20).alias("children"))
+    kids = processes.groupBy("host", F.col("Ppid").alias("Pid")).agg(keep(F.collect_set(label)).alias("children"))
     got = p.join(parent, ["host", "Ppid"], "left").join(net, ["host", "Pid"], "left").join(ears, ["host", "Pid"], "left")
     together = _flags(
         (F.col("parent").isin(*SPAWNERS) & F.lower(F.trim("Name")).isin(*SPAWNED), "suspicious_ancestry"),
@@ -169,8 +177,8 @@ def correlate(processes: DataFrame, connections: DataFrame, listeners: DataFrame
     )
     got = got.withColumn("flags", F.array_sort(F.array_union("flags", together)))
     got = got.where((F.size("flags") > 0) | F.coalesce("net_flagged", F.lit(False)) | F.coalesce("ear_flagged", F.lit(False)))
-    out = got.join(ancestry(processes), ["host", "Pid"], "left").join(kids, ["host", "Pid"], "left").join(launchers(processes, services, tasks), ["host", "Pid"], "left")
-    return out.select("host", severity(F.col("flags")).alias("severity"), "Pid", "Ppid", "Name", "Exe", F.left("CommandLine", F.lit(300)).alias("cmdline"), "flags", "ancestry", "children", "connections", "listening", "launched_by")
+    out = got.join(ancestry(processes), ["host", "Pid"], "left").join(kids, ["host", "Pid"], "left").join(launchers(processes, services, tasks, most), ["host", "Pid"], "left")
+    return out.select("host", severity(F.col("flags")).alias("severity"), "Pid", "Ppid", "Name", "Exe", (F.col("CommandLine") if cmdline is None else F.left("CommandLine", F.lit(cmdline))).alias("cmdline"), "flags", "ancestry", "children", "connections", "listening", "launched_by")
 
 
 def vulnerable_drivers(files: DataFrame, hashes: DataFrame) -> DataFrame:

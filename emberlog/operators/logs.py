@@ -249,7 +249,7 @@ def fortigate(lines: DataFrame) -> DataFrame:
     )
     told = F.array_distinct(F.filter(F.array(*(get(k) for k in ("attack", "virus", "filename", "hostname", "url", "app", "qname", "ui", "vpntunnel", "logdesc", "msg"))), lambda x: x != ""))
     names = {"type": "type", "subtype": "subtype", "level": "level", "action": "action", "srcip": "srcip", "srcport": "srcport", "dstip": "dstip", "dstport": "dstport", "service": "service"}
-    return rec.select(*_keep(lines), epoch_time(get("eventtime")).alias("time_utc"), F.trim(F.concat_ws(" ", get("date"), get("time"))).alias("time_local"), flag.alias("flag"), *(get(k).alias(n) for n, k in names.items()), F.coalesce(F.nullif(get("user"), F.lit("")), get("xauthuser")).alias("user"), get("dstcountry").alias("country"), F.left(F.array_join(told, " | "), F.lit(300)).alias("detail"))
+    return rec.select(*_keep(lines), epoch_time(get("eventtime")).alias("time_utc"), F.trim(F.concat_ws(" ", get("date"), get("time"))).alias("time_local"), flag.alias("flag"), *(get(k).alias(n) for n, k in names.items()), F.coalesce(F.nullif(get("user"), F.lit("")), get("xauthuser")).alias("user"), get("dstcountry").alias("country"), F.array_join(told, " | ").alias("detail"))
 
 
 def shell_history(lines: DataFrame) -> DataFrame:
@@ -312,6 +312,14 @@ def accounts(passwd: DataFrame, group: DataFrame, shadow: DataFrame) -> DataFram
     return out.select("host", "user", "uid", "gid", F.coalesce("group", F.lit("")).alias("group"), F.coalesce(F.array_join("extra", ";"), F.lit("")).alias("extra_groups"), "shell", F.coalesce("pw_status", F.lit("")).alias("pw_status"), privileged.alias("privileged"), "gecos", "home", suspicious.alias("suspicious"))
 
 
+def ssh_keys(lines: DataFrame) -> DataFrame:
+    """Keys that may log in (host, account, line of authorized_keys): type, comment, the key's line; comments and blank
+    lines are left out."""
+    text = F.trim("line")
+    words = F.split(text, r"\s+")
+    return lines.where((text != "") & ~text.startswith("#")).select("host", "account", F.get(words, F.lit(0)).alias("key_type"), F.coalesce(F.get(words, F.lit(2)), F.lit("")).alias("comment"), text.alias("key"))
+
+
 def known_hosts(lines: DataFrame) -> DataFrame:
     """Targets that accounts have accepted keys of, with key types; hashed entries are counted. Needs account."""
     real = lines.withColumn("p", F.split(F.trim(F.regexp_replace("line", r"^\s*@\S+\s+", "")), r"\s+")).where((F.trim("line") != "") & ~F.trim("line").startswith("#") & (F.size("p") >= 2))

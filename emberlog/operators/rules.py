@@ -254,14 +254,14 @@ class ContentRule:
     test: Callable[[Column], Column] | None = None
 
 
-def content_scan(files: DataFrame, rules: list[ContentRule], content: str = "content", longest: int = 30 << 20) -> DataFrame:
-    """``files`` without content, once for each rule that matches: rule, tags and the ids of its strings found. Larger
-    contents than ``longest`` characters are left out."""
+def content_scan(files: DataFrame, rules: list[ContentRule], content: str = "content", longest: int | None = None) -> DataFrame:
+    """``files`` without content, once for each rule that matches: rule, tags and the ids of its strings found. All
+    contents count, but those over ``longest`` characters if it is given. Null contents match nothing."""
     found = []
     for r in rules:
         ids = F.array_compact(F.array(*(F.when(F.col(content).rlike(rx), F.lit(i)) for i, rx in r.strings.items())))
         ok = r.test(ids) if r.test else F.size(ids) >= r.least
         found.append(F.when(ok, F.struct(F.lit(r.name).alias("rule"), F.lit(r.tags).alias("tags"), F.array_join(ids, "+").alias("matched"))))
     rest = [c for c in files.columns if c != content]
-    got = files.where(F.length(content) <= longest).withColumn("__f", F.explode(F.array_compact(F.array(*found))))
+    got = (files if longest is None else files.where(F.length(content) <= longest)).withColumn("__f", F.explode(F.array_compact(F.array(*found))))
     return got.select(*rest, "__f.*")
