@@ -27,9 +27,14 @@ PERSISTENT = (
 )
 #: Hosts that updates and protection come from.
 SENSITIVE_HOSTS = r"(?i)\b(update|security|repo|mirror|archive)\.|\.(ubuntu|debian|centos|redhat|microsoft|windowsupdate|clamav|sophos)\.|defender|crowdstrike|mcafee|kaspersky|sentinelone|virustotal"
+#: What starts something in a unit, and what says when.
+UNIT_KEYS = ("ExecStart", "ExecStartPre", "ExecStartPost", "ExecReload", "ExecStop")
+TIMER_KEYS = ("OnCalendar", "OnBootSec", "OnUnitActiveSec", "OnActiveSec", "Unit")
+#: Packages that Windows itself registers for logons.
+LSA_KNOWN = ("", "msv1_0", "kerberos", "schannel", "wdigest", "tspkg", "pku2u", "cloudap", "negoexts", "livessp", "rassfm", "scecli", "kdcsvc", "ctxsmartcardpsw", "wsauth", "wdigest.dll")
 #: Where persistence lives: (vector, path pattern, whether all lines are listed or only suspicious ones).
 VECTORS = (
-    ("systemd_service", r"/systemd/.*\.service$", False), ("systemd_timer", r"/systemd/.*\.timer$", True), ("init.d", r"/etc/init\.d/", False), ("rc.local", r"/etc/rc\.local$", True),
+    ("init.d", r"/etc/init\.d/", False), ("rc.local", r"/etc/rc\.local$", True),
     ("profile", r"/etc/profile(\.d/.*)?$", False), ("shell_rc", r"/\.(bashrc|bash_profile|bash_login|profile|bash_aliases|zshrc|zprofile|bash_logout|kshrc)$", False), ("autostart", r"/autostart/.*\.desktop$", False),
     ("sudoers", r"/etc/sudoers(\.d/.*)?$", True), ("motd", r"/etc/update-motd\.d/", False), ("pam", r"/etc/pam\.d/", False), ("kernel_module", r"/etc/modules(-load\.d/.*)?$", True),
     ("modprobe", r"/etc/modprobe\.d/", False), ("pkg_hook", r"/etc/(apt/apt\.conf\.d|yum/pluginconf\.d|dnf/plugins)/", False), ("environment", r"/etc/environment$", False), ("ld_preload", r"/etc/ld\.so\.preload$", True),
@@ -94,6 +99,15 @@ def sockets(lines: DataFrame) -> DataFrame:
     return lines.where(path.rlike(STAGING) & ~path.rlike(r"^/tmp/\.(X11|ICE|XIM|font)-unix/")).select("host", path.alias("name"), F.lit(True).alias("suspicious"))
 
 
+def sessions(lines: DataFrame) -> DataFrame:
+    """``who``, with or without the column of message states: user, tty, at_local, source; lines of fewer than five words
+    are left out."""
+    got = _words(5, lines)
+    at = F.when(_w(1).isin("+", "-", "?"), 2).otherwise(1)
+    word = lambda i: F.get("w", at + i)
+    return got.select("host", _w(0).alias("user"), word(0).alias("tty"), F.array_join(F.slice("w", at + 2, 3), " ").alias("at_local"), F.coalesce(F.nullif(F.regexp_replace(F.coalesce(word(4), F.lit("")), r"^\(+|\)+$", ""), F.lit("")), F.lit("local")).alias("source"))
+
+
 def packages(lines: DataFrame) -> DataFrame:
     """``dpkg -l`` or, where a host has none, ``rpm -qa``: name, version, arch, source, install_time_utc."""
     dpkg = _words(4, lines.where(F.col("path").contains("dpkg"))).where(_w(0).rlike("^i.{1,2}$")).select("host", _w(1).alias("name"), _w(2).alias("version"), _w(3).alias("arch"), F.lit("dpkg").alias("source"), F.lit(None).cast("timestamp").alias("install_time_utc"))
@@ -201,6 +215,29 @@ def audit_rules(lines: DataFrame) -> DataFrame:
     return lines.select("host", rule.alias("rule")).where(covers & ~F.col("rule").startswith("#")).distinct()
 
 
+def audit_daemon(lines: DataFrame) -> DataFrame:
+    """Of each host's audit daemon settings (key = value): write_logs, max_log_file_action, log_file, and ``weakened``, the
+    settings that keep records from the disk or put them elsewhere. Of repeated keys the last counts."""
+    text = F.trim("line")
+    kv = lines.where((text != "") & ~text.startswith("#") & text.contains("=")).select("host", "line_no", F.lower(F.trim(F.substring_index(text, "=", 1))).alias("k"), F.trim(F.regexp_extract(text, r"^[^=]*=(.*)$", 1)).alias("v"))
+    last = lambda key: F.max_by(F.when(F.col("k") == key, F.col("v")), F.when(F.col("k") == key, F.col("line_no")))
+    names = ("write_logs", "flush", "max_log_file_action", "log_format", "log_file")
+    got = kv.groupBy("host").agg(*(last(n).alias(n) for n in names))
+    is_ = lambda n, v: F.lower(n) == v
+    weak = ((is_("write_logs", "no"), F.lit("write_logs=no")), (is_("flush", "none"), F.lit("flush=none")), (is_("max_log_file_action", "ignore"), F.lit("max_log_file_action=ignore")), (is_("log_format", "nolog"), F.lit("log_format=nolog")), (F.col("log_file") != "/var/log/audit/audit.log", F.concat(F.lit("log_file="), F.col("log_file"))))
+    got = got.withColumn("weakened", F.array_compact(F.array(*(F.when(t, x) for t, x in weak))))
+    return got.select("host", "write_logs", "max_log_file_action", F.coalesce("log_file", F.lit("/var/log/audit/audit.log")).alias("log_file"), "weakened", (F.size("weakened") > 0).alias("suspicious"))
+
+
+def audit_rule_changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(host, kind, rule): watching rules that the loaded set has lost (flagged) or gained against the one before, of hosts
+    that have one before."""
+    old, new = audit_rules(before), audit_rules(now)
+    lost = old.exceptAll(new).select("host", F.lit("rule_removed").alias("kind"), "rule", F.lit(True).alias("suspicious"))
+    gained = new.exceptAll(old).join(before.select("host").distinct(), "host", "left_semi").select("host", F.lit("rule_added").alias("kind"), "rule", F.lit(False).alias("suspicious"))
+    return lost.unionByName(gained)
+
+
 def audit_coverage(lines: DataFrame) -> DataFrame:
     """Of each host: watches, system call rules, whether tasks are never audited, the last switch, and disabled."""
     rule = F.trim(F.regexp_replace("line", r"\s+", " "))
@@ -212,9 +249,17 @@ def audit_coverage(lines: DataFrame) -> DataFrame:
 
 
 def persistence(lines: DataFrame) -> DataFrame:
-    """Lines of start-up files by vector; of most vectors only those that fetch, listen or hide."""
-    vector = F.coalesce(*(F.when(F.col("path").rlike(rx), F.struct(F.lit(n).alias("vector"), F.lit(every).alias("every"))) for n, rx, every in VECTORS))
+    """Lines of start-up files by vector; of most vectors only those that fetch, listen or hide. Of systemd units (services,
+    timers, drop-ins) the lines that start something or say when: all of those that administrators and users wrote, of a
+    vendor's only suspicious ones. Comments and blank lines are left out; null lines too."""
     text = F.trim("line")
+    unit = F.col("path").rlike(r"/systemd/.*\.(service|timer|conf)$")
+    key = F.trim(F.substring_index(text, "=", 1))
+    does = text.contains("=") & key.isin(*UNIT_KEYS, *TIMER_KEYS)
+    own = F.col("path").rlike(r"(^|/)etc/systemd/system/|/\.config/systemd/user/")
+    kind = F.when(F.col("path").endswith(".timer") | key.isin(*TIMER_KEYS), "systemd_timer").otherwise("systemd_service")
+    row = lambda n, every: F.struct(n.alias("vector"), every.alias("every"))
+    vector = F.when(unit, F.when(does, row(kind, own))).otherwise(F.coalesce(*(F.when(F.col("path").rlike(rx), row(F.lit(n), F.lit(every))) for n, rx, every in VECTORS)))
     got = computed_once(lines.where((text != "") & ~text.startswith("#")), {"v": vector, "suspicious": text.rlike(PERSISTENT)}).where("v is not null")
     return got.where("suspicious or v.every").select("host", "path", "v.vector", text.alias("entry"), "suspicious")
 
@@ -274,6 +319,13 @@ def browser_history(chromium: DataFrame, firefox: DataFrame) -> DataFrame:
     return base(chromium, F.when(when > 0, webkit_time(when))).unionByName(base(firefox, F.when(F.col("last_visit_date") > 0, F.timestamp_micros("last_visit_date"))))
 
 
+def browser_downloads(chromium: DataFrame) -> DataFrame:
+    """Downloads of decoded Chromium tables (host, user, browser, target_path, tab_url, total_bytes, start_time, end_time)."""
+    clean = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\u0000"), F.lit(""))
+    at = lambda c: F.when(F.col(c).cast("long") > 0, webkit_time(F.col(c).cast("long")))
+    return chromium.select("host", "user", "browser", clean("target_path").alias("target"), clean("tab_url").alias("source"), F.col("total_bytes").cast("long").alias("bytes"), at("start_time").alias("start_utc"), at("end_time").alias("end_utc"))
+
+
 def rdp_targets(default: DataFrame, servers: DataFrame) -> DataFrame:
     """Remote desktops that users dialled: most recent position, account hint, accepted certificate, key time."""
     one = default.groupBy("host", "user", F.lower("target").alias("t")).agg(F.min("target").alias("target"), F.min("position").alias("mru"))
@@ -295,6 +347,9 @@ def registry_autostarts(values: DataFrame) -> DataFrame:
         ("appcert", key.endswith("\\appcertdlls"), F.lit(True)),
         ("image_options", key.contains("\\image file execution options\\") & name.isin("debugger", "globalflag"), name == "debugger"),
         ("boot_execute", name == "bootexecute", ~F.lower(F.trim(data)).rlike(r"^autocheck autochk \*$")),
+        ("lsa_package", key.endswith("\\control\\lsa") & name.isin("authentication packages", "security packages", "notification packages") & F.exists(F.split(F.trim(data), r"[\s,]+"), lambda x: ~F.lower(F.regexp_replace(x, '"', "")).isin(*LSA_KNOWN)), F.lit(True)),
+        ("cmd_autorun", key.endswith("\\command processor") & (name == "autorun") & (F.trim(data) != ""), F.lit(True)),
+        ("time_provider", key.rlike(r"\\w32time\\timeproviders\\[^\\]+$") & (name == "dllname") & (in_staging(data) | (data.contains("\\") & ~F.lower(data).contains("system32"))), in_staging(data)),
         ("netsh", key.endswith("\\microsoft\\netsh"), in_staging(data)),
         ("logon_script", key.endswith("\\environment") & (name == "userinitmprlogonscript"), F.lit(True)),
         ("com_hijack", key.rlike(r"\\software\\classes\\clsid\\.*\\inprocserver32$"), in_staging(data)),
@@ -302,3 +357,66 @@ def registry_autostarts(values: DataFrame) -> DataFrame:
     ]
     kind = F.coalesce(*(F.when(test, F.struct(F.lit(n).alias("vector"), F.coalesce(flag, F.lit(False)).alias("suspicious"))) for n, test, flag in rows))
     return computed_once(values, {"v": kind}).where("v is not null").select("host", "key", "name", "data", "v.*")
+
+
+def linux_machine_info(lines: DataFrame) -> DataFrame:
+    """A row for each host, from the outputs that ``path`` names: hostnamectl, os-release, hostname, timezone, date, free,
+    lscpu, last, ip_addr_show, ifconfig, passwd. Addresses are those of ``ip`` or else ``ifconfig``, without loopback and
+    link-local ones; users are those with a login shell. What no output tells is empty; the name falls back to the host's."""
+    name = basename(F.col("path"))
+    kv = lambda sep: (F.trim(F.substring_index("line", sep, 1)), F.trim(F.regexp_replace(F.regexp_extract("line", rf"^[^{sep}]*{sep}(.*)$", 1), '^\\s*"|"\\s*$', "")))
+    colon, equal = kv(":"), kv("=")
+    first = lambda test, value: F.min_by(F.when(test, value), F.when(test & (value != ""), F.col("line_no")))
+    last = lambda test, value: F.max_by(F.when(test, value), F.when(test & (value != ""), F.col("line_no")))
+    ctl = lambda key: last(name.startswith("hostnamectl") & (colon[0] == key), colon[1])
+    cpu = lambda key: last(name.startswith("lscpu") & (colon[0] == key), colon[1])
+    text = F.trim("line")
+    kb = F.regexp_extract("line", r"^Mem:\s+(\d+)", 1).try_cast("long")
+    found = lines.groupBy("host").agg(
+        ctl("Static hostname").alias("n1"), first(name == "hostname", text).alias("n2"), ctl("Operating System").alias("p1"), last((name == "os-release") & (equal[0] == "PRETTY_NAME"), equal[1]).alias("p2"),
+        ctl("Kernel").alias("build"), ctl("Machine ID").alias("machine_id"), first(name == "timezone", text).alias("z1"), first(name.startswith("date"), F.get(F.reverse(F.split(text, r"\s+")), F.lit(1))).alias("z2"),
+        first(name.startswith("last.") & F.col("line").startswith("reboot"), F.regexp_extract("line", r"([A-Z][a-z]{2}\s+[A-Z][a-z]{2}\s+\d+\s+\d{2}:\d{2})", 1)).alias("boot_time"),
+        ctl("Virtualization").alias("virtualization"), ctl("Architecture").alias("architecture"), cpu("Model name").alias("cpu"), cpu("CPU(s)").alias("cpu_count"),
+        F.max(F.when(name.startswith("free"), kb)).alias("kb"), ctl("Hardware Vendor").alias("h1"), ctl("Hardware Model").alias("h2"),
+    )
+    address = F.explode(F.transform(F.regexp_extract_all("line", F.lit(r"inet6?\s+(?:addr:\s*)?([0-9A-Fa-f.:]+)"), F.lit(1)), F.lower))
+    seen = lines.where(name.startswith("ip_addr_show") | name.startswith("ifconfig")).select("host", name.startswith("ifconfig").alias("second"), address.alias("ip")).where(~F.col("ip").isin("127.0.0.1", "::1") & ~F.col("ip").startswith("fe80")).distinct()
+    source = seen.groupBy("host").agg(F.min("second").alias("second"))
+    ips = seen.join(source, ["host", "second"]).groupBy("host").agg(F.array_sort(F.collect_set("ip")).alias("ips"))
+    shell = F.split("line", ":", -1)
+    users = lines.where((name == "passwd") & (F.size(shell) >= 7) & F.col("line").rlike("^[^:+-]") & ~F.get(shell, F.lit(6)).rlike("nologin|/false|/sync|/shutdown|/halt")).groupBy("host").agg(F.array_sort(F.collect_set(F.get(shell, F.lit(0)))).alias("users"))
+    none, or_empty = F.array().cast("array<string>"), lambda *c: F.coalesce(*c, F.lit(""))
+    got = found.join(ips, "host", "left").join(users, "host", "left")
+    return got.select(
+        "host", F.coalesce("n1", "n2", "host").alias("machine_name"), or_empty("p1", "p2").alias("product_name"), or_empty("build").alias("build"), or_empty("machine_id").alias("machine_id"), or_empty("z1", "z2").alias("timezone"), or_empty("boot_time").alias("boot_time"),
+        or_empty("virtualization").alias("virtualization"), or_empty("architecture").alias("architecture"), or_empty("cpu").alias("cpu"), or_empty("cpu_count").alias("cpu_count"),
+        F.coalesce(F.format_string("%.1f GiB", F.col("kb") / 1048576.0), F.lit("")).alias("memory"), F.trim(F.concat_ws(" ", "h1", "h2")).alias("hardware"), F.coalesce("ips", none).alias("ips"), F.coalesce("users", none).alias("users"),
+    )
+
+
+def windows_machine_info(values: DataFrame) -> DataFrame:
+    """A row for each host, from registry values (host, key, name, data): product, release, build, owner, name, domain, fqdn,
+    addresses, and users with their SIDs as a map. What no value tells is empty; the current control set is the one given,
+    or the first."""
+    key, name = F.lower(F.replace("key", F.lit("/"), F.lit("\\"))), F.lower("name")
+    pick = lambda end, *names: F.coalesce(*(F.min(F.when(key.endswith(end) & (name == n.lower()) & (F.trim("data") != ""), F.col("data"))) for n in names), F.lit(""))
+    version, tcp = "\\windows nt\\currentversion", "\\services\\tcpip\\parameters"
+    card = key.contains("\\tcpip\\parameters\\interfaces\\") & name.isin("dhcpipaddress", "ipaddress")
+    address = F.when(card, F.filter(F.split("data", r"[\s,;]+"), lambda x: ~x.isin("", "0.0.0.0")))
+    folder = F.when(key.contains("\\profilelist\\") & (name == "profileimagepath"), F.replace("data", F.lit("/"), F.lit("\\")))
+    profiles = values.select("host", F.substring_index(folder, "\\", -1).alias("user"), F.substring_index(F.replace("key", F.lit("/"), F.lit("\\")), "\\", -1).alias("sid")).where("user is not null")
+    users = profiles.groupBy("host", "user").agg(F.min("sid").alias("sid")).groupBy("host").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("user", "sid")))).alias("users"))
+    got = values.groupBy("host").agg(
+        pick(version, "ProductName").alias("product_name"), pick(version, "DisplayVersion", "ReleaseId").alias("release"), pick(version, "CurrentBuild").alias("build"), pick(version, "RegisteredOwner").alias("registered_owner"),
+        pick("\\computername\\computername", "ComputerName").alias("machine_name"), pick(tcp, "Domain", "NV Domain").alias("domain"), pick(tcp, "Hostname").alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(address)))).alias("ips"),
+    )
+    fqdn = F.when((F.col("h") != "") & (F.col("domain") != ""), F.concat_ws(".", "h", "domain")).otherwise("")
+    return got.join(users, "host", "left").select("host", "machine_name", fqdn.alias("fqdn"), "domain", "product_name", "release", "build", "registered_owner", "ips", "users")
+
+
+def event_hosts(events: DataFrame) -> DataFrame:
+    """(drop, host): of each unnamed collection of events the computer that most of them name, by its first label; ties by
+    name. All events count."""
+    short = F.substring_index(F.trim("Computer"), ".", 1)
+    counts = events.where(F.coalesce(short, F.lit("")) != "").groupBy("drop", short.alias("name")).agg(F.count("*").alias("n"))
+    return counts.groupBy("drop").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("host"))
