@@ -35,6 +35,10 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logons.edges(logons.security_edges(derive.security_events(spark, sf_dir)), derive.host_table(spark, sf_dir))
 
 
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logons.edge_times(logons.security_edges(derive.security_events(spark, sf_dir)), derive.host_table(spark, sf_dir))
+
+
 R = derive.sql_requests()
 _HITS = " OR ".join(f"event_id % 12 = {k}" for k in derive.ATTACKS)
 _SENS = "event_id % 12 IN (" + ", ".join(map(str, derive.SENSITIVE)) + ")"
@@ -83,7 +87,7 @@ def web_top_paths_by_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.top_values(_requests(spark, sf_dir), "path", 4, ["ip"])
 
 
-@query()
+@query(f"SELECT path AS item, count(*) AS count FROM {R} GROUP BY path ORDER BY count DESC, path LIMIT 5")
 def web_approx_top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.approx_top_values(_requests(spark, sf_dir), "path", 5)
 
@@ -185,7 +189,7 @@ _RAW_PAIRS = """WITH x AS (SELECT *, 'HOST' || CAST(user_id % 20 AS VARCHAR) AS
 
 @query(_RAW_PAIRS.replace("{w}", "7200") + """ SELECT u, x, b, y, strftime(min(t_out), '%Y-%m-%d %H:%M:%S') AS t_out, strftime(arg_max(t_in, (-epoch_us(t_out), epoch_us(t_in))), '%Y-%m-%d %H:%M:%S') AS t_in FROM p GROUP BY u, x, b, y""")
 def pivot_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = logons.pivot_chains(_edges(spark, sf_dir), window_s=7200)
+    got = logons.pivot_chains(_times(spark, sf_dir), window_s=7200)
     return got.select("u", "x", "b", "y", F.date_format("t_out", TIME).alias("t_out"), F.date_format("t_in", TIME).alias("t_in"))
 
 
@@ -240,35 +244,39 @@ def incident_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT (SELECT count(*) FROM (SELECT src FROM {_E} UNION SELECT dst FROM {_E})) AS hosts, (SELECT count(*) FROM {_E}) AS edges, (SELECT count(*) FROM {_E} WHERE status = 'failed' OR event_id = '4648' OR src_case) AS suspicious,
   (SELECT count(*) FROM ({_RAW_PAIRS.replace('{w}', '3600')} SELECT DISTINCT u, x, b, y FROM p)) AS chains""")
 def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir)
-    return logons.case_summary(e, logons.pivot_chains(e, window_s=3600))
+    return logons.case_summary(_edges(spark, sf_dir), logons.pivot_chains(_times(spark, sf_dir), window_s=3600))
 
 
 @query(r"""SELECT 'HOST' || CAST(user_id % 20 AS VARCHAR) AS host, 'CORP\user' || CAST(user_id % 9 AS VARCHAR) AS "user", '10.1.0.' || CAST(event_id % 25 AS VARCHAR) AS src, CASE WHEN event_id % 5 = 0 THEN 10 WHEN event_id % 5 = 1 THEN 2 ELSE 3 END AS logon_type,
-  count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed FROM events WHERE event_type <> 'purchase' GROUP BY ALL""")
+  count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events WHERE event_type <> 'purchase' GROUP BY ALL""")
 def logon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logons.logon_summary(derive.security_events(spark, sf_dir)).drop("first_seen", "last_seen")
+    got = logons.logon_summary(derive.security_events(spark, sf_dir))
+    return got.withColumns({c: F.date_format(c, TIME) for c in ("first_seen", "last_seen")})
 
 
 def _auth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syslog lines of events, in two files that overlap."""
-    e = table(spark, sf_dir, "events").where("event_type in ('error', 'click', 'view')")
+    e = table(spark, sf_dir, "events")
     user, peer = F.concat(F.lit("u"), (F.col("user_id") % 9).cast("string")), F.concat(F.lit("10.9.0."), (F.col("user_id") % 30).cast("string"))
-    msg = F.when(F.col("event_type") == "error", F.concat(F.lit("sshd[1]: Failed password for "), user, F.lit(" from "), peer, F.lit(" port 22 ssh2"))).when(F.col("event_type") == "click", F.concat(F.lit("sshd[1]: Accepted publickey for "), user, F.lit(" from "), peer, F.lit(" port 22 ssh2"))).otherwise(F.concat(F.lit("cron[2]: session opened for user "), user))
+    said = {
+        "error": F.concat(F.lit("sshd[1]: Failed password for "), user, F.lit(" from "), peer, F.lit(" port 22 ssh2")), "click": F.concat(F.lit("sshd[1]: Accepted publickey for "), user, F.lit(" from "), peer, F.lit(" port 22 ssh2")),
+        "view": F.concat(F.lit("cron[2]: session opened for user "), user), "signup": F.concat(F.lit("useradd[3]: new user: name="), user, F.lit(", UID=1")), "purchase": F.concat(F.lit("sudo: "), user, F.lit(" : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND=/bin/x")),
+    }
+    msg = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in said.items()))
     line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" box "), msg)
     one = e.select(F.lit("box").alias("host"), F.lit("/var/log/auth.log").alias("path"), F.col("event_id").alias("line_no"), line.alias("line"))
     return one.union(one.where("line_no % 3 = 0").withColumn("path", F.lit("/var/log/auth.log.1"))).union(one.where("line_no % 5 = 0").withColumn("path", F.lit("/var/log/messages")))
 
 
-@query("""SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 'box' AS host, CASE event_type WHEN 'error' THEN 'ssh_failed' ELSE 'ssh_accepted' END AS event, 'u' || CAST(user_id % 9 AS VARCHAR) AS "user", '10.9.0.' || CAST(user_id % 30 AS VARCHAR) AS source,
-  CASE event_type WHEN 'error' THEN 'port 22' ELSE 'publickey port 22' END AS detail FROM events WHERE event_type IN ('error', 'click')""")
+@query("""SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 'box' AS host, CASE event_type WHEN 'error' THEN 'ssh_failed' WHEN 'click' THEN 'ssh_accepted' WHEN 'signup' THEN 'user_add' ELSE 'sudo' END AS event, 'u' || CAST(user_id % 9 AS VARCHAR) AS "user",
+  CASE WHEN event_type IN ('error', 'click') THEN '10.9.0.' || CAST(user_id % 30 AS VARCHAR) ELSE '' END AS source, CASE event_type WHEN 'error' THEN 'port 22' WHEN 'click' THEN 'publickey port 22' WHEN 'purchase' THEN '/bin/x' ELSE '' END AS detail FROM events WHERE event_type <> 'view'""")
 def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.auth_events(logs.first_family(_auth_lines(spark, sf_dir)))
 
 
-@query("""SELECT CASE event_type WHEN 'view' THEN 'cron' ELSE 'sshd' END AS proc, count(*) AS n FROM events WHERE event_type IN ('error', 'click', 'view') GROUP BY 1""")
+@query("""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 'box' AS host, CASE event_type WHEN 'view' THEN 'cron' WHEN 'signup' THEN 'useradd' WHEN 'purchase' THEN 'sudo' ELSE 'sshd' END AS proc FROM events""")
 def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.syslog(_auth_lines(spark, sf_dir).where("path = '/var/log/auth.log'")).groupBy("proc").agg(F.count("*").alias("n"))
+    return logs.syslog(_auth_lines(spark, sf_dir).where("path = '/var/log/auth.log'")).select("timestamp", "host", "proc")
 
 
 @query("""WITH x AS (SELECT *, 'serial' || CAST(event_id AS VARCHAR) AS s FROM events)
@@ -336,12 +344,34 @@ def stream_web_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(streams.web_windows(e)).select(F.date_format("start", TIME).alias("start"), "ip", "requests", "failed", "missing")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+_STEPS = 10
+_STEP = f"CAST(floor((epoch(ts) - (SELECT epoch(min(ts)) FROM events)) * {_STEPS} / ((SELECT epoch(max(ts)) - epoch(min(ts)) FROM events) + 1)) AS INT)"
+
+
+def _in_steps(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
+    """Events as a stream of ten batches in order of time."""
+    from ..streaming import streams
+
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = e.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b")).first()
+    step = F.floor((F.unix_micros("ts") - ends.a) / 1e6 * _STEPS / ((ends.b - ends.a) / 1e6 + 1)).cast("int")
+    e = e.withColumn("step", step)
+    return streams.stream_in_steps(e.where(F.col("event_type").isin(kinds)) if kinds else e, "step", _STEPS)
+
+
+# what is known of a key goes at the end of the first batch whose watermark, the latest time of the batches before it less a
+# day, is a day behind it
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type, ts, {_STEP} AS step FROM events), m AS (SELECT s.step, (SELECT max(ts) FROM e WHERE e.step < s.step) AS seen FROM (SELECT DISTINCT step FROM e) s),
+k AS (SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY ALL
+  UNION ALL SELECT k.user_id, k.event_type, (SELECT min(e.ts) FROM e WHERE e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts > k.ts
+    AND e.step > (SELECT min(m.step) FROM m WHERE m.seen - INTERVAL 1 DAY >= k.ts + INTERVAL 1 DAY)) FROM k WHERE k.ts IS NOT NULL)
+SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM k WHERE ts IS NOT NULL""")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user the first event of a kind, and again once that is forgotten."""
     from ..streaming import streams
 
-    e = streams.table_stream(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return streams.drain(streams.dedupe(e, ["user_id", "event_type"], within="60 days")).select("user_id", "event_type")
+    got = streams.dedupe(_in_steps(spark, sf_dir).select("user_id", "event_type", "ts"), ["user_id", "event_type"], within="1 day")
+    return streams.drain(got).select("user_id", "event_type", F.date_format("ts", TIME).alias("ts"))
 
 
 @query("""WITH a AS (SELECT 'x' || CAST(event_id % 25 AS VARCHAR) AS x, user_id % 20 AS b, user_id AS "user", ts FROM events WHERE event_type = 'view'), d AS (SELECT user_id % 20 AS b, 'x' || CAST(event_id % 6 AS VARCHAR) AS y, user_id AS "user", ts FROM events WHERE event_type = 'purchase')
@@ -357,15 +387,20 @@ def stream_pivot_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("user", "x", "b", "y", F.date_format("t_in", TIME).alias("t_in"), F.date_format("t_out", TIME).alias("t_out"))
 
 
-@query("""WITH x AS (SELECT 's' || CAST(event_id % 3 AS VARCHAR) AS src, 'd' || CAST(user_id % 4 AS VARCHAR) AS dst, 'u' || CAST(user_id % 5 AS VARCHAR) AS "user", ts, event_type = 'click' AS ok FROM events WHERE event_type IN ('click', 'error')),
-f AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY src, dst, "user" ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS failures FROM x) SELECT src, dst, "user", count(*) AS n, CAST(max(failures) AS BIGINT) AS failures FROM f WHERE ok AND failures >= 5 GROUP BY ALL""")
+# a key's failures are forgotten in a batch without rows of it whose watermark, the latest time of the batches before it less
+# ten minutes, is over a day past its last row
+@query(f"""WITH x AS (SELECT CAST(user_id AS VARCHAR) AS "user", ts, event_type = 'click' AS ok, {_STEP} AS step FROM events WHERE event_type IN ('click', 'error')), m AS (SELECT step, max(ts) AS seen FROM x GROUP BY step),
+b AS (SELECT "user", step, max(ts) AS last, lag(step) OVER w AS before, lag(max(ts)) OVER w AS seen FROM x GROUP BY "user", step WINDOW w AS (PARTITION BY "user" ORDER BY step)),
+i AS (SELECT b."user", b.step, sum(CASE WHEN b.step - b.before >= 2 AND m.seen - INTERVAL 10 MINUTE > b.seen + INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY b."user" ORDER BY b.step) AS island FROM b LEFT JOIN m ON m.step = b.step - 2),
+y AS (SELECT x.*, i.island FROM x JOIN i ON i."user" = x."user" AND i.step = x.step),
+f AS (SELECT y."user", y.ok, (SELECT count(*) FROM y z WHERE z."user" = y."user" AND z.island = y.island AND NOT z.ok AND z.ts <= y.ts) AS failures FROM y)
+SELECT "user", count(*) AS n, CAST(sum(failures) AS BIGINT) AS failures FROM f WHERE ok AND failures >= 2 GROUP BY "user" """)
 def stream_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import streams
 
-    name = lambda p, c, k: F.concat(F.lit(p), (F.col(c) % k).cast("string"))
-    e = streams.table_stream(spark, sf_dir, "events").where("event_type in ('click', 'error')").select(name("s", "event_id", 3).alias("src"), name("d", "user_id", 4).alias("dst"), name("u", "user_id", 5).alias("user"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "click").alias("ok"))
-    got = streams.drain(streams.brute_force_alerts(e, forget="60 days"))
-    return got.groupBy("src", "dst", "user").agg(F.count("*").alias("n"), F.max("failures").alias("failures"))
+    e = _in_steps(spark, sf_dir, ["click", "error"]).select(F.lit("s").alias("src"), F.lit("d").alias("dst"), F.col("user_id").cast("string").alias("user"), "ts", (F.col("event_type") == "click").alias("ok"))
+    got = streams.drain(streams.brute_force_alerts(e, least=2, forget="1 day"))
+    return got.groupBy("user").agg(F.count("*").alias("n"), F.sum("failures").alias("failures"))
 
 
 def _processes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,4 +456,4 @@ def driver_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.vulnerable_drivers(files, known).select("p_partkey", "driver")
 
 
-from . import hosts  # noqa: E402, F401  registers the queries of the host normalisers
+from . import hosts, more  # noqa: E402, F401  register their queries

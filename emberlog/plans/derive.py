@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files at hand are so small that they make one split; larger input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values: tuple[str, ...], index: str) -> F.Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (F.expr(index) + 1).cast("int"))
 
@@ -34,7 +40,7 @@ STATUS = "CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN '401
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access-log lines, one for each event."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     stamp = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
     line = F.concat(
         F.expr(IP), F.lit(" - - ["), stamp, F.lit(' +0000] "'), F.expr(METHOD), F.lit(" "), pick(URIS, "event_id % 12"), F.lit(' HTTP/1.1" '), F.expr(STATUS), F.lit(" "),
@@ -58,7 +64,7 @@ SENSITIVE = (2, 3, 10)
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logon events of twenty hosts: errors fail, clicks and views succeed, purchases use explicit credentials."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     kind = "CASE event_type WHEN 'error' THEN '4625' WHEN 'purchase' THEN '4648' ELSE '4624' END"
     payload = F.concat(F.lit("Target: CORP.LOCAL\\User"), (F.col("user_id") % 9).cast("string"), F.lit(" | LogonType "), F.expr("CASE WHEN event_id % 5 = 0 THEN '10' WHEN event_id % 5 = 1 THEN '2' ELSE '3' END"), F.lit(" | TargetServerName: srv"), (F.col("event_id") % 6).cast("string"))
     return e.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.plan import scratch
 from ..operators import rules
 from ..operators.web import parse_access
 
@@ -17,8 +17,7 @@ from ..operators.web import parse_access
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives what it wrote, from the folder that spark.checkpoint.dir names."""
     spark = stream.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberlog-")
-    at = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -30,6 +29,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def stream_in_steps(rows: DataFrame, step: str, steps: int) -> DataFrame:
+    """``rows`` as a stream of ``steps`` files, one for each value (0 .. steps - 1) of column ``step`` and in their order,
+    each a batch of its own; rows of a file are in order of ``ts``."""
+    spark = rows.sparkSession
+    at = f"{scratch(spark)}/steps-{uuid.uuid4().hex}"
+    for k in range(steps):
+        rows.where(F.col(step) == k).repartition(1).sortWithinPartitions("ts").write.mode("append").parquet(at)  # one file a batch
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def dedupe(events: DataFrame, keys: list[str], time: str = "ts", within: str = "1 hour") -> DataFrame:
     """The first of events alike in ``keys`` that come within ``within`` of each other; state is bounded by that time."""
     return events.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
@@ -56,8 +65,8 @@ def web_sessions(requests: DataFrame, late: str = "10 minutes", gap: str = "30 m
 
 
 def brute_force_alerts(auth: DataFrame, least: int = 5, forget: str = "1 day") -> DataFrame:
-    """An alert for each success of an account from a source with at least ``least`` failures before; a pair is forgotten
-    after ``forget`` without events. Needs ts, src, dst, user, ok."""
+    """An alert for each success of an account from a source with at least ``least`` failures before, those of the same
+    time included; a pair is forgotten after ``forget`` without events. Needs ts, src, dst, user, ok."""
     ms = int(forget.split()[0]) * {"minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[forget.split()[1].rstrip("s")]
 
     def follow(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
@@ -67,13 +76,15 @@ def brute_force_alerts(auth: DataFrame, least: int = 5, forget: str = "1 day") -
             state.remove()
             return
         fails = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        # equal times of one key and outcome come as one row with their number, so a batch of many repeats stays small
+        parts = [b.groupby(["ts", "ok"], as_index=False).size() for b in batches]
+        rows = pd.concat(parts).groupby(["ts", "ok"], as_index=False)["size"].sum().sort_values(["ts", "ok"], kind="stable")
         out = []
-        for ts, ok in zip(rows["ts"], rows["ok"], strict=True):
+        for ts, ok, n in zip(rows["ts"], rows["ok"], rows["size"], strict=True):
             if not ok:
-                fails += 1
+                fails += int(n)
             elif fails >= least:
-                out.append((*key, ts, fails))
+                out += [(*key, ts, fails)] * int(n)
         state.update((fails,))
         state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ms)
         if out:
