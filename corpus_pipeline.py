@@ -1,6 +1,9 @@
 """The training-data pipeline: quality, line dedup, near-duplicate documents, decontamination, mixing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and rereads for the next.
+All but the last return the columns of their documents, whatever else these hold and whatever it is called. Null, empty
+and blank texts are judged like others by the classifier and link with nothing after it; the last stage takes no text
+without words. Null and repeated ids are kept. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,33 +18,35 @@ from emberlog.llm.decontaminate import drop_contaminated
 from emberlog.llm.line_dedup import dedup_lines
 from emberlog.llm.mixing import mix
 from emberlog.llm.ngram_join import ngram_components
-from emberlog.llm.shared import materialize, ship
+from emberlog.llm.shared import fresh, materialize, ship
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at 0.7 or more."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_score(docs, model).where("quality_score >= 0.7").drop("quality_score")
+    score = fresh("quality_score", docs)
+    return quality.with_score(docs, model, score_col=score).where(F.col(score) >= 0.7).select(docs.columns)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are near duplicates of others; those that lose all of their lines go. ``n_chars`` is
     counted anew where lines went."""
-    cut = dedup_lines(docs)
-    counted = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return counted.where("n_removed = 0 or n_removed < n_lines").select(docs.columns)
+    cut = dedup_lines(docs.select(F.struct("*").alias("row"), "doc_id", "text")).where("n_removed = 0 or n_removed < n_lines")
+    fewer = F.col("n_removed") > 0
+    new = {"text": F.col("text"), "n_chars": F.when(fewer, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return cut.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that five-word shingles link at a Jaccard similarity of 0.8 or more, the least doc_id;
     one row, whether ids repeat or are null, which count as the greatest."""
     # rows have keys of their own, which hold once they are written
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    linked = ngram_components(rows, n=5, percent=80, id_col="__row").select("__row", "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
-    ranked = linked.join(rows.select("__row", order.alias("order")), "__row")
-    first = ranked.groupBy("component_id").agg(F.min("order")["__row"].alias("__row"))
-    return rows.join(first, "__row", "left_semi").select(docs.columns)
+    rows = materialize(docs.select(F.struct("*").alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("key")), "rows")
+    linked = ngram_components(rows, n=5, percent=80, id_col="key").select("key", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "key")
+    ranked = linked.join(rows.select("key", order.alias("order")), "key")
+    first = ranked.groupBy("component_id").agg(F.min("order")["key"].alias("key"))
+    return rows.join(first, "key", "left_semi").select("row.*")
 
 
 def no_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources", mixed_sources),
 ]
 
-#: The classifier and the signature joins can't be said in SQL; tests hold the stages against brute force.
+#: The classifier and the fuzzy lines can't be said in SQL; tests hold each stage against a plain version of it.
 ORACLE_SQL: str | None = None
 
 

@@ -53,6 +53,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, or with underscores behind it if ``df`` has a column of that name."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data, in whatever store it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

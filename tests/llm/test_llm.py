@@ -596,3 +596,112 @@ def test_mixing_keeps_both_targets(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 100_000), ("c", 50_000)], "source string, tokens long")
     free, bound = (mixing.source_weights(sources, 150_010.0, entropy=0.95, most_epochs=m).collect() for m in (None, 20.0))
     assert max(r.epochs for r in free) > 1000 and 19 < max(r.epochs for r in bound) <= 20
+
+
+CLASHING = ("gone", "__kept", "did", "sig", "row", "lid", "number", "line", "first", "x", "v", "n_lines", "n_removed", "n_shingles", "component_id", "quality_score", "key", "order", "block", "epoch", "weight", "spans", "anchors")
+
+
+@pytest.fixture
+def messy(spark):
+    """Null and repeated ids, null, empty, blank and very long texts, repeated rows, and columns that operators use inside."""
+    long = " ".join(f"w{i % 977}" for i in range(60_000))
+    rows = [(None, "lost and found in the woods of a very long night"), (None, None), (1, ""), (1, " \n\t"), (2, long), (3, "same text twice over here\nand a second line that is long enough to matter"), (3, "same text twice over here\nand a second line that is long enough to matter"), (4, None), (5, long + " end")]
+    df = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+
+
+def test_messy_tables(messy, spark):
+    n = messy.count()
+    words = lambda t: (t or "").split()
+    own = lambda r, but=(): all(r[c] == f"own {c}" for c in CLASHING if c not in but)
+    cut = line_dedup.dedup_lines(messy).collect()
+    assert len(cut) == n and all(own(r, ("n_lines", "n_removed")) for r in cut)
+    # rows of one id and text are one document
+    assert sorted((r.doc_id or 0, r.n_removed) for r in cut) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 0), (3, 0), (3, 0), (4, 0), (5, 1)]
+    got = substring_index.substring_dedup(messy).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == sorted((len(words(t)), 60_000 if len(words(t)) > 59_999 else 0) for t in [r.text for r in messy.collect()])
+    assert sorted(r.n_removed > 0 for r in suffix_dedup.suffix_dedup(messy).collect()) == [False] * 7 + [True] * 2
+    linked = {(r.doc_id, r.component_id) for r in ngram_join.ngram_components(messy).collect()}
+    assert linked == {(None, None), (1, 1), (2, 2), (3, 3), (4, 4), (5, 2)}
+    bench = spark.createDataFrame([(9, " ".join(f"w{i}" for i in range(100, 140))), (None, "found in the woods of a very long night")], "item_id long, text string").withColumn("did", F.lit(1))
+    found = decontaminate.overlaps(messy, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in found) == [(0, 0), (2, 9), (5, 9)]
+    kept = decontaminate.drop_contaminated(messy, bench).collect()
+    assert len(kept) == 6 and all(own(r) for r in kept)
+    model = quality.fit(messy, spark.createDataFrame([(1, 1), (2, 0), (3, 1), (5, 0), (None, 1)], "doc_id long, quality int"))
+    scored = quality.with_score(messy, model).collect()
+    assert len(scored) == n and all(own(r, ("quality_score",)) and 0 <= r.quality_score <= 1 for r in scored)
+    assert len({r.quality_score for r in scored if r.doc_id == 3}) == 1
+    taken = mixing.mix(messy, most_epochs=1.0).collect()
+    assert Counter(r.doc_id for r in taken) == {None: 1, 2: 1, 3: 2, 5: 1}
+
+
+def test_pipeline_on_messy_and_empty_tables(messy, spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(9, "nothing that is in there at all but words and words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (messy, messy.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs
+            docs = stage(spark, docs, str(tmp_path)).persist()
+            assert docs.schema.names == before.schema.names and docs.count() <= before.count()
+            assert all(r[c] == f"own {c}" for r in docs.collect() for c in CLASHING)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() <= docs.count() * 100
+    lines = corpus_pipeline.distinct_lines(spark, messy, "")
+    assert sorted((r.doc_id or 0, r.n_chars) for r in lines.collect() if r.text) == sorted((r.doc_id or 0, len(r.text)) for r in lines.collect() if r.text)
+
+
+def test_line_components_like_brute_force(docs):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghijklm ") for _ in range(rng.choice([3, 7, 30, 90, 300]))) for _ in range(25)]
+    pool = list(base)
+    for x in base:
+        for _ in range(3):
+            y = list(x)
+            for _ in range(max(1, len(y) // 200)):
+                y[rng.randrange(len(y))] = rng.choice("XYZ")
+            pool.append("".join(y))
+    pool += ["Some Line of Mixed Case, long enough", "some line of mixed case, long enough", "  ", ""]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    lines = [(d, i, x) for d, t in enumerate(texts) for i, x in enumerate(t.split("\n")) if x.strip()]
+    grams = lambda x: {x.lower()[i : i + 8] for i in range(len(x) - 7)} or {x.lower()}
+    sets = {x: grams(x) for *_, x in lines}
+    names = sorted(sets)
+    up = {x: x for x in names}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for i, x in enumerate(names):
+        for y in names[:i]:
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                up[find(x)] = find(y)
+    seen, kept = set(), {}
+    for d, i, x in lines:  # in order of document and line
+        if find(x) not in seen:
+            seen.add(find(x))
+            kept.setdefault(d, set()).add(i)
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if not x.strip() or i in kept.get(d, ())) for d, t in enumerate(texts)}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(texts)).collect()}
+    assert got == want
+
+
+def test_quality_scores_like_plain_densities(spark):
+    rng = np.random.default_rng(6)
+    d = len(quality.STATISTICS)
+    x = np.concatenate([rng.normal(size=(80, d)), rng.normal(size=(120, d)) * 1.5 + 0.7])
+    y = np.repeat([0, 1], [80, 120])
+    ids = [i for i in range(1000) if __import__("zlib").crc32(str(i).encode()) % 4 != 2][:200]
+    measured = spark.createDataFrame([(i, v) for i, v in zip(ids, x.tolist(), strict=True)], "doc_id long, x array<double>")
+    model = quality.fit(measured, spark.createDataFrame(list(zip(ids, y.tolist(), strict=True)), "doc_id long, quality int"))
+    cov = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = (80 * cov[0] + 120 * cov[1]) / 200
+    logs = []
+    for k in (0, 1):
+        s = 0.7 * cov[k] + 0.3 * pooled + 0.005 * np.diag(np.diag(pooled) + 1e-6)
+        z = x - x[y == k].mean(axis=0)
+        logs.append(np.log((y == k).mean()) - 0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) + np.linalg.slogdet(s)[1]))
+    want = 1 / (1 + np.exp((logs[0] - logs[1]) * 0.5))
+    got = {r.doc_id: r.quality_score for r in quality.with_score(measured, model).collect()}
+    assert np.allclose([got[i] for i in ids], want, atol=1e-9)
