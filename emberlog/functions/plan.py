@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,15 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """``df`` worked out once for what reads it several times: a checkpoint in the shared folder that the session names
-    (``spark.checkpoint.dir``), where it names one; else ``df`` itself."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """``df`` worked out once for what reads it several times: a table in the folder for intermediate files (``scratch``),
+    or, on a cluster that names none, ``df`` itself."""
+    spark = df.sparkSession
+    try:
+        path = f"{scratch(spark)}/held-{uuid.uuid4().hex}"
+    except ValueError:
+        return df
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -255,7 +255,8 @@ def pivot_chains(times: DataFrame, window_s: int = 12 * 3600, loose_window_s: in
     Y), with the latest arrival before it. Machine accounts are left out; all times of an edge count.
     """
     u = short_user(F.col("user"))
-    rows = times.where("status = 'ok' and ts is not null").withColumn("u", u).where(~F.col("u").endswith("$"))
+    rows = times.where((F.col("status") == "ok") & F.col("ts").isNotNull() & F.col("event_id").isin(*CHAIN_IN, *CHAIN_OUT)).withColumn("u", u).where(~F.col("u").endswith("$"))
+    rows = held(rows.select("src", "dst", "u", "event_id", "ts", "src_case", "dst_case"))  # read six times
     came = rows.where(F.col("event_id").isin(*CHAIN_IN) & F.col("dst_case") & (F.col("u") != "")).select(F.col("src").alias("x"), F.col("dst").alias("b"), "u", F.col("event_id").alias("in_event"), F.col("ts").alias("t_in"))
     left = rows.where(F.col("event_id").isin(*CHAIN_OUT) & F.col("src_case")).select(F.col("src").alias("b"), F.col("dst").alias("y"), "u", F.col("event_id").alias("out_event"), F.col("ts").alias("t_out"))
     named = _legs(came, left.where("u <> ''"), ["b", "u"], window_s)
