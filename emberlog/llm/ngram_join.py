@@ -112,7 +112,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         return joined_sets(shingle_sets(c, n) for c in chunks(texts))
 
     digests = rows.where("length(text) > 0").select("did", F.unhex(F.md5("text")).alias("digest"))
-    least = digests.groupBy("digest").agg(F.min("did").alias("a"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below is one of plain exchanges and adaptive execution splits a text of very many copies
+    least = materialize(digests.groupBy("digest").agg(F.min("did").alias("a"), F.count("*").alias("n")).where("n > 1"), "digests")
     # blank texts have no shingles
     blank = rows.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("did")
     copies = materialize(digests.join(least, "digest").select("a", F.col("did").alias("b")).where("a <> b").join(blank.select(F.col("did").alias("b")), "b", "left_anti").distinct(), "copies")
