@@ -79,6 +79,7 @@ def processes(lines: DataFrame) -> DataFrame:
 
 
 def hidden_pids(lines: DataFrame) -> DataFrame:
+    """Process numbers that ``ps`` doesn't show, one a line."""
     return lines.where(F.trim("line").rlike(r"^\d+$")).select("host", F.trim("line").alias("pid"))
 
 

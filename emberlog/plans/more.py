@@ -494,3 +494,109 @@ def stream_rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = spark.readStream.option("pathGlobFilter", "part-*").text(f"{at}/x.access").select(F.regexp_extract("value", r"^\[(\d+)\]", 1).cast("long").alias("line_no"), F.regexp_replace("value", r"^\[\d+\] ", "").alias("line"))
     got = streams.rule_alerts(rules.web_fields(web.parse_access(seen)), [rules.load_rule(x) for x in _WEB_RULES])
     return streams.drain(got.select("line_no", "rule_id"))
+
+
+# ---- what hosts tell of themselves, continued ------------------------------------------------------------------------
+
+@query("""SELECT event_id, 'u' || CAST(user_id AS VARCHAR) AS "user", strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS time_utc, 'USER_PROCESS' AS type, '10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS host FROM events""")
+def utmp_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Login databases of one record each, the last bytes of a second one torn off."""
+    e = table(spark, sf_dir, "events")
+    padded = lambda text, n: F.rpad(F.hex(F.encode(text, "utf-8")), n * 2, "0")
+    little = lambda x, n: F.concat(*(F.lpad(F.hex(F.pmod(F.shiftright(x, 8 * i), F.lit(256))), 2, "0") for i in range(n)))
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    record = F.concat(little(F.lit(7).cast("long"), 4), F.lit("00" * 4), padded(F.lit("pts/0"), 32), F.lit("00" * 4), padded(F.concat(F.lit("u"), s("user_id")), 32), padded(F.concat(F.lit("10.0.0."), s("user_id", 250)), 256), F.lit("00" * 8), little(at, 4), F.lit("00" * 40))
+    got = logs.utmp_records(e.select(s("event_id").alias("path"), F.unhex(F.concat(record, F.lit("07000000"))).alias("content")))
+    return got.select(F.col("path").cast("long").alias("event_id"), "user", F.date_format("time_utc", TIME).alias("time_utc"), "type", "host")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'pts/0' ELSE '' END AS port, CASE WHEN c_custkey % 2 = 0 THEN '10.0.0.1' ELSE '' END AS source FROM customer WHERE c_custkey % 3 <> 0""")
+def last_login_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    name = F.concat(F.lit("u"), s("c_custkey"))
+    line = F.when(F.col("c_custkey") % 3 == 0, F.concat(name, F.lit("     **Never logged in**"))).when(F.col("c_custkey") % 2 == 0, F.concat(name, F.lit(" pts/0 10.0.0.1 Mon May 1 10:00:00 +0000 2024"))).otherwise(F.concat(name, F.lit(" 2024-05-01 x")))
+    got = host_state.last_logins(c.select(F.lit("h").alias("host"), F.lit("lastlog").alias("path"), (F.col("c_custkey") + 2).alias("line_no"), line.alias("line")))
+    return got.select(F.regexp_extract("user", r"u(\d+)", 1).cast("long").alias("c_custkey"), F.when(F.col("port") == "pts/0", "pts/0").otherwise("").alias("port"), "source")
+
+
+@query("""SELECT 'kprobe' AS name, CAST(user_id % 3 AS VARCHAR) AS uid, count(*) AS n FROM events GROUP BY 2""")
+def ebpf_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Program lists of ten hosts: records of two lines that begin at a number."""
+    e = table(spark, sf_dir, "events")
+    body = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.concat(s("event_id"), F.lit(": kprobe  name x")).alias("line")), F.struct(F.lit(1).alias("i"), F.concat(F.lit("    uid "), s("user_id", 3), F.lit("  pids a(1)")).alias("line"))))
+    df = e.select(s("user_id", 10).alias("host"), F.lit("bpftool_prog_show.txt").alias("path"), "event_id", body.alias("x")).select("host", "path", (F.col("event_id") * 2 + F.col("x.i")).alias("line_no"), "x.line")
+    got = host_state.ebpf(df)
+    return got.groupBy("name", F.regexp_extract("detail", r"uid=(\d+)", 1).alias("uid")).agg(F.sum(F.regexp_extract("detail", r"count=(\d+)", 1).cast("long")).alias("n"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'health' WHEN 1 THEN 'threat' WHEN 2 THEN 'exclusion' ELSE 'health' END AS category, p_partkey % 4 <> 3 AS suspicious FROM part""")
+def antivirus_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    path = pick(("mdatp_health.txt", "mdatp_threat_list.txt", "mdatp_exclusion_list.txt", "mdatp_health.txt"), "p_partkey % 4")
+    line = pick(("real_time_protection_enabled : false", "Name: Eicar", "/opt/x", "healthy : true"), "p_partkey % 4")
+    got = artifacts.defender_state(p.select(s("p_partkey").alias("host"), path.alias("path"), F.lit(1).alias("line_no"), line.alias("line")))
+    return got.select(F.col("host").cast("long").alias("p_partkey"), "category", "suspicious")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'search' ELSE 'typed_path' END AS kind, CAST(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS INT) AS "order", c_custkey % 2 = 1 AS timed FROM customer""")
+def typed_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches, second in their order, and the newest typed paths."""
+    c = table(spark, sf_dir, "customer")
+    even = F.col("c_custkey") % 2 == 0
+    df = c.select(F.lit("h").alias("host"), s("c_custkey").alias("user"), F.when(even, "Software\\WordWheelQuery").otherwise("Software\\TypedPaths").alias("key"), F.when(even, "4").otherwise("url1").alias("name"), F.lit("C:\\x").alias("data"), F.array(F.lit(7), F.lit(4)).alias("order"), F.to_timestamp(F.lit("2024-01-01")).alias("key_time"))
+    got = artifacts.explorer_input(df)
+    return got.select(F.col("user").cast("long").alias("c_custkey"), "kind", "order", F.col("key_last_write_utc").isNotNull().alias("timed"))
+
+
+@query("""SELECT s_suppkey, 'Startup' AS section, 'a' || CAST(s_suppkey AS VARCHAR) || '.bat -x' AS command FROM supplier UNION ALL SELECT s_suppkey, 'Shutdown', 'b.bat' FROM supplier""")
+def policy_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sup = table(spark, sf_dir, "supplier")
+    body = F.posexplode(F.array(F.lit("[Startup]"), F.concat(F.lit("0CmdLine=a"), s("s_suppkey"), F.lit(".bat")), F.lit("0Parameters=-x"), F.lit("[Shutdown]"), F.lit("0CmdLine=b.bat"))).alias("line_no", "line")
+    got = artifacts.policy_scripts(sup.select(F.lit("h").alias("host"), s("s_suppkey").alias("path"), body))
+    return got.select(F.col("path").cast("long").alias("s_suppkey"), "section", "command")
+
+
+@query(f"""SELECT event_id, {sql_pick(('encoded', 'defender_tamper', 'lolbin_download', 'credential_access'), 'event_id % 5')} AS flag FROM events WHERE event_id % 5 < 4""")
+def powershell_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = pick(("powershell -enc SQBFAFgA", "Set-MpPreference -DisableRealtimeMonitoring 1", "certutil -urlcache -f http://x", "Invoke-Mimikatz", "Get-ChildItem"), "event_id % 5")
+    e = table(spark, sf_dir, "events").select("event_id", said.alias("command"))
+    return e.withColumn("flag", logs.powershell_flag(F.col("command"))).where("flag is not null").select("event_id", "flag")
+
+
+@query("""SELECT conv_id, turn, 'tool' AS labels FROM conversations WHERE conv_id % 3 = 0""")
+def history_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of shell histories that analyst indicators know."""
+    c = table(spark, sf_dir, "conversations")
+    line = F.when(F.col("conv_id") % 3 == 0, "nmap -sS 10.0.0.0/8").otherwise("ls")
+    seq = logs.shell_history(c.select(s("conv_id").alias("host"), F.lit("u").alias("user"), F.lit("bash").alias("shell"), F.lit(0).alias("file_rank"), F.col("turn").alias("line_no"), F.concat(line, F.lit(" #"), s("turn")).alias("line")))
+    got = seq.withColumn("labels", web.match_indicators(F.col("command"), [("tool", r"\bnmap\b"), ("never", "zzzz")])).where(F.size("labels") > 0)
+    return got.select(F.col("host").cast("long").alias("conv_id"), F.regexp_extract("command", r"#(\d+)$", 1).cast("long").alias("turn"), F.array_join("labels", "+").alias("labels"))
+
+
+@query("""SELECT o_orderpriority, 'C' AS volumes, count(*) AS n FROM orders GROUP BY 1""")
+def single_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One volume alone goes through as it is, repeats and all, under another name for its column where the table has one."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.lit("own").alias("volumes"))
+    return merge.merge_snapshots({"C": o}).groupBy("o_orderpriority", F.col("volumes_").alias("volumes")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT 'tactic' AS term, c_mktsegment AS value FROM customer WHERE c_mktsegment <> 'BUILDING'""")
+def terms_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tactic"), F.lit("event").alias("kind"), F.lit("unconfirmed").alias("relevance"))
+    known = c.where("tactic = 'BUILDING'").select(F.explode(F.create_map(F.lit("tactic"), "tactic", F.lit("kind"), "kind", F.lit("relevance"), "relevance")).alias("term", "value")).distinct()
+    return logons.unknown_terms(c, known)
+
+
+@query("""SELECT p_partkey, p_partkey % 2 = 0 AS hidden, 'cmd.exe /c ' || CAST(p_partkey AS VARCHAR) AS command FROM part""")
+def scheduled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    xml = F.concat(F.lit('<Task xmlns="http://x"><RegistrationInfo><Author>a</Author></RegistrationInfo><Settings><Hidden>'), F.when(F.col("p_partkey") % 2 == 0, "true").otherwise("false"), F.lit("</Hidden></Settings><Actions><Exec><Command>cmd.exe</Command><Arguments>/c "), s("p_partkey"), F.lit("</Arguments></Exec></Actions></Task>"))
+    got = host_state.task_files(p.select(s("p_partkey").alias("host"), F.lit("/Tasks/x").alias("path"), xml.alias("xml")))
+    return got.select(F.col("host").cast("long").alias("p_partkey"), "hidden", "command")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'missing' ELSE '??5??????' END AS flags, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'c' END AS attr FROM part""")
+def verified_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    line = F.concat(F.when(F.col("p_partkey") % 2 == 0, "missing     /b/").otherwise("??5?????? c /b/"), s("p_partkey"))
+    return host_state.package_verify(lines(p, line, "p_partkey")).select(F.regexp_extract("path", r"/b/(\d+)", 1).cast("long").alias("p_partkey"), "flags", "attr")
