@@ -705,3 +705,28 @@ def test_quality_scores_like_plain_densities(spark):
     want = 1 / (1 + np.exp((logs[0] - logs[1]) * 0.5))
     got = {r.doc_id: r.quality_score for r in quality.with_score(measured, model).collect()}
     assert np.allclose([got[i] for i in ids], want, atol=1e-9)
+
+
+def test_rules_like_plain_python(spark):
+    def judged(url, rules):
+        if url is None or "://" not in url:
+            host = path = ""
+        else:
+            rest = url.split("://", 1)[1]
+            m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
+            host, path = m[1].translate({i: i + 32 for i in range(65, 91)}), m[2]
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: len(str(r)), default=None)
+        return host, path, best and str(best), best and best.verdict
+
+    rules = [url_filter.Rule("com", "/", "allow"), url_filter.Rule("example.com", "/en/", "block"), url_filter.Rule("www.example.com", "/en/", "allow"), url_filter.Rule("net", "/es/", "block"), url_filter.Rule("net", "/fr/", "block")]
+    rng = random.Random(12)
+    part = lambda *xs: rng.choice(xs)
+    urls = [part("http://", "HTTPS://", "://", "", "a://b://") + part("", "www.", "WWW.", "x.y.", "xn--é.") + part("example.com", "EXAMPLE.com", "notexample.com", "u.net", "net", "com", "É.com") + part("", "/", "/en/", "/en", "/es/x", "/fr/?q#f", "?/es/", "#/", "/EN/", "\n/en/") for _ in range(400)]
+    urls += [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()] + [None, "", urls[0], urls[0]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").union(spark.createDataFrame([(None, urls[1]), (0, urls[0])], "page_id long, url string"))
+    got = url_filter.judge_urls(df, rules, rounds=1).collect()
+    assert len(got) == len(urls) + 2
+    for r in got:
+        host, path, rule, verdict = judged(urls[1 if r.page_id is None else r.page_id], rules)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.block_score >= 0.5 else "allow"))
