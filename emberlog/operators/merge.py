@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import held
+
 
 def volume_order(volume: Column) -> Column:
     """Live volumes first, then snapshots by number."""
@@ -90,6 +93,26 @@ def new_entries(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return listing.join(manifest.select("rel_path"), "rel_path", "left_anti")
 
 
+def record_new(path: str, listing: DataFrame, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """Append the entries of ``listing`` that the manifest at ``path`` lacks, but those whose path matches one of the
+    patterns ``leave_out`` (what tools wrote themselves). What is recorded stays as it was. Gives the entries added."""
+    spark = listing.sparkSession
+    wanted = listing.where(~F.coalesce(F.col("rel_path").rlike("|".join(f"(?:{rx})" for rx in leave_out)), F.lit(False))) if leave_out else listing
+    try:
+        wanted = new_entries(spark.read.schema(listing.schema).parquet(path), wanted)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # else the first recording
+            raise
+    added = held(wanted.dropDuplicates(["rel_path"]))
+    added.write.mode("append").parquet(path)
+    return added
+
+
+def flagged_first(rows: DataFrame, *then: str) -> DataFrame:
+    """Rows in order: flagged ones first, then by the given columns."""
+    return rows.orderBy(F.desc("suspicious"), *then)
+
+
 def changes(old: DataFrame, new: DataFrame, key: str = "rel_path", digest: str = "sha256") -> DataFrame:
     """(key, change): added, changed, removed; unchanged entries are left out."""
     a, b = old.select(key, F.col(digest).alias("__a"), F.lit(1).alias("__o")), new.select(key, F.col(digest).alias("__b"), F.lit(1).alias("__n"))

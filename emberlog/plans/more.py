@@ -600,3 +600,36 @@ def verified_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     line = F.concat(F.when(F.col("p_partkey") % 2 == 0, "missing     /b/").otherwise("??5?????? c /b/"), s("p_partkey"))
     return host_state.package_verify(lines(p, line, "p_partkey")).select(F.regexp_extract("path", r"/b/(\d+)", 1).cast("long").alias("p_partkey"), "flags", "attr")
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------------
+
+_REQUESTS_SQL = f"SELECT {derive.IP} AS ip, {derive.STATUS} AS status, ts FROM events"
+
+
+def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import streams
+
+    return streams.table_stream(spark, sf_dir, "events").select(F.expr(derive.IP).alias("ip"), F.expr(derive.STATUS).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(f"""WITH r AS ({_REQUESTS_SQL}), w AS (SELECT date_trunc('hour', ts) - to_hours(k) AS s, ip, status FROM (SELECT *, unnest(range(0, 24)) AS k FROM r)),
+g AS (SELECT s, ip, count(*) AS requests, count(*) FILTER (status IN ('401', '403')) AS failed, count(*) FILTER (status = '404') AS missing FROM w WHERE s + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, ip, requests, concat_ws('+', CASE WHEN failed >= 3 AND failed >= requests * 0.10 THEN 'auth-fail' END, CASE WHEN (missing >= 2 AND missing >= requests * 0.25) OR (requests >= 30 AND missing > requests * 0.5) THEN 'scan' END) AS flags FROM g""")
+def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each source in every window of 24 hours that begins at an hour, with flags."""
+    from ..streaming import streams
+
+    got = streams.drain(streams.web_windows(_request_stream(spark, sf_dir), length="24 hours", slide="1 hour", fail_least=3, missing_least=2))
+    return got.select(F.date_format("start", TIME).alias("start"), "ip", "requests", F.array_join("flags", "+").alias("flags"))
+
+
+@query(f"""WITH r AS ({_REQUESTS_SQL}), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY ip ORDER BY ts)),
+i AS (SELECT ip, ts, sum(new) OVER (PARTITION BY ip ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, ip, count(*) AS requests FROM i GROUP BY ip, n HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a source without a pause of half an hour."""
+    from ..streaming import streams
+
+    got = streams.drain(streams.web_sessions(_request_stream(spark, sf_dir)))
+    return got.select(F.date_format("start", TIME).alias("start"), "ip", "requests")

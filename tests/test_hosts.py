@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.functions import strings
-from emberlog.operators import host_state, logons, logs, web
+from emberlog.operators import host_state, logons, logs, merge, rules, web
 from emberlog.sources import files, lookups
 
 
@@ -211,3 +211,22 @@ def test_an_encoded_indicator_must_pass_raw(spark, lines):
     line = '1.1.1.1 - - [19/May/2026:09:11:17 +0000] "GET /%61dmin HTTP/1.1" 404 5 "-" "ua"'
     requests = web.parse_access(lines(("a", line), ("a", line.replace("%61", "a"))))
     assert rows(web.hunt(requests, [("adm", "/admin")]), "path", "flag") == [("/admin", "adm")]
+
+
+def test_manifest_is_append_only(spark, tmp_path):
+    listing = lambda *r: spark.createDataFrame([(p, d) for p, d in r], "rel_path string, sha256 string")
+    at = str(tmp_path / "manifest")
+    assert rows(merge.record_new(at, listing(("a", "1"), ("out/x", "2"), ("b", "3")), ("^out/",)), "rel_path") == [("a",), ("b",)]
+    assert rows(merge.record_new(at, listing(("a", "changed"), ("c", "4"))), "rel_path") == [("c",)]
+    assert rows(spark.read.parquet(at), "rel_path", "sha256") == [("a", "1"), ("b", "3"), ("c", "4")]
+
+
+def test_orders_and_public_sessions(spark):
+    df = spark.createDataFrame([("a", False), ("c", True), ("b", True)], "n string, suspicious boolean")
+    assert [r.n for r in merge.flagged_first(df, "n").collect()] == ["b", "c", "a"]
+    levels = spark.createDataFrame([("low",), ("odd",), ("critical",), ("HIGH",), (None,)], "level string")
+    assert [r.level for r in levels.orderBy(rules.level_rank(F.col("level")), "level").collect()][:3] == ["critical", "HIGH", "low"]
+    raw = spark.createDataFrame([("8.8.8.8", "h1", "u", 10, "4624", "ok", None, [])], "src string, dst string, user string, logon_type int, event_id string, status string, ts timestamp, reasons array<string>")
+    hosts = spark.createDataFrame([("h1", "h1.corp", ["10.0.0.1"], "windows")], "host string, fqdn string, ips array<string>, os string")
+    (e,) = logons.edges(raw, hosts).collect()
+    assert e.reasons == ["rdp_public"] and e.first_seen is None and logons.edge_times(raw, hosts).count() == 0
