@@ -9,6 +9,7 @@ without words. Null and repeated ids are kept. An empty table gives an empty one
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ from emberlog.llm.ngram_join import ngram_components
 from emberlog.llm.shared import fresh, materialize, ship
 
 
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that can be called alone: executors get the package first."""
+
+    @wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, docs, sf_dir)
+
+    return call
+
+
+@stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at 0.7 or more."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,6 +41,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.with_score(docs, model, score_col=score).where(F.col(score) >= 0.7).select(docs.columns)
 
 
+@stage
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are near duplicates of others; those that lose all of their lines go. ``n_chars`` is
     counted anew where lines went."""
@@ -37,6 +51,7 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return cut.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that five-word shingles link at a Jaccard similarity of 0.8 or more, the least doc_id;
     one row, whether ids repeat or are null, which count as the greatest."""
@@ -49,11 +64,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(first, "key", "left_semi").select("row.*")
 
 
+@stage
 def no_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often, in which epoch and block, each document is taken, so that source weights reach 98 % of the greatest
     entropy and nothing is taken over a hundred times."""
@@ -73,8 +90,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, work in STAGES[:-1]:
+        docs = materialize(work(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,7 @@ ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("sig", "<i8"), ("at", "<i8")])
 #: A key or node, an id and what ``stars`` needs to know of it.
 PAIR = np.dtype([("key", "<u8"), ("id", "<i8"), ("spare", "<i4")])
 _BLOCK = "part int, block binary"
-_FLUSH = 500_000  # entries that a task holds before it sends them on; bounds its memory
+_FLUSH = 250_000  # entries that a task holds before it sends them on; bounds its memory
 _OVER = 4  # blocks per partition, so that hashing them gives even partitions
 
 
@@ -50,8 +50,14 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _batch(parts: list[int], blocks: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+def _batches(parts: list[int], blocks: list[bytes], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Blocks in batches of about ``size`` bytes, so that neither end holds many."""
+    a = weight = 0
+    for b, block in enumerate(blocks, 1):
+        weight += len(block)
+        if weight >= size or b == len(blocks):
+            yield pa.RecordBatch.from_arrays([pa.array(parts[a:b], pa.int32()), pa.array(blocks[a:b], pa.binary())], ["part", "block"])
+            a, weight = b, 0
 
 
 def _exchange(df: DataFrame, entries_of: Callable, local: Callable, meet: Callable, partitions: int, schema: str, kind: np.dtype = ENTRY) -> DataFrame:
@@ -106,7 +112,7 @@ def repeated(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[np.n
         c, d = _blocks(rows[~several], b"\x00", parts)
         # one entry of a settled key goes along, for the other tasks' sake
         e, f = _blocks(rows[several & new], b"\x02", parts)
-        yield _batch(a + c + e, b + d + f)
+        yield from _batches(a + c + e, b + d + f)
 
     def meet(got: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         names = ("key", "id", "sig", "at")
@@ -146,7 +152,7 @@ def plain_stars(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[n
         least, links = linked(rows)
         a, b = _blocks(least, b"\x00", parts)
         c, d = _blocks(_pairs(links[:, 0].astype(np.uint64), links[:, 1]), b"\x01", parts, "id")
-        yield _batch(a + c, b + d)
+        yield from _batches(a + c, b + d)
 
     def meet(got: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, PAIR)
@@ -183,7 +189,7 @@ def stars(df: DataFrame, entries_of: Callable[[pa.RecordBatch], Iterator[np.ndar
         a, b = _blocks(rows[frequent], b"\x01", parts, "id")  # known to be frequent: dealt by id
         c, d = _blocks(rows[frequent & new], b"\x02", parts)  # tells the others
         e, f = _blocks(rows[~frequent], b"\x00", parts)
-        yield _batch(a + c + e, b + d + f)
+        yield from _batches(a + c + e, b + d + f)
 
     def out(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(key), np.int64) if n is None else n

@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Of Arrow batches, Spark's defaults and what long texts and blocks of keys call for.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": (("10000",), "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (("67108864b", "64MB"), "4194304b")}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, so that it need not be installed there, and have Arrow batches
-    of at most 2000 rows, unless the session names another number than Spark's default."""
-    if spark.conf.get(_BATCH) == "10000":  # Spark's default: of long texts a few thousand fill tens of MB at either end
-        spark.conf.set(_BATCH, "2000")
+    of at most 2000 rows and 4 MB, unless the session names other numbers than Spark's defaults."""
+    for key, (usual, smaller) in _BATCHES.items():
+        if spark.conf.get(key, None) in usual:
+            spark.conf.set(key, smaller)
     context = spark.sparkContext
     if getattr(context, "_emberlog_shipped", False):
         return
