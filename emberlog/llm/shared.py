@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +47,12 @@ def ship(spark: SparkSession) -> None:
     context._emberlog_shipped = True
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends there, and a lost executor costs
-    only the tasks that were running."""
+    only the tasks that were running. ``by``: a column of few values that gets a folder for each."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -105,3 +106,21 @@ def packed_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 4096,
         n, weight = n + group.num_rows, weight + more
     if held:
         yield pa.concat_tables(held)
+
+
+def summed(parts: DataFrame, tasks: int, fan: int = 64) -> np.ndarray:
+    """Sum of the arrays of doubles that are the rows of ``parts``, one binary column ``v``, of which each task makes one.
+    Beyond ``fan`` tasks, groups of them are added up on executors first, so that the driver gets about the square root."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total = np.frombuffer(raw) + (0.0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["v"])
+
+    if tasks > fan:
+        parts = parts.repartition(max(fan, int(tasks**0.5))).mapInArrow(add, "v binary")
+    rows = parts.collect()
+    return np.sum([np.frombuffer(r["v"]) for r in rows], axis=0) if rows else np.zeros(0)
