@@ -213,7 +213,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, parts: int = 3, hot: in
         return links if found is None else found.union(links)
 
     def deeper(df: DataFrame, large: DataFrame, table: DataFrame) -> DataFrame:
-        key = F.xxhash64("key", F.col("fp").bitwiseAND("mask")).alias("key")
+        key = F.xxhash64("key", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")
         return df.join(large, ["path", "key"], "left_semi").join(F.broadcast(table), "path").select(F.col("child").alias("path"), key, "fp")
 
     while True:
