@@ -68,6 +68,21 @@ def _since(active: Active, k: int, keys: pa.Array) -> np.ndarray:
     return out
 
 
+def _near_recent(ids: np.ndarray, keys: pa.Array, longest: int, active: Active, scan: int, shards: int) -> np.ndarray:
+    """Places of words from which on phrases may be due. A phrase that is has a subphrase whose cycle as an active one isn't
+    over, at its own place or the next; so only places near the first words of such subphrases matter."""
+    if any(v is None for v in active.values()):
+        return np.arange(len(ids))
+    firsts = [pc.list_element(pc.split_pattern(known.filter(pa.array(since + shards > scan)), " ", max_splits=1), 0) for known, since in active.values()]
+    begins = pc.is_in(keys, value_set=pa.concat_arrays(firsts)).to_numpy(zero_copy_only=False)[ids] if firsts else np.zeros(len(ids), bool)
+    wanted = begins.copy()
+    wanted[:-1] |= begins[1:]
+    near = wanted.copy()
+    for k in range(1, longest):
+        near[k:] |= wanted[:-k]
+    return np.flatnonzero(near)
+
+
 def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active, scan: int, shards: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
     """(length, phrases as ``language newline phrase``, counts, activation scan) of what is in its cycle at this scan.
     Length nought is the number of words of a language."""
@@ -103,12 +118,21 @@ def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active,
         yield 0, _joined(names, pa.scalar("", pa.large_string()), "\n"), n, np.zeros(len(n), np.int64)
     size = len(words.dictionary)
     # numbers of the (language, word) pairs that are there, and where they are
-    pair, ids = np.unique(code * size + words.indices.to_numpy(), return_inverse=True)
+    at_pair = code * size + words.indices.to_numpy()
+    if size * len(names) > 8 * len(at_pair) + (1 << 20):  # very many languages
+        pair, ids, often = np.unique(at_pair, return_inverse=True, return_counts=True)
+    else:
+        often = np.bincount(at_pair)
+        pair = np.flatnonzero(often)
+        number = np.zeros(len(often), np.int64)
+        number[pair] = np.arange(len(pair))
+        ids, often = number[at_pair], often[pair]
     spelt = words.dictionary.take(pa.array(pair % size))
     keys = _joined(names.take(pa.array(pair // size)), spelt, "\n")
     if scan < shards:
-        yield 1, keys, np.bincount(ids, minlength=len(pair)), np.zeros(len(pair), np.int64)
-    word, at = ids, np.arange(len(ids))
+        yield 1, keys, often, np.zeros(len(pair), np.int64)
+    word, at = ids, _near_recent(ids, keys, longest, active, scan, shards)
+    ids = ids[at]
     for k in range(2, longest + 1):
         if k - 1 not in active:
             return
