@@ -36,7 +36,7 @@ _GAP = _BREAK.copy()
 _GAP[[0x20, 0x09]] = True
 _CUT = re.compile(r"[.,;:!?\n\x0b\x0c\r]")
 _LONG = 8_000_000  # characters from which a text is cut where a piece ends
-_HELD = 8_000_000  # bytes of text that a task counts together
+_HELD = 5_000_000  # bytes of text that a task counts together
 _NEVER = 1 << 30
 
 #: By length of a phrase, the active ones (``language newline phrase``) and since which scan; None: not sent out.
@@ -103,7 +103,7 @@ def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active,
         new = np.ones(len(begin), bool)
         new[1:] = (broken[1:] != broken[:-1]) | (doc[1:] != doc[:-1])
         number = np.cumsum(new)
-        piece.append(pieces + number)
+        piece.append((pieces + number).astype(np.int32))
         pieces += int(number[-1]) + 1 if len(number) else 1
         owner.append(chunk.first + doc)
         letters.append(data[inside])
@@ -124,7 +124,7 @@ def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active,
     else:
         often = np.bincount(at_pair)
         pair = np.flatnonzero(often)
-        number = np.zeros(len(often), np.int64)
+        number = np.zeros(len(often), np.int32)
         number[pair] = np.arange(len(pair))
         ids, often = number[at_pair], often[pair]
     spelt = words.dictionary.take(pa.array(pair % size))
@@ -141,12 +141,15 @@ def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active,
         alive = since[ids] < _NEVER
         at, ids = at[alive], ids[alive]
         follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (piece[np.minimum(at[:-1] + k - 1, len(piece) - 1)] == piece[at[:-1]]) & (at[:-1] + k - 1 < len(piece)))
-        whole = ids[follows] * np.int64(len(pair)) + word[at[follows] + k - 1]
+        whole = ids[follows].astype(np.int64) * len(pair) + word[at[follows] + k - 1]
         one, two = ids[follows], ids[follows + 1]
         at = at[follows]
         if not len(at):
             return
-        found, place, ids = np.unique(whole, return_index=True, return_inverse=True)
+        encoded = pa.array(whole).dictionary_encode()
+        found, ids = encoded.dictionary.to_numpy(), encoded.indices.to_numpy()
+        place = np.zeros(len(found), np.int64)
+        place[ids] = np.arange(len(ids))  # some place of each
         begun = np.maximum(since[one[place]], since[two[place]])
         keys = _joined(keys.take(pa.array(found // len(pair))), spelt.take(pa.array(found % len(pair))), " ")
         due = begun + shards > scan if active[k - 1] is not None else np.ones(len(found), bool)
@@ -178,6 +181,7 @@ def _scan(shard: DataFrame, longest: int, sent: Broadcast[Active], scan: int, sh
                         yield from flush()
                         langs.clear(), texts.clear()
                         size = 0
+                        pa.default_memory_pool().release_unused()
         yield from flush()
 
     return shard.mapInArrow(run, "k int, phrase string, n long, begun int")
