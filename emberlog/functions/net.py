@@ -25,13 +25,56 @@ def is_ipv4(text: Column) -> Column:
     return F.coalesce(text.rlike(rf"^{octet}(\.{octet}){{3}}$"), F.lit(False))
 
 
-def is_ipv6(text: Column) -> Column:
-    """Groups of hexadecimal digits, one run of which ``::`` may stand for."""
+_OCTETS = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
+def _groups(text: Column) -> Column:
+    """Text whose last part, if that is an IPv4 address behind a colon, is two groups of hexadecimal digits."""
+
+    def hexed(v: Column) -> Column:
+        return F.concat(F.regexp_extract(text, r"^(.*:)[^:]*$", 1), F.lower(F.hex(F.shiftright(v, 16))), F.lit(":"), F.lower(F.hex(v % 65536)))
+
+    return F.when(text.rlike(rf":{_OCTETS}$"), let(ipv4_long(F.substring_index(text, ":", -1)), hexed)).otherwise(text)
+
+
+def _is_groups(text: Column) -> Column:
     whole = text.rlike(r"^([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")
-    short = text.rlike(r"^(?=.*::)(?!.*::.*::)([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?::([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?$") & (F.size(F.split(text, ":")) <= 8)
+    short = text.rlike(r"^(?=.*::)(?!.*::.*::)([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?::([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?$") & (F.size(F.split(text, ":")) <= 8 + text.rlike("^::|::$").cast("int"))
     return F.coalesce(whole | short, F.lit(False))
 
 
+def is_ipv6(text: Column) -> Column:
+    """Groups of hexadecimal digits, one run of which ``::`` may stand for; the last two may be an IPv4 address."""
+    return F.coalesce(let(_groups(text), _is_groups), F.lit(False))
+
+
+def ip_hex(text: Column) -> Column:
+    """The 128 bits of an address as 32 lower-case hexadecimal digits, however it is spelt; null for what is none. An IPv4
+    address has those of its mapped form (``::ffff:a.b.c.d``)."""
+
+    def expand(flat: Column) -> Column:
+        side = lambda part: F.array_join(F.transform(F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0")), "")
+        ends = F.struct(side(F.substring_index(flat, "::", 1)).alias("a"), F.when(flat.contains("::"), side(F.substring_index(flat, "::", -1))).otherwise("").alias("b"))
+        return F.when(_is_groups(flat), let(ends, lambda e: F.concat(e["a"], F.repeat(F.lit("0"), 32 - F.length(e["a"]) - F.length(e["b"])), e["b"])))
+
+    mapped = let(ipv4_long(text), lambda v: F.concat(F.lit(MAPPED), F.lpad(F.lower(F.hex(v)), 8, "0")))
+    return F.coalesce(mapped, let(_groups(text), expand))
+
+
+#: The first 96 bits of IPv4 addresses.
+MAPPED = "0" * 20 + "ffff"
+
+
+def ip_key(text: Column) -> Column:
+    """``ip_hex`` as 16 bytes, which order and join as addresses do."""
+    return F.unhex(ip_hex(text))
+
+
+def _embedded(digits: Column) -> Column:
+    """The IPv4 number within 32 hexadecimal digits, else null."""
+    return F.when(digits.startswith(MAPPED), F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
+
+
 def is_ip(text: Column) -> Column:
     return is_ipv4(text) | is_ipv6(text)
 
@@ -58,15 +101,17 @@ def _in(value: Column, wanted: int) -> Column:
 
 
 def is_public_ip(text: Column) -> Column:
-    """A globally routable address; names and shared (100.64/10) space are not."""
-    v6 = is_ipv6(text) & ~F.lower(text).rlike(r"^(::1?$|fe[89ab]|f[cd]|2001:db8:|100::|64:ff9b:1:)")
-    return F.coalesce(let(ipv4_long(text), lambda v: ~_in(v, 0)), v6, F.lit(False))
+    """A globally routable address; names and shared (100.64/10) space are not. A mapped address is its IPv4 address."""
+    return F.coalesce(let(ip_hex(text), lambda h: F.coalesce(let(_embedded(h), lambda v: ~_in(v, 0)), ~h.rlike(rf"{_LOCAL6}|^0064ff9b0001"))), F.lit(False))
+
+
+#: Digits that private, loopback, link-local and documentation addresses begin with.
+_LOCAL6 = "^0{31}[01]$|^fe[89ab]|^f[cd]|^20010db8|^0100000000000000"
 
 
 def is_private_ip(text: Column) -> Column:
-    """A private, loopback, link-local or documentation address."""
-    v6 = is_ipv6(text) & F.lower(text).rlike(r"^(::1?$|fe[89ab]|f[cd]|2001:db8:|100::)")
-    return F.coalesce(let(ipv4_long(text), lambda v: _in(v, 1)), v6, F.lit(False))
+    """A private, loopback, link-local or documentation address. A mapped address is its IPv4 address."""
+    return F.coalesce(let(ip_hex(text), lambda h: F.coalesce(let(_embedded(h), lambda v: _in(v, 1)), h.rlike(_LOCAL6))), F.lit(False))
 
 
 def ip_scope(text: Column) -> Column:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -43,3 +44,31 @@ def scratch(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="emberlog-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, in whatever store it lies; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in store.listStatus(at) if x.isDirectory()) if store.exists(at) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def with_rank(ordered: DataFrame, name: str = "rank") -> DataFrame:
+    """The rows of a sorted table with their place, from 1. Places are counted within the parts of the sort, and a table of
+    one row per part says how many rows lie before it, so no task gets them all."""
+    rows = held(ordered.select("*", F.monotonically_increasing_id().alias("__at")))
+    part = F.shiftright("__at", 33)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).select("__part", before.alias("__before"))
+    got = rows.withColumn("__part", part).join(parts, "__part")
+    return got.select(*ordered.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
-def _month_numbers() -> Column:
-    return F.create_map(*(x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(f"{i + 1:02d}"))))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value worked out once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -31,15 +27,28 @@ def web_decode(text: Column) -> Column:
     return F.lower(percent_decode(percent_decode(F.replace(escapes, F.lit("+"), F.lit(" ")))))
 
 
+def _clf_shape(raw: Column) -> Column:
+    return raw.rlike(r"^\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}")
+
+
+def _month(name: Column) -> Column:
+    """Two digits of a month's name; nought for what is none."""
+    at = F.instr(F.lit("".join(MONTHS)), name)
+    return F.when((at % 3 == 1) & (F.length(name) == 3), F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0")).otherwise("00")
+
+
 def clf_time(raw: Column) -> Column:
-    """``19/May/2026:09:11:17 +0000`` as ``2026-05-19 09:11:17 +0000``; other text as it is. One match; the rest is cut."""
-    turned = F.regexp_replace(raw, r"(?s)^(\d{2})/(\w{3})/(\d{4}):(\d{2}:\d{2}:\d{2})\s*([+-]\d{4})?.*$", "$3-$2-$1 $4 $5")
-    return let(turned, lambda t: F.when(t.substr(5, 1) == "-", F.rtrim(F.concat(t.substr(1, 5), F.coalesce(F.try_element_at(_month_numbers(), t.substr(6, 3)), F.lit("00")), t.substr(F.lit(9), F.length(t))))).otherwise(raw))
+    """``19/May/2026:09:11:17 +0000`` as ``2026-05-19 09:11:17 +0000``; other text as it is. Fields stand at fixed places, so
+    they are cut and not matched one by one; what follows the zone is left out."""
+    zone = F.regexp_extract(raw.substr(F.lit(21), F.lit(16)), r"^\s*([+-]\d{4})", 1)
+    plain = F.when(raw.substr(21, 2).isin(" +", " -") & (F.length(raw) == 26), raw.substr(22, 5)).otherwise(zone)
+    text = F.concat(raw.substr(8, 4), F.lit("-"), _month(raw.substr(4, 3)), F.lit("-"), raw.substr(1, 2), F.lit(" "), raw.substr(13, 8), F.lit(" "), plain)
+    return F.when(_clf_shape(raw), F.rtrim(text)).otherwise(raw)
 
 
-def clf_instant(raw: Column) -> Column:
-    """The same as a timestamp; null where it can't be read."""
-    return F.try_to_timestamp(raw, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
+def iso_instant(time: Column) -> Column:
+    """The timestamp of what ``clf_time`` gives; null where that has no zone or isn't a time."""
+    return F.when(F.length(time) == 25, F.concat(time.substr(1, 19), time.substr(21, 3), F.lit(":"), time.substr(24, 2)).try_cast("timestamp"))
 
 
 def file_ext(path: Column) -> Column:

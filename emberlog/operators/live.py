@@ -127,17 +127,30 @@ def findings(artifacts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy(F.col("severity") != "high", "artifact", "flag")
 
 
-def ancestry(processes: DataFrame, depth: int = 8) -> DataFrame:
+def ancestry(processes: DataFrame, depth: int = 8, of: DataFrame | None = None) -> DataFrame:
     """(host, Pid, ancestry) with the names of a process and the parents above it, at most ``depth``, topmost first; loops
-    end where they close."""
+    end where they close. ``of`` (host, Pid): the processes that are asked for, else all.
+
+    Paths double with each join, so eight generations take three; the last joins see only what is asked for.
+    """
     label = F.concat(F.coalesce("Name", F.lit("?")), F.lit("("), F.col("Pid").cast("string"), F.lit(")"))
-    one = processes.groupBy("host", "Pid").agg(F.max_by("Ppid", label).alias("Ppid"), F.max(label).alias("label"))
-    now = one.select("host", "Pid", F.col("Ppid").alias("up"), F.array("label").alias("ancestry"), F.array("Pid").alias("seen"))
-    above = one.select("host", F.col("Pid").alias("up"), F.col("Ppid").alias("next"), F.col("label").alias("l"))
-    for _ in range(depth - 1):
-        fresh = F.col("l").isNotNull() & ~F.array_contains("seen", F.coalesce("up", F.lit(-1)))
-        now = now.join(above, ["host", "up"], "left").select("host", "Pid", F.when(fresh, F.col("next")).alias("up_"), F.when(fresh, F.concat(F.array("l"), "ancestry")).otherwise(F.col("ancestry")).alias("ancestry"), F.when(fresh, F.concat("seen", F.array("up"))).otherwise(F.col("seen")).alias("seen")).withColumnRenamed("up_", "up")
-    return now.select("host", "Pid", "ancestry")
+    step = F.struct(F.col("Pid").alias("p"), F.max(label).alias("l"))
+    whole = processes.groupBy("host", "Pid").agg(F.max_by("Ppid", label).alias("up"), F.array(step).alias("path"))
+
+    def above(low: DataFrame, high: DataFrame) -> DataFrame:
+        more = high.select("host", F.col("Pid").alias("up"), F.col("up").alias("next"), F.col("path").alias("upper"))
+        return low.join(more, ["host", "up"], "left").select("host", "Pid", F.col("next").alias("up"), F.concat("path", F.coalesce("upper", F.expr("slice(path, 1, 0)"))).alias("path"))
+
+    step_length = 1
+    while step_length * 2 <= depth // (1 if of is None else 2):
+        whole, step_length = above(whole, whole), step_length * 2
+    got, length = whole if of is None else whole.join(of.select("host", "Pid").distinct(), ["host", "Pid"], "left_semi"), step_length
+    while length < depth:
+        got, length = above(got, whole), length + step_length
+    # up to where a process comes up again
+    cut = F.expr("filter(sequence(2, greatest(size(path), 2)), i -> i <= size(path) and array_contains(transform(slice(path, 1, i - 1), x -> x.p), path[i - 1].p))")
+    upward = F.slice("path", F.lit(1), F.least(F.lit(depth), F.coalesce(F.get(cut, F.lit(0)) - 1, F.size("path"))))
+    return got.select("host", "Pid", F.reverse(F.transform(upward, lambda x: x["l"])).alias("ancestry"))
 
 
 def launchers(processes: DataFrame, services: DataFrame, tasks: DataFrame, most: int | None = None) -> DataFrame:
@@ -177,7 +190,7 @@ def correlate(processes: DataFrame, connections: DataFrame, listeners: DataFrame
     )
     got = got.withColumn("flags", F.array_sort(F.array_union("flags", together)))
     got = got.where((F.size("flags") > 0) | F.coalesce("net_flagged", F.lit(False)) | F.coalesce("ear_flagged", F.lit(False)))
-    out = got.join(ancestry(processes), ["host", "Pid"], "left").join(kids, ["host", "Pid"], "left").join(launchers(processes, services, tasks, most), ["host", "Pid"], "left")
+    out = got.join(ancestry(processes, of=got), ["host", "Pid"], "left").join(kids, ["host", "Pid"], "left").join(launchers(processes, services, tasks, most), ["host", "Pid"], "left")
     return out.select("host", severity(F.col("flags")).alias("severity"), "Pid", "Ppid", "Name", "Exe", (F.col("CommandLine") if cmdline is None else F.left("CommandLine", F.lit(cmdline))).alias("cmdline"), "flags", "ancestry", "children", "connections", "listening", "launched_by")
 
 

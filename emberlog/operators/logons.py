@@ -241,12 +241,11 @@ def _legs(came: DataFrame, left: DataFrame, on: list[str], window_s: int) -> Dat
     gone = left.groupBy(*on, "y", F.floor(second("t_out") / window_s).alias("k"), second("t_out").alias("s")).agg(F.min(F.struct("t_out", "out_event")).alias("o"))
     meets = (F.col("s") >= F.col("low")) | (F.col("s") - F.col("high") <= window_s)
     first = near.join(gone, [*on, "k"]).where((F.col("x") != F.col("y")) & meets).groupBy("u", "x", "b", "y").agg(F.min("o").alias("o")).select("u", "x", "b", "y", "o.*")
-    # arrivals in the same second count as earlier
-    order = Window.partitionBy("u", "x", "b").orderBy("s", "kind", "t_in", F.desc("in_event")).rowsBetween(Window.unboundedPreceding, 0)
-    arrivals = came.join(first.select("u", "x", "b").distinct(), ["u", "x", "b"], "left_semi").select("u", "x", "b", second("t_in").alias("s"), F.lit(0).alias("kind"), "t_in", "in_event")
-    both = arrivals.unionByName(first.select("u", "x", "b", second("t_out").alias("s"), F.lit(1).alias("kind"), "y", "t_out", "out_event"), allowMissingColumns=True)
-    seen = F.last(F.when(F.col("kind") == 0, F.struct("t_in", "in_event")), ignorenulls=True).over(order)
-    return both.withColumn("i", seen).where("kind = 1").select("u", "x", "b", "y", "i.t_in", "t_out", "i.in_event", "out_event")
+    # arrivals in the same second count as earlier; a history is looked up by stretches, so none is sorted as a whole
+    second_of = lambda c: F.date_trunc("second", c)
+    arrivals = came.join(first.select("u", "x", "b").distinct(), ["u", "x", "b"], "left_semi").groupBy("u", "x", "b", "t_in").agg(F.min("in_event").alias("in_event"))
+    got = latest_before(arrivals.withColumn("__in", second_of("t_in")), first.withColumn("__out", second_of("t_out")), ["u", "x", "b"], "__in", "__out", ["t_in", "in_event"])
+    return got.select("u", "x", "b", "y", F.col("before_t_in").alias("t_in"), "t_out", F.col("before_in_event").alias("in_event"), "out_event")
 
 
 def pivot_chains(times: DataFrame, window_s: int = 12 * 3600, loose_window_s: int = 3600) -> DataFrame:

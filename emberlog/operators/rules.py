@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plan import computed_once
+from .contents import ContentRule
+from .indicators import GRAM, grams_of, load_indicators, required_texts  # noqa: F401  load_indicators: its place before
 
 LEVELS = ("critical", "high", "medium", "low", "informational")
 AUDIT_CATEGORIES = ("process_creation", "network_connection", "file_event", "file_change", "file_access", "file_delete", "create_remote_thread")
@@ -127,8 +131,19 @@ def selection(item: object, fields: Fields) -> Column:
 _WORD = re.compile(r"\(|\)|[^\s()]+")
 
 
-def condition(text: str, selections: dict[str, Column]) -> Column:
-    """The Column of a condition: names, ``1 of x*``, ``all of them``, and, or, not, parentheses."""
+@dataclass
+class Logic:
+    """What and, or and not make of the selections of a condition; ``every`` and ``some`` of lists of them."""
+
+    every: Callable[[list], object]
+    some: Callable[[list], object]
+    no: Callable[[object], object]
+
+
+def condition(text: str, selections: dict, logic: Logic | None = None) -> Column:
+    """The Column of a condition: names, ``1 of x*``, ``all of them``, and, or, not, parentheses; or what another ``logic``
+    makes of it."""
+    logic = logic or _COLUMNS
     words = _WORD.findall(text)
     at = 0
 
@@ -144,20 +159,20 @@ def condition(text: str, selections: dict[str, Column]) -> Column:
         out = both()
         while peek() == "or":
             take()
-            out = out | both()
+            out = logic.some([out, both()])
         return out
 
     def both() -> Column:
         out = unit()
         while peek() == "and":
             take()
-            out = out & unit()
+            out = logic.every([out, unit()])
         return out
 
     def unit() -> Column:
         word = take()
         if word.lower() == "not":
-            return ~unit()
+            return logic.no(unit())
         if word == "(":
             out = either()
             if take() != ")":
@@ -167,7 +182,7 @@ def condition(text: str, selections: dict[str, Column]) -> Column:
             take()
             pattern = take()
             chosen = [c for n, c in selections.items() if pattern == "them" or n == pattern or (pattern.endswith("*") and n.startswith(pattern[:-1]))]
-            return (_all if word.lower() == "all" else _any)(chosen)
+            return (logic.every if word.lower() == "all" else logic.some)(chosen)
         if word not in selections:
             raise ValueError(f"unknown selection {word}")
         return selections[word]
@@ -178,6 +193,9 @@ def condition(text: str, selections: dict[str, Column]) -> Column:
     return out
 
 
+_COLUMNS = Logic(_all, _any, lambda c: ~c)
+
+
 def compile_rule(rule: Rule, fields: Fields) -> Column:
     """The predicate of a rule. Absent fields are null and nulls stay unknown, so ``not`` over them selects nothing."""
     parts = {n: selection(x, fields) for n, x in rule.detection.items() if n not in ("condition", "timeframe")}
@@ -188,16 +206,111 @@ def compile_rule(rule: Rule, fields: Fields) -> Column:
     return test
 
 
-def scan(rows: DataFrame, rules: list[Rule], fields: Fields | None = None) -> DataFrame:
-    """``rows`` once for each rule that matches, with rule_id, rule, level and mitre. All rules are tried in one pass."""
+def _texts_of(key: str, value: object) -> list[str]:
+    """Text that a field must hold for a test of a value to pass, of each alternative of the value; empty if none is fixed."""
+    _, *modifiers = key.split("|")
+    if value is None or "cidr" in modifiers:
+        return []
+    if "re" in modifiers:
+        return required_texts(str(value))
+    best = max(re.split(r"[*?]+", str(value).lower()), key=len)
+    return [best] if len(best) >= GRAM and best.isascii() else []
+
+
+Needs = list[tuple[str, str]] | None  # (field, text), one of which must be there; null: nothing is known
+
+
+def _lesser(a: Needs, b: Needs) -> Needs:
+    """Of two lists that both hold, the one that tells more: fewer texts, then longer ones."""
+    if a is None or b is None:
+        return b if a is None else a
+    return min(a, b, key=lambda n: (len(n), -min((len(t) for _, t in n), default=0)))
+
+
+def _either(parts: Iterable[Needs]) -> Needs:
+    out: list[tuple[str, str]] = []
+    for p in parts:
+        if p is None:
+            return None
+        out += p
+    return out
+
+
+def _selection_needs(item: object) -> Needs:
+    if isinstance(item, dict):
+        needs: Needs = None
+        for key, values in item.items():
+            each = [[(key.partition("|")[0], t) for t in _texts_of(key, v)] or None for v in (values if isinstance(values, list) else [values])]
+            needs = _lesser(needs, reduce(_lesser, each, None) if "all" in key.split("|")[1:] else _either(each))
+        return needs
+    if isinstance(item, list):
+        return _either(_selection_needs(x) for x in item)
+    return [("message", t) for t in _texts_of("message", item)] or None
+
+
+_NEEDS = Logic(lambda parts: reduce(_lesser, parts, None), _either, lambda _: None)
+
+
+def required_by(rule: Rule) -> Needs:
+    """(field, text) pairs of which a row that the rule matches holds one at least; null if the rule tells of none, such as
+    a rule that is all ``not``."""
+    known = {n: _selection_needs(x) for n, x in rule.detection.items() if n not in ("condition", "timeframe")}
+    texts = rule.detection["condition"]
+    return _either(condition(t, known, _NEEDS) for t in (texts if isinstance(texts, list) else [texts]))
+
+
+def _looked_up(grams: Column, by_gram: dict[str, list[int]]) -> Column:
+    table = F.from_json(F.lit(json.dumps(by_gram)), "map<string,array<int>>")  # constant, folded when planned
+    return F.flatten(F.transform(F.array_intersect(grams, F.map_keys(table)), lambda g: F.element_at(table, g)))
+
+
+def candidates(rules: list[Rule], fields: Fields) -> tuple[Column, list[int]]:
+    """The numbers of the rules that a row may match, by the texts that they require, and the rules of which nothing is
+    known. Every required text is known by the gram of it that is rarest among the rules; a field's grams are found in one
+    pass and meet those of all rules in one lookup, however many these are."""
+    needs = [required_by(r) for r in rules]
+    grams = lambda text: {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+    often = Counter(g for n in needs for _, text in n or [] for g in grams(text))
+    index: dict[str, dict[str, list[int]]] = {}
+    for i, n in enumerate(needs):
+        for name, text in n or []:
+            rare = min(grams(text), key=lambda g: (often[g], g))
+            own = index.setdefault(name.lower(), {}).setdefault(rare, [])
+            if i not in own:
+                own.append(i)
+    found = []
+    for name, by_gram in index.items():
+        found.append(_looked_up(grams_of(fields(name)), by_gram))
+    none = F.array().cast("array<int>")
+    return F.array_distinct(F.concat(none, *(F.coalesce(f, none) for f in found))), [i for i, n in enumerate(needs) if n is None]
+
+
+def _named(rules: list[Rule]) -> Column:
+    return F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule"), F.lit(r.level).alias("level"), F.lit(" ".join(t for t in r.tags if t.startswith("attack."))).alias("mitre")) for r in rules))
+
+
+def scan(rows: DataFrame, rules: list[Rule], fields: Fields | None = None, index_from: int = 50) -> DataFrame:
+    """``rows`` once for each rule that matches, with rule_id, rule, level and mitre. All rules are tried in one pass; from
+    ``index_from`` rules on, a row is tried by those alone of which it holds a required text (``candidates``), to the same
+    result. Repeated rows each get theirs."""
     fields = fields or fields_of(rows)
-    tests = [F.when(compile_rule(r, fields), F.lit(i)) for i, r in enumerate(rules)]
-    chunks = [F.array_compact(F.array(*tests[a : a + _CHUNK])) for a in range(0, len(tests), _CHUNK)]
-    if not chunks:
+    if not rules:
         return rows.limit(0).select("*", *(F.lit("").alias(c) for c in ("rule_id", "rule", "level", "mitre")))
-    named = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule"), F.lit(r.level).alias("level"), F.lit(" ".join(t for t in r.tags if t.startswith("attack."))).alias("mitre")) for r in rules))
-    hit = computed_once(rows, {"__hits": F.concat(*chunks)}).where(F.size("__hits") > 0)
-    return hit.withColumn("__i", F.explode("__hits")).withColumn("__r", F.get(named, F.col("__i"))).select(*rows.columns, "__r.*")
+    if len(rules) >= index_from:
+        some, unknown = candidates(rules, fields)
+        every = F.array(*(F.lit(i) for i in unknown)).cast("array<int>")
+        met = computed_once(rows, {"__some": F.concat(some, every)}).where(F.size("__some") > 0)
+
+        def matches(i: Column) -> Column:
+            # a lambda is interpreted, so the code that is generated stays as small as for one rule
+            return reduce(lambda c, k: c.when(i == k, compile_rule(rules[k], fields)), range(1, len(rules)), F.when(i == 0, compile_rule(rules[0], fields)))
+
+        hit = met.withColumn("__hits", F.filter("__some", matches)).drop("__some")
+    else:
+        tests = [F.when(compile_rule(r, fields), F.lit(i)) for i, r in enumerate(rules)]
+        chunks = [F.array_compact(F.array(*tests[a : a + _CHUNK])) for a in range(0, len(tests), _CHUNK)]
+        hit = computed_once(rows, {"__hits": F.concat(*chunks)}).where(F.size("__hits") > 0)
+    return hit.withColumn("__i", F.explode("__hits")).withColumn("__r", F.get(_named(rules), F.col("__i"))).select(*rows.columns, "__r.*")
 
 
 def level_rank(level: Column) -> Column:
@@ -225,35 +338,6 @@ def web_rule_hits(requests: DataFrame, rules: list[Rule], order: list[str]) -> D
     return got.select("rule_id", "rule", "level", "ip", "hits", "first_seen", "last_seen", "s.*").orderBy(level_rank(F.col("level")), F.desc("hits"), "rule_id", "ip")
 
 
-def load_indicators(text: str) -> tuple[list[tuple[str, str]], list[str]]:
-    """(label, regular expression) of ``label = regex`` lines and warnings; a bare line is both, ``#`` starts a comment."""
-    out, warnings = [], []
-    for number, line in enumerate(text.splitlines(), 1):
-        line = re.sub(r"\s{2,}#.*$", "", line).strip()
-        if not line or line.startswith("#"):
-            continue
-        label, sep, rx = line.partition(" = ")
-        label, rx = (label.strip(), rx.strip()) if sep else (line, line)
-        rx = re.sub(r"^%\{", r"%\\{", rx).replace("(?P<", "(?<")
-        try:
-            re.compile(rx.replace("(?<", "(?P<") if re.search(r"\(\?<\w", rx) else rx)
-            out.append((label, rx))
-        except re.error as e:
-            warnings.append(f"line {number}: {e}")
-    return out, warnings
-
-
-@dataclass
-class ContentRule:
-    """Strings (id, regular expression) and how many must be found: a number, or a Column over the found ids."""
-
-    name: str
-    strings: dict[str, str]
-    least: int = 1
-    tags: str = ""
-    test: Callable[[Column], Column] | None = None
-
-
 def content_scan(files: DataFrame, rules: list[ContentRule], content: str = "content", longest: int | None = None) -> DataFrame:
     """``files`` without content, once for each rule that matches: rule, tags and the ids of its strings found. All
     contents count, but those over ``longest`` characters if it is given. Null contents match nothing."""
@@ -265,3 +349,17 @@ def content_scan(files: DataFrame, rules: list[ContentRule], content: str = "con
     rest = [c for c in files.columns if c != content]
     got = (files if longest is None else files.where(F.length(content) <= longest)).withColumn("__f", F.explode(F.array_compact(F.array(*found))))
     return got.select(*rest, "__f.*")
+
+
+def read_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of text files with one JSON document a line, in the order of their ids; what can't be read or is for other logs
+    is left out. A list of rules is small: the driver compiles it."""
+    found = {}
+    for row in spark.read.text(path).where(F.trim("value") != "").collect():
+        try:
+            rule = load_rule(json.loads(row["value"]))
+        except (ValueError, AttributeError):
+            continue
+        if rule:
+            found[rule.id] = rule
+    return [found[k] for k in sorted(found)]

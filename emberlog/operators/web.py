@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.net import ipv4_long, is_hosting, is_ip, is_private_ip
+from ..functions.net import ip_key, is_hosting, is_ip, is_private_ip
 from ..functions.plan import computed_once
-from ..functions.strings import clf_instant, clf_time, web_decode
+from ..functions.strings import clf_time, iso_instant, web_decode
 from ..functions.web_rules import PREFILTER, families_of, is_sensitive, with_attack_families
+from .indicators import any_of
+from .networks import prefixes, with_network
 
 _QUOTED = r'((?:[^"\\]++|\\.)*+)'  # possessive: a hostile line can't exhaust the stack
 ACCESS_LINE = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"' + _QUOTED + r'"\s+(\d{3}|-)\s+(\S+)(?:\s++[^"\r\n]*+"' + _QUOTED + r'"\s+"' + _QUOTED + r'")?'
@@ -38,32 +40,35 @@ def parse_access(lines: DataFrame, line_col: str = "line") -> DataFrame:
     head = F.when(spaces, request.substr(F.lit(1), F.length(request) - F.length(F.substring_index(request, " ", -1)) - 1)).otherwise(request)
     hops = F.split(F.regexp_extract(part(7), r'(?i)x-forwarded-for\s*+[=:]\s*+(?:"\s*+)?+([0-9a-fA-F.:, ]+)', 1), ",")
     client = F.when(F.length(part(7)) > 16, F.try_element_at(F.filter(F.transform(hops, lambda x: F.trim(x)), is_ip), F.lit(1)))
-    got = computed_once(got, {"__head": head, "__client": client})
+    # what several columns name or filters may ask for is worked out once; the others are cuts of it
+    got = computed_once(got, {"__head": head, "__client": client, "__time": clf_time(part(1))})
     head, client = F.col("__head"), F.col("__client")
     uri = F.when(head.contains(" "), rest(head, F.instr(head, " ") + 1)).otherwise(head)
-    return computed_once(
-        got.withColumn("__uri", uri),
-        {
-            "ip": F.coalesce(client, part(0)),
-            "edge_ip": F.when(client.isNotNull(), part(0)).otherwise(""),
-            "time": clf_time(part(1)),
-            "ts": clf_instant(part(1)),
-            "method": F.when(head.contains(" "), F.substring_index(head, " ", 1)).otherwise(""),
-            "path": F.substring_index("__uri", "?", 1),
-            "query": F.when(F.contains("__uri", F.lit("?")), rest(F.col("__uri"), F.instr("__uri", "?") + 1)).otherwise(""),
-            "status": part(3),
-            "size": part(4),
-            "referer": part(5),
-            "ua": part(6),
-        },
-    ).drop("__m", "__head", "__uri", "__client")
-
-
-def is_access_log(lines: DataFrame, first: int = 20) -> DataFrame:
-    """Paths of which one of the first lines reads as an access-log line, and none holds a NUL, as binary files do; needs
-    (path, line_no, line)."""
-    head = lines.where(F.col("line_no") <= first).groupBy("path").agg(F.max(F.col("line").rlike(ACCESS_LINE)).alias("log"), F.max(F.contains("line", F.lit("\u0000"))).alias("binary"))
-    return head.where("log and not binary").select("path")
+    added = {
+        "ip": F.coalesce(client, part(0)),
+        "edge_ip": F.when(client.isNotNull(), part(0)).otherwise(""),
+        "time": F.col("__time"),
+        "ts": iso_instant(F.col("__time")),
+        "method": F.when(head.contains(" "), F.substring_index(head, " ", 1)).otherwise(""),
+        "path": F.substring_index(uri, "?", 1),
+        "query": F.when(uri.contains("?"), rest(uri, F.instr(uri, "?") + 1)).otherwise(""),
+        "status": part(3),
+        "size": part(4),
+        "referer": part(5),
+        "ua": part(6),
+    }
+    return got.withColumns(added).drop("__m", "__head", "__client", "__time")
+
+
+def is_access_log(lines: DataFrame, first: int = 20, probe: int = 65_536) -> DataFrame:
+    """Paths of which one of the first lines reads as an access-log line, and the first ``probe`` bytes hold no NUL, as
+    those of binary files do; needs (path, line_no, line)."""
+    # a line has a byte at least, so the probe ends within as many lines
+    head = lines.where(F.col("line_no") <= probe).select("path", "line_no", F.when(F.col("line_no") <= first, F.col("line").rlike(ACCESS_LINE)).alias("log"), (F.octet_length("line") + 1).alias("n"), F.octet_length(F.substring_index("line", "\u0000", 1)).alias("at"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nul = (F.col("at") + 1 < F.col("n")) & (before + F.col("at") < probe)
+    seen = head.withColumn("nul", nul).groupBy("path").agg(F.max("log").alias("log"), F.max("nul").alias("binary"))
+    return seen.where("log and not binary").select("path")
 
 
 def discover_access(lines: DataFrame) -> DataFrame:
@@ -166,19 +171,15 @@ def approx_top_values(requests: DataFrame, column: str, k: int) -> DataFrame:
 def geo_origin(ips: DataFrame, countries: DataFrame, networks: DataFrame, tor: DataFrame, home: str, ip_col: str = "ip") -> DataFrame:
     """country, asn and origin of each distinct address: private, tor, hosting, local, unknown or foreign, in that order.
 
-    ``countries`` (first, last, country) and ``networks`` (first, last, number, org) hold IPv4 ranges as numbers that
-    don't overlap. A range is cut at /16 borders, so that looking up is an equi-join on the /16 with a range check.
+    ``countries`` (country) and ``networks`` (number, org) say where a range is by ``network`` (``a.b.c.d/n`` or IPv6) or by
+    ``first`` and ``last``, IPv4 addresses as numbers. Ranges may lie in each other: the narrowest counts, and of equal ones
+    the least values. Addresses are looked up by their 128 bits, so mapped ones are their IPv4 addresses.
     """
-    def cut(ranges: DataFrame) -> DataFrame:
-        return ranges.withColumn("b", F.explode(F.sequence(F.shiftright("first", 16), F.shiftright("last", 16))))
-
-    keyed = ips.select(ip_col).distinct().withColumn("v", ipv4_long(F.col(ip_col))).withColumn("b", F.shiftright("v", 16))
-    inside = lambda x, y: (x["b"] == y["b"]) & x["v"].between(y["first"], y["last"])
-    c, n = cut(countries), cut(networks)
-    got = keyed.join(c, inside(keyed, c), "left").select(keyed["*"], "country")
-    got = got.join(n, inside(got, n), "left").select(got["*"], "number", "org")
-    tors = tor.select(F.col("ip").alias("t")).distinct()
-    got = got.join(tors, got[ip_col] == tors["t"], "left")
+    keyed = ips.select(ip_col).distinct()
+    got = with_network(keyed, prefixes(countries, ["country"]), ip_col, ["country"])
+    got = with_network(got, prefixes(networks, ["number", "org"]), ip_col, ["number", "org"])
+    tors = tor.select(ip_key(F.col("ip")).alias("t")).where("t is not null").distinct()
+    got = got.join(tors, ip_key(got[ip_col]) == tors["t"], "left")
     private = is_private_ip(F.col(ip_col))
     origin = F.when(~is_ip(F.col(ip_col)), "unknown").when(private, "private").when(F.col("t").isNotNull(), "tor").when(is_hosting(F.col("org")), "hosting").when(F.col("country") == home, "local").when(F.col("country").isNull(), "unknown").otherwise("foreign")
     asn = F.when(private | F.col("number").isNull(), "").otherwise(F.trim(F.concat(F.lit("AS"), F.col("number"), F.lit(" "), F.coalesce("org", F.lit("")))))
@@ -187,13 +188,12 @@ def geo_origin(ips: DataFrame, countries: DataFrame, networks: DataFrame, tor: D
 
 def match_indicators(text: Column, indicators: list[tuple[str, str]], raw: Column | None = None) -> Column:
     """Labels of the indicators (label, regular expression) that match, in their order; one alternation is tried first, on
-    ``raw`` if it is given. Null text matches nothing."""
+    ``raw`` if it is given. Null text matches nothing. For very many indicators see ``indicators.match_many``."""
     none = F.array().cast("array<string>")
     if not indicators:
         return none
     each = F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(f"(?i){rx}"), F.lit(label)) for label, rx in indicators))))
-    some = (text if raw is None else raw).rlike("(?i)" + "|".join(f"(?:{rx})" for _, rx in indicators))
-    return F.when(F.coalesce(some, F.lit(False)), each).otherwise(none)
+    return F.when(F.coalesce(any_of(text if raw is None else raw, [rx for _, rx in indicators]), F.lit(False)), each).otherwise(none)
 
 
 def hunt(requests: DataFrame, indicators: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -206,7 +206,7 @@ def hunt(requests: DataFrame, indicators: list[tuple[str, str]] | None = None) -
     raw = F.concat_ws(" ", F.coalesce("path", F.lit("")), F.coalesce("query", F.lit("")))
     some = F.lit(False)
     if indicators:
-        some = F.concat_ws(" ", raw, F.coalesce("ua", F.lit(""))).rlike("(?i)" + "|".join(f"(?:{rx})" for _, rx in indicators))
+        some = any_of(F.concat_ws(" ", raw, F.coalesce("ua", F.lit(""))), [rx for _, rx in indicators])
     got = computed_once(requests, {"__builtin": (F.col("status") == "200") & F.lower(raw).rlike(PREFILTER), "__some": some}).where("__builtin or __some")
     got = computed_once(got, {"__plain": F.concat_ws(" ", web_decode(F.col("path")), web_decode(F.col("query")))})
     none = F.array().cast("array<string>")
@@ -216,6 +216,6 @@ def hunt(requests: DataFrame, indicators: list[tuple[str, str]] | None = None) -
     return got.withColumns({"flag": F.coalesce(F.try_element_at("families", F.lit(1)), F.try_element_at("indicators", F.lit(1))), "all_flags": F.array_join(F.array_union("families", "indicators"), "+")})
 
 
-def newest_first(found: DataFrame) -> DataFrame:
-    """The hunt view's order: by time as text, newest first; ties by source, path and query."""
-    return found.orderBy(F.desc("time"), "ip", "path", "query")
+def newest_first(found: DataFrame, *then: str) -> DataFrame:
+    """The hunt view's order: by time as text, newest first; ties by source, path and query, then as given."""
+    return found.orderBy(F.desc("time"), "ip", "path", "query", *then)

@@ -456,4 +456,4 @@ def driver_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.vulnerable_drivers(files, known).select("p_partkey", "driver")
 
 
-from . import hosts, more  # noqa: E402, F401  register their queries
+from . import hosts, large, mechanisms, more, orders  # noqa: E402, F401  register their queries

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.plan import scratch
@@ -14,10 +18,22 @@ from ..operators import rules
 from ..operators.web import parse_access
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and gives what it wrote, from the folder that spark.checkpoint.dir names."""
+@contextmanager
+def using(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as a block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def drain(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and gives what it wrote, from the folder that spark.checkpoint.dir names, or from
+    ``at``, where a stream that was stopped goes on."""
     spark = stream.sparkSession
-    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    at = at or f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -93,6 +109,100 @@ def brute_force_alerts(auth: DataFrame, least: int = 5, forget: str = "1 day") -
     return auth.withWatermark("ts", "10 minutes").groupBy("src", "dst", "user").applyInPandasWithState(follow, "src string, dst string, user string, ts timestamp, failures long", "fails long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: State of ``ordered_brute_force``, by time in microseconds: events that wait for the watermark, and what is known before them.
+_WAITING, _KNOWN = "failed long, passed long", "failed long, last long"
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this module
+
+
+_ALERT = ["src", "dst", "user", "ts", "failures"]
+
+
+def _alerts(frame: object) -> object:
+    """Text as plain objects: columns that pandas keeps in pieces can't be written as members of one."""
+    return frame.astype({"src": object, "dst": object, "user": object, "ts": "datetime64[us]", "failures": "int64"})
+
+
+class _Guesses(StatefulProcessor):
+    """Failures and successes of one account and source, taken in the order of their times once the watermark has passed
+    them, whatever the order in which they came."""
+
+    def __init__(self, least: int, forget_ms: int) -> None:
+        self.least, self.forget = least, forget_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", _WAITING)
+        self.known = handle.getValueState("known", _KNOWN)
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator, timerValues: object) -> Iterator:  # noqa: N802, N803
+        import pandas as pd
+
+        first = None
+        for batch in rows:
+            at = batch["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            # equal times of one key count together, so many repeats are one entry
+            for t, own in batch.assign(at=at).groupby("at")["ok"]:
+                passed = int(own.sum())
+                failed = len(own) - passed
+                if self.waiting.containsKey((t,)):
+                    before = self.waiting.getValue((t,))
+                    failed, passed = failed + before[0], passed + before[1]
+                self.waiting.updateValue((int(t),), (failed, passed))
+                first = int(t) if first is None else min(first, int(t))
+        if first is not None:
+            self._wake(first)
+        yield _alerts(pd.DataFrame([], columns=_ALERT))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator:  # noqa: N802, N803
+        import pandas as pd
+
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((k[0], v[0], v[1]) for k, v in self.waiting.iterator())
+        due = [x for x in held if x[0] < now]
+        failed, last = self.known.get() if self.known.exists() else (0, None)
+        out = []
+        for at, bad, good in due:
+            if last is not None and at - last > self.forget:
+                failed = 0
+            failed, last = failed + bad, at
+            if failed >= self.least:
+                out += [(*key, pd.Timestamp(at, unit="us"), failed)] * good
+            self.waiting.removeKey((at,))
+        if due:
+            self.known.update((failed, last))
+        if len(held) > len(due):
+            self._wake(held[len(due)][0])
+        elif last is not None and last + self.forget < now:
+            self.known.clear()
+        elif last is not None:
+            self._wake(last + self.forget)
+        yield _alerts(pd.DataFrame(out, columns=_ALERT))
+
+    def close(self) -> None:
+        pass
+
+
+#: Setting and value that streams with ``ordered_brute_force`` need when they start.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def ordered_brute_force(auth: DataFrame, least: int = 5, forget: str = "1 day", late: str = "10 minutes") -> DataFrame:
+    """An alert for each success of an account from a source with at least ``least`` failures before, those of the same time
+    included, since the pair was last silent for ``forget``. Needs ts, src, dst, user, ok.
+
+    Events wait until the watermark has passed them and are then taken in order, so alerts are the same in whatever order
+    events come within ``late``; later ones are left out. What is known of a silent pair is dropped by a timer. The state
+    store has to be RocksDB (``ROCKSDB``); state and timers survive a restart from the checkpoint.
+    """
+    ms = int(forget.split()[0]) * {"minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[forget.split()[1].rstrip("s")]
+    return auth.withWatermark("ts", late).groupBy("src", "dst", "user").transformWithStateInPandas(_Guesses(least, ms), "src string, dst string, user string, ts timestamp, failures long", "append", "eventTime")
+
+
 def pivot_alerts(arrivals: DataFrame, departures: DataFrame, window: str = "12 hours", late: str = "10 minutes") -> DataFrame:
     """Sessions onto a host followed by something leaving it elsewhere, by the same account: (user, x, b, y, t_in, t_out).
     Needs (x, b, user, t_in) and (b, y, user, t_out)."""
@@ -107,6 +217,26 @@ def rule_alerts(rows: DataFrame, wanted: list[rules.Rule]) -> DataFrame:
     return rules.scan(rows, wanted)
 
 
+def reread_rule_alerts(rows: DataFrame, rules_path: str, out: str, checkpoint: str) -> DataStreamWriter:
+    """A writer of what rules match in each batch of a stream, with the rules read anew for every batch from text files at
+    ``rules_path`` (``rules.read_rules``), so that a rule added while the stream runs counts from the next batch on.
+
+    A batch is written to a folder of its own in ``out``, which a batch that is run again overwrites, so it adds no rows
+    twice; ``alerts`` reads them. Rules are tried as in ``rules.scan``; a batch without hits leaves an empty folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = rules.read_rules(batch.sparkSession, rules_path)
+        rules.scan(batch, known).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def alerts(spark: SparkSession, out: str) -> DataFrame:
+    """All rows that ``reread_rule_alerts`` has written, with the number of their ``batch``."""
+    return spark.read.parquet(out)
+
+
 def access_stream(spark: SparkSession, folder: str, glob: str = "*access*") -> DataFrame:
     """Requests of access logs as their files appear."""
     lines = spark.readStream.option("pathGlobFilter", glob).text(folder)
