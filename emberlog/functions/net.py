@@ -111,7 +111,12 @@ _LOCAL6 = "^0{31}[01]$|^fe[89ab]|^f[cd]|^20010db8|^0100000000000000"
 
 def is_private_ip(text: Column) -> Column:
     """A private, loopback, link-local or documentation address. A mapped address is its IPv4 address."""
-    return F.coalesce(let(ip_hex(text), lambda h: F.coalesce(let(_embedded(h), lambda v: _in(v, 1)), h.rlike(_LOCAL6))), F.lit(False))
+    return F.coalesce(let(ip_hex(text), is_private_hex), F.lit(False))
+
+
+def is_private_hex(digits: Column) -> Column:
+    """The same of ``ip_hex`` of an address."""
+    return F.coalesce(let(_embedded(digits), lambda v: _in(v, 1)), digits.rlike(_LOCAL6))
 
 
 def ip_scope(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Analyst indicators: labelled regular expressions, a few as Columns or very many by an inverted index.
 
 The index has, of each expression, fixed text that any match must hold (of each of its alternatives), cut into grams of
-``GRAM`` characters of which one stands for all. Grams of the texts meet those grams in an equi-join, and only what meets is
+``GRAM`` characters, or of ``LONG`` if it has as many, of which one stands for all. Grams of the texts meet those grams in an equi-join, and only what meets is
 tried by the expression itself. Expressions without such text are tried on every text, as one alternation first.
 """
 
@@ -15,9 +15,9 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.plan import held
+from ..functions.plan import computed_once, held
 
-GRAM = 4
+GRAM, LONG = 4, 6
 _ALONE = re.compile(r"\\[1-9]|\\k<|\(\?<\w|\(\?[a-zA-Z]|\\Q")
 
 
@@ -156,19 +156,20 @@ def required_texts(rx: str, shortest: int = GRAM) -> list[str]:
 
 
 def indicator_index(spark: SparkSession, indicators: list[tuple[str, str]]) -> DataFrame:
-    """(at, label, rx, gram): an indicator's place, and a row for each gram that stands for one of its alternatives; a null
-    gram if it is to be tried on every text. Of the grams of a text that which is rarest in the list stands for it."""
+    """(at, label, rx, text, gram, alone): an indicator's place, and a row for each text that one of its alternatives
+    requires with the gram that stands for it; a null gram if it is to be tried on every text. Of the grams of a text that which is rarest in the list stands for it."""
     rows = [(i, label, f"(?i){rx}", text, alone(rx)) for i, (label, rx) in enumerate(indicators) for text in required_texts(rx) or [None]]
     table = held(spark.createDataFrame(rows, "at int, label string, rx string, text string, alone boolean"))
-    grams = table.where("text is not null").select("at", "text", F.explode(F.expr(f"transform(sequence(1, length(text) - {GRAM - 1}), i -> substring(text, i, {GRAM}))")).alias("gram"))
+    size = f"if(length(text) < {LONG}, {GRAM}, {LONG})"
+    grams = table.where("text is not null").select("at", "text", F.explode(F.expr(f"transform(sequence(1, length(text) - {size} + 1), i -> substring(text, i, {size}))")).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = grams.join(often, "gram").groupBy("at", "text").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    return held(table.join(rarest, ["at", "text"], "left").select("at", "label", "rx", "gram", "alone").distinct())
+    return held(table.join(rarest, ["at", "text"], "left").select("at", "label", "rx", "text", "gram", "alone").distinct())
 
 
-def grams_of(text: Column) -> Column:
+def grams_of(text: Column, size: int = GRAM) -> Column:
     """The distinct grams of a text, A-Z and others lower-cased; one pass, whatever its length."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def match_many(rows: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -180,15 +181,24 @@ def match_many(rows: DataFrame, index: DataFrame, id_col: str, text_col: str) ->
     texts = rows.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
     keyed = index.where("gram is not null")
     wanted = keyed.select("gram").distinct()
-    seen = texts.select("__id", F.explode(grams_of(F.col("__text"))).alias("gram")).join(wanted, "gram", "left_semi")
-    pairs = seen.join(keyed.select("gram", "at"), "gram").select("__id", "at").distinct()
-    named = index.select("at", "label", "rx").distinct()
-    tried = pairs.join(named, "at").join(texts, "__id").where(F.expr("__text rlike rx")).select("__id", "at", "label")
+    # grams of a length that no indicator has aren't cut
+    some = lambda n: wanted.agg(F.coalesce(F.max(F.length("gram") == n), F.lit(False)).alias("x")).scalar()
+    none = F.array().cast("array<string>")
+    cut = F.concat(*(F.when(some(n), grams_of(F.col("__text"), n)).otherwise(none) for n in (GRAM, LONG)))
+    # worked out before they are taken apart: else a filter that Spark infers would work them out again
+    seen = computed_once(texts.select("__id", "__text"), {"__grams": cut}).select("__id", F.explode("__grams").alias("gram")).join(wanted, "gram", "left_semi")
+    # a text meets its candidates once; the whole required text is looked for before the expression is
+    met = seen.join(keyed.select("gram", F.struct("at", "label", "rx", "text").alias("c")), "gram").groupBy("__id").agg(F.collect_set("c").alias("c"))
+    # trying takes time and not space, so texts are dealt out and not put together by their bytes
+    dealt = texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id").join(met, "__id")
+    found = F.filter("c", lambda c: F.contains(F.col("__low"), c["text"]) & F.rlike(F.col("__text"), c["rx"]))
+    hits = F.array_distinct(F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["label"].alias("label"))))
+    tried = computed_once(computed_once(dealt, {"__low": F.lower("__text")}), {"__hits": hits}).select("__id", F.explode("__hits").alias("x")).select("__id", "x.at", "x.label")
     rest = index.where("gram is null")
     single = F.struct("at", "label", "rx")
     together = rest.where("not alone").agg(F.coalesce(F.concat(F.lit("(?i)"), F.array_join(F.collect_list(F.concat(F.lit("(?:"), F.substring("rx", F.lit(5), F.length("rx")), F.lit(")"))), "|")), F.lit("(?!)")).alias("x")).scalar()
     each = rest.agg(F.coalesce(F.sort_array(F.collect_list(single)), F.array().cast("array<struct<at:int,label:string,rx:string>>")).alias("x")).scalar()
     odd = rest.agg(F.coalesce(F.max("alone"), F.lit(False)).alias("x")).scalar()
     left = texts.withColumns({"__any": together, "__odd": odd, "__each": each}).where(F.expr("__odd or __text rlike if(__any = '(?i)', '(?!)', __any)"))
-    hit = left.select("__id", F.explode(F.filter("__each", lambda x: F.rlike(F.col("__text"), x["rx"]))).alias("x")).select("__id", "x.at", "x.label")
+    hit = computed_once(left, {"__hits": F.filter("__each", lambda x: F.rlike(F.col("__text"), x["rx"]))}).select("__id", F.explode("__hits").alias("x")).select("__id", "x.at", "x.label")
     return tried.union(hit).select(F.col("__id").alias(id_col), "at", "label")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.net import MAPPED, ip_hex, ipv4_long
+from ..functions.plan import computed_once
 
 
 def masked(digits: Column, bits: Column) -> Column:
@@ -49,14 +50,17 @@ def prefixes(ranges: DataFrame, values: list[str]) -> DataFrame:
     return rows.groupBy("bits", "net").agg(F.min(F.struct(*values)).alias("v")).select("bits", "net", *(F.col("v")[c].alias(c) for c in values))
 
 
-def with_network(rows: DataFrame, nets: DataFrame, ip_col: str, values: list[str]) -> DataFrame:
+def with_network(rows: DataFrame, nets: DataFrame, ip_col: str, values: list[str], digits_col: str | None = None) -> DataFrame:
     """``rows`` with ``values`` of the longest of ``nets`` (from ``prefixes``) that holds their address, null where none does.
+    ``digits_col``: a column that has ``ip_hex`` of the address already.
 
     An address is tried at each length that occurs in ``nets``, of which there are at most 129, by an equi-join on length
     and masked bits; the longest that is found stays. Addresses are made distinct first, so a busy one costs no more.
     """
+    if digits_col is None:
+        return with_network(computed_once(rows, {"__digits": ip_hex(F.col(ip_col))}), nets, ip_col, values, "__digits").drop("__digits")
     lengths = nets.agg(F.sort_array(F.collect_set("bits")).alias("l")).scalar()
-    keyed = rows.select(F.col(ip_col).alias("__ip")).where(F.col("__ip").isNotNull()).distinct().withColumn("__digits", ip_hex(F.col("__ip"))).where("__digits is not null")
-    tried = keyed.withColumn("bits", F.explode(lengths)).select("__ip", "bits", masked(F.col("__digits"), F.col("bits")).alias("net"))
-    found = tried.join(nets, ["bits", "net"]).groupBy("__ip").agg(F.max_by(F.struct(*values), "bits").alias("__v"))
-    return rows.join(found, F.col(ip_col) == F.col("__ip"), "left").select(rows["*"], *(F.col("__v")[c].alias(c) for c in values))
+    keyed = rows.select(F.col(digits_col).alias("__d")).where("__d is not null").distinct()
+    tried = keyed.withColumn("bits", F.explode(lengths)).select("__d", "bits", masked(F.col("__d"), F.col("bits")).alias("net"))
+    found = tried.join(nets, ["bits", "net"]).groupBy("__d").agg(F.max_by(F.struct(*values), "bits").alias("__v"))
+    return rows.join(found, F.col(digits_col) == F.col("__d"), "left").select(rows["*"], *(F.col("__v")[c].alias(c) for c in values))

@@ -305,7 +305,7 @@ def scan(rows: DataFrame, rules: list[Rule], fields: Fields | None = None, index
             # a lambda is interpreted, so the code that is generated stays as small as for one rule
             return reduce(lambda c, k: c.when(i == k, compile_rule(rules[k], fields)), range(1, len(rules)), F.when(i == 0, compile_rule(rules[0], fields)))
 
-        hit = met.withColumn("__hits", F.filter("__some", matches)).drop("__some")
+        hit = computed_once(met, {"__hits": F.filter("__some", matches)}).drop("__some")
     else:
         tests = [F.when(compile_rule(r, fields), F.lit(i)) for i, r in enumerate(rules)]
         chunks = [F.array_compact(F.array(*tests[a : a + _CHUNK])) for a in range(0, len(tests), _CHUNK)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.net import ip_key, is_hosting, is_ip, is_private_ip
+from ..functions.net import ip_hex, is_hosting, is_ip, is_private_hex
 from ..functions.plan import computed_once
 from ..functions.strings import clf_time, iso_instant, web_decode
 from ..functions.web_rules import PREFILTER, families_of, is_sensitive, with_attack_families
@@ -175,13 +175,14 @@ def geo_origin(ips: DataFrame, countries: DataFrame, networks: DataFrame, tor: D
     ``first`` and ``last``, IPv4 addresses as numbers. Ranges may lie in each other: the narrowest counts, and of equal ones
     the least values. Addresses are looked up by their 128 bits, so mapped ones are their IPv4 addresses.
     """
-    keyed = ips.select(ip_col).distinct()
-    got = with_network(keyed, prefixes(countries, ["country"]), ip_col, ["country"])
-    got = with_network(got, prefixes(networks, ["number", "org"]), ip_col, ["number", "org"])
-    tors = tor.select(ip_key(F.col("ip")).alias("t")).where("t is not null").distinct()
-    got = got.join(tors, ip_key(got[ip_col]) == tors["t"], "left")
-    private = is_private_ip(F.col(ip_col))
-    origin = F.when(~is_ip(F.col(ip_col)), "unknown").when(private, "private").when(F.col("t").isNotNull(), "tor").when(is_hosting(F.col("org")), "hosting").when(F.col("country") == home, "local").when(F.col("country").isNull(), "unknown").otherwise("foreign")
+    keyed = computed_once(ips.select(ip_col).distinct(), {"__digits": ip_hex(F.col(ip_col))})
+    keyed = computed_once(keyed, {"__private": F.coalesce(is_private_hex(F.col("__digits")), F.lit(False))})
+    got = with_network(keyed, prefixes(countries, ["country"]), ip_col, ["country"], "__digits")
+    got = with_network(got, prefixes(networks, ["number", "org"]), ip_col, ["number", "org"], "__digits")
+    tors = tor.select(ip_hex(F.col("ip")).alias("t")).where("t is not null").distinct()
+    got = got.join(tors, got["__digits"] == tors["t"], "left")
+    private = F.col("__private")
+    origin = F.when(F.col("__digits").isNull(), "unknown").when(private, "private").when(F.col("t").isNotNull(), "tor").when(is_hosting(F.col("org")), "hosting").when(F.col("country") == home, "local").when(F.col("country").isNull(), "unknown").otherwise("foreign")
     asn = F.when(private | F.col("number").isNull(), "").otherwise(F.trim(F.concat(F.lit("AS"), F.col("number"), F.lit(" "), F.coalesce("org", F.lit("")))))
     return got.select(ip_col, F.when(private, "LAN").otherwise(F.coalesce("country", F.lit("?"))).alias("country"), asn.alias("asn"), origin.alias("origin"))
 

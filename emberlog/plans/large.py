@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators, rules, web
 from .catalog import query
-from .derive import table
+from .derive import spread, table
 
 # Addresses of events: a quarter each IPv4, mapped, short IPv6 and IPv6 written out in capitals.
 _A, _B = "CAST(user_id % 30 AS STRING)", "CAST(event_id % 250 AS STRING)"
@@ -41,17 +41,13 @@ def web_geo_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.geo_origin(ips, countries, narrow.union(wide), tor, home="W4")
 
 
-_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w FROM documents"
-_LONG = f"SELECT w FROM ({_WORDS}) WHERE length(w) >= 7"
-
-
 @query(f"""WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w FROM documents)
-SELECT doc_id, w AS label FROM d WHERE length(w) >= 7 UNION ALL SELECT doc_id, 'five digits' FROM documents WHERE regexp_matches(text, '(^|[^0-9])[0-9]{{5}}($|[^0-9])')
+SELECT doc_id, w AS label FROM d WHERE length(w) >= 8 UNION ALL SELECT doc_id, 'five digits' FROM documents WHERE regexp_matches(text, '(^|[^0-9])[0-9]{{5}}($|[^0-9])')
 UNION ALL SELECT doc_id, 'twice' FROM documents WHERE regexp_matches(text, '(?i)([^a-z]|^)(aa|bb|cc|dd)([^a-z]|$)')""")
 def indicator_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tens of thousands of indicators, every longer word of the documents, tried on whole documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select(F.explode(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).where(F.length("w") >= 7).distinct()
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).where(F.length("w") >= 8).distinct()
     # the list is an input of its own: it comes from a file in practice, and is read by the driver as one
     listed = [(r["w"], f"(?<![a-z0-9]){r['w'][:5]}{'[' + r['w'][5] + ']' if i % 3 else r['w'][5]}{r['w'][6:]}{'{1}' if i % 5 == 0 else ''}(?![a-z0-9])" + (f"|(?<![a-z0-9]){r['w']}(?![a-z0-9])" if i % 7 == 0 else "")) for i, r in enumerate(words.orderBy("w").collect())]
     listed += [("five digits", r"(?<![0-9])[0-9]{5}(?![0-9])"), ("twice", r"(?<![a-z])([abcd])\1(?![a-z])")]

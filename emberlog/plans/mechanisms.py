@@ -109,11 +109,11 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'a' || CAST(user_id AS VARCHAR) WHEN 'view' THEN 'w' || CAST(user_id AS VARCHAR) END AS app,
   CASE event_type WHEN 'click' THEN '9223372036854775807' WHEN 'purchase' THEN '1844674407370955' || printf('%04d', event_id % 10000) END AS n,
-  CASE event_type WHEN 'click' THEN event_id WHEN 'view' THEN event_id END AS number, event_type = 'signup' OR event_type = 'error' AND event_id % 5 = 0 AS bad FROM events""")
+  CASE event_type WHEN 'click' THEN CAST(event_id AS VARCHAR) WHEN 'view' THEN CAST(event_id AS VARCHAR) END AS number, event_type = 'signup' OR event_type = 'error' AND event_id % 5 = 0 AS bad FROM events""")
 def payload_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What payloads of different shapes have in common, numbers beyond 2 ** 63 and half documents among them."""
     v = F.col("v")
-    return _payloads(spark, sf_dir).select("event_id", payloads.member(v, "$.app.name", "$[0].application").alias("app"), payloads.member(v, "$.n", kind="decimal(38,0)").cast("string").alias("n"), payloads.member(v, "$.app.id", "$[1]", kind="long").alias("number"), v.isNull().alias("bad"))
+    return _payloads(spark, sf_dir).select("event_id", payloads.member(v, "$.app.name", "$[0].application").alias("app"), payloads.member(v, "$.n", kind="decimal(38,0)").cast("string").alias("n"), payloads.member(v, "$.app.id", "$[1]", kind="long").cast("string").alias("number"), v.isNull().alias("bad"))
 
 
 @query("""SELECT event_type, count(*) AS rows, count(*) FILTER (event_type = 'signup' OR event_type = 'error' AND event_id % 5 = 0) AS empty, CASE event_type WHEN 'click' THEN 'OBJECT<app: OBJECT<id: BIGINT, name: STRING>, n: BIGINT>' WHEN 'view' THEN 'ARRAY<VARIANT>'
