@@ -17,7 +17,11 @@ from .shared import materialize
 
 _FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "value_length", "hyphens", "fragment", "secure", "suffix_rate", "suffix_log_count"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "value_length", "hyphens", "fragment", "secure"]
+#: What suffix statistics are kept of: the host's last label, its last two, and either with the path's first segment.
+SUFFIXES = ("suffix", "domain", "section", "place")
+FEATURES += [f"{s}_{x}" for s in SUFFIXES for x in ("rate", "log_count", "log_labels")]
+_PRIOR_ROWS = 20  # rows that the prior counts for in a rate
 
 
 @dataclass(frozen=True)
@@ -58,9 +62,14 @@ def lexical_features(urls: DataFrame, url_col: str = "url") -> DataFrame:
     share = lambda c: (length - F.length(F.replace(url, c, F.lit("")))) / F.greatest(length, F.lit(1))
     entropy = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda total, c: total - share(c) * F.log2(share(c)))
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+    last, two = F.substring_index("host", ".", -1), F.substring_index("host", ".", -2)
+    segment = F.regexp_extract("path", r"^/([^/]*)", 1)
     return urls.withColumns(
         {
-            "suffix": F.substring_index("host", ".", -1),
+            "suffix": last,
+            "domain": two,
+            "section": F.concat(last, F.lit("/"), segment),
+            "place": F.concat(two, F.lit("/"), segment),
             "url_length": length.cast("double"),
             "host_length": F.length("host").cast("double"),
             "path_length": F.length("path").cast("double"),
@@ -81,9 +90,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     """(id, host, path, rule, verdict, block_score) for every row.
 
     The trees learn from urls that a rule decides, at most ``most_training_rows`` of them, chosen by a hash of the url, and
-    judge the others, which are blocked at a score of 0.5 or more. Suffix statistics count all rows, and their labels all
-    rows that a rule decides; for a url to learn from, they leave out the fifth of the urls that it belongs to, so that no
-    row meets its own label. ``learn`` narrows the rows whose labels are used, to hold some out. Where rules label no url,
+    judge the others, which are blocked at a score of 0.5 or more. Suffix statistics (``SUFFIXES``) count all rows, and their
+    labels all rows that a rule decides; for a url to learn from, they leave out the fifth of the urls that it belongs to, so
+    that no row meets its own label. ``learn`` narrows the rows whose labels are used, to hold some out. Where rules label no url,
     or all alike, the score is that label's smoothed share. Null urls and urls without ``://`` have an empty host and path
     and no rule; repeated rows each get their row; an empty table gives an empty one; other columns are ignored.
     """
@@ -93,22 +102,30 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     base = lexical_features(base.withColumns({"rule": rule, "ruled": ruled}), "__url")
     base = base.withColumns({"label": F.when(F.col("__learn"), (F.col("ruled") == "block").cast("double")), "fold": F.pmod(F.xxhash64("__url", F.lit(seed + 1)), F.lit(_FOLDS))})
     sample = materialize(base.where("label is not null").orderBy(F.xxhash64("__url", F.lit(seed))).limit(most_training_rows).drop(id_col, "host", "path", "rule", "ruled"), "urls")
-    folds = materialize(base.groupBy("suffix", "fold").agg(F.count("*").alias("rows"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("block")), "suffixes")
-    counted = folds.groupBy("suffix").agg(*(F.sum(c).alias(c) for c in ("rows", "n", "block")))
-    counts = counted.agg(F.sum("n").alias("n"), F.sum("block").alias("block")).first()
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in SUFFIXES))
+    folds = materialize(base.select("fold", "label", F.explode(each).alias("s")).groupBy("s.kind", "s.key", "fold").agg(F.count("*").alias("rows"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("block")), "suffixes")
+    counted = folds.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("rows", "n", "block")))
+    counts = counted.where(F.col("kind") == SUFFIXES[0]).agg(F.sum("n").alias("n"), F.sum("block").alias("block")).first()
     prior = ((counts["block"] or 0.0) + 1) / ((counts["n"] or 0) + 2)
-    rate = lambda block, n: (block + 20 * prior) / (n + 20)
-    others = counted.select("suffix", F.col("n").alias("all_n"), F.col("block").alias("all_block"), F.log1p("rows").alias("suffix_log_count")).join(folds.select("suffix", "fold", "n", "block"), "suffix")
-    others = others.select("suffix", "fold", rate(F.col("all_block") - F.col("block"), F.col("all_n") - F.col("n")).alias("suffix_rate"), "suffix_log_count")
-    suffixes = counted.select("suffix", rate(F.col("block"), F.col("n")).alias("suffix_rate"), F.log1p("rows").alias("suffix_log_count"))
-    known = base.join(suffixes, "suffix", "left")
+
+    def told(k: str, n: Column, block: Column) -> list[Column]:
+        return [F.col("key").alias(k), ((block + _PRIOR_ROWS * prior) / (n + _PRIOR_ROWS)).alias(f"{k}_rate"), F.log1p("rows").alias(f"{k}_log_count"), F.log1p(n).alias(f"{k}_log_labels")]
+
+    apart = counted.withColumnsRenamed({"n": "all_n", "block": "all_block"}).join(folds.drop("rows"), ["kind", "key"])
+    known, learned = base, sample
+    for k in SUFFIXES:
+        known = known.join(counted.where(F.col("kind") == k).select(*told(k, F.col("n"), F.col("block"))), k, "left")
+        learned = learned.join(apart.where(F.col("kind") == k).select("fold", *told(k, F.col("all_n") - F.col("n"), F.col("all_block") - F.col("block"))), [k, "fold"])
     learnt = sample.agg(F.count("*").alias("n"), F.sum("label").alias("block")).first()
     if not 0 < (learnt["block"] or 0.0) < learnt["n"]:
         scored = known.withColumn("block_score", F.lit(prior))
     else:
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=seed, checkpointInterval=-1)
-        model = trees.fit(assembler.transform(sample.join(others, ["suffix", "fold"])).select("features", "label"))
+        # both verdicts weigh alike, so a score of a half is where they are as likely
+        share = learnt["block"] / learnt["n"]
+        learned = learned.withColumn("weight", F.when(F.col("label") > 0, 0.5 / share).otherwise(0.5 / (1 - share)))
+        trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=seed, checkpointInterval=-1)
+        model = trees.fit(assembler.transform(learned).select("features", "label", "weight"))
         scored = model.transform(assembler.transform(known)).withColumn("block_score", vector_to_array("probability")[1])
     verdict = F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return scored.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "block_score")
