@@ -97,10 +97,10 @@ def cim_time(text: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(local) - offset.cast("long") * 60000000)
 
 
-def human_size(n: Column) -> Column:
-    """Bytes as ``1.5 MB``."""
+def human_size(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Column:
+    """Bytes as ``1.5 MB``; what is too large for ``units`` has the last of them."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB"), start=1):
+    for power, unit in enumerate(units, start=1):
         out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", n / float(1024**power)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
