@@ -163,9 +163,14 @@ def top_values(requests: DataFrame, column: str, k: int, by: list[str] | None =
     return got.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def approx_top_values(requests: DataFrame, column: str, k: int) -> DataFrame:
-    """The same from a bounded sketch, for columns of very many values."""
-    return requests.agg(F.expr(f"approx_top_k({column}, {k}, 10000)").alias("top")).select(F.inline("top"))
+def approx_top_values(requests: DataFrame, column: str, k: int, tracked: int = 10_000) -> DataFrame:
+    """The k most frequent values of columns of very many values, ties by value: (item, count). A bounded sketch names
+    ``tracked`` candidates, which are then counted, so numbers and their order are exact; only values too rare for the
+    sketch, which it can lose if there are more than it tracks, aren't considered."""
+    values = requests.select(F.col(column).alias("item"))
+    some = values.agg(F.expr(f"approx_top_k(item, {tracked}, {tracked})").alias("top")).select(F.inline("top")).select(F.col("item").alias("__item"))
+    counted = values.join(F.broadcast(some), F.col("item").eqNullSafe(F.col("__item")), "left_semi").groupBy("item").agg(F.count("*").alias("count"))
+    return counted.orderBy(F.desc("count"), "item").limit(k)
 
 
 def geo_origin(ips: DataFrame, countries: DataFrame, networks: DataFrame, tor: DataFrame, home: str, ip_col: str = "ip") -> DataFrame:
