@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,16 @@ def with_rank(ordered: DataFrame, name: str = "rank") -> DataFrame:
     parts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).select("__part", before.alias("__before"))
     got = rows.withColumn("__part", part).join(parts, "__part")
     return got.select(*ordered.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
+
+
+def running_count(df: DataFrame, test: Column, by: list[str], order: str, name: str, stretch: int = 1 << 16) -> DataFrame:
+    """``df`` with the number of rows of the same ``by``, up to and with a row in order of the number ``order``, of which
+    ``test`` holds. Numbers are cut into stretches, and a table of one row per stretch says how many lie before it, so no
+    task sorts all rows of one ``by``."""
+    keys = [*by, "__s"]
+    rows = df.withColumns({"__s": F.floor(F.col(order) / stretch), "__t": F.coalesce(test.cast("long"), F.lit(0))})
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy(*keys).agg(F.sum("__t").alias("__n")).withColumn("__before", before).select(*(F.col(k).alias(f"__of{k}") for k in keys), "__before")
+    own = rows.withColumn("__t", F.sum("__t").over(Window.partitionBy(*keys).orderBy(order)))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__of{k}")) for k in keys])
+    return own.join(sums, same).select(*df.columns, (F.col("__before") + F.col("__t")).alias(name))

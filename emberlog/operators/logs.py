@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.plan import computed_once
+from ..functions.plan import computed_once, running_count
 from ..functions.strings import MONTHS, epoch_time, hex_or_same, let
 
 SYSLOG = r"^(\d{4}-\d\d-\d\dT[\d:.+\-]+|[A-Z][a-z]{2}\s+\d+\s+\d\d:\d\d:\d\d)\s+(\S+)\s+([\w\-/.]+?)(?:\[(\d+)\])?:\s+(.*)$"
@@ -218,8 +218,7 @@ def package_history(lines: DataFrame) -> DataFrame:
     ry = r"^(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(Installed|Erased|Updated):\s+(.+)$"
     yum_map = F.create_map(*(F.lit(x) for x in ("Installed", "install", "Erased", "remove", "Updated", "upgrade")))
     yum = lines.where(name.startswith("yum") & line.rlike(ry)).select(out(_part(ry, 1), F.try_element_at(yum_map, _part(ry, 2)), F.trim(_part(ry, 3)), none, none, "yum"))
-    order = Window.partitionBy("host", "path").orderBy("line_no")
-    apt = lines.where(name.startswith("history.log")).withColumn("block", F.sum((F.trim("line") == "").cast("int")).over(order)).where(line.contains(":"))
+    apt = running_count(lines.where(name.startswith("history.log")), F.trim("line") == "", ["host", "path"], "line_no", "block").where(line.contains(":"))
     apt = apt.withColumns({"k": F.trim(F.substring_index("line", ":", 1)), "v": F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))})
     blocks = apt.groupBy(*keep, "block").agg(F.max_by("v", F.when(F.col("k") == "Start-Date", F.col("line_no"))).alias("start"), F.max(F.when(F.col("k") == "Requested-By", F.col("v"))).alias("by"), F.max(F.when(F.col("k") == "Commandline", F.col("v"))).alias("cl"), F.collect_list(F.when(F.col("k").isin("Install", "Reinstall", "Upgrade", "Downgrade", "Remove", "Purge"), F.struct("k", "v"))).alias("acts"))
     acts = blocks.withColumn("act", F.explode("acts")).withColumn("item", F.explode(F.regexp_extract_all("act.v", F.lit(r"[^\s,]+ \([^)]*\)"), F.lit(0))))
