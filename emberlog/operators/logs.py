@@ -88,7 +88,8 @@ def first_family(lines: DataFrame, families: tuple[str, ...] = ("auth.log", "sec
     rank = F.coalesce(*(F.when(name.startswith(f), i) for i, f in enumerate(families)))
     ranked = lines.withColumn("__rank", rank).where(F.col("__rank").isNotNull() & ~name.rlike(r"-\d{8}"))
     best = ranked.groupBy("host").agg(F.min("__rank").alias("__best"))
-    return ranked.join(best, "host").where("__rank = __best").drop("__rank", "__best")
+    # a row for each host: sent to all tasks, as lines of one host would else come together in one
+    return ranked.join(F.broadcast(best), "host").where("__rank = __best").drop("__rank", "__best")
 
 
 def auth_events(lines: DataFrame) -> DataFrame:
