@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.plan import computed_once
+from ..functions.plan import computed_once, dealt
 from ..functions.strings import basename, filetime, url_host, webkit_time
 from .live import in_staging, is_lolbin
 
@@ -364,6 +364,7 @@ def linux_machine_info(lines: DataFrame) -> DataFrame:
     """A row for each host, from the outputs that ``path`` names: hostnamectl, os-release, hostname, timezone, date, free,
     lscpu, last, ip_addr_show, ifconfig, passwd. Addresses are those of ``ip`` or else ``ifconfig``, without loopback and
     link-local ones; users are those with a login shell. What no output tells is empty; the name falls back to the host's."""
+    lines = dealt(lines.select("host", "path", "line_no", "line"), "host")  # texts by number are sorted to be aggregated
     name = basename(F.col("path"))
     kv = lambda sep: (F.trim(F.substring_index("line", sep, 1)), F.trim(F.regexp_replace(F.regexp_extract("line", rf"^[^{sep}]*{sep}(.*)$", 1), '^\\s*"|"\\s*$', "")))
     colon, equal = kv(":"), kv("=")
