@@ -1,8 +1,9 @@
 """Analyst indicators: labelled regular expressions, a few as Columns or very many by an inverted index.
 
 The index has, of each expression, fixed text that any match must hold (of each of its alternatives), cut into grams of
-``GRAM`` characters, or of ``LONG`` if it has as many, of which one stands for all. Grams of the texts meet those grams in an equi-join, and only what meets is
-tried by the expression itself. Expressions without such text are tried on every text, as one alternation first.
+as many characters as the greatest of ``SIZES`` that it holds, of which one stands for all. Grams of the texts meet those grams in an equi-join, and only what meets is
+tried by the expression itself. The list, which the driver has read, is sent to all tasks: of the texts' grams none is
+shuffled, only the numbers of what they met. Expressions without such text are tried on every text, as one alternation first.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.plan import computed_once, held
 
-GRAM, LONG = 4, 6
+SIZES = (4, 6, 8)
+GRAM = SIZES[0]
 _ALONE = re.compile(r"\\[1-9]|\\k<|\(\?<\w|\(\?[a-zA-Z]|\\Q")
 
 
@@ -103,7 +105,8 @@ _CONTROLS = {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "a": "\a", "e": "\x1b"}
 
 def required_texts(rx: str, shortest: int = GRAM) -> list[str]:
     """Of each alternative at the top level, the longest lower-cased text that every match of it holds; an empty list if
-    some alternative has none of ``shortest`` characters. It is cautious: groups, classes and what isn't ASCII hold none."""
+    some alternative has none of ``shortest`` characters. It is cautious: groups, classes of more than one character and what
+    isn't ASCII hold none."""
     if re.search(r"\\Q|\(\?[a-zA-Z]*[xd-]", rx.replace("\\\\", "")):
         return []
     found: list[list[str]] = [[]]
@@ -137,12 +140,14 @@ def required_texts(rx: str, shortest: int = GRAM) -> list[str]:
             after = _group_end(rx, i)
         elif c == "[":
             after = _class_end(rx, i)
+            if after - i == 3 and rx[i + 1] not in "^\\[]&":
+                letter = rx[i + 1]  # a class of one character
         elif c not in ".^$":
             letter = c
         repeat = _REPEAT.match(rx, after)
         if letter is None or not letter.isascii():
             end()
-        elif not repeat:
+        elif not repeat or repeat[1] == "{1}":
             run += letter
         else:
             least = {"?": 0, "*": 0, "+": 1}.get(repeat[1], int(repeat[2] or 0))
@@ -160,7 +165,7 @@ def indicator_index(spark: SparkSession, indicators: list[tuple[str, str]]) -> D
     requires with the gram that stands for it; a null gram if it is to be tried on every text. Of the grams of a text that which is rarest in the list stands for it."""
     rows = [(i, label, f"(?i){rx}", text, alone(rx)) for i, (label, rx) in enumerate(indicators) for text in required_texts(rx) or [None]]
     table = held(spark.createDataFrame(rows, "at int, label string, rx string, text string, alone boolean"))
-    size = f"if(length(text) < {LONG}, {GRAM}, {LONG})"
+    size = "CASE " + " ".join(f"WHEN length(text) >= {n} THEN {n}" for n in reversed(SIZES)) + f" ELSE {GRAM} END"
     grams = table.where("text is not null").select("at", "text", F.explode(F.expr(f"transform(sequence(1, length(text) - {size} + 1), i -> substring(text, i, {size}))")).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = grams.join(often, "gram").groupBy("at", "text").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
@@ -180,20 +185,20 @@ def match_many(rows: DataFrame, index: DataFrame, id_col: str, text_col: str) ->
     """
     texts = rows.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
     keyed = index.where("gram is not null")
-    wanted = keyed.select("gram").distinct()
+    entries = keyed.groupBy("at", "label", "rx").agg(F.collect_set("text").alias("texts"))
+    wanted = keyed.select("gram", "at").distinct()
     # grams of a length that no indicator has aren't cut
-    some = lambda n: wanted.agg(F.coalesce(F.max(F.length("gram") == n), F.lit(False)).alias("x")).scalar()
+    some = lambda n: keyed.agg(F.coalesce(F.max(F.length("gram") == n), F.lit(False)).alias("x")).scalar()
     none = F.array().cast("array<string>")
-    cut = F.concat(*(F.when(some(n), grams_of(F.col("__text"), n)).otherwise(none) for n in (GRAM, LONG)))
+    cut = F.concat(*(F.when(some(n), grams_of(F.col("__text"), n)).otherwise(none) for n in SIZES))
     # worked out before they are taken apart: else a filter that Spark infers would work them out again
-    seen = computed_once(texts.select("__id", "__text"), {"__grams": cut}).select("__id", F.explode("__grams").alias("gram")).join(wanted, "gram", "left_semi")
-    # a text meets its candidates once; the whole required text is looked for before the expression is
-    met = seen.join(keyed.select("gram", F.struct("at", "label", "rx", "text").alias("c")), "gram").groupBy("__id").agg(F.collect_set("c").alias("c"))
+    seen = computed_once(texts.select("__id", "__text"), {"__grams": cut}).select("__id", F.explode("__grams").alias("gram"))
+    # a text meets its candidates once, as numbers; the whole required text is looked for before the expression is
+    met = seen.join(F.broadcast(wanted), "gram").groupBy("__id").agg(F.collect_set("at").alias("c"))
     # trying takes time and not space, so texts are dealt out and not put together by their bytes
     dealt = texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id").join(met, "__id")
-    found = F.filter("c", lambda c: F.contains(F.col("__low"), c["text"]) & F.rlike(F.col("__text"), c["rx"]))
-    hits = F.array_distinct(F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["label"].alias("label"))))
-    tried = computed_once(computed_once(dealt, {"__low": F.lower("__text")}), {"__hits": hits}).select("__id", F.explode("__hits").alias("x")).select("__id", "x.at", "x.label")
+    candidates = computed_once(dealt, {"__low": F.lower("__text")}).select("__id", "__text", "__low", F.explode("c").alias("at")).join(F.broadcast(entries), "at")
+    tried = candidates.where(F.exists("texts", lambda x: F.contains(F.col("__low"), x)) & F.rlike(F.col("__text"), F.col("rx"))).select("__id", "at", "label")
     rest = index.where("gram is null")
     single = F.struct("at", "label", "rx")
     together = rest.where("not alone").agg(F.coalesce(F.concat(F.lit("(?i)"), F.array_join(F.collect_list(F.concat(F.lit("(?:"), F.substring("rx", F.lit(5), F.length("rx")), F.lit(")"))), "|")), F.lit("(?!)")).alias("x")).scalar()
