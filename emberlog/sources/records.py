@@ -36,12 +36,14 @@ def _files(path: str) -> list[fs.FileInfo]:
 
 @dataclass
 class Stretch(InputPartition):
-    """Bytes ``start`` to ``stop`` of a file; ``first``: the number of the first record or stream there."""
+    """Bytes ``start`` to ``stop`` of a file; ``first``: the number of the first record or stream there; ``streams``: where
+    each of several streams there starts and stops."""
 
     path: str
     start: int
     stop: int
     first: int
+    streams: tuple[tuple[int, int], ...] = ()
 
     def __post_init__(self) -> None:
         super().__init__(None)
@@ -61,16 +63,18 @@ def _text(raw: bytes) -> str:
 
 
 class UtmpReader(_Ranges):
-    def __init__(self, path: str, records: int) -> None:
+    def __init__(self, path: str, records: int, rotated: bool) -> None:
         super().__init__(path)
-        self.records = records
+        self.records, self.rotated = records, rotated
 
     def partitions(self) -> list[Stretch]:
         """A partition for so many records; what is left of a torn record at the end of a file isn't read."""
-        out = []
+        out, before = [], {}
         for f in _files(self.path):
-            n = f.size // UTMP
-            out += [Stretch(f.path, a * UTMP, min(a + self.records, n) * UTMP, a) for a in range(0, n, self.records)]
+            n, folder = f.size // UTMP, f.path.rpartition("/")[0]
+            first = before.get(folder, 0) if self.rotated else 0
+            out += [Stretch(f.path, a * UTMP, min(a + self.records, n) * UTMP, first + a) for a in range(0, n, self.records)]
+            before[folder] = first + n
         return out
 
     def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
@@ -96,7 +100,8 @@ class UtmpReader(_Ranges):
 
 
 class UtmpSource(DataSource):
-    """Login databases: ``spark.read.format("utmp").load(path)``; option ``records``: how many a task reads."""
+    """Login databases: ``spark.read.format("utmp").load(path)``; option ``records``: how many a task reads;
+    ``rotated``: whether files of one folder are one database, in order of their names, so that ``n`` goes on."""
 
     @classmethod
     def name(cls) -> str:
@@ -106,7 +111,7 @@ class UtmpSource(DataSource):
         return "path string, n long, time_utc timestamp, user string, type string, line string, host string"
 
     def reader(self, schema: object) -> UtmpReader:
-        return UtmpReader(self.options["path"], int(self.options.get("records", 100_000)))
+        return UtmpReader(self.options["path"], int(self.options.get("records", 100_000)), self.options.get("rotated", "false") == "true")
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -154,45 +159,56 @@ def xz_streams(file: pa.NativeFile, size: int) -> list[tuple[int, int]] | None:
 
 
 class XzReader(_Ranges):
-    def __init__(self, path: str, suffix: str) -> None:
+    def __init__(self, path: str, suffix: str, least: int) -> None:
         super().__init__(path)
-        self.suffix = suffix
+        self.suffix, self.least = suffix, least
+
+    def _stretches(self, path: str, streams: list[tuple[int, int]]) -> Iterator[Stretch]:
+        a = 0
+        for i, (_, stop) in enumerate(streams):
+            if stop - streams[a][0] >= self.least or i + 1 == len(streams):
+                yield Stretch(path, streams[a][0], stop, a, tuple(streams[a : i + 1]))
+                a = i + 1
 
     def partitions(self) -> list[Stretch]:
-        """A partition for each stream of each file; a damaged file is one."""
+        """Streams of a file that follow each other, of so many bytes together or one that has more; a damaged file is one."""
         store, _ = _store(self.path)
         out = []
         for f in _files(self.path):
             if f.path.endswith(self.suffix) and f.size:
                 with store.open_input_file(f.path) as file:
                     streams = xz_streams(file, f.size)
-                out += [Stretch(f.path, a, b, i) for i, (a, b) in enumerate(streams or [(0, f.size)])]
+                out += self._stretches(f.path, streams or [(0, f.size)])
         return out
 
-    def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, stretch: Stretch) -> Iterator[pa.RecordBatch]:
         """Lines of the streams in the stretch, ``whole`` telling whether a line's end was seen; the first line of a stream
         may go on where the one before ended. A damaged stream gives the lines up to the damage."""
-        with self._open(part) as file:
-            file.seek(part.start)
-            left, rest, n, reader = part.stop - part.start, b"", 0, lzma.LZMADecompressor()
+        with self._open(stretch) as file:
+            for i, (start, stop) in enumerate(stretch.streams):
+                yield from self._stream(file, Stretch(stretch.path, start, stop, stretch.first + i))
+
+    def _stream(self, file: pa.NativeFile, part: Stretch) -> Iterator[pa.RecordBatch]:
+        file.seek(part.start)
+        left, rest, n, reader = part.stop - part.start, b"", 0, lzma.LZMADecompressor()
+        pending = b""
+        while left > 0 or pending:
+            raw = pending or file.read(min(left, _PIECE))
+            left -= 0 if pending else len(raw)
+            if not raw:
+                break
             pending = b""
-            while left > 0 or pending:
-                raw = pending or file.read(min(left, _PIECE))
-                left -= 0 if pending else len(raw)
-                if not raw:
-                    break
-                pending = b""
-                try:
-                    pieces = (rest + reader.decompress(raw)).split(b"\n")
-                except (lzma.LZMAError, EOFError):
-                    break
-                if reader.eof:  # only where a file is read as a whole
-                    pending, reader = reader.unused_data.lstrip(b"\0"), lzma.LZMADecompressor()
-                rest = pieces.pop()
-                yield self._batch(part, n, pieces, True)
-                n += len(pieces)
-            if rest:
-                yield self._batch(part, n, [rest], False)
+            try:
+                pieces = (rest + reader.decompress(raw)).split(b"\n")
+            except (lzma.LZMAError, EOFError):
+                break
+            if reader.eof:  # only where a file is read as a whole
+                pending, reader = reader.unused_data.lstrip(b"\0"), lzma.LZMADecompressor()
+            rest = pieces.pop()
+            yield self._batch(part, n, pieces, True)
+            n += len(pieces)
+        if rest:
+            yield self._batch(part, n, [rest], False)
 
     def _batch(self, part: Stretch, n: int, lines: list[bytes], whole: bool) -> pa.RecordBatch:
         k = len(lines)
@@ -201,7 +217,8 @@ class XzReader(_Ranges):
 
 
 class XzSource(DataSource):
-    """Lines of xz files by stream: ``spark.read.format("xz_lines").option("suffix", suffix).load(path)``."""
+    """Lines of xz files by stream: ``spark.read.format("xz_lines").option("suffix", suffix).load(path)``; option ``bytes``:
+    how many a task reads at least, if the file has as many."""
 
     @classmethod
     def name(cls) -> str:
@@ -211,18 +228,19 @@ class XzSource(DataSource):
         return "path string, stream int, n long, line binary, whole boolean"
 
     def reader(self, schema: object) -> XzReader:
-        return XzReader(self.options["path"], self.options.get("suffix", ".xz"))
+        return XzReader(self.options["path"], self.options.get("suffix", ".xz"), int(self.options.get("bytes", 4 << 20)))
 
 
-def read_utmp(spark: SparkSession, path: str, records: int = 100_000) -> DataFrame:
+def read_utmp(spark: SparkSession, path: str, records: int = 100_000, rotated: bool = False) -> DataFrame:
     """(path, n, time_utc, user, type, line, host) of login databases of any size, ``records`` records a task; records
-    without a user are left out, as is a torn one at the end. Paths are local or URIs that Arrow's file systems know."""
+    without a user are left out, as is a torn one at the end. ``rotated``: files of one folder, in order of their names, are
+    one database, whose numbers go on. Paths are local or URIs that Arrow's file systems know."""
     spark.dataSource.register(UtmpSource)
-    return spark.read.format("utmp").option("records", records).load(path)
+    return spark.read.format("utmp").option("records", records).option("rotated", str(rotated).lower()).load(path)
 
 
 def read_xz(spark: SparkSession, path: str, suffix: str = ".xz") -> DataFrame:
-    """(path, line_no, line) of xz files, a task for each stream. A line that goes over the border of two streams is put
+    """(path, line_no, line) of xz files, a task for each 4 MB of streams, or for a longer one. A line that goes over the border of two streams is put
     together again; files that are damaged give the lines up to the damage."""
     from pyspark.sql import functions as F
     from pyspark.sql.window import Window
