@@ -23,11 +23,11 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return out.select(*kept, *(F.col(f"`__once_{n}`").alias(n) for n in columns if n not in df.columns))
 
 
-def dealt(df: DataFrame, *by: str, rows: int = 1 << 19) -> DataFrame:
+def dealt(df: DataFrame, *by: str, rows: int = 1 << 19, ranges: bool = False) -> DataFrame:
     """``df`` dealt out by ``by`` into partitions of about so many rows, one for each core at least: their number grows with
-    the rows, and what a task sorts doesn't. The rows are counted first."""
+    the rows, and what a task sorts doesn't. The rows are counted first. ``ranges``: a partition is a range of ``by``."""
     n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
-    return df.repartition(n, *by)
+    return df.repartitionByRange(n, *by) if ranges else df.repartition(n, *by)
 
 
 def held(df: DataFrame) -> DataFrame:

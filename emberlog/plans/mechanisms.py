@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import payloads
+from ..functions.plan import dealt
 from ..operators import contents, incremental, rules
 from ..sources import records
 from .catalog import TIME, query
@@ -137,18 +138,20 @@ def payload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS n, 'user' || CAST(user_id AS VARCHAR) AS "user", strftime(ts, '%Y-%m-%d %H:%M:%S') AS time_utc, CASE WHEN event_type = 'error' THEN 'DEAD_PROCESS' ELSE 'USER_PROCESS' END AS type, '10.0.0.' || CAST(user_id % 250 AS VARCHAR) AS host FROM events""")
 def utmp_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three login databases of many records, a torn one at the end of each, read 200 records a task."""
+    """Three login databases of many records in several files each, a torn one at the end, read 200 records a task."""
     hexed = lambda text, n: F.rpad(F.hex(F.encode(text, "utf-8")), n * 2, "0")
     little = lambda x, n: F.concat(*(F.lpad(F.hex(F.pmod(F.shiftright(x, 8 * i), F.lit(256))), 2, "0") for i in range(n)))
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", 8).otherwise(7).cast("long")
     record = F.concat(little(kind, 4), F.lit("00" * 4), hexed(F.concat(F.lit("pts/"), s("event_id")), 32), F.lit("00" * 4), hexed(F.concat(F.lit("user"), s("user_id")), 32), hexed(F.concat(F.lit("10.0.0."), s("user_id", 250)), 256), F.lit("00" * 8), little(F.unix_seconds(F.col("ts").cast("timestamp")), 4), F.lit("00" * 39))
-    rows = e.select((F.col("user_id") % 3).alias("k"), "event_id", record.alias("r"))
-    torn = rows.groupBy("k").agg(F.max("event_id").alias("event_id"), F.lit("07" * 90).alias("r")).select("k", F.col("event_id") + 1, "r")
+    rows = e.select((F.col("user_id") % 3).alias("k"), "event_id", "user_id", "ts", "event_type", F.lit(False).alias("torn"))
+    torn = rows.groupBy("k").agg((F.max("event_id") + 1).alias("event_id")).select("k", "event_id", F.lit(None).alias("user_id"), F.lit(None).alias("ts"), F.lit(None).alias("event_type"), F.lit(True))
     at = folder(spark, "utmp")
+    # records are written out once their few fields are in order, a file for each stretch of them, so no task holds a database;
     # bytes as text: the writer puts them down as they are, and the last byte of a record, a nought, is what ends a line
-    rows.union(torn).repartition("k").sortWithinPartitions("k", "event_id").select("k", F.unhex("r").cast("string").alias("value")).write.partitionBy("k").option("lineSep", "\0").text(at)
-    got = records.read_utmp(spark, at, records=200)
+    ordered = dealt(rows.union(torn), "k", "event_id", ranges=True).sortWithinPartitions("k", "event_id")
+    ordered.select("k", F.unhex(F.when(F.col("torn"), F.lit("07" * 90)).otherwise(record)).cast("string").alias("value")).write.partitionBy("k").option("lineSep", "\0").text(at)
+    got = records.read_utmp(spark, at, records=200, rotated=True)
     return got.select(F.regexp_extract("line", r"pts/(\d+)", 1).cast("long").alias("event_id"), "n", "user", F.date_format("time_utc", TIME).alias("time_utc"), "type", "host")
 
 
