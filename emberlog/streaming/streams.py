@@ -80,37 +80,53 @@ def web_sessions(requests: DataFrame, late: str = "10 minutes", gap: str = "30 m
     return got.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "ip", "requests")
 
 
+def _counted(batches: Iterator) -> tuple:
+    """The times of one key's rows in order, in microseconds, and how many failed and passed at each. Equal times count
+    together, so many repeats stay small."""
+    import numpy as np
+
+    ats, bads, goods = [], [], []
+    for batch in batches:
+        at, of = np.unique(batch["ts"].to_numpy().astype("datetime64[us]").astype("int64"), return_inverse=True)
+        ok = batch["ok"].to_numpy().astype(bool)
+        ats.append(at)
+        goods.append(np.bincount(of[ok], minlength=len(at)))
+        bads.append(np.bincount(of[~ok], minlength=len(at)))
+    if len(ats) == 1:
+        return ats[0], bads[0], goods[0]
+    at, of = np.unique(np.concatenate(ats), return_inverse=True)
+    failed, passed = np.zeros(len(at), "int64"), np.zeros(len(at), "int64")
+    np.add.at(failed, of, np.concatenate(bads))
+    np.add.at(passed, of, np.concatenate(goods))
+    return at, failed, passed
+
+
 def brute_force_alerts(auth: DataFrame, least: int = 5, forget: str = "1 day") -> DataFrame:
     """An alert for each success of an account from a source with at least ``least`` failures before, those of the same
     time included; a pair is forgotten after ``forget`` without events. Needs ts, src, dst, user, ok."""
     ms = int(forget.split()[0]) * {"minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[forget.split()[1].rstrip("s")]
 
     def follow(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         if state.hasTimedOut:
             state.remove()
             return
         fails = state.get[0] if state.exists else 0
-        # equal times of one key and outcome come as one row with their number, so a batch of many repeats stays small
-        parts = [b.groupby(["ts", "ok"], as_index=False).size() for b in batches]
-        rows = pd.concat(parts).groupby(["ts", "ok"], as_index=False)["size"].sum().sort_values(["ts", "ok"], kind="stable")
-        out = []
-        for ts, ok, n in zip(rows["ts"], rows["ok"], rows["size"], strict=True):
-            if not ok:
-                fails += int(n)
-            elif fails >= least:
-                out += [(*key, ts, fails)] * int(n)
-        state.update((fails,))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ms)
-        if out:
-            yield pd.DataFrame(out, columns=["src", "dst", "user", "ts", "failures"])
+        at, failed, passed = _counted(batches)
+        so_far = fails + np.cumsum(failed)
+        state.update((int(so_far[-1]),))
+        state.setTimeoutTimestamp(max(int(at[-1]) // 1000, state.getCurrentWatermarkMs()) + ms)
+        times = np.where(so_far >= least, passed, 0)
+        if times.any():
+            yield pd.DataFrame({"src": key[0], "dst": key[1], "user": key[2], "ts": np.repeat(at, times).astype("datetime64[us]"), "failures": np.repeat(so_far, times)})
 
     return auth.withWatermark("ts", "10 minutes").groupBy("src", "dst", "user").applyInPandasWithState(follow, "src string, dst string, user string, ts timestamp, failures long", "fails long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 #: State of ``ordered_brute_force``, by time in microseconds: events that wait for the watermark, and what is known before them.
-_WAITING, _KNOWN = "failed long, passed long", "failed long, last long"
+_WAITING, _KNOWN = "at long, failed long, passed long", "failed long, last long"
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this module
@@ -133,55 +149,50 @@ class _Guesses(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", _WAITING)
+        self.waiting = handle.getListState("waiting", _WAITING)
         self.known = handle.getValueState("known", _KNOWN)
 
     def _wake(self, at: int) -> None:
         self.handle.registerTimer(at // 1000 + 1)
 
     def handleInputRows(self, key: tuple, rows: Iterator, timerValues: object) -> Iterator:  # noqa: N802, N803
-        import pandas as pd
-
-        first = None
-        for batch in rows:
-            at = batch["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-            # equal times of one key count together, so many repeats are one entry
-            for t, own in batch.assign(at=at).groupby("at")["ok"]:
-                passed = int(own.sum())
-                failed = len(own) - passed
-                if self.waiting.containsKey((t,)):
-                    before = self.waiting.getValue((t,))
-                    failed, passed = failed + before[0], passed + before[1]
-                self.waiting.updateValue((int(t),), (failed, passed))
-                first = int(t) if first is None else min(first, int(t))
-        if first is not None:
-            self._wake(first)
-        yield _alerts(pd.DataFrame([], columns=_ALERT))
+        # one call of the state store for all times of a key in a batch
+        at, failed, passed = (x.tolist() for x in _counted(rows))
+        self.waiting.appendList(list(zip(at, failed, passed, strict=True)))
+        self._wake(at[0])
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator:  # noqa: N802, N803
         import pandas as pd
 
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((k[0], v[0], v[1]) for k, v in self.waiting.iterator())
-        due = [x for x in held if x[0] < now]
-        failed, last = self.known.get() if self.known.exists() else (0, None)
+        held = {}
+        for at, bad, good in self.waiting.get():
+            before = held.get(at, (0, 0))
+            held[at] = (before[0] + bad, before[1] + good)
+        due = sorted(at for at in held if at < now)
+        failed, last = self.known.get() or (0, None)
         out = []
-        for at, bad, good in due:
+        for at in due:
+            bad, good = held.pop(at)
             if last is not None and at - last > self.forget:
                 failed = 0
             failed, last = failed + bad, at
             if failed >= self.least:
                 out += [(*key, pd.Timestamp(at, unit="us"), failed)] * good
-            self.waiting.removeKey((at,))
         if due:
             self.known.update((failed, last))
-        if len(held) > len(due):
-            self._wake(held[len(due)][0])
+            if held:
+                self.waiting.put([(at, *n) for at, n in held.items()])
+            else:
+                self.waiting.clear()
+        if held:
+            self._wake(min(held))
         elif last is not None and last + self.forget < now:
             self.known.clear()
         elif last is not None:
             self._wake(last + self.forget)
-        yield _alerts(pd.DataFrame(out, columns=_ALERT))
+        return iter([_alerts(pd.DataFrame(out, columns=_ALERT))] if out else ())
 
     def close(self) -> None:
         pass
