@@ -45,8 +45,11 @@ def content_chunks(lines: DataFrame, overlap: int, block: int = 4096, by: tuple[
     empty. A block has as many lines as the overlap has characters at least, so one neighbour is enough."""
     block = max(block, overlap)
     key = [*by, "chunk"]
-    rows = lines.select(*by, F.expr(f"(line_no - 1) div {block}").alias("chunk"), F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")).alias("l"))
-    own = held(rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text")))
+    # a line goes behind its place in the block, of so many digits: half the bytes of a row of both, and in the same order
+    wide = len(str(block))
+    place = F.lpad(F.expr(f"(line_no - 1) % {block}").cast("string"), wide, "0")
+    rows = lines.select(*by, F.expr(f"(line_no - 1) div {block}").alias("chunk"), F.concat(place, F.coalesce("line", F.lit(""))).alias("l"))
+    own = held(rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: F.substr(x, F.lit(wide + 1))), "\n").alias("text")))
     ends = lambda step, name, cut: own.select(*by, (F.col("chunk") + step).alias("chunk"), cut.alias(name))
     before = ends(1, "before", F.concat(F.right("text", F.lit(overlap - 1)), F.lit("\n")) if overlap > 1 else F.lit("\n"))
     after = ends(-1, "after", F.concat(F.lit("\n"), F.left("text", F.lit(overlap))))
