@@ -228,24 +228,57 @@ def latest_before(left: DataFrame, right: DataFrame, by: list[str], left_time: s
     return got.select("__r.*", F.col("__l.__lt").alias(f"{left_time}_before"), *(F.col(f"__l.{c}").alias(f"before_{c}") for c in carry))
 
 
+def _stamped(events: tuple[str, ...], falling: bool = False) -> Column:
+    """A time and the place of its event among ``events`` as one number, so that hashed aggregates find the earliest of both;
+    ``falling``: the greatest number is the latest time with the least event."""
+    place = F.array_position(F.array(*(F.lit(x) for x in sorted(events))), F.col("event_id"))
+    return F.unix_micros("ts") * 16 + (15 - place if falling else place)
+
+
+def _time_of(stamped: str) -> Column:
+    return F.timestamp_micros(F.shiftright(stamped, 4))
+
+
+def _event_of(stamped: str, events: tuple[str, ...], falling: bool = False) -> Column:
+    place = F.col(stamped).bitwiseAND(F.lit(15))
+    return F.element_at(F.array(*(F.lit(x) for x in sorted(events))), (15 - place if falling else place).cast("int"))
+
+
+def _nearest(known: DataFrame, asked: DataFrame, by: list[str], value: str, later: bool) -> DataFrame:
+    """``asked`` with the ``value`` of the last ``known`` row of the same ``by`` whose second ``s`` isn't later than its own,
+    or, with ``later``, of the first that isn't earlier; null if there is none. ``known`` has a row a second at most."""
+    rows = known.select(*by, "s", value, F.lit(0).alias("__q")).unionByName(asked.select("*", F.lit(1).alias("__q")), allowMissingColumns=True)
+    order = F.desc("s") if later else F.asc("s")
+    upto = Window.partitionBy(*by).orderBy(order, "__q").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(value, F.last(value, ignorenulls=True).over(upto)).where("__q = 1").drop("__q")
+
+
 def _legs(came: DataFrame, left: DataFrame, on: list[str], window_s: int) -> DataFrame:
     """Of each (u, x, b, y) the earliest departure with an arrival in the window before it, and the latest such arrival.
 
-    Time is cut into buckets of the window's length. Whether a departure follows an arrival of x closely enough is told by
-    the first arrival of its own bucket and the last of the one before, so arrivals meet departures as two rows a bucket
-    and not each with each; the arrival itself is then looked up for the one departure that counts.
+    Time is cut into buckets of the window's length. Whether x and y meet in a bucket is told by its first arrival, the last
+    arrival of the one before, and its first and last departure: numbers, so pairs are one row a bucket whatever its events.
+    The departure is then looked up in the first bucket where they meet, and its arrival there or at the end of the one before.
     """
-    second = lambda c: F.unix_seconds(F.col(c))
-    ends = came.groupBy("u", "x", "b", F.floor(second("t_in") / window_s).alias("k")).agg(F.min(second("t_in")).alias("low"), F.max(second("t_in")).alias("high"))
-    near = ends.select("u", "x", "b", "k", "low", F.lit(None).cast("long").alias("high")).unionByName(ends.select("u", "x", "b", (F.col("k") + 1).alias("k"), F.lit(None).cast("long").alias("low"), "high"))
-    gone = left.groupBy(*on, "y", F.floor(second("t_out") / window_s).alias("k"), second("t_out").alias("s")).agg(F.min(F.struct("t_out", "out_event")).alias("o"))
-    meets = (F.col("s") >= F.col("low")) | (F.col("s") - F.col("high") <= window_s)
-    first = near.join(gone, [*on, "k"]).where((F.col("x") != F.col("y")) & meets).groupBy("u", "x", "b", "y").agg(F.min("o").alias("o")).select("u", "x", "b", "y", "o.*")
-    # arrivals in the same second count as earlier; a history is looked up by stretches, so none is sorted as a whole
-    second_of = lambda c: F.date_trunc("second", c)
-    arrivals = came.join(first.select("u", "x", "b").distinct(), ["u", "x", "b"], "left_semi").groupBy("u", "x", "b", "t_in").agg(F.min("in_event").alias("in_event"))
-    got = latest_before(arrivals.withColumn("__in", second_of("t_in")), first.withColumn("__out", second_of("t_out")), ["u", "x", "b"], "__in", "__out", ["t_in", "in_event"])
-    return got.select("u", "x", "b", "y", F.col("before_t_in").alias("t_in"), "t_out", F.col("before_in_event").alias("in_event"), "out_event")
+    bucket = F.floor(F.col("s") / window_s)
+    came, left = came.withColumn("k", bucket), left.withColumn("k", bucket)
+    own = came.groupBy("u", "x", "b", "k").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.max("t_in").alias("last_in"))
+    none = F.lit(None).cast("long")
+    before = own.select("u", "x", "b", (F.col("k") + 1).alias("k"), none.alias("low"), "high", "last_in")
+    near = own.select("u", "x", "b", "k", "low", none.alias("high"), none.alias("last_in")).unionByName(before).groupBy("u", "x", "b", "k").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("last_in").alias("last_in"))
+    gone = left.groupBy(*on, "y", "k").agg(F.min("s").alias("first_out"), F.max("s").alias("last_out"))
+    meets = (F.col("low") <= F.col("last_out")) | (F.col("first_out") - F.col("high") <= window_s)
+    first = near.select("u", "x", "b", "k", "low", "high").join(gone, [*on, "k"]).where((F.col("x") != F.col("y")) & meets).groupBy("u", "x", "b", "y").agg(F.min("k").alias("k"))
+    first = first.join(near, ["u", "x", "b", "k"]).join(gone, [*on, "y", "k"])
+    since = F.when(F.col("first_out") - F.col("high") <= window_s, F.col("first_out")).otherwise(F.col("low"))
+    asked = first.select("u", "x", "b", "y", "k", since.alias("s"), "last_in")
+    seconds = left.join(first.select(*on, "y", "k").distinct(), [*on, "y", "k"], "left_semi").groupBy(*on, "y", "k", "s").agg(F.min("t_out").alias("t_out"))
+    out = _nearest(seconds, asked, [*on, "y", "k"], "t_out", later=True)
+    # arrivals in the same second count as earlier
+    asked = out.select("u", "x", "b", "y", "k", F.unix_seconds(_time_of("t_out")).alias("s"), "last_in", "t_out")
+    seconds = came.join(asked.select("u", "x", "b", "k").distinct(), ["u", "x", "b", "k"], "left_semi").groupBy("u", "x", "b", "k", "s").agg(F.max("t_in").alias("t_in"))
+    got = _nearest(seconds, asked, ["u", "x", "b", "k"], "t_in", later=False)
+    return got.select("u", "x", "b", "y", F.coalesce("t_in", "last_in").alias("t_in"), "t_out")
 
 
 def pivot_chains(times: DataFrame, window_s: int = 12 * 3600, loose_window_s: int = 3600) -> DataFrame:
@@ -255,13 +288,17 @@ def pivot_chains(times: DataFrame, window_s: int = 12 * 3600, loose_window_s: in
     """
     u = short_user(F.col("user"))
     rows = times.where((F.col("status") == "ok") & F.col("ts").isNotNull() & F.col("event_id").isin(*CHAIN_IN, *CHAIN_OUT)).withColumn("u", u).where(~F.col("u").endswith("$"))
-    rows = held(rows.select("src", "dst", "u", "event_id", "ts", "src_case", "dst_case"))  # read six times
-    came = rows.where(F.col("event_id").isin(*CHAIN_IN) & F.col("dst_case") & (F.col("u") != "")).select(F.col("src").alias("x"), F.col("dst").alias("b"), "u", F.col("event_id").alias("in_event"), F.col("ts").alias("t_in"))
-    left = rows.where(F.col("event_id").isin(*CHAIN_OUT) & F.col("src_case")).select(F.col("src").alias("b"), F.col("dst").alias("y"), "u", F.col("event_id").alias("out_event"), F.col("ts").alias("t_out"))
+    rows = held(rows.select("src", "dst", "u", "event_id", "ts", "src_case", "dst_case"))  # read several times
+    came = rows.where(F.col("event_id").isin(*CHAIN_IN) & F.col("dst_case") & (F.col("u") != "")).select(F.col("src").alias("x"), F.col("dst").alias("b"), "u", F.unix_seconds("ts").alias("s"), _stamped(CHAIN_IN, falling=True).alias("t_in"))
+    left = rows.where(F.col("event_id").isin(*CHAIN_OUT) & F.col("src_case")).select(F.col("src").alias("b"), F.col("dst").alias("y"), "u", F.unix_seconds("ts").alias("s"), _stamped(CHAIN_OUT).alias("t_out"))
     named = _legs(came, left.where("u <> ''"), ["b", "u"], window_s)
     loose = _legs(came, left.where("u = ''").drop("u"), ["b"], loose_window_s)
-    best = F.min(F.struct("t_out", (-F.unix_micros("t_in")).alias("k"), "t_in", "in_event", "out_event")).alias("p")
-    return named.unionByName(loose).groupBy("u", "x", "b", "y").agg(best).select("u", "x", "b", "y", "p.t_in", "p.t_out", "p.in_event", "p.out_event")
+    # of equal departures the one with the latest arrival counts
+    both = named.unionByName(loose)
+    keys = ["u", "x", "b", "y"]
+    best = F.struct(F.shiftright("t_out", 4).alias("at"), (-F.shiftright("t_in", 4)).alias("k"), "t_in", "t_out")
+    got = both.groupBy(*keys).agg(F.min(best).alias("p")).select(*keys, "p.t_in", "p.t_out")
+    return got.select(*keys, _time_of("t_in").alias("t_in"), _time_of("t_out").alias("t_out"), _event_of("t_in", CHAIN_IN, falling=True).alias("in_event"), _event_of("t_out", CHAIN_OUT).alias("out_event"))
 
 
 def earliest_chains(chains: DataFrame, most: int = 200) -> DataFrame:
