@@ -163,7 +163,9 @@ def edges(raw: DataFrame, hosts: DataFrame) -> DataFrame:
     Raw rows are counted by their key before names are resolved, so joins see one row per pair of names and not per event,
     and no row holds more than a few numbers. Reasons are the union over a key's rows. Null times and types are kept.
     """
-    first = raw.groupBy(*_KEYS, "status").agg(F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.array_distinct(F.flatten(F.collect_set("reasons"))).alias("reasons"))
+    # reasons are a key first, so that a task has a row of each and hashes numbers only
+    first = raw.groupBy(*_KEYS, "status", "reasons").agg(F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    first = first.groupBy(*_KEYS, "status").agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_distinct(F.flatten(F.collect_set("reasons"))).alias("reasons"))
     named = _resolved(first, hosts)
     service = F.array_contains("reasons", "kerberos_service")
     ok, rdp = F.col("status") == "ok", (F.col("logon_type") == 10) & (F.col("event_id") == "4624") | F.col("event_id").rlike("^(LSM|RCM)-")
