@@ -5,7 +5,8 @@ becomes active at the first scan before which both of its subphrases (without it
 reached the threshold, and is counted for one full cycle from there, so lengths interleave and no phrase waits for shorter
 ones to be complete. A phrase that reaches the threshold at all has subphrases that do, so none is missed.
 
-What a task counts in its part of a shard travels as (phrase, count). Running counts hold only what is between activation
+Texts are split into words once: shards are written as numbers of words, in blocks of a few MB with their words behind
+them, and scans read these. What a task counts in its part of a shard travels as (phrase, count). Running counts hold only what is between activation
 and the end of its cycle; then a phrase is kept or forgotten.
 
 Tasks know the active subphrases of a length exactly: they are sent out while they have at most ``most_bytes`` of text in
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -36,7 +38,7 @@ _GAP = _BREAK.copy()
 _GAP[[0x20, 0x09]] = True
 _CUT = re.compile(r"[.,;:!?\n\x0b\x0c\r]")
 _LONG = 8_000_000  # characters from which a text is cut where a piece ends
-_HELD = 5_000_000  # bytes of text that a task counts together
+_HELD = 5_000_000  # characters of text whose words are numbered and counted together
 _NEVER = 1 << 30
 
 #: By length of a phrase, the active ones (``language newline phrase``) and since which scan; None: not sent out.
@@ -68,13 +70,20 @@ def _since(active: Active, k: int, keys: pa.Array) -> np.ndarray:
     return out
 
 
-def _near_recent(ids: np.ndarray, keys: pa.Array, longest: int, active: Active, scan: int, shards: int) -> np.ndarray:
+def _recent(active: Active, scan: int, shards: int) -> pa.Array | None:
+    """First words, with their language, of active phrases whose cycle isn't over; None if some length isn't known."""
+    if any(v is None for v in active.values()):
+        return None
+    firsts = [pc.list_element(pc.split_pattern(known.filter(pa.array(since + shards > scan)), " ", max_splits=1), 0) for known, since in active.values()]
+    return pc.unique(pa.concat_arrays([_NONE[0], *firsts]))
+
+
+def _near_recent(ids: np.ndarray, keys: pa.Array, longest: int, recent: pa.Array | None) -> np.ndarray:
     """Places of words from which on phrases may be due. A phrase that is has a subphrase whose cycle as an active one isn't
     over, at its own place or the next; so only places near the first words of such subphrases matter."""
-    if any(v is None for v in active.values()):
+    if recent is None:
         return np.arange(len(ids))
-    firsts = [pc.list_element(pc.split_pattern(known.filter(pa.array(since + shards > scan)), " ", max_splits=1), 0) for known, since in active.values()]
-    begins = pc.is_in(keys, value_set=pa.concat_arrays(firsts)).to_numpy(zero_copy_only=False)[ids] if firsts else np.zeros(len(ids), bool)
+    begins = pc.is_in(keys, value_set=recent).to_numpy(zero_copy_only=False)[ids]
     wanted = begins.copy()
     wanted[:-1] |= begins[1:]
     near = wanted.copy()
@@ -83,12 +92,22 @@ def _near_recent(ids: np.ndarray, keys: pa.Array, longest: int, active: Active,
     return np.flatnonzero(near)
 
 
-def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active, scan: int, shards: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """(length, phrases as ``language newline phrase``, counts, activation scan) of what is in its cycle at this scan.
-    Length nought is the number of words of a language."""
+@dataclass
+class Numbered:
+    """Texts as numbers: ``ids`` are all words in order, each the number of its (language, word) pair, with all bits flipped
+    where it is the first of its piece. Pair i is word ``spelt[i]`` of language ``names[code[i]]``; ``n``: words of each."""
+
+    names: pa.Array
+    n: np.ndarray
+    code: np.ndarray
+    spelt: pa.Array
+    ids: np.ndarray
+
+
+def number_words(lang: pa.Array, text: pa.Array) -> Numbered | None:
+    """The words of texts; None if there are none."""
     langs = lang.dictionary_encode()
-    letters, offsets, piece, owner = [], [np.zeros(1, np.int64)], [], []
-    pieces = 0
+    letters, offsets, begins, owner = [], [np.zeros(1, np.int64)], [], []
     for chunk in chunks(text):
         data = LOWER[chunk.data]
         gap = np.append(_GAP[data], True)
@@ -97,42 +116,58 @@ def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active,
         begin = np.flatnonzero(~gap & (edge | np.append(True, gap[:-1])))
         inside = ~gap[:-1]
         stop = np.flatnonzero(np.append(False, inside) & (edge | gap))
-        # breaks and ends of documents before a word number its piece
+        # breaks and ends of documents before a word begin a piece
         broken = np.cumsum(np.append(0, _BREAK[data]))[begin]
         doc = np.searchsorted(chunk.end, begin, side="right")
         new = np.ones(len(begin), bool)
         new[1:] = (broken[1:] != broken[:-1]) | (doc[1:] != doc[:-1])
-        number = np.cumsum(new)
-        piece.append((pieces + number).astype(np.int32))
-        pieces += int(number[-1]) + 1 if len(number) else 1
+        begins.append(new)
         owner.append(chunk.first + doc)
         letters.append(data[inside])
         offsets.append(np.cumsum(stop - begin) + offsets[-1][-1])
-    if not letters or not sum(map(len, piece)):
-        return
-    piece, code = np.concatenate(piece), langs.indices.to_numpy()[np.concatenate(owner)].astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(len(piece), pa.py_buffer(np.concatenate(offsets)), pa.py_buffer(np.concatenate(letters))).dictionary_encode()
+    if not letters or not sum(map(len, begins)):
+        return None
+    new, code = np.concatenate(begins), langs.indices.to_numpy()[np.concatenate(owner)].astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(new), pa.py_buffer(np.concatenate(offsets)), pa.py_buffer(np.concatenate(letters))).dictionary_encode()
     names = langs.dictionary.cast(pa.large_string())
-    n = np.bincount(code, minlength=len(names))
-    if scan < shards:
-        yield 0, _joined(names, pa.scalar("", pa.large_string()), "\n"), n, np.zeros(len(n), np.int64)
     size = len(words.dictionary)
     # numbers of the (language, word) pairs that are there, and where they are
     at_pair = code * size + words.indices.to_numpy()
     if size * len(names) > 8 * len(at_pair) + (1 << 20):  # very many languages
-        pair, ids, often = np.unique(at_pair, return_inverse=True, return_counts=True)
+        pair, ids = np.unique(at_pair, return_inverse=True)
     else:
         often = np.bincount(at_pair)
         pair = np.flatnonzero(often)
         number = np.zeros(len(often), np.int32)
         number[pair] = np.arange(len(pair))
-        ids, often = number[at_pair], often[pair]
-    spelt = words.dictionary.take(pa.array(pair % size))
-    keys = _joined(names.take(pa.array(pair // size)), spelt, "\n")
+        ids = number[at_pair]
+    ids = ids.astype(np.int32)
+    return Numbered(names, np.bincount(code, minlength=len(names)), (pair // size).astype(np.int32), words.dictionary.take(pa.array(pair % size)), np.where(new, ~ids, ids))
+
+
+def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active, scan: int, shards: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """(length, phrases as ``language newline phrase``, counts, activation scan) of what is in its cycle at this scan.
+    Length nought is the number of words of a language."""
+    if texts := number_words(lang, text):
+        yield from count_numbered(texts, longest, active, _recent(active, scan, shards), scan, shards)
+
+
+def count_numbered(texts: Numbered, longest: int, active: Active, recent: pa.Array | None, scan: int, shards: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """``count_phrases`` of texts whose words have numbers; ``recent``: what ``_recent`` gives."""
+    if scan < shards:
+        yield 0, _joined(texts.names, pa.scalar("", pa.large_string()), "\n"), texts.n, np.zeros(len(texts.n), np.int64)
+    spelt, new = texts.spelt, texts.ids < 0
+    word = np.where(new, ~texts.ids, texts.ids)
+    pairs = len(spelt)
+    keys = _joined(texts.names.take(pa.array(texts.code)), spelt, "\n")
     if scan < shards:
-        yield 1, keys, often, np.zeros(len(pair), np.int64)
-    word, at = ids, _near_recent(ids, keys, longest, active, scan, shards)
-    ids = ids[at]
+        yield 1, keys, np.bincount(word, minlength=pairs), np.zeros(pairs, np.int64)
+    if not active:
+        return
+    at = _near_recent(word, keys, longest, recent)
+    if not len(at):
+        return
+    ids, piece = word[at], np.cumsum(new, dtype=np.int32)
     for k in range(2, longest + 1):
         if k - 1 not in active:
             return
@@ -141,7 +176,7 @@ def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active,
         alive = since[ids] < _NEVER
         at, ids = at[alive], ids[alive]
         follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (piece[np.minimum(at[:-1] + k - 1, len(piece) - 1)] == piece[at[:-1]]) & (at[:-1] + k - 1 < len(piece)))
-        whole = ids[follows].astype(np.int64) * len(pair) + word[at[follows] + k - 1]
+        whole = ids[follows].astype(np.int64) * pairs + word[at[follows] + k - 1]
         one, two = ids[follows], ids[follows + 1]
         at = at[follows]
         if not len(at):
@@ -151,38 +186,60 @@ def count_phrases(lang: pa.Array, text: pa.Array, longest: int, active: Active,
         place = np.zeros(len(found), np.int64)
         place[ids] = np.arange(len(ids))  # some place of each
         begun = np.maximum(since[one[place]], since[two[place]])
-        keys = _joined(keys.take(pa.array(found // len(pair))), spelt.take(pa.array(found % len(pair))), " ")
+        keys = _joined(keys.take(pa.array(found // pairs)), spelt.take(pa.array(found % pairs)), " ")
         due = begun + shards > scan if active[k - 1] is not None else np.ones(len(found), bool)
         if due.any():
             yield k, keys.filter(pa.array(due)), np.bincount(ids, minlength=len(found))[due], begun[due]
 
 
-def _scan(shard: DataFrame, longest: int, sent: Broadcast[Active], scan: int, shards: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        langs: list[str] = []
-        texts: list[str] = []
-        size = 0
+_NUMBERED = "names array<string>, n array<long>, code binary, ends binary, spelt binary, ids binary"
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, keys, n, begun in count_phrases(pa.array(langs, pa.string()), pa.array(texts, pa.large_string()), longest, known, scan, shards):
-                for i in range(0, len(keys), 1 << 16):
-                    at = slice(i, i + (1 << 16))
-                    part = keys.slice(i, 1 << 16)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), part.cast(pa.string()), pa.array(n[at].astype(np.int64)), pa.array(begun[at].astype(np.int32))], ["k", "phrase", "n", "begun"])
+def _numbered(rows: DataFrame, shards: int) -> DataFrame:
+    """Texts (lang, text, shard) as ``Numbered`` ones of about ``_HELD`` bytes of text, each of one shard."""
 
+    def row(shard: int, langs: list[str], texts: list[str]) -> Iterator[pa.RecordBatch]:
+        if got := number_words(pa.array(langs, pa.string()), pa.array(texts, pa.large_string())):
+            _, ends, letters = got.spelt.buffers()
+            values = [[shard], [got.names.to_pylist()], [got.n.tolist()], [got.code.tobytes()], [np.frombuffer(ends, np.int64)[: len(got.spelt) + 1].tobytes()], [letters.to_pybytes()], [got.ids.tobytes()]]
+            types = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["shard", "names", "n", "code", "ends", "spelt", "ids"])
+        langs.clear(), texts.clear()
+        pa.default_memory_pool().release_unused()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list[str], list[str]]] = [([], []) for _ in range(shards)]
+        size = [0] * shards
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for part in _cut(text):
-                    langs.append(lang)
-                    texts.append(part)
-                    size += len(part)
-                    if size >= _HELD:
-                        yield from flush()
-                        langs.clear(), texts.clear()
-                        size = 0
-                        pa.default_memory_pool().release_unused()
-        yield from flush()
+                    held[shard][0].append(lang)
+                    held[shard][1].append(part)
+                    size[shard] += len(part)
+                    if size[shard] >= _HELD:
+                        yield from row(shard, *held[shard])
+                        size[shard] = 0
+        for shard in range(shards):
+            yield from row(shard, *held[shard])
+
+    return rows.mapInArrow(run, f"shard int, {_NUMBERED}")
+
+
+def _scan(shard: DataFrame, longest: int, sent: Broadcast[Active], scan: int, shards: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        recent = _recent(known, scan, shards)
+        for batch in batches:
+            for names, n, code, ends, letters, ids in zip(*batch.columns, strict=True):
+                ends = np.frombuffer(ends.as_buffer(), np.int64)
+                spelt = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), letters.as_buffer())
+                texts = Numbered(pa.array(names.as_py(), pa.large_string()), np.array(n.as_py(), np.int64), np.frombuffer(code.as_buffer(), np.int32), spelt, np.frombuffer(ids.as_buffer(), np.int32))
+                for k, keys, often, begun in count_numbered(texts, longest, known, recent, scan, shards):
+                    for i in range(0, len(keys), 1 << 16):
+                        at = slice(i, i + (1 << 16))
+                        part = keys.slice(i, 1 << 16)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), part.cast(pa.string()), pa.array(often[at].astype(np.int64)), pa.array(begun[at].astype(np.int32))], ["k", "phrase", "n", "begun"])
+                pa.default_memory_pool().release_unused()
 
     return shard.mapInArrow(run, "k int, phrase string, n long, begun int")
 
@@ -215,7 +272,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, shards:
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
     # shards are equal parts of the rows, whatever these hold; the numbers hold once they are written
-    dealt = materialize(rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "shards", by="shard")
+    dealt = materialize(_numbered(rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), shards), "shards", by="shard")
     state: DataFrame | None = None
     done: list[DataFrame] = []
     reached: list[DataFrame] = []  # by scan, what became active after it
@@ -228,16 +285,21 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, shards:
         if scan >= shards and not most:
             break
         sent = spark.sparkContext.broadcast({k: active[k] for k in range(1, most + 1)})
-        counted = _scan(dealt.where(F.col("shard") == scan % shards).select("lang", "text"), longest, sent, scan, shards)
+        counted = _scan(dealt.where(F.col("shard") == scan % shards).drop("shard"), longest, sent, scan, shards)
         unseen = [k + 1 for k in range(1, most + 1) if active[k] is None]
         if unseen:
             whole = materialize(counted.groupBy("k", "phrase").agg(F.sum("n").alias("n"), F.max("begun").alias("begun")), "counted")
             counted = whole.where(~F.col("k").isin(unseen))
             for k in unseen:
                 counted = counted.unionByName(_known_by_join(whole, reached, k, scan, shards))
-        rows = counted.select("*", F.lit(None).cast("int").alias("since"))
-        merged = (rows if state is None else rows.union(state)).groupBy("k", "phrase").agg(F.sum("n").alias("n"), F.max("begun").alias("begun"), F.max("since").alias("since"))
-        merged = merged.withColumn("since", F.when(F.col("n") >= least, F.coalesce("since", F.lit(scan + 1))))
+        # of a phrase, length and begin are always the same, so the greatest number of all three has the one ``since`` there is
+        packed = lambda since: ((since * (1 << 20) + F.col("begun")) * (1 << 8) + F.col("k")).alias("all")
+        rows = counted.select("phrase", "n", packed(F.lit(0).cast("long")))
+        if state is not None:
+            rows = rows.union(state.select("phrase", "n", packed(F.coalesce("since", F.lit(0)).cast("long"))))
+        k, begun, since = F.col("all") % (1 << 8), F.shiftright("all", 8) % (1 << 20), F.nullif(F.shiftright("all", 28), F.lit(0))
+        merged = rows.groupBy("phrase").agg(F.sum("n").alias("n"), F.max("all").alias("all"))
+        merged = merged.select(k.cast("int").alias("k"), "phrase", "n", begun.cast("int").alias("begun"), F.when(F.col("n") >= least, F.coalesce(since.cast("int"), F.lit(scan + 1))).alias("since"))
         over = F.col("begun") + shards <= scan + 1
         # what ends its cycle below the threshold is forgotten
         merged = materialize(merged.where(~over | F.col("since").isNotNull() | (F.col("k") == 0)), "counts")
