@@ -2,24 +2,37 @@
 
 The index has, of each expression, fixed text that any match must hold (of each of its alternatives), cut into grams of
 as many characters as the greatest of ``SIZES`` that it holds, of which one stands for all. Grams of the texts meet those grams in an equi-join, and only what meets is
-tried by the expression itself. The list, which the driver has read, is sent to all tasks: of the texts' grams none is
-shuffled, only the numbers of what they met. Expressions without such text are tried on every text, as one alternation first.
+tried by the expression itself. A list of up to ``SENT`` rows is sent to all tasks: of the texts' grams none is
+shuffled, only the numbers of what they met. A longer one, which may be a table, is never in one place: of it tasks get a
+bit for each gram, in at most 16 MB, and only grams of texts whose bits are set are shuffled to it. Expressions without
+such text are tried on every text, as one alternation first.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark import cloudpickle
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.plan import computed_once, held
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this module
 SIZES = (4, 6, 8)
 GRAM = SIZES[0]
+SENT = 50_000  # rows of an index that is sent to all tasks
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+_BLOCK = 1 << 20  # places of a text whose grams are looked at together
+_WIDTHS = (15, 27)  # bits of a place among the bits of grams, at least and at most
 _ALONE = re.compile(r"\\[1-9]|\\k<|\(\?<\w|\(\?[a-zA-Z]|\\Q")
 
 
@@ -160,11 +173,24 @@ def required_texts(rx: str, shortest: int = GRAM) -> list[str]:
     return best if all(len(b) >= shortest for b in best) else []
 
 
-def indicator_index(spark: SparkSession, indicators: list[tuple[str, str]]) -> DataFrame:
+def _required_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(at, label, f"(?i){rx}", text, alone(rx)) for at, label, rx in zip(*(c.to_pylist() for c in batch.columns), strict=True) for text in required_texts(rx) or [None]]
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["at", "label", "rx", "text", "alone"])
+
+
+def indicator_index(spark: SparkSession, indicators: list[tuple[str, str]] | DataFrame) -> DataFrame:
     """(at, label, rx, text, gram, alone): an indicator's place, and a row for each text that one of its alternatives
-    requires with the gram that stands for it; a null gram if it is to be tried on every text. Of the grams of a text that which is rarest in the list stands for it."""
-    rows = [(i, label, f"(?i){rx}", text, alone(rx)) for i, (label, rx) in enumerate(indicators) for text in required_texts(rx) or [None]]
-    table = held(spark.createDataFrame(rows, "at int, label string, rx string, text string, alone boolean"))
+    requires with the gram that stands for it; a null gram if it is to be tried on every text. Of the grams of a text that which is rarest in the list stands for it.
+    A list of any length is a table (at, label, rx), whose places are its own."""
+    schema = "at int, label string, rx string, text string, alone boolean"
+    if isinstance(indicators, DataFrame):
+        table = indicators.select(F.col("at").cast("int"), "label", "rx").mapInArrow(_required_rows, schema)
+    else:
+        table = spark.createDataFrame([(i, label, f"(?i){rx}", text, alone(rx)) for i, (label, rx) in enumerate(indicators) for text in required_texts(rx) or [None]], schema)
+    table = held(table)
     size = "CASE " + " ".join(f"WHEN length(text) >= {n} THEN {n}" for n in reversed(SIZES)) + f" ELSE {GRAM} END"
     grams = table.where("text is not null").select("at", "text", F.explode(F.expr(f"transform(sequence(1, length(text) - {size} + 1), i -> substring(text, i, {size}))")).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
@@ -177,27 +203,102 @@ def grams_of(text: Column, size: int = GRAM) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def match_many(rows: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _places(grams: np.ndarray, width: int, factor: int) -> np.ndarray:
+    """Of grams as numbers, one of their places among ``2 ** width`` bits."""
+    return (grams * np.uint64(factor)) >> np.uint64(64 - width)
+
+
+def _gram_bits(grams: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of 32 bits for each gram of a table, of which three are set, and the width of a place in it; of 16 MB at most."""
+    width = min(max(_WIDTHS[0], (32 * grams.count()).bit_length()), _WIDTHS[1])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = np.array([g.encode() for g in batch.column(0).to_pylist()], "S8").view("<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_places(numbers, width, f) for f in _FACTORS]).astype(np.int64) + 1)], ["bit"])  # Spark counts bits from 1
+
+    bits = grams.mapInArrow(places, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("set"))
+    out = np.zeros((1 << width) // 8, np.uint8)
+    for row in bits.collect():
+        part = np.frombuffer(row["set"], np.uint8)
+        out[(row["bucket"] - 1) * len(part) : row["bucket"] * len(part)] = part
+    return out, width
+
+
+def _grams_that_may_be(texts: DataFrame, grams: DataFrame) -> DataFrame:
+    """(__id, gram) of texts (__id, __low) whose grams are among those of a table, or share all their bits with some.
+    A gram has ASCII characters alone, so it is one of a text just where its bytes are."""
+    sizes = [r[0] for r in grams.select(F.length("gram")).distinct().collect()]
+    bits, width = _gram_bits(grams)
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+
+        def holds(numbers: np.ndarray, factor: int) -> np.ndarray:
+            place = _places(numbers, width, factor).view(np.int64)
+            return (known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+        for batch in batches:
+            ids, low = batch.columns
+            ends = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int32)
+            if ends[-1] == ends[0]:
+                continue
+            data = np.append(np.frombuffer(low.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.zeros(7, np.uint8))
+            ends = ends[1:].astype(np.int64) - ends[0]
+            numbers = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+            for size in sizes:
+                for a in range(0, len(numbers), _BLOCK):
+                    some = numbers[a : a + _BLOCK] & np.uint64((1 << 8 * size) - 1)
+                    at = np.flatnonzero(holds(some, _FACTORS[0]))
+                    for factor in _FACTORS[1:]:
+                        at = at[holds(some[at], factor)]
+                    some = some[at]
+                    owner = np.searchsorted(ends, a + at, "right")
+                    fit = (a + at + size <= ends[owner]) & (some & np.uint64(0x8080808080808080) == 0)
+                    some, owner = some[fit], owner[fit]
+                    order = np.lexsort((some, owner))
+                    some, owner = some[order], owner[order]
+                    new = np.ones(len(some), bool)
+                    new[1:] = (some[1:] != some[:-1]) | (owner[1:] != owner[:-1])
+                    some, owner = some[new], owner[new]
+                    letters = np.ascontiguousarray(some.view(np.uint8).reshape(-1, 8)[:, :size])
+                    found = pa.StringArray.from_buffers(len(some), pa.py_buffer(np.arange(0, size * len(some) + 1, size, dtype=np.int32)), pa.py_buffer(letters))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), found], ["__id", "gram"])
+
+    return texts.mapInArrow(run, StructType([texts.schema["__id"], StructField("gram", StringType())]))
+
+
+def match_many(rows: DataFrame, index: DataFrame, id_col: str, text_col: str, most: int = SENT) -> DataFrame:
     """(``id_col``, at, label) of all indicators of ``index`` that match a text of ``rows``, whose ids should be unique.
 
     The plan's size doesn't depend on the list, nothing is joined crosswise, and a text comes up for an indicator at most
-    once. Grams that no text or no indicator has fall out in the join before texts are looked at again.
+    once. Grams that no text or no indicator has fall out in the join before texts are looked at again. An index of more
+    than ``most`` rows stays a table.
     """
     texts = rows.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
     keyed = index.where("gram is not null")
-    entries = keyed.groupBy("at", "label", "rx").agg(F.collect_set("text").alias("texts"))
-    wanted = keyed.select("gram", "at").distinct()
-    # grams of a length that no indicator has aren't cut
-    some = lambda n: keyed.agg(F.coalesce(F.max(F.length("gram") == n), F.lit(False)).alias("x")).scalar()
-    none = F.array().cast("array<string>")
-    cut = F.concat(*(F.when(some(n), grams_of(F.col("__text"), n)).otherwise(none) for n in SIZES))
-    # worked out before they are taken apart: else a filter that Spark infers would work them out again
-    seen = computed_once(texts.select("__id", "__text"), {"__grams": cut}).select("__id", F.explode("__grams").alias("gram"))
-    # a text meets its candidates once, as numbers; the whole required text is looked for before the expression is
-    met = seen.join(F.broadcast(wanted), "gram").groupBy("__id").agg(F.collect_set("at").alias("c"))
+    entry = ["at", "label", "rx"]
     # trying takes time and not space, so texts are dealt out and not put together by their bytes
-    dealt = texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id").join(met, "__id")
-    candidates = computed_once(dealt, {"__low": F.lower("__text")}).select("__id", "__text", "__low", F.explode("c").alias("at")).join(F.broadcast(entries), "at")
+    dealt = texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id")
+    if index.count() > most:
+        entries = keyed.groupBy(*entry).agg(F.sort_array(F.collect_set("text")).alias("texts"), F.collect_set("gram").alias("grams")).select(*entry, "texts", F.explode("grams").alias("gram"))
+        seen = _grams_that_may_be(texts.select("__id", F.lower("__text").alias("__low")), keyed.select("gram").distinct())
+        # what may match a text comes to it, so that texts aren't copied
+        met = seen.join(entries, "gram").groupBy("__id").agg(F.collect_set(F.struct(*entry, "texts")).alias("c"))
+        candidates = computed_once(dealt.join(met, "__id"), {"__low": F.lower("__text")}).select("__id", "__text", "__low", F.inline("c"))
+    else:
+        entries = keyed.groupBy(*entry).agg(F.collect_set("text").alias("texts"))
+        wanted = keyed.select("gram", "at").distinct()
+        # grams of a length that no indicator has aren't cut
+        some = lambda n: keyed.agg(F.coalesce(F.max(F.length("gram") == n), F.lit(False)).alias("x")).scalar()
+        none = F.array().cast("array<string>")
+        cut = F.concat(*(F.when(some(n), grams_of(F.col("__text"), n)).otherwise(none) for n in SIZES))
+        # worked out before they are taken apart: else a filter that Spark infers would work them out again
+        seen = computed_once(texts.select("__id", "__text"), {"__grams": cut}).select("__id", F.explode("__grams").alias("gram"))
+        # a text meets its candidates once, as numbers; the whole required text is looked for before the expression is
+        met = seen.join(F.broadcast(wanted), "gram").groupBy("__id").agg(F.collect_set("at").alias("c"))
+        candidates = computed_once(dealt.join(met, "__id"), {"__low": F.lower("__text")}).select("__id", "__text", "__low", F.explode("c").alias("at")).join(F.broadcast(entries), "at")
     tried = candidates.where(F.exists("texts", lambda x: F.contains(F.col("__low"), x)) & F.rlike(F.col("__text"), F.col("rx"))).select("__id", "at", "label")
     rest = index.where("gram is null")
     single = F.struct("at", "label", "rx")

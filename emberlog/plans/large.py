@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.plan import with_rank
 from ..operators import indicators, rules, web
 from .catalog import query
 from .derive import spread, table
@@ -45,12 +46,17 @@ def web_geo_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, w AS label FROM d WHERE length(w) >= 8 UNION ALL SELECT doc_id, 'five digits' FROM documents WHERE regexp_matches(text, '(^|[^0-9])[0-9]{{5}}($|[^0-9])')
 UNION ALL SELECT doc_id, 'twice' FROM documents WHERE regexp_matches(text, '(?i)([^a-z]|^)(aa|bb|cc|dd)([^a-z]|$)')""")
 def indicator_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tens of thousands of indicators, every longer word of the documents, tried on whole documents."""
+    """Hundreds of thousands of indicators, every longer word of the documents, tried on whole documents."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = docs.select(F.explode(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).where(F.length("w") >= 8).distinct()
-    # the list is an input of its own: it comes from a file in practice, and is read by the driver as one
-    listed = [(r["w"], f"(?<![a-z0-9]){r['w'][:5]}{'[' + r['w'][5] + ']' if i % 3 else r['w'][5]}{r['w'][6:]}{'{1}' if i % 5 == 0 else ''}(?![a-z0-9])" + (f"|(?<![a-z0-9]){r['w']}(?![a-z0-9])" if i % 7 == 0 else "")) for i, r in enumerate(words.orderBy("w").collect())]
-    listed += [("five digits", r"(?<![0-9])[0-9]{5}(?![0-9])"), ("twice", r"(?<![a-z])([abcd])\1(?![a-z])")]
+    # the list is a table of its own, as long as there are words; four ways of writing an expression go by a word's place
+    w, i = F.col("w"), F.col("rank") - 1
+    begins, ends = F.lit("(?<![a-z0-9])"), F.lit("(?![a-z0-9])")
+    sixth = F.when(i % 3 == 0, F.substring(w, 6, 1)).otherwise(F.concat(F.lit("["), F.substring(w, 6, 1), F.lit("]")))
+    rx = F.concat(begins, F.substring(w, 1, 5), sixth, F.expr("substring(w, 7)"), F.when(i % 5 == 0, "{1}").otherwise(""), ends, F.when(i % 7 == 0, F.concat(F.lit("|"), begins, w, ends)).otherwise(""))
+    listed = with_rank(words.orderBy("w")).select(i.alias("at"), w.alias("label"), rx.alias("rx"))
+    few = [(-2, "five digits", r"(?<![0-9])[0-9]{5}(?![0-9])"), (-1, "twice", r"(?<![a-z])([abcd])\1(?![a-z])")]
+    listed = listed.union(spark.createDataFrame(few, "at long, label string, rx string"))
     return indicators.match_many(docs, indicators.indicator_index(spark, listed), "doc_id", "text").select("doc_id", "label")
 
 
