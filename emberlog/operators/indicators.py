@@ -4,8 +4,9 @@ The index has, of each expression, fixed text that any match must hold (of each
 as many characters as the greatest of ``SIZES`` that it holds, of which one stands for all. Grams of the texts meet those grams in an equi-join, and only what meets is
 tried by the expression itself. A list of up to ``SENT`` rows is sent to all tasks: of the texts' grams none is
 shuffled, only the numbers of what they met. A longer one, which may be a table, is never in one place: of it tasks get a
-bit for each gram, in at most 16 MB, and only grams of texts whose bits are set are shuffled to it. Expressions without
-such text are tried on every text, as one alternation first.
+bit for each gram, in at most 16 MB, and only grams of texts whose bits are set are shuffled to it, with the text around
+them: an expression that sees no further (``reach``) is tried there, others on the whole text. Expressions without such text
+are tried on every text, as one alternation first.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions.plan import computed_once, held
 
@@ -32,6 +33,9 @@ GRAM = SIZES[0]
 SENT = 50_000  # rows of an index that is sent to all tasks
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _BLOCK = 1 << 20  # places of a text whose grams are looked at together
+_ROWS = 1 << 14  # grams with the text around them that are written together
+_NEAR = 64  # bytes that an expression may reach which is tried around a gram
+_PART = re.compile(r"(\||\Z)|(\(\?<?[=!])?(?:(\[\^?[^\[\]\\&^]+\])|\\[!-/:-@\[-`{-~]|[^\\\[\](){}|^$.*+?\x80-\U0010ffff])(?(2)\)|(?:\{(\d{1,2})\})?)")
 _WIDTHS = (15, 27)  # bits of a place among the bits of grams, at least and at most
 _ALONE = re.compile(r"\\[1-9]|\\k<|\(\?<\w|\(\?[a-zA-Z]|\\Q")
 
@@ -173,29 +177,45 @@ def required_texts(rx: str, shortest: int = GRAM) -> list[str]:
     return best if all(len(b) >= shortest for b in best) else []
 
 
+def reach(rx: str) -> int | None:
+    """How many bytes a match may have, with the characters next to it; null if these are more than ``_NEAR``, or if the
+    expression has other parts than characters and classes, with counted repeats, and looks at one of these."""
+    at = widest = width = 0
+    while at <= len(rx):
+        part = _PART.match(rx, at)
+        if not part:
+            return None
+        if part[1] is not None:
+            widest, width = max(widest, width), 0
+        elif not part[2]:
+            width += (4 if part[3] else 1) * int(part[4] or 1)
+        at = part.end() + (part[1] == "")
+    return widest + 4 if widest + 4 <= _NEAR else None
+
+
 def _required_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(at, label, f"(?i){rx}", text, alone(rx)) for at, label, rx in zip(*(c.to_pylist() for c in batch.columns), strict=True) for text in required_texts(rx) or [None]]
-        kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["at", "label", "rx", "text", "alone"])
+        rows = [(at, label, f"(?i){rx}", text, alone(rx), reach(rx)) for at, label, rx in zip(*(c.to_pylist() for c in batch.columns), strict=True) for text in required_texts(rx) or [None]]
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32())
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["at", "label", "rx", "text", "alone", "reach"])
 
 
 def indicator_index(spark: SparkSession, indicators: list[tuple[str, str]] | DataFrame) -> DataFrame:
-    """(at, label, rx, text, gram, alone): an indicator's place, and a row for each text that one of its alternatives
+    """(at, label, rx, text, gram, alone, reach): an indicator's place, and a row for each text that one of its alternatives
     requires with the gram that stands for it; a null gram if it is to be tried on every text. Of the grams of a text that which is rarest in the list stands for it.
     A list of any length is a table (at, label, rx), whose places are its own."""
-    schema = "at int, label string, rx string, text string, alone boolean"
+    schema = "at int, label string, rx string, text string, alone boolean, reach int"
     if isinstance(indicators, DataFrame):
         table = indicators.select(F.col("at").cast("int"), "label", "rx").mapInArrow(_required_rows, schema)
     else:
-        table = spark.createDataFrame([(i, label, f"(?i){rx}", text, alone(rx)) for i, (label, rx) in enumerate(indicators) for text in required_texts(rx) or [None]], schema)
+        table = spark.createDataFrame([(i, label, f"(?i){rx}", text, alone(rx), reach(rx)) for i, (label, rx) in enumerate(indicators) for text in required_texts(rx) or [None]], schema)
     table = held(table)
     size = "CASE " + " ".join(f"WHEN length(text) >= {n} THEN {n}" for n in reversed(SIZES)) + f" ELSE {GRAM} END"
     grams = table.where("text is not null").select("at", "text", F.explode(F.expr(f"transform(sequence(1, length(text) - {size} + 1), i -> substring(text, i, {size}))")).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = grams.join(often, "gram").groupBy("at", "text").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    return held(table.join(rarest, ["at", "text"], "left").select("at", "label", "rx", "text", "gram", "alone").distinct())
+    return held(table.join(rarest, ["at", "text"], "left").select("at", "label", "rx", "text", "gram", "alone", "reach").distinct())
 
 
 def grams_of(text: Column, size: int = GRAM) -> Column:
@@ -225,12 +245,21 @@ def _gram_bits(grams: DataFrame) -> tuple[np.ndarray, int]:
     return out, width
 
 
-def _grams_that_may_be(texts: DataFrame, grams: DataFrame) -> DataFrame:
-    """(__id, gram) of texts (__id, __low) whose grams are among those of a table, or share all their bits with some.
-    A gram has ASCII characters alone, so it is one of a text just where its bytes are."""
+def _cut_out(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """Texts from and to places of bytes."""
+    ends = np.append(0, np.cumsum(stop - start))
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[np.repeat(start - ends[:-1], stop - start) + np.arange(ends[-1])]))
+
+
+def _grams_that_may_be(texts: DataFrame, grams: DataFrame, margin: int = 0) -> DataFrame:
+    """(__id, gram) of texts (__id, __text) whose grams are among those of a table, or share all their bits with some; A-Z
+    are lower-cased. A gram has ASCII characters alone, so it is one of a text just where its bytes are. With a ``margin``,
+    a row for each place: also ``before`` and ``rest``, the text from so many bytes before the place to it and from there to
+    so many behind the gram, and ``cut``: whether there is more before."""
     sizes = [r[0] for r in grams.select(F.length("gram")).distinct().collect()]
     bits, width = _gram_bits(grams)
     sent = texts.sparkSession.sparkContext.broadcast(bits)
+    lower = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -240,33 +269,59 @@ def _grams_that_may_be(texts: DataFrame, grams: DataFrame) -> DataFrame:
             return (known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
         for batch in batches:
-            ids, low = batch.columns
-            ends = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int32)
+            ids, text = batch.columns
+            ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
             if ends[-1] == ends[0]:
                 continue
-            data = np.append(np.frombuffer(low.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.zeros(7, np.uint8))
-            ends = ends[1:].astype(np.int64) - ends[0]
-            numbers = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+            raw = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            data = np.append(lower[raw], np.zeros(7, np.uint8))
+            begins, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
+            numbers = np.ndarray(len(raw), "<u8", data, strides=(1,))  # the eight bytes from each place on
+            inside = np.append((raw & 0xC0) == 0x80, False)  # a character
             for size in sizes:
                 for a in range(0, len(numbers), _BLOCK):
                     some = numbers[a : a + _BLOCK] & np.uint64((1 << 8 * size) - 1)
                     at = np.flatnonzero(holds(some, _FACTORS[0]))
                     for factor in _FACTORS[1:]:
                         at = at[holds(some[at], factor)]
-                    some = some[at]
-                    owner = np.searchsorted(ends, a + at, "right")
-                    fit = (a + at + size <= ends[owner]) & (some & np.uint64(0x8080808080808080) == 0)
-                    some, owner = some[fit], owner[fit]
-                    order = np.lexsort((some, owner))
-                    some, owner = some[order], owner[order]
-                    new = np.ones(len(some), bool)
-                    new[1:] = (some[1:] != some[:-1]) | (owner[1:] != owner[:-1])
-                    some, owner = some[new], owner[new]
-                    letters = np.ascontiguousarray(some.view(np.uint8).reshape(-1, 8)[:, :size])
-                    found = pa.StringArray.from_buffers(len(some), pa.py_buffer(np.arange(0, size * len(some) + 1, size, dtype=np.int32)), pa.py_buffer(letters))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), found], ["__id", "gram"])
-
-    return texts.mapInArrow(run, StructType([texts.schema["__id"], StructField("gram", StringType())]))
+                    some, at = some[at], at + a
+                    owner = np.searchsorted(ends, at, "right")
+                    fit = (at + size <= ends[owner]) & (some & np.uint64(0x8080808080808080) == 0)
+                    some, at, owner = some[fit], at[fit], owner[fit]
+                    if not margin:
+                        order = np.lexsort((some, owner))
+                        some, owner = some[order], owner[order]
+                        new = np.ones(len(some), bool)
+                        new[1:] = (some[1:] != some[:-1]) | (owner[1:] != owner[:-1])
+                        some, at, owner = some[new], at[order][new], owner[new]
+                    for i in range(0, len(at), _ROWS):
+                        p, k = at[i : i + _ROWS], owner[i : i + _ROWS]
+                        columns = [ids.take(pa.array(k)), _cut_out(data, p, p + size)]
+                        if margin:
+                            start, stop = np.maximum(begins[k], p - margin), np.minimum(ends[k], p + size + margin)
+                            for _ in range(3):
+                                start, stop = start - inside[start], stop + inside[stop]
+                            columns += [_cut_out(raw, start, p), _cut_out(raw, p, stop), pa.array(start > begins[k])]
+                        yield pa.RecordBatch.from_arrays(columns, ["__id", "gram", "before", "rest", "cut"][: len(columns)])
+
+    around = [StructField("before", StringType()), StructField("rest", StringType()), StructField("cut", BooleanType())] if margin else []
+    return texts.mapInArrow(run, StructType([texts.schema["__id"], StructField("gram", StringType()), *around]))
+
+
+def _entries(index: DataFrame) -> DataFrame:
+    """(at, label, rx, texts, gram): an indicator with all texts that it requires, for each gram of theirs."""
+    entry = ["at", "label", "rx"]
+    return index.groupBy(*entry).agg(F.sort_array(F.collect_set("text")).alias("texts"), F.collect_set("gram").alias("grams")).select(*entry, "texts", F.explode("grams").alias("gram"))
+
+
+def _match_around(texts: DataFrame, index: DataFrame, margin: int) -> DataFrame:
+    """(__id, at, label) of indicators that reach ``margin`` bytes at most. A match holds a gram: it begins there or before
+    it, and behind the first character of what is cut out, so it has all it looks at."""
+    seen = _grams_that_may_be(texts, index.select("gram").distinct(), margin)
+    text = F.concat("before", "rest")
+    first = F.concat(F.lit("(?i)\\A(?s:.{"), F.when(F.col("cut"), 1).otherwise(0), F.lit(","), F.length("before"), F.lit("})(?:"), F.expr("substring(rx, 5)"), F.lit(")"))
+    met = seen.join(_entries(index), "gram").where(F.exists("texts", lambda x: F.contains(F.lower(text), x)) & F.rlike(text, first))
+    return met.select("__id", "at", "label").distinct()
 
 
 def match_many(rows: DataFrame, index: DataFrame, id_col: str, text_col: str, most: int = SENT) -> DataFrame:
@@ -278,17 +333,21 @@ def match_many(rows: DataFrame, index: DataFrame, id_col: str, text_col: str, mo
     """
     texts = rows.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
     keyed = index.where("gram is not null")
-    entry = ["at", "label", "rx"]
     # trying takes time and not space, so texts are dealt out and not put together by their bytes
     dealt = texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id")
+    ends: list[DataFrame] = []
     if index.count() > most:
-        entries = keyed.groupBy(*entry).agg(F.sort_array(F.collect_set("text")).alias("texts"), F.collect_set("gram").alias("grams")).select(*entry, "texts", F.explode("grams").alias("gram"))
-        seen = _grams_that_may_be(texts.select("__id", F.lower("__text").alias("__low")), keyed.select("gram").distinct())
+        wide, near = keyed.where("reach is null"), keyed.where("reach is not null")
+        if margin := near.agg(F.max("reach")).first()[0]:
+            ends.append(_match_around(texts, near, margin))
         # what may match a text comes to it, so that texts aren't copied
-        met = seen.join(entries, "gram").groupBy("__id").agg(F.collect_set(F.struct(*entry, "texts")).alias("c"))
-        candidates = computed_once(dealt.join(met, "__id"), {"__low": F.lower("__text")}).select("__id", "__text", "__low", F.inline("c"))
+        candidates = None
+        if wide.take(1):
+            seen = _grams_that_may_be(texts, wide.select("gram").distinct())
+            met = seen.join(_entries(wide), "gram").groupBy("__id").agg(F.collect_set(F.struct("at", "label", "rx", "texts")).alias("c"))
+            candidates = computed_once(dealt.join(met, "__id"), {"__low": F.lower("__text")}).select("__id", "__text", "__low", F.inline("c"))
     else:
-        entries = keyed.groupBy(*entry).agg(F.collect_set("text").alias("texts"))
+        entries = keyed.groupBy("at", "label", "rx").agg(F.collect_set("text").alias("texts"))
         wanted = keyed.select("gram", "at").distinct()
         # grams of a length that no indicator has aren't cut
         some = lambda n: keyed.agg(F.coalesce(F.max(F.length("gram") == n), F.lit(False)).alias("x")).scalar()
@@ -299,7 +358,8 @@ def match_many(rows: DataFrame, index: DataFrame, id_col: str, text_col: str, mo
         # a text meets its candidates once, as numbers; the whole required text is looked for before the expression is
         met = seen.join(F.broadcast(wanted), "gram").groupBy("__id").agg(F.collect_set("at").alias("c"))
         candidates = computed_once(dealt.join(met, "__id"), {"__low": F.lower("__text")}).select("__id", "__text", "__low", F.explode("c").alias("at")).join(F.broadcast(entries), "at")
-    tried = candidates.where(F.exists("texts", lambda x: F.contains(F.col("__low"), x)) & F.rlike(F.col("__text"), F.col("rx"))).select("__id", "at", "label")
+    if candidates is not None:
+        ends.append(candidates.where(F.exists("texts", lambda x: F.contains(F.col("__low"), x)) & F.rlike(F.col("__text"), F.col("rx"))).select("__id", "at", "label"))
     rest = index.where("gram is null")
     single = F.struct("at", "label", "rx")
     together = rest.where("not alone").agg(F.coalesce(F.concat(F.lit("(?i)"), F.array_join(F.collect_list(F.concat(F.lit("(?:"), F.substring("rx", F.lit(5), F.length("rx")), F.lit(")"))), "|")), F.lit("(?!)")).alias("x")).scalar()
@@ -307,4 +367,4 @@ def match_many(rows: DataFrame, index: DataFrame, id_col: str, text_col: str, mo
     odd = rest.agg(F.coalesce(F.max("alone"), F.lit(False)).alias("x")).scalar()
     left = texts.withColumns({"__any": together, "__odd": odd, "__each": each}).where(F.expr("__odd or __text rlike if(__any = '(?i)', '(?!)', __any)"))
     hit = computed_once(left, {"__hits": F.filter("__each", lambda x: F.rlike(F.col("__text"), x["rx"]))}).select("__id", F.explode("__hits").alias("x")).select("__id", "x.at", "x.label")
-    return tried.union(hit).select(F.col("__id").alias(id_col), "at", "label")
+    return reduce(DataFrame.union, [*ends, hit]).select(F.col("__id").alias(id_col), "at", "label")
