@@ -18,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no c
 UTMP = 384  # bytes of a record of a login database
 _KINDS = ("EMPTY", "RUN_LVL", "BOOT_TIME", "NEW_TIME", "OLD_TIME", "INIT_PROCESS", "LOGIN_PROCESS", "USER_PROCESS", "DEAD_PROCESS")
 _PIECE = 1 << 20
+_TASKS, _RECORDS = 1000, 1 << 20  # tasks from which a task reads more records than asked for, and up to how many
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -68,12 +69,15 @@ class UtmpReader(_Ranges):
         self.records, self.rotated = records, rotated
 
     def partitions(self) -> list[Stretch]:
-        """A partition for so many records; what is left of a torn record at the end of a file isn't read."""
+        """A partition for so many records, or for more where these would be very many partitions; records are read in pieces
+        whatever their number. What is left of a torn record at the end of a file isn't read."""
         out, before = [], {}
-        for f in _files(self.path):
+        files = _files(self.path)
+        records = max(self.records, min(-(-sum(f.size // UTMP for f in files) // _TASKS), _RECORDS))
+        for f in files:
             n, folder = f.size // UTMP, f.path.rpartition("/")[0]
             first = before.get(folder, 0) if self.rotated else 0
-            out += [Stretch(f.path, a * UTMP, min(a + self.records, n) * UTMP, first + a) for a in range(0, n, self.records)]
+            out += [Stretch(f.path, a * UTMP, min(a + records, n) * UTMP, first + a) for a in range(0, n, records)]
             before[folder] = first + n
         return out
 
@@ -100,8 +104,8 @@ class UtmpReader(_Ranges):
 
 
 class UtmpSource(DataSource):
-    """Login databases: ``spark.read.format("utmp").load(path)``; option ``records``: how many a task reads;
-    ``rotated``: whether files of one folder are one database, in order of their names, so that ``n`` goes on."""
+    """Login databases: ``spark.read.format("utmp").load(path)``; option ``records``: how many a task reads, or more
+    where that makes over a thousand tasks; ``rotated``: whether files of one folder are one database, in order of their names, so that ``n`` goes on."""
 
     @classmethod
     def name(cls) -> str:
@@ -232,8 +236,8 @@ class XzSource(DataSource):
 
 
 def read_utmp(spark: SparkSession, path: str, records: int = 100_000, rotated: bool = False) -> DataFrame:
-    """(path, n, time_utc, user, type, line, host) of login databases of any size, ``records`` records a task; records
-    without a user are left out, as is a torn one at the end. ``rotated``: files of one folder, in order of their names, are
+    """(path, n, time_utc, user, type, line, host) of login databases of any size, ``records`` records a task, or as
+    many more as make a thousand tasks; records without a user are left out, as is a torn one at the end. ``rotated``: files of one folder, in order of their names, are
     one database, whose numbers go on. Paths are local or URIs that Arrow's file systems know."""
     spark.dataSource.register(UtmpSource)
     return spark.read.format("utmp").option("records", records).option("rotated", str(rotated).lower()).load(path)
