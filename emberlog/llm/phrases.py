@@ -19,13 +19,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -229,17 +229,12 @@ def _scan(shard: DataFrame, longest: int, sent: Broadcast[Active], scan: int, sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         recent = _recent(known, scan, shards)
-        for batch in batches:
-            for names, n, code, ends, letters, ids in zip(*batch.columns, strict=True):
-                ends = np.frombuffer(ends.as_buffer(), np.int64)
-                spelt = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), letters.as_buffer())
-                texts = Numbered(pa.array(names.as_py(), pa.large_string()), np.array(n.as_py(), np.int64), np.frombuffer(code.as_buffer(), np.int32), spelt, np.frombuffer(ids.as_buffer(), np.int32))
-                for k, keys, often, begun in count_numbered(texts, longest, known, recent, scan, shards):
-                    for i in range(0, len(keys), 1 << 16):
-                        at = slice(i, i + (1 << 16))
-                        part = keys.slice(i, 1 << 16)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), part.cast(pa.string()), pa.array(often[at].astype(np.int64)), pa.array(begun[at].astype(np.int32))], ["k", "phrase", "n", "begun"])
-                pa.default_memory_pool().release_unused()
+        for texts in _blocks(batches):
+            for k, keys, often, begun in count_numbered(texts, longest, known, recent, scan, shards):
+                for i in range(0, len(keys), 1 << 16):
+                    at = slice(i, i + (1 << 16))
+                    part = keys.slice(i, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), part.cast(pa.string()), pa.array(often[at].astype(np.int64)), pa.array(begun[at].astype(np.int32))], ["k", "phrase", "n", "begun"])
 
     return shard.mapInArrow(run, "k int, phrase string, n long, begun int")
 
@@ -262,6 +257,228 @@ def _known_by_join(counted: DataFrame, reached: list[DataFrame], k: int, scan: i
     return rows.select("k", "phrase", "n", F.greatest("s1", "s2").cast("int").alias("begun")).where(F.col("begun") + shards > scan)
 
 
+_BITS = 30  # of the number of a subphrase; three more tell how many words there are
+_ID = (1 << _BITS) - 1
+
+
+#: Rising numbers as steps of four bytes, and places and sizes of the longer steps.
+Steps = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _steps(numbers: np.ndarray) -> Steps:
+    steps = np.diff(numbers, prepend=0)
+    far = np.flatnonzero(steps >> 32)
+    return steps.astype(np.uint32), far.astype(np.int32), steps[far]
+
+
+def _climbed(steps: Steps) -> np.ndarray:
+    near, at, far = steps
+    out = near.astype(np.int64)
+    out[at] = far
+    return np.cumsum(out)
+
+
+@dataclass
+class Known:
+    """Active phrases, by their numbers. ``words``: ``language newline word``; ``pairs``: of each longer length, the numbers of
+    the two subphrases in one, rising within what became active after one scan; ``due``: of each length, the first number
+    whose cycle isn't over; ``recent``: whether a word is the first of such a phrase."""
+
+    words: pa.Array
+    pairs: dict[int, list[Steps]]
+    due: dict[int, int]
+    recent: np.ndarray
+
+    @cached_property
+    def ordered(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Of each length, all pairs rising, and the number of each; a worker puts them in order once."""
+        out = {}
+        for k, lists in self.pairs.items():
+            pairs = np.concatenate([_climbed(x) for x in lists])
+            order = np.argsort(pairs, kind="stable").astype(np.int32)
+            out[k] = pairs[order], order
+        return out
+
+
+def _halves(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (pair >> _BITS) & _ID, pair & _ID
+
+
+def count_pairs(texts: Numbered, longest: int, known: Known) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, pairs of numbers of subphrases, counts) of the phrases of two to ``longest`` words that are in their cycle."""
+    new = texts.ids < 0
+    word = np.where(new, ~texts.ids, texts.ids)
+    keys = _joined(texts.names.take(pa.array(texts.code)), texts.spelt, "\n")
+    number = pc.fill_null(pc.index_in(keys, value_set=known.words), -1).to_numpy().astype(np.int64)
+    # as in _near_recent
+    begins = (np.append(known.recent, False)[number])[word]
+    wanted = begins.copy()
+    wanted[:-1] |= begins[1:]
+    near = wanted.copy()
+    for k in range(1, longest):
+        near[k:] |= wanted[:-k]
+    at = np.flatnonzero(near)
+    ids, piece = number[word[at]], np.cumsum(new, dtype=np.int32)
+    for k in range(2, longest + 1):
+        alive = ids >= 0
+        at, ids = at[alive], ids[alive]
+        # the phrase of k - 1 words at a place goes on if the next place begins an active one too
+        end = at[:-1] + k - 1
+        follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (end < len(piece)) & (piece[np.minimum(end, len(piece) - 1)] == piece[at[:-1]]))
+        at = at[follows]
+        if not len(at):
+            return
+        encoded = pa.array((ids[follows] << _BITS) | ids[follows + 1]).dictionary_encode()
+        found, place = encoded.dictionary.to_numpy(), encoded.indices.to_numpy()
+        head, tail = _halves(found)
+        due = np.maximum(head, tail) >= known.due[k - 1]
+        if due.any():
+            yield k, found[due], np.bincount(place, minlength=len(found))[due]
+        if k == longest or k not in known.ordered:
+            return
+        pairs, numbers = known.ordered[k]
+        where = np.minimum(np.searchsorted(pairs, found), len(pairs) - 1)
+        ids = np.where(pairs[where] == found, numbers[where], -1).astype(np.int64)[place]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Numbered]:
+    for batch in batches:
+        for names, n, code, ends, letters, ids in zip(*batch.columns, strict=True):
+            ends = np.frombuffer(ends.as_buffer(), np.int64)
+            spelt = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), letters.as_buffer())
+            yield Numbered(pa.array(names.as_py(), pa.large_string()), np.array(n.as_py(), np.int64), np.frombuffer(code.as_buffer(), np.int32), spelt, np.frombuffer(ids.as_buffer(), np.int32))
+            pa.default_memory_pool().release_unused()
+
+
+def _scan_words(shard: DataFrame) -> DataFrame:
+    """(phrase, n): words, and of each language an empty one that stands for all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _blocks(batches):
+            for _, keys, often, _ in count_numbered(texts, 1, {}, None, 0, 1):
+                for i in range(0, len(keys), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([keys.slice(i, 1 << 16).cast(pa.string()), pa.array(often[i : i + (1 << 16)].astype(np.int64))], ["phrase", "n"])
+
+    return shard.mapInArrow(run, "phrase string, n long")
+
+
+def _scan_pairs(shard: DataFrame, longest: int, sent: Broadcast[Known]) -> DataFrame:
+    """(key, n): ``count_pairs`` with the length before the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for texts in _blocks(batches):
+            for k, pairs, often in count_pairs(texts, longest, known):
+                keys = pairs | (k << 2 * _BITS)
+                for i in range(0, len(keys), 1 << 16):
+                    at = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(often[at].astype(np.int64))], ["key", "n"])
+
+    return shard.mapInArrow(run, "key long, n long")
+
+
+def _spell(counts: DataFrame, words: pa.Array, lists: dict[int, list[Steps]]) -> DataFrame:
+    """(k, phrase, n) of (key, n)."""
+    sent = counts.sparkSession.sparkContext.broadcast((words, lists))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, lists = sent.value
+        bare = pc.replace_substring_regex(words, r"(?s)^.*\n", "")
+        pairs = {k: np.concatenate([_climbed(x) for x in lists[k]]) for k in lists}
+
+        def parts(k: int, pair: np.ndarray) -> list[np.ndarray]:
+            """The numbers of the words of phrases."""
+            head, tail = _halves(pair)
+            if k == 2:
+                return [head, tail]
+            return [*parts(k - 1, pairs[k - 1][head]), parts(k - 1, pairs[k - 1][tail])[-1]]
+
+        for batch in batches:
+            keys, n = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(keys >> 2 * _BITS).tolist():
+                mine = keys >> 2 * _BITS == k
+                first, *others = parts(k, keys[mine])
+                spelt = words.take(pa.array(first))
+                for ids in others:
+                    spelt = _joined(spelt, bare.take(pa.array(ids)), " ")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), spelt.cast(pa.string()), pa.array(n[mine])], ["k", "phrase", "n"])
+
+    return counts.mapInArrow(run, "k int, phrase string, n long")
+
+
+def _merged(counted: DataFrame, state: DataFrame | None, key: str, least: int, scan: int) -> DataFrame:
+    """Running counts with those of this scan, and since when they reach the threshold."""
+    rows = counted.select(key, "n", F.lit(None).cast("int").alias("since"))
+    rows = rows if state is None else rows.union(state.select(key, "n", "since"))
+    sums = rows.groupBy(key).agg(F.sum("n").alias("n"), F.max("since").alias("since"))
+    return sums.select(key, "n", F.when(F.col("n") >= least, F.coalesce("since", F.lit(scan + 1))).alias("since"))
+
+
+def _by_number(dealt: DataFrame, longest: int, least: int, shards: int, most_bytes: int) -> DataFrame | None:
+    """(k, phrase, n) of written shards; None if the active phrases of a length have more than ``most_bytes``."""
+    spark = dealt.sparkSession
+    k, m = F.shiftright("key", 2 * _BITS), F.greatest(F.shiftright("key", _BITS).bitwiseAND(F.lit(_ID)), F.col("key").bitwiseAND(F.lit(_ID)))
+    words, size = _NONE[0], 0
+    lists: dict[int, list[Steps]] = {}
+    since = {j: np.zeros(0, np.int32) for j in range(1, longest)}
+    first = {j: np.zeros(0, np.int32) for j in range(1, longest)}  # word of each active phrase
+    of_words: DataFrame | None = None
+    state: DataFrame | None = None
+    done: list[DataFrame] = []
+    scan = 0
+    while True:
+        most = max((j for j in since if len(since[j]) and since[j][-1] + shards > scan), default=0)
+        if scan >= shards and not most:
+            break
+        shard = dealt.where(F.col("shard") == scan % shards).drop("shard")
+        more: dict[int, np.ndarray] = {}
+        if most:
+            recent = np.zeros(len(words), bool)
+            for j in since:
+                recent[first[j][since[j] + shards > scan]] = True
+            due = {j: int(np.searchsorted(since[j], scan - shards, "right")) for j in since}
+            sent = spark.sparkContext.broadcast(Known(words, lists, due, recent))
+            # numbers rise with the scans, so the greater one of a pair tells when it began
+            begun = F.lit(0)
+            for j in range(2, most + 2):
+                for scanned in np.unique(since[j - 1]):
+                    begun = F.when((k == j) & (m >= int(np.searchsorted(since[j - 1], scanned))), int(scanned)).otherwise(begun)
+            rows = _merged(_scan_pairs(shard, most + 1, sent), state, "key", least, scan).withColumn("over", begun + shards <= scan + 1)
+            # what ends its cycle below the threshold is forgotten
+            merged = materialize(rows.where(~F.col("over") | F.col("since").isNotNull()), "counts")
+            sent.destroy()
+            done.append(merged.where("over").select("key", "n"))
+            state = merged.where("not over")
+            new = merged.where((F.col("since") == scan + 1) & (k < longest))
+            for row in new.groupBy(k.alias("k")).count().collect():
+                if (row["count"] + len(since[row["k"]])) * 4 > most_bytes:
+                    return None
+            keys = np.sort(new.select("key").toArrow()["key"].to_numpy())
+            more = {j: keys[keys >> 2 * _BITS == j] & ((1 << 2 * _BITS) - 1) for j in range(2, longest)}
+        if scan < shards:
+            rows = _merged(_scan_words(shard), of_words, "phrase", least, scan)
+            of_words = materialize(rows if scan + 1 < shards else rows.where(F.col("since").isNotNull() | F.endswith("phrase", F.lit("\n"))), "words")
+            new = of_words.where((F.col("since") == scan + 1) & ~F.endswith("phrase", F.lit("\n"))).select("phrase")
+            size += new.agg(F.coalesce(F.sum(F.octet_length("phrase") + 8), F.lit(0))).first()[0]
+            if size > most_bytes and longest > 1:
+                return None
+            if longest > 1:
+                got = new.toArrow()["phrase"].cast(pa.large_string())
+                first[1] = np.arange(len(words) + len(got), dtype=np.int32)
+                since[1] = np.append(since[1], np.full(len(got), scan + 1, np.int32))
+                words = pa.concat_arrays([words, *got.chunks])
+        for j, got in more.items():
+            if len(got):
+                lists.setdefault(j, []).append(_steps(got))
+                since[j] = np.append(since[j], np.full(len(got), scan + 1, np.int32))
+                first[j] = np.append(first[j], first[j - 1][_halves(got)[0]])
+                if sum(x.nbytes for steps in lists[j] for x in steps) > most_bytes:
+                    return None
+        scan += 1
+    found = of_words.select(F.when(F.endswith("phrase", F.lit("\n")), 0).otherwise(1).alias("k"), "phrase", "n")
+    return found.union(_spell(reduce(DataFrame.union, done), words, lists)) if done else found
+
+
 def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, shards: int = 3, most_bytes: int = 32_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(k, lang, phrase, n): phrases of up to ``longest`` words within a piece that occur at least ``least`` times in a
     language, overlaps included, words joined by one space; with k = 0 and an empty phrase, the words of each language.
@@ -269,10 +486,17 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, shards:
     A-Z are lower-cased, pieces end at ``. , ; : ! ?`` and line breaks, words at spaces and tabs. A null language is
     ``und``, a null text has no words. An empty table gives an empty one; other columns are ignored.
     """
-    spark: SparkSession = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
     # shards are equal parts of the rows, whatever these hold; the numbers hold once they are written
     dealt = materialize(_numbered(rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), shards), "shards", by="shard")
+    got = _by_number(dealt, longest, least, shards, most_bytes) if longest < 8 else None
+    got = _by_text(dealt, longest, least, shards, most_bytes) if got is None else got
+    return got.select("k", _lang().alias("lang"), _spelt().alias("phrase"), "n")
+
+
+def _by_text(dealt: DataFrame, longest: int, least: int, shards: int, most_bytes: int) -> DataFrame:
+    """(k, phrase, n) of written shards, whatever the length of the lists of active phrases."""
+    spark = dealt.sparkSession
     state: DataFrame | None = None
     done: list[DataFrame] = []
     reached: list[DataFrame] = []  # by scan, what became active after it
@@ -317,7 +541,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, shards:
             if active[k] is not None and (more := got.filter(pc.equal(got["k"], k))).num_rows:
                 active[k] = (pa.concat_arrays([active[k][0], *more["phrase"].cast(pa.large_string()).chunks]), np.append(active[k][1], np.full(more.num_rows, scan + 1)))
         scan += 1
-    return reduce(DataFrame.union, done).select("k", _lang().alias("lang"), _spelt().alias("phrase"), "n")
+    return reduce(DataFrame.union, done).select("k", "phrase", "n")
 
 
 def collocations(docs: DataFrame, longest: int = 4, least: int = 30, cover: int = 80, shards: int = 3, most_bytes: int = 32_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
